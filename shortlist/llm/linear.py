@@ -14,9 +14,9 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Weights and intercept for (soft) labels y in [0, 1], by Newton steps on standardised columns."""
-    mean, scale = (x.mean(0), x.std(0)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, standard: bool = True) -> tuple[np.ndarray, float]:
+    """Weights and intercept for (soft) labels y in [0, 1], by Newton steps; columns are standardised if asked."""
+    mean, scale = (x.mean(0), x.std(0)) if len(x) and standard else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     rate = (y.sum() + 0.5) / (len(y) + 1)

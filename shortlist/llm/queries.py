@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .op01_sharding import op1_sharding
+from .op02_toxicity import op2_toxicity
+from .op03_html import op3_html
 from .op04_mixing import op4_mixing
 from .op05_minhash import op5_minhash
 from .op06_quality import op6_quality
@@ -20,6 +22,8 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
+    "op3_html": op3_html,
     "op4_mixing": op4_mixing,
     "op5_minhash": op5_minhash,
     "op6_quality": op6_quality,
