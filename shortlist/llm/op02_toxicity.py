@@ -35,7 +35,7 @@ from . import linear
 
 SAMPLE_ROWS = linear.SAMPLE_ROWS
 #: Stems that vote, and stems that the classifier looks at (the strongest by likelihood ratio).
-VOTERS = 64
+VOTERS = 128
 STEMS = 512
 #: A stem is dense in a text if it makes one in so many words.
 DENSE = 150
@@ -135,7 +135,11 @@ def mine(sample: DataFrame) -> list[str]:
     some = counted.filter("n >= 3").withColumn("ratio", F.when(c("t") > c("n") * rate, ratio).otherwise(0.0))
     bound = math.log(max(2, some.count()))
     strong = some.filter((c("ratio") >= bound) & (c("t") / c("n") >= min(0.5, 4 * rate)))
-    return [r.stem for r in strong.orderBy(F.desc("ratio"), "stem").limit(STEMS).collect()]
+    # Beginnings of one word with equal counts say the same; the first of them stands for all.
+    out = {}
+    for r in strong.orderBy(F.desc("ratio"), "stem").limit(4 * STEMS).collect():
+        out.setdefault((r.stem[:4], r.n, r.t), r.stem)
+    return list(out.values())[:STEMS]
 
 
 def _votes(found: list[int], patterns: list[int]) -> list[int]:
@@ -177,7 +181,8 @@ def _sums(patterns: DataFrame, model: LabelModel, pairs: bool) -> tuple[np.ndarr
                 total[k, 1 : 1 + m] += r @ votes
                 if pairs:
                     total[k, 1 + m :] += ((votes * r[:, None]).T @ votes).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some])], ["k", "v"])
 
     out = np.zeros(2 * (1 + m + (m * m if pairs else 0)))
     for r in patterns.mapInArrow(expect, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
