@@ -6,11 +6,13 @@ that share a key are candidates.  A pair is linked if a banded alignment of the
 common order with M / (n_a + n_b - M) >= ``SIMILARITY``; the band follows from that bound, so the alignment is exact.
 (The same ratio without order bounds it from above and is tried first.)  Classes are the connected components.
 
-Scale: equal texts are one node; a sketch row has ``SKETCHES`` longs.  In a bucket all nodes are compared with its
-smallest node first (a star), components are formed, then with another node of the bucket; buckets whose nodes aren't in
-one component by then get the rest: each node outside the bucket's largest component against all others in it that are in
-other components.  So no pair of a bucket is left out unless it is already in one class, and large groups cost about one
-comparison a member.  Texts travel only for nodes in candidate pairs, to be joined with their pairs.
+Scale: equal texts are one node; a sketch row has ``SKETCHES`` longs.  In a bucket all nodes are compared with one of them
+(a star) and components are formed.  Buckets whose nodes aren't in one component by then are taken up again: nodes
+that share too few shingles with all the others there are out, exactly; the rest forms families of nodes with common
+buckets, and each family is cut into blocks of a bounded size that are compared with each other (only pairs in different
+components, until they are connected).  So no link is left out that would change a class, and groups whose members are
+close to one of them cost about one comparison a member; a family without such a centre costs the square of its blocks.
+Texts travel only for nodes in candidate pairs, to be joined with their pairs.
 A pair with similarity s shares no bucket with probability about (1 - s**L) ** SKETCHES: 1e-5 at 0.8.
 
 Nulls and odd input: a null text is a class of its own row; texts without words (empty too) are linked to equal texts only;
@@ -33,7 +35,8 @@ K = 5
 L = 3
 SKETCHES = 16
 SIMILARITY = 0.8
-STARS = 2
+#: Shingles of a family's nodes that one block holds.
+BLOCK_SHINGLES = 50_000
 
 
 def _shingles(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,24 +67,26 @@ def _sketch(hashes: np.ndarray, ranges: np.ndarray, n: int, length: int) -> np.n
     out = np.zeros((len(sizes), n), np.uint64)
     if not len(full):
         return out
-    starts = ranges[:-1][full]
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    row_of = np.repeat(np.arange(len(sizes)), sizes)
+    need = np.minimum(sizes, length)
+    # About 16 shingles of a row pass this bound; rows where too few do are looked at whole.
+    bound = np.where(sizes > 16, 2.0**64 * 16 / np.maximum(sizes, 17), 2.0**64 * 0.9999).astype(np.uint64)[row_of]
+    small = (sizes <= 16)[row_of]
     for i in range(n):
         h = C.mix(hashes ^ C.mix(np.array([i + 1], np.uint64))[0])
-        places = np.empty((length, len(full)), np.int64)
-        for j in range(length):
-            least = np.minimum.reduceat(h, starts)
-            at = np.flatnonzero(h == np.repeat(least, sizes[full]))
-            row = np.searchsorted(starts, at, "right") - 1
-            at = at[np.r_[True, np.diff(row) > 0]]
-            places[j] = at
-            short = sizes[full] <= j
-            places[j][short] = places[j - 1][short] if j else at[short]
-            h[at] = top
-        places.sort(axis=0)
+        low = (h <= bound) | small
+        short = np.bincount(row_of[low], minlength=len(sizes)) < need
+        at = np.flatnonzero(low | short[row_of] if short.any() else low)
+        at = at[np.lexsort((h[at], row_of[at]))]
+        row = row_of[at]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        chosen = np.sort(at[rank < length])  # text order; rows stay in order
+        start = np.r_[0, np.cumsum(need[full])[:-1]]
         key = np.full(len(full), np.uint64(i))
         for j in range(length):
-            key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[places[j]])
+            some = need[full] > j
+            key[some] = C.mix(key[some] * np.uint64(0x9E3779B97F4A7C15) + hashes[chosen[start[some] + j]])
         out[full, i] = key
     return out
 
@@ -181,7 +186,7 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Every round takes the smallest label among the neighbours' and then the label's own label, so that the rounds grow
     with the logarithm of a component's width.
     """
-    both = C.settle(links.union(links.select("b", "a")).distinct(), "links")
+    both = C.settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = C.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
@@ -194,42 +199,111 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int = L, n: int = SKETCHES, stars: int = STARS) -> DataFrame:
+def _shared_shingles(open_: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
+    """node, n, seq for the nodes of ``open_`` that can still have a partner there.
+
+    seq holds the shingles (in text order) that some other of these nodes has too.  A partner shares ``least`` of all n at
+    least, so nodes with a smaller seq have none.
+    """
+    wanted = open_.select("node").distinct()
+    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in C.utf8_blocks(batch.column("text")):
+                starts, ends, rows = C.words_of(data, offsets, C.NOT_SPACE)
+                hashes, ranges = _shingles(C.word_hashes(data, starts, ends), rows, k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node")[first:end], C.lists(hashes.view(np.int64), np.diff(ranges), pa.int64())], ["node", "hashes"]
+                )
+
+    whole = C.settle(texts.select("node", "text").mapInArrow(cut, "node binary, hashes array<long>"), "shingles")
+    each = whole.select("node", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
+    often = C.settle(each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "often")
+    found = each.join(often, "h").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "h"))).alias("x"))
+    kept = found.filter(F.size("x") >= least * F.col("n"))
+    return C.settle(kept.select("node", "n", F.col("x.h").alias("seq")), "survivors")
+
+
+def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
+    """Links between the nodes of two blocks of a family (i, j: which), enough of them to connect what is connected."""
+    nodes, classes_, n = table.column("node").to_pylist(), table.column("c").to_pylist(), table.column("n").to_numpy()
+    block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    flat = table.column("seq").combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    cuts, values = flat.offsets.to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    cuts = cuts - cuts[0]
+    _, number = np.unique(values, return_inverse=True)
+    row = np.repeat(np.arange(len(nodes)), np.diff(cuts))
+    order = np.argsort(number, kind="stable")
+    begin = np.searchsorted(number[order], np.arange((number.max() + 2) if len(number) else 1))
+    holders = row[order]
+    root = {c: c for c in classes_}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for x in range(len(nodes)):
+        own = number[cuts[x] : cuts[x + 1]]
+        times = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
+        common = np.bincount(holders[at], minlength=len(nodes))
+        near = common >= least * (n[x] + n - common)
+        near[: x + 1] = False
+        if i != j:
+            near &= block != block[x]
+        for y in np.flatnonzero(near):
+            a, b = find(classes_[x]), find(classes_[y])
+            if a == b:
+                continue
+            sx, sy = values[cuts[x] : cuts[x + 1]], values[cuts[y] : cuts[y + 1]]
+            m = _common_in_order(sx, sy, int((n[x] + n[y]) * (1 - least) / (1 + least)) + 1)
+            if m >= least * (n[x] + n[y] - m):
+                out.append((nodes[x], nodes[y]))
+                root[a] = b
+    return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
+
+
+def _rest(open_: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
+    """All links that matter among the nodes of unresolved buckets (key, node, c): families, in blocks against each other."""
+    left = _shared_shingles(open_, docs, least, k)
+    buckets = C.settle(open_.join(left.select("node"), "node", "left_semi"), "open")
+    low = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    families = components(buckets.join(low, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    own = buckets.select("node", "c").distinct()
+    rows = C.settle(left.join(own, "node").join(families.withColumnRenamed("c", "f"), "node"), "families")
+    sizes = rows.groupBy("f").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.size("seq")).alias("total")).filter("c0 <> c1")
+    sizes = C.settle(sizes.select("f", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "sizes")
+    placed = rows.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "n", "seq")
+    return sent.groupBy("f", "i", "j").applyInArrow(lambda t: _compare_blocks(t, least), "a binary, b binary")
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int = L, n: int = SKETCHES) -> DataFrame:
     """doc_id, node, class_id for every row of ``docs`` (doc_id, text)."""
     table = C.settle(sketches(docs, k, length, n), "sketches")
     rows = table.select(F.explode("keys").alias("key"), "node")
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    members = C.settle(rows.join(shared.select("key"), "key").distinct(), "members")
-    links, labels = None, None
-
-    def unresolved() -> DataFrame:
-        """key, node, c of the buckets whose nodes are in several components."""
-        m = members if labels is None else members.join(labels, "node", "left")
-        m = m.withColumn("c", F.col("node") if labels is None else F.coalesce("c", "node"))
-        many = m.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key")
-        return m.join(many, "key")
-
-    for star in range(stars + 1):
-        open_ = C.settle(unresolved(), "open")
-        if open_.isEmpty():
-            break
-        if star < stars:
-            centre = open_.groupBy("key").agg(F.min_by(F.struct("node", "c"), F.xxhash64(F.lit(star), "node")).alias("x"))
-            centre = centre.select("key", F.col("x.node").alias("a"), F.col("x.c").alias("ca"))
-            pairs = open_.join(centre, "key").filter("c <> ca").select("a", F.col("node").alias("b"))
-        else:
-            main = open_.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-            outside = open_.join(main, "key").filter("c <> main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
-            pairs = open_.join(outside, "key").filter("c <> ca").select("a", F.col("node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = C.settle(_verify(C.settle(pairs, "pairs"), docs, least, k), "found")
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    if labels is None:
-        labels = table.select("node", F.col("node").alias("c")).limit(0)
+    shared = C.settle(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), "keys")
+    members = C.settle(rows.join(shared, "key").distinct(), "members")
+    # The centre of a bucket is its node with the most shared keys: the one that differs least from the others.
+    ranked = members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
+    centres = C.settle(ranked.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("x")).select("key", F.col("x.node").alias("a")), "centres")
+    stars = members.join(centres, "key").filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    links = C.settle(_verify(C.settle(stars.distinct(), "pairs"), docs, least, k), "found")
+    labels = components(links)
+    known = members.join(labels, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+    many = C.settle(known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key"), "many")
+    open_ = C.settle(known.join(many, "key"), "unresolved")
+    if not open_.isEmpty():
+        more = C.settle(_rest(open_, docs, least, k), "more")
+        labels = components(links.union(more))
     linked = labels.withColumnRenamed("node", "n")
     named = table.select("doc_id", "node").join(linked, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("c", "node").alias("c"))
-    ids = named.filter("c IS NOT NULL").groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("class_id"))
+    ids = C.settle(named.filter("c IS NOT NULL").groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("class_id")), "ids")
     return named.join(ids, F.col("c") == F.col("k"), "left").select(
         "doc_id", "node", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
