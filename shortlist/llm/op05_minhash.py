@@ -151,15 +151,16 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return common >= least * (n - common)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the ``nodes``, once each.  The only pass that shuffles all texts; by a merge join at any size."""
+    own = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
+    return C.settle(own.groupBy("node").agg(F.first("text").alias("text")), "texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """The linked ones among ``pairs`` (a, b)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = C.settle(
-        docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")),
-        "texts",
-    )
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b"
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +200,13 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _shared_shingles(open_: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
+def _shared_shingles(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """node, n, seq for the nodes of ``open_`` that can still have a partner there.
 
     seq holds the shingles (in text order) that some other of these nodes has too.  A partner shares ``least`` of all n at
     least, so nodes with a smaller seq have none.
     """
-    wanted = open_.select("node").distinct()
-    texts = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,9 +267,9 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
 
 
-def _rest(open_: DataFrame, docs: DataFrame, least: float, k: int) -> DataFrame:
+def _rest(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """All links that matter among the nodes of unresolved buckets (key, node, c): families, in blocks against each other."""
-    left = _shared_shingles(open_, docs, least, k)
+    left = _shared_shingles(open_, texts, least, k)
     buckets = C.settle(open_.join(left.select("node"), "node", "left_semi"), "open")
     low = buckets.groupBy("key").agg(F.min("node").alias("a"))
     families = components(buckets.join(low, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
@@ -293,13 +293,14 @@ def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int
     ranked = members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
     centres = C.settle(ranked.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("x")).select("key", F.col("x.node").alias("a")), "centres")
     stars = members.join(centres, "key").filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    links = C.settle(_verify(C.settle(stars.distinct(), "pairs"), docs, least, k), "found")
+    texts = _texts(docs, members.select("node").distinct())
+    links = C.settle(_verify(C.settle(stars.distinct(), "pairs"), texts, least, k), "found")
     labels = components(links)
     known = members.join(labels, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     many = C.settle(known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key"), "many")
     open_ = C.settle(known.join(many, "key"), "unresolved")
     if not open_.isEmpty():
-        more = C.settle(_rest(open_, docs, least, k), "more")
+        more = C.settle(_rest(open_, texts, least, k), "more")
         labels = components(links.union(more))
     linked = labels.withColumnRenamed("node", "n")
     named = table.select("doc_id", "node").join(linked, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("c", "node").alias("c"))
