@@ -1,29 +1,44 @@
-"""Prompt texts as columns.  The wording is fixed, as scores depend on it."""
+"""Prompt texts as columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Scores depend on the exact wording.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-#: Fixed values.
-ASK = "Which option names the query image? Answer with one letter."
+CHOICE_TASK = "The goal of this task is to correctly classify an image. Choose the correct option from the list below."
+CHOICE_ASK = "Classify the query image. Output only the letter of the correct option."
+LABEL_ASK = "Classify the query image. Output only its exact class label."
+EXAMPLES = "Labeled reference examples:"
+IMAGE = "<image>"
 
 
-def multiple_choice(options: Column, reference: Column | None = None) -> Column:
-    """``options``: map of letter to label.  A null or blank reference label leaves the reference line out."""
-    lines = F.array_join(F.transform(F.array_sort(F.map_keys(options)), lambda k: F.concat(k, F.lit(". "), F.element_at(options, k))), "\n")
-    head = F.lit(None).cast("string") if reference is None else F.when(F.trim(reference) != "", F.concat(F.lit("Reference image: <image>\nLabel: "), reference))
-    return F.concat_ws("\n", head, F.lit("Query image:\n<image>"), F.lit("Options:"), lines, F.lit(ASK), F.lit("Answer:"))
+def _lines(*texts: str) -> Column:
+    return F.array(*[F.lit(t) for t in texts])
 
 
-def full_label(reference: Column | None = None) -> Column:
+def _examples(labels: Column | None, name: str, blank: int) -> Column:
+    """A block for each label; nothing for null or no labels."""
+    none = F.array().cast("array<string>")
+    if labels is None:
+        return none
+    each = F.flatten(F.transform(labels, lambda x: F.concat(F.array(F.lit(IMAGE), F.concat(F.lit(f"{name}: "), x)), _lines(*[""] * blank))))
+    return F.when(F.size(F.coalesce(labels, none)) > 0, F.concat(_lines(EXAMPLES), each)).otherwise(none)
+
+
+def multiple_choice(options: Column, labels: Column | None = None) -> Column:
+    """``options``: map of letter to label, listed by letter; ``labels``: array of the exemplars' labels, if any."""
+    listed = F.transform(F.array_sort(F.map_keys(options)), lambda k: F.concat(k, F.lit(". "), F.element_at(options, k)))
+    parts = F.concat(_lines(CHOICE_TASK), listed, _lines(""), _examples(labels, "Reference label", 2), _lines(CHOICE_ASK, IMAGE, "Answer:"))
+    return F.array_join(parts, "\n")
+
+
+def full_label(labels: Column | None = None) -> Column:
     """Without options; ends where the label is to follow."""
-    head = F.lit(None).cast("string") if reference is None else F.when(F.trim(reference) != "", F.concat(F.lit("Reference image:\n<image>\nLabel: "), reference))
-    return F.concat_ws("\n", head, F.lit("Query image:\n<image>\nLabel:"))
+    return F.array_join(F.concat(_lines(LABEL_ASK, ""), _examples(labels, "Label", 1), _lines("Query image:", IMAGE, "Label:")), "\n")
 
 
 def one_shot(label: Column) -> Column:
-    """The pair prompt for an exemplar's label; a blank label is an error."""
-    text = F.concat(F.lit("Reference image:\n<image>\nLabel: "), F.trim(label), F.lit("\nQuery image:\n<image>\nDo both show the same class?"))
-    return F.when(F.trim(label) != "", text).otherwise(F.raise_error(F.lit("the exemplar's label is blank")))
+    """The prompt for one exemplar; a blank label is an error."""
+    return F.when(F.trim(label) != "", full_label(F.array(label))).otherwise(F.raise_error(F.lit("the exemplar's label is blank")))

@@ -130,35 +130,45 @@ def normalised_increment(new: Column, old: Column, power: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((new - old) / most + 1) / 2))
 
 
-#: Targets by name, from a struct ``m`` of candidate metrics and ``z`` of zero-shot metrics.
+#: Targets by name (the names are fixed values), from a struct ``m`` of candidate metrics and ``z`` of zero-shot metrics.
 RAW_TARGETS = {
     "margin": lambda m, z: m["margin"],
-    "log_probability": lambda m, z: m["log_probability"],
-    "probability": lambda m, z: m["probability"],
+    "true_log_probability": lambda m, z: m["log_probability"],
+    "true_probability": lambda m, z: m["probability"],
     "incremental_margin": lambda m, z: m["margin"] - z["margin"],
-    "incremental_log_probability": lambda m, z: m["log_probability"] - z["log_probability"],
-    "incremental_probability": lambda m, z: m["probability"] - z["probability"],
+    "incremental_true_log_probability": lambda m, z: m["log_probability"] - z["log_probability"],
+    "incremental_true_probability": lambda m, z: m["probability"] - z["probability"],
 }
+BOUNDED_TARGETS = (
+    "bounded_margin",
+    "bounded_incremental_margin",
+    "mean_token_probability",
+    "normalized_incremental_mean_token_probability",
+    "normalized_incremental_probability",
+)
+TARGETS = (*RAW_TARGETS, *BOUNDED_TARGETS)
+
+
+def likelihood(score: Column) -> Column:
+    """Probability of a mean log likelihood; one above 0 (but for rounding) is an error."""
+    bad = F.raise_error(F.lit("a mean token log probability is above 0"))
+    return F.when(score > 1e-5, bad).otherwise(F.exp(F.greatest(F.lit(-80.0), F.least(F.lit(0.0), score))))
 
 
 def target(kind: str, m: Column, z: Column, temperature: float = 1.0, power: float = 0.5) -> Column:
-    """A training target by name; scores are mean log likelihoods (not above 0) for the likelihood kinds."""
+    """A training target by name; the token kinds need scores that are mean log likelihoods."""
     if temperature <= 0 or not 0 <= power <= 1:
         raise ValueError("the temperature must be positive, the power between 0 and 1")
     if kind in RAW_TARGETS:
         return RAW_TARGETS[kind](m, z)
-    likely = lambda x: F.exp(F.greatest(F.lit(-80.0), F.least(F.lit(0.0), x["true_score"])))
-    kinds = {
-        "bounded_margin": lambda: sigmoid(m["margin"] / temperature),
-        "bounded_incremental_margin": lambda: sigmoid((m["margin"] - z["margin"]) / temperature),
-        "mean_token_probability": lambda: likely(m),
-        "normalized_incremental_probability": lambda: normalised_increment(m["probability"], z["probability"], power),
-        "normalized_incremental_token_probability": lambda: normalised_increment(likely(m), likely(z), power),
-    }
-    if kind not in kinds:
-        raise ValueError(f"no target {kind}")
-    return kinds[kind]()
-
-
-TARGETS = (*RAW_TARGETS, "bounded_margin", "bounded_incremental_margin", "mean_token_probability",
-           "normalized_incremental_probability", "normalized_incremental_token_probability")
+    if kind == "bounded_margin":
+        return sigmoid(m["margin"] / temperature)
+    if kind == "bounded_incremental_margin":
+        return sigmoid((m["margin"] - z["margin"]) / temperature)
+    if kind == "mean_token_probability":
+        return likelihood(m["true_score"])
+    if kind == "normalized_incremental_mean_token_probability":
+        return normalised_increment(likelihood(m["true_score"]), likelihood(z["true_score"]), power)
+    if kind == "normalized_incremental_probability":
+        return normalised_increment(m["probability"], z["probability"], power)
+    raise ValueError(f"no target {kind}")

@@ -264,8 +264,8 @@ query()(q_half_precision)
 
 @query(base("test") + LETTERED + """
 , o AS (SELECT query_idx, k, letter_seed, string_agg(letter || '. ' || p_name, chr(10) ORDER BY letter) AS lines FROM lt JOIN part ON p_partkey = class_idx + 1 WHERE k = 4 GROUP BY query_idx, k, letter_seed)
-SELECT o.query_idx, CAST(letter_seed AS INTEGER) AS letter_seed, 'Reference image: <image>' || chr(10) || 'Label: ' || p_name || chr(10) || 'Query image:' || chr(10) || '<image>' || chr(10) || 'Options:' || chr(10) || lines || chr(10)
-       || 'Which option names the query image? Answer with one letter.' || chr(10) || 'Answer:' AS prompt
+SELECT o.query_idx, CAST(letter_seed AS INTEGER) AS letter_seed, array_to_string(['The goal of this task is to correctly classify an image. Choose the correct option from the list below.', lines, '',
+  'Labeled reference examples:', '<image>', 'Reference label: ' || p_name, '', '', 'Classify the query image. Output only the letter of the correct option.', '<image>', 'Answer:'], chr(10)) AS prompt
 FROM o JOIN pools p ON p.query_idx = o.query_idx AND p.position = 0 JOIN part ON p_partkey = p.example_class + 1
 """)
 def t1_choice_prompt(spark, sf_dir):
@@ -274,14 +274,19 @@ def t1_choice_prompt(spark, sf_dir):
     named = labelsets.labels_of(labelsets.letters(w.sets.filter("k = 4"), [42, 43, 44]), names)
     options = named.groupBy("query_idx", "letter_seed").agg(F.map_from_entries(F.collect_list(F.struct("letter", "class_name"))).alias("options"))
     first = labelsets.labels_of(retrieval.top_one(w.pool), names).select("query_idx", F.col("class_name").alias("reference"))
-    return options.join(first, "query_idx").select("query_idx", "letter_seed", prompts.multiple_choice(F.col("options"), F.col("reference")).alias("prompt"))
+    return options.join(first, "query_idx").select("query_idx", "letter_seed", prompts.multiple_choice(F.col("options"), F.array("reference")).alias("prompt"))
 
 
-@query("SELECT p_partkey, 'Reference image:' || chr(10) || '<image>' || chr(10) || 'Label: ' || p_name || chr(10) || 'Query image:' || chr(10) || '<image>' || chr(10) || 'Label:' AS prompt FROM part")
+LABEL_PROMPT = """
+SELECT p_partkey, array_to_string(['Classify the query image. Output only its exact class label.', '', 'Labeled reference examples:', '<image>', 'Label: ' || p_name, '', 'Query image:', '<image>', 'Label:'], chr(10)) AS prompt FROM part
+"""
+
+
+@query(LABEL_PROMPT)
 def t2_full_prompt(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", prompts.full_label(F.col("p_name")).alias("prompt"))
+    return table(spark, sf_dir, "part").select("p_partkey", prompts.full_label(F.array("p_name")).alias("prompt"))
 
 
-@query("SELECT p_partkey, 'Reference image:' || chr(10) || '<image>' || chr(10) || 'Label: ' || trim(p_name) || chr(10) || 'Query image:' || chr(10) || '<image>' || chr(10) || 'Do both show the same class?' AS prompt FROM part")
+@query(LABEL_PROMPT)
 def t3_pair_prompt(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", prompts.one_shot(F.col("p_name")).alias("prompt"))

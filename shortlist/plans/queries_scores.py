@@ -100,17 +100,17 @@ SELECT query_idx, position, round(margin - z_margin, 6) + 0.0 AS d_margin, round
 """)
 def m6_increments(spark, sf_dir):
     m, z = F.col("m"), F.col("z")
-    kinds = {"d_margin": "incremental_margin", "d_log_probability": "incremental_log_probability", "d_probability": "incremental_probability"}
+    kinds = {"d_margin": "incremental_margin", "d_log_probability": "incremental_true_log_probability", "d_probability": "incremental_true_probability"}
     return rounded(_world(spark, sf_dir, "test", "val").cand.select("query_idx", "position", *[S.target(k, m, z).alias(n) for n, k in kinds.items()]))
 
 
 @query(base("test") + CAND + """
 lk AS (SELECT *, exp(greatest(-80, least(0, true_score))) AS p1, exp(greatest(-80, least(0, z_true_score))) AS p0 FROM cand)
-SELECT query_idx, position, round(margin, 6) AS margin, round(log_probability, 6) AS log_probability, round(probability, 6) AS probability,
-  round(margin - z_margin, 6) + 0.0 AS incremental_margin, round(log_probability - z_log_probability, 6) + 0.0 AS incremental_log_probability, round(probability - z_probability, 6) + 0.0 AS incremental_probability,
+SELECT query_idx, position, round(margin, 6) AS margin, round(log_probability, 6) AS true_log_probability, round(probability, 6) AS true_probability,
+  round(margin - z_margin, 6) + 0.0 AS incremental_margin, round(log_probability - z_log_probability, 6) + 0.0 AS incremental_true_log_probability, round(probability - z_probability, 6) + 0.0 AS incremental_true_probability,
   round(1 / (1 + exp(-margin / 0.5)), 6) AS bounded_margin, round(1 / (1 + exp(-(margin - z_margin) / 0.5)), 6) AS bounded_incremental_margin, round(p1, 6) AS mean_token_probability,
   round(greatest(0, least(1, ((probability - z_probability) / greatest(pow(greatest(probability, z_probability), 0.5), 1e-12) + 1) / 2)), 6) AS normalized_incremental_probability,
-  round(greatest(0, least(1, ((p1 - p0) / greatest(pow(greatest(p1, p0), 0.5), 1e-12) + 1) / 2)), 6) AS normalized_incremental_token_probability FROM lk
+  round(greatest(0, least(1, ((p1 - p0) / greatest(pow(greatest(p1, p0), 0.5), 1e-12) + 1) / 2)), 6) AS normalized_incremental_mean_token_probability FROM lk
 """)
 def m7_targets(spark, sf_dir):
     m, z = F.col("m"), F.col("z")

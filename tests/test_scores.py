@@ -51,8 +51,8 @@ def test_teacher_and_targets(spark):
     assert [tuple(r) for r in out[:2]] == [(True, 1, 1.0, 1, 1.5), (False, 2, -1.0, 1, -0.5)]
     b = df.select(S.target("bounded_margin", F.col("m"), F.col("z"), 2.0).alias("b")).collect()
     assert b[0].b == pytest.approx(1 / (1 + math.exp(-0.5)))
-    for kind in S.TARGETS:
-        assert all(r.t is not None for r in df.select(S.target(kind, F.col("m"), F.col("z")).alias("t")).collect())
+    with pytest.raises(Exception, match="above 0"):
+        df.select(S.target("mean_token_probability", F.col("m"), F.col("z"))).collect()
     with pytest.raises(ValueError):
         S.target("margin", F.col("m"), F.col("z"), temperature=0)
 
@@ -73,9 +73,11 @@ def test_vectors(spark):
 
 
 def test_prompts(spark):
-    df = spark.createDataFrame([({"B": "auk", "A": "albatross"}, "tern"), ({"B": "auk", "A": "albatross"}, None)], "o map<string,string>, r string")
+    df = spark.createDataFrame([({"B": "auk", "A": "albatross"}, ["tern"]), ({"B": "auk", "A": "albatross"}, None)], "o map<string,string>, r array<string>")
     a, b = df.select(prompts.multiple_choice(F.col("o"), F.col("r")).alias("p")).collect()
-    assert a.p.index("A. albatross") < a.p.index("B. auk") and "Label: tern" in a.p and "Reference" not in b.p
-    assert df.select(prompts.full_label(F.col("r")).alias("p")).collect()[1].p == "Query image:\n<image>\nLabel:"
+    assert "below.\nA. albatross\nB. auk\n\nLabeled reference examples:\n<image>\nReference label: tern\n\n\nClassify" in a.p
+    assert "B. auk\n\nClassify" in b.p and a.p.endswith("option.\n<image>\nAnswer:")
+    c, d = df.select(prompts.full_label(F.col("r")).alias("p")).collect()
+    assert c.p.endswith("Label: tern\n\nQuery image:\n<image>\nLabel:") and "Labeled" not in d.p and d.p.endswith("label.\n\nQuery image:\n<image>\nLabel:")
     with pytest.raises(Exception, match="blank"):
         df.select(prompts.one_shot(F.lit("  "))).collect()
