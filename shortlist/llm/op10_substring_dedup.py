@@ -170,11 +170,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = table.select("tid", "doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(
         F.col("x.hashes").alias("h"), "tid", "doc_id", F.col("x.places").alias("at")
     )
-    repeated = (
+    # Both tables of repeated windows are written: a join of two plain sides is one whose skewed keys Spark can split.
+    repeated = C.settle(
         places.groupBy("h")
         .agg(F.min("tid").alias("t0"), F.max("tid").alias("t1"), F.min("doc_id").alias("least"))
         .filter("t0 <> t1")
-        .select("h", "least")
+        .select("h", "least"),
+        "repeated",
     )
     survivors = (
         places.join(repeated, "h")
@@ -191,12 +193,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ),
         "survivors",
     )
-    least = (
+    least = C.settle(
         _candidates(flagged, window, True)
         .groupBy("h")
         .agg(F.min("owner").alias("least"), F.max(F.coalesce("owner", F.lit((1 << 63) - 1))).alias("most"))
         .filter("least < most")
-        .select("h", "least")
+        .select("h", "least"),
+        "windows",
     )
     removed = (
         _candidates(flagged, window, False)
