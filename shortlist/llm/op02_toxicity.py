@@ -39,6 +39,8 @@ VOTERS = 128
 STEMS = 512
 #: A stem is dense in a text if it makes one in so many words.
 DENSE = 150
+#: Distinct vote patterns that one task sums up.
+PATTERNS_A_TASK = 50_000
 PRIOR = 0.1
 ROUNDS = 8
 THRESHOLD = 0.7
@@ -257,6 +259,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer
     known_fired = np.array([votes[y == 0].sum(0), votes[y == 1].sum(0)])
     others = docs.filter(training(F.col("doc_id"))).select("text").mapInArrow(look, schema)
     patterns = C.settle(others.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
+    # Every task of a round gives m * m sums, so the (small) table of patterns goes to no more tasks than it needs.
+    patterns = patterns.coalesce(1 + patterns.count() // PATTERNS_A_TASK)
     model = label_model(patterns, known_rows, known_fired)
     if not len(seen):  # nothing to train on: the label model's own weights
         weights = np.r_[model.weights()[:PATTERNS], np.zeros(STEMS)]
