@@ -284,7 +284,11 @@ def _rest(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int = L, n: int = SKETCHES) -> DataFrame:
-    """doc_id, node, class_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, node, c, class_id for every row of ``docs`` (doc_id, text).
+
+    c is the class itself (its smallest linked node, null for null texts); class_id, its smallest doc_id, can be equal or
+    null for unrelated classes.
+    """
     table = C.settle(sketches(docs, k, length, n), "sketches")
     rows = table.select(F.explode("keys").alias("key"), "node")
     shared = C.settle(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), "keys")
@@ -306,19 +310,19 @@ def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int
     named = table.select("doc_id", "node").join(linked, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("c", "node").alias("c"))
     ids = C.settle(named.filter("c IS NOT NULL").groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("class_id")), "ids")
     return named.join(ids, F.col("c") == F.col("k"), "left").select(
-        "doc_id", "node", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+        "doc_id", "node", "c", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without all but one of each class (the one with the class's id); columns as in ``docs``.
+    """The rows of ``docs`` without all but one of each class (smallest doc_id, then node); columns as in ``docs``.
 
     Rows with a null text stay.
     """
     columns = docs.columns
     found = C.settle(classes(docs), "classes")
-    first = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(
-        F.min("node").alias("node"), F.count(F.lit(1)).alias("rows")
+    first = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("c").agg(
+        F.first("doc_id").alias("doc_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("rows")
     ).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"), F.col("rows").alias("__rows"))
     keyed = docs.withColumn("__own", F.unhex(F.md5("text")))
     kept = keyed.join(first, keyed.doc_id.eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__node")))

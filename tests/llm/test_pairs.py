@@ -99,6 +99,18 @@ def test_one_of_each_class_stays(spark):
     assert op5.keep_one(d.limit(0)).count() == 0
 
 
+def test_unrelated_rows_with_one_id_stay(spark):
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, 40)) for _ in range(6)]
+    near = texts[0].rsplit(" ", 1)[0] + " changed"
+    ids = [None, None, None, 9, 9, 9]
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts)]
+    rows += [(None, near, "en", "s", 0), (9, texts[3], "en", "s", 0), (12, texts[4], "en", "s", 0), (None, texts[5], "en", "s", 0)]
+    out = [(r.doc_id, r.text) for r in op5.keep_one(clashing(docs(spark, rows)).repartition(3)).collect()]
+    first = min((texts[0], near), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert Counter(out) == Counter([(None, first), (None, texts[1]), (None, texts[2]), *[(9, t) for t in texts[3:]]])
+
+
 def test_banded_alignment_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(200):
