@@ -31,6 +31,14 @@ def v2_cosine(spark, sf_dir):
     return e.join(q, "label").select("query_idx", F.col("vec_id").alias("example_idx"), r6(V.cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
 
 
+@query()
+def v2_cosine_whole(spark, sf_dir):
+    """Every id divisible by 20 against all rows, of any label; Spark pairs blocks of both sides."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("q"))
+    return e.crossJoin(q).select("query_idx", F.col("vec_id").alias("example_idx"), r6(V.cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
+
+
 @query(base() + """
 r AS (SELECT query_idx, example_idx, example_class, similarity, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY similarity DESC, example_idx) - 1 AS INTEGER) AS position
       FROM sims WHERE query_split = 'train' AND true_class <> example_class)

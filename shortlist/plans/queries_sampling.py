@@ -53,7 +53,16 @@ def io3_split_file(spark, sf_dir):
 x AS (SELECT 1) SELECT query_split, count(*) AS candidates, count(DISTINCT query_idx) AS queries FROM cand GROUP BY query_split
 """)
 def io4_teacher_artifact(spark, sf_dir):
-    w = World(spark, sf_dir, ["test", "val"])
+    return _teacher_artifact(spark, World(spark, sf_dir, ["test", "val"]))
+
+
+@query()
+def io4_teacher_artifact_whole(spark, sf_dir):
+    """Teacher data proper: train and val, never test."""
+    return _teacher_artifact(spark, World(spark, sf_dir, ["train", "val"]))
+
+
+def _teacher_artifact(spark, w):
     place = scratch.new(spark, "teacher")
     c = w.cand.select("query_split", "query_idx", "position", "example_idx", "scores", "margin")
     artifacts.write_teacher(w.zero, c, c.groupBy("query_split").count(), place)

@@ -113,8 +113,17 @@ SELECT query_idx, position, round(margin, 6) AS margin, round(log_probability, 6
   round(greatest(0, least(1, ((p1 - p0) / greatest(pow(greatest(p1, p0), 0.5), 1e-12) + 1) / 2)), 6) AS normalized_incremental_mean_token_probability FROM lk
 """)
 def m7_targets(spark, sf_dir):
+    return _targets(_world(spark, sf_dir, "test"))
+
+
+@query()
+def m7_targets_whole(spark, sf_dir):
+    return _targets(_world(spark, sf_dir))
+
+
+def _targets(w):
     m, z = F.col("m"), F.col("z")
-    return rounded(_world(spark, sf_dir, "test").cand.select("query_idx", "position", *[S.target(k, m, z, 0.5, 0.5).alias(k) for k in S.TARGETS]))
+    return rounded(w.cand.select("query_idx", "position", *[S.target(k, m, z, 0.5, 0.5).alias(k) for k in S.TARGETS]))
 
 
 @query(base("test", "val") + CAND + END + "SELECT query_idx, position, CAST(predicted AS INTEGER) AS output_class FROM cand")

@@ -103,6 +103,29 @@ def p11_hybrid_pointwise_loss(spark, sf_dir):
     return rounded(pairs.hybrid_pointwise_loss(_cand(spark, sf_dir)))
 
 
+def _whole(name: str, loss, *args):
+    """``name`` over every split; without a twin, as SQL compares each row with each."""
+
+    def run(spark, sf_dir):
+        return rounded(loss(World(spark, sf_dir).cand, *args))
+
+    run.__name__ = f"{name}_whole"
+    return query()(run)
+
+
+p1_whole = _whole("p1_preference_pairs", pairs.preference_pairs)
+p2_whole = _whole("p2_pairwise_loss", pairs.pairwise_loss)
+p3_whole = _whole("p3_weighted_loss", pairs.weighted_pairwise_loss, 0.5)
+p4_whole = _whole("p4_crossing_loss", pairs.crossing_loss)
+p5_whole = _whole("p5_crossing_margin_loss", pairs.crossing_with_margin_loss, 0.3)
+p6_whole = _whole("p6_pairwise_accuracy", pairs.pairwise_accuracy)
+p7_whole = _whole("p7_listwise_loss", pairs.listwise_loss)
+p8_whole = _whole("p8_hybrid_listwise_loss", pairs.hybrid_listwise_loss)
+p9_whole = _whole("p9_bce_loss", pairs.bce_loss)
+p10_whole = _whole("p10_huber_loss", pairs.huber_loss, 0.4)
+p11_whole = _whole("p11_hybrid_pointwise_loss", pairs.hybrid_pointwise_loss)
+
+
 @query(base("test") + """
 f AS (SELECT p.query_idx, p.position, list_cosine_similarity(q.vec, c.vec) AS a, list_cosine_similarity(g.vec, c.vec) AS b, p.similarity AS s, p.position / 29.0::DOUBLE AS r
       FROM pools p JOIN examples q ON q.example_idx = p.query_idx JOIN examples g ON g.example_idx = p.example_idx JOIN class_vectors c ON c.class_idx = p.example_class)

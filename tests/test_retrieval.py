@@ -103,3 +103,18 @@ def test_splits(spark):
     assert sorted(x.split for x in classes.collect()) == ["test", "train", "train", "val"]
     bad = sampling.verify_split(out.select("id", "split").filter("id > 0"), "id", r.select("id"))
     assert {x.kind: x.n for x in bad.collect()} == {"overlap": 0, "missing": 1, "unknown": 0}
+
+
+def test_whole_queries_take_every_split(spark, tmp_path):
+    from shortlist.plans import catalog
+
+    rng = random.Random(11)
+    e = [(i, i % 10, [rng.gauss(0, 1) for _ in range(6)]) for i in (*range(0, 60), *range(63, 90, 3))]
+    spark.createDataFrame(e, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    ids = {i for i, *_ in e}
+    assert {r.query_idx for r in run("m7_targets_whole").select("query_idx").distinct().collect()} == ids
+    assert {r.query_split for r in run("p1_preference_pairs_whole").select("query_split").distinct().collect()} == {"train", "val", "test"}
+    assert {r.query_split: r.queries for r in run("io4_teacher_artifact_whole").collect()} == {s: sum((i % 10 > 1) == (s == "train") for i in ids if i % 10) for s in ("train", "val")}
+    assert Counter((r.query_idx, r.example_idx) for r in run("v2_cosine_whole").collect()) == Counter((i, j) for i in ids if i % 20 == 0 for j in ids)
+    assert all(f"p{i}_" in " ".join(n for n in catalog.QUERIES if n.endswith("_whole")) for i in range(1, 12))
