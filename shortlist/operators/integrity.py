@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from . import sampling
 
 
 def merge(existing: DataFrame, shards: DataFrame, keys: list[str], sequence: str, declared: DataFrame | None = None) -> DataFrame:
@@ -137,6 +138,23 @@ def fingerprint(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("fingerprint"))
 
 
+def fingerprint_tree(rows: DataFrame, by: str, order: str, value: str, block: int = 50_000) -> DataFrame:
+    """sha256 of each group's values in order, for groups of any size: of blocks of values, then of blocks of digests.
+
+    Blocks are cut by place in the group, so that the result doesn't depend on partitions or on other groups.
+    """
+    keyed = rows.select(by, F.struct(by, order, F.col(value).cast("string").alias("v")).alias("__key"))
+    placed = sampling.dense_index(keyed, "__key", "__place")
+    first = placed.groupBy(by).agg(F.min("__place").alias("__first"), F.count(F.lit(1)).alias("n"))
+    first = first.select(F.col(by).alias("__by"), "__first", "n")
+    level = placed.join(first, F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", (F.col("__place") - F.col("__first")).alias("at"), F.col("__key.v").alias("v"))
+    for _ in range(3):
+        values = F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: F.coalesce(x["v"], F.lit("\0")))
+        blocks = level.withColumn("block", F.floor(F.col("at") / block)).groupBy(by, "n", "block")
+        level = blocks.agg(F.sha2(F.array_join(values, "\n"), 256).alias("v")).withColumnRenamed("block", "at")
+    return level.select(by, F.col("v").alias("fingerprint"), "n")
+
+
 def fingerprint_large(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """The same purpose without gathering a group: an exclusive-or of the hashes of (place, value)."""
     return rows.groupBy(by).agg(F.bit_xor(F.xxhash64(order, value)).alias("fingerprint"), F.count(F.lit(1)).alias("n"))

@@ -45,8 +45,8 @@ def io2_alignment(spark, sf_dir):
 def io3_split_file(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("global_idx"), _split("o_orderkey").alias("split"))
     place = scratch.new(spark, "split-file")
-    artifacts.write_split_file(o, place)
-    return artifacts.read_split_file(spark, place)
+    artifacts.write_split_parts(o, place)
+    return artifacts.read_split_parts(spark, place)
 
 
 @query(base("test", "val") + CAND + """

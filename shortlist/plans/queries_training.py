@@ -280,6 +280,11 @@ def r10_fingerprint(spark, sf_dir):
     return integrity.fingerprint(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "c_name")
 
 
+@query()
+def r10_fingerprint_tree(spark, sf_dir):
+    return integrity.fingerprint_tree(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", "c_name")
+
+
 @query()
 def r10_fingerprint_large(spark, sf_dir):
     return integrity.fingerprint_large(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_partkey")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
+#: Ids on one line of a split file.
+BLOCK_IDS = 100_000
 
 
 def read_split_file(spark: SparkSession, path: str) -> DataFrame:
@@ -18,10 +20,18 @@ def read_split_file(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def write_split_file(assignment: DataFrame, path: str) -> None:
-    """The reverse, for splits that fit in one file (ids only)."""
-    lists = assignment.agg(*[F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("global_idx")))).alias(s) for s in SPLITS])
-    lists.coalesce(1).write.mode("overwrite").json(path)
+def write_split_parts(assignment: DataFrame, path: str, block: int = BLOCK_IDS) -> None:
+    """Splits of any size as JSON lines (split, block, ids) in many files, ``block`` ids or so a line."""
+    blocks = max(1, -(-assignment.count() // block))
+    keyed = assignment.filter(F.col("split").isin(*SPLITS)).withColumn("block", F.pmod(F.xxhash64("global_idx"), F.lit(blocks)))
+    lines = keyed.groupBy("split", "block").agg(F.array_sort(F.collect_list("global_idx")).alias("ids"))
+    lines.write.mode("overwrite").json(path)
+
+
+def read_split_parts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_split_parts`` wrote as a table (global_idx, split)."""
+    lines = spark.read.schema("split string, block long, ids array<long>").json(path)
+    return lines.select(F.explode("ids").alias("global_idx"), "split")
 
 
 def write_teacher(queries: DataFrame, candidates: DataFrame, summary: DataFrame, path: str) -> None:

@@ -118,3 +118,34 @@ def test_whole_queries_take_every_split(spark, tmp_path):
     assert {r.query_split: r.queries for r in run("io4_teacher_artifact_whole").collect()} == {s: sum((i % 10 > 1) == (s == "train") for i in ids if i % 10) for s in ("train", "val")}
     assert Counter((r.query_idx, r.example_idx) for r in run("v2_cosine_whole").collect()) == Counter((i, j) for i in ids if i % 20 == 0 for j in ids)
     assert all(f"p{i}_" in " ".join(n for n in catalog.QUERIES if n.endswith("_whole")) for i in range(1, 12))
+
+
+def test_split_file_has_many_parts(spark, tmp_path):
+    from shortlist.sources import artifacts
+
+    want = [(i, ("test", "val", *["train"] * 8)[i % 10]) for i in range(1000)]
+    path = str(tmp_path / "splits")
+    artifacts.write_split_parts(spark.createDataFrame(want, "global_idx long, split string").repartition(3), path, block=50)
+    assert Counter(map(tuple, artifacts.read_split_parts(spark, path).collect())) == Counter(want)
+    assert max(len(r.ids) for r in spark.read.json(path).collect()) < 100
+
+
+def test_fingerprint_tree_is_of_ordered_blocks(spark):
+    import hashlib
+
+    from shortlist.operators import integrity
+
+    def sha(values):
+        return hashlib.sha256("\n".join(values).encode()).hexdigest()
+
+    rows = [("a", i, f"v{i}") for i in range(97)] + [("b", i, f"w{i}") for i in range(5)]
+    want = {}
+    for g in "ab":
+        level = [v for k, _, v in rows if k == g]
+        for _ in range(3):
+            level = [sha(level[i : i + 10]) for i in range(0, len(level), 10)]
+        want[g] = level[0]
+    df = spark.createDataFrame(rows, "g string, i long, v string")
+    for parts in (1, 5):
+        got = integrity.fingerprint_tree(df.repartition(parts), "g", "i", "v", block=10).collect()
+        assert {r.g: r.fingerprint for r in got} == want and {r.g: r.n for r in got} == {"a": 97, "b": 5}
