@@ -3,9 +3,11 @@
 The three base kinds (assign, access, hex) are patterns.  Beyond them, a value that follows a credential word ("pwd is
 ...", "passphrase: ...") is cut into segments at the least total cost by dynamic programming; the cost of a segment is the
 logarithm of the guesses it takes: words by rank, dates, repeats, keyboard walks, or brute force by character class.  Values
-that cost ``LEAST_COST`` decimal digits or more are secrets of kind guess, unless a base span has them.
+that cost ``LEAST_COST`` decimal digits or more are secrets of kind guess, unless a base span has them.  Ranks are those of
+common passwords and of the words of all documents, counted outside of the values themselves (``word_ranks``).
 
-Scale: one pass without a shuffle; the work is linear in the text and in each value (segments are of bounded length).
+Scale: one pass that counts words (combined before the shuffle), one without a shuffle; the table of ranks has at most
+``TABLE_WORDS`` words, which only sets costs; the work is linear in the text and in each value (segments are of bounded length).
 
 Nulls and odd input: a null text counts as empty; offsets are code points, end exclusive; texts are scanned whole; repeated
 rows each get a row.
@@ -22,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -34,6 +38,8 @@ CONTEXT = re.compile(
 )
 LEAST_COST = 10.0
 LONGEST_SEGMENT = 24
+#: Most words in the table of ranks; rarer ones cost brute force.
+TABLE_WORDS = 50_000
 #: Common parts of passwords, most common first.
 WORDS = (
     "password 123456 qwerty letmein admin welcome monkey dragon master login abc123 iloveyou sunshine princess football shadow "
@@ -60,7 +66,26 @@ def _walk(part: str) -> float | None:
     return None
 
 
-def guess_cost(value: str) -> float:
+def word_ranks(docs: DataFrame, most: int = TABLE_WORDS) -> dict[str, int]:
+    """Ranks of the most common words of ``docs`` (text): those that occur twice or more outside of credential values."""
+    left = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")
+    words = docs.select(F.explode(F.split(F.lower(left), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.length("word").between(3, LONGEST_SEGMENT))
+    counted = C.settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "words")
+    # Whole levels of about 2 % from the top, as many as the table has room for.
+    level = F.floor(F.log10("times") * 100)
+    least, room = None, most
+    for row in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    if least is None:
+        return {}
+    found = sorted((-r.times, r.word) for r in counted.filter(level >= least).collect())
+    return {word: i + 1 for i, (_, word) in enumerate(found)}
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
     n = len(value)
     best = [0.0] + [math.inf] * n
@@ -83,10 +108,10 @@ def guess_cost(value: str) -> float:
                 best[i + times * unit] = min(best[i + times * unit], cost)
         for j in range(i + 3, min(n, i + LONGEST_SEGMENT) + 1):
             part = low[i:j]
-            rank = RANK.get(part) or RANK.get(plain[i:j])
+            rank = ranks.get(part) or ranks.get(plain[i:j])
             if rank:
                 upper = sum(c.isupper() for c in value[i:j])
-                changed = part != plain[i:j] and part not in RANK
+                changed = part != plain[i:j] and part not in ranks
                 best[j] = min(best[j], base + math.log10(rank + 1) + math.log10(2) * ((upper > 0) + changed))
             if j - i > 3 and (walk := _walk(part)) is not None:
                 best[j] = min(best[j], base + walk)
@@ -96,7 +121,7 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def spans(text: str) -> list[tuple[int, int, int]]:
+def spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), sorted."""
     out, low = [], text.lower()
     if any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key")):
@@ -112,22 +137,22 @@ def spans(text: str) -> list[tuple[int, int, int]]:
                 end -= 1
             if end - start < 8 or any(s < end and start < e for s, _, e in base):
                 continue
-            value = text[start:end]
-            mixed = sum((any(map(str.isdigit, value)), any(map(str.islower, value)), any(map(str.isupper, value)), not value.isalnum()))
-            if mixed > 1 and guess_cost(value) >= LEAST_COST:
+            if guess_cost(text[start:end], ranks) >= LEAST_COST:
                 out.append((start, 3, end))
     return sorted(out)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end>> of every row of ``docs`` (doc_id, text)."""
+    ranks = word_ranks(docs)
+    ranks |= {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for text in batch.column("text"):
-                found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text.as_py() or "")])
+                found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text.as_py() or "", ranks)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

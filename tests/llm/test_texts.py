@@ -206,6 +206,15 @@ def test_secrets(spark, tmp_path):
     assert out[9].spans == f"guess:{start}:{start + 12}"
 
 
+def test_cost_alone_decides(spark):
+    prose = "the wonderful neighbourhood described something interesting about infrastructure " * 3
+    texts = ["passphrase: qxjvzkwmprtbnhdsyglf", "pwd is QJXZKVWMPRTB", "the pwd is infrastructure", "passcode: neighbourhood.", prose, None]
+    d = docs(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    out = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in op8.scan(d).collect()}
+    assert out == {0: [("guess", 12, 32)], 1: [("guess", 7, 19)], 2: [], 3: [], 4: [], 5: []}
+    assert "qxjvzkwmprtbnhdsyglf" not in op8.word_ranks(d) and op8.word_ranks(d, 0) == {} and len(op8.word_ranks(d)) <= 8
+
+
 def test_guess_cost():
     cost = op8.guess_cost
     assert cost("password") < 1 and cost("P@ssword") < 2 and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 3 and cost("20240131") < 5
