@@ -9,7 +9,7 @@ column expression, so that classification stays in the JVM.
 Scale: one pass without a shuffle; a task holds one batch of pages; the training table has a few hundred rows.
 
 Nulls and odd input: null and empty pages have an empty text; unclosed tags end with their container; unclosed comments and
-scripts run to the end of the page; broken tags are text; nothing is cut off; repeated rows each get a row.
+scripts (styles, textareas) run to the end of the page, other unclosed hidden tags to the next block; broken tags are text; nothing is cut off; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -39,25 +39,36 @@ INLINE = frozenset(
 )
 CONTAINERS = frozenset("html body div section nav header footer aside form article main ul ol dl table figure details dialog menu blockquote center fieldset td".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|ad|ads|adv|advert|adverts|advertisement|banner|promo|promoted|sponsor|sponsored|"
-    r"cookie|cookies|consent|gdpr|notice|alert|comment|comments|disqus|replies|reply|share|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|"
-    r"subscription|popup|modal|overlay|login|signin|signup|search|widget|toolbar|pagination|pager|tags|legal|copyright|complementary|contentinfo|form)(?:$|[\s_-]|\d)",
-    re.I,
+BOILER = frozenset(
+    "nav navbar navigation menu header masthead footer sidebar side aside ad ads adv advert adverts advertisement banner promo promoted sponsor sponsored "
+    "cookie cookies consent gdpr notice alert comment comments disqus replies reply share social related recommended breadcrumb breadcrumbs newsletter subscribe "
+    "subscription popup modal overlay login signin signup search widget toolbar pagination pager tags legal copyright complementary contentinfo form".split()
 )
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text|maintext)(?:$|[\s_-])", re.I)
+CONTENT = frozenset("article content main post entry story body text maintext".split())
+#: Parts of a class name that say nothing by themselves.
+NEUTRAL = frozenset("site page main top bottom left right primary secondary global section container wrapper wrap box block list area bar inner outer item links".split())
+_PARTS = re.compile(r"[_-]+")
+#: Ends a hidden tag that is never closed, other than those whose content is raw.
+_BLOCK = re.compile(rf"(?=</?(?:{'|'.join(sorted(CONTAINERS))}|p|h[1-6]|li|tr|pre|hr)(?:[\s/>]))", re.I)
+RAW = frozenset("script style textarea".split())
 
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "heading", "place")
 
 
 def _place(tag: str, attributes: str, above: int) -> int:
     """-1 in page furniture, 1 in content, 0 unknown; what says nothing is as the container above it."""
-    if tag in BOILER_TAGS or (tag == "header" and above < 1):
+    named = [m[1].strip("\"'").lower() for m in _NAME.finditer(attributes)] if attributes else []
+    tokens = [[p.rstrip("0123456789") for p in _PARTS.split(t) if p] for x in named for t in x.split()]
+    # Whole class names only: has-sidebar isn't a sidebar, entry-header is none of both.
+    boiler = any(all(p in BOILER or p in NEUTRAL for p in t) and any(p in BOILER for p in t) for t in tokens)
+    content = any(all(p in CONTENT or p in NEUTRAL for p in t) and any(p in CONTENT for p in t) for t in tokens)
+    if tag in ("article", "main"):
+        return above if boiler and not content else 1
+    if tag in BOILER_TAGS or (tag == "header" and above < 1 and not any(p in CONTENT for t in tokens for p in t)):
         return -1
-    named = [m[1].strip("\"'") for m in _NAME.finditer(attributes)] if attributes else []
-    if any(BOILER.search(x) for x in named):
+    if boiler and not content and tag not in ("body", "html"):
         return -1
-    if above >= 0 and (tag in ("article", "main") or any(CONTENT.search(x) for x in named)):
+    if above >= 0 and content and not boiler:
         return 1
     return above
 
@@ -68,6 +79,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked, in_link, heading = 0, False, 0
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal parts, linked
@@ -101,7 +113,11 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if not ending and not attributes.endswith("/"):
                 if tag not in INLINE and tag != "button":
                     close()
-                end = re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I).search(page, at)
+                end = None if tag in unclosed else re.compile(rf"</{tag}(?:\s[^>]*)?>", re.I).search(page, at)
+                if not end:
+                    unclosed.add(tag)
+                    if tag not in RAW and tag != "head":
+                        end = _BLOCK.search(page, at)
                 # A head that isn't closed ends with the body's start.
                 if not end and tag == "head":
                     end = re.compile(r"(?=<body\b)", re.I).search(page, at)

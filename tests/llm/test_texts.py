@@ -102,6 +102,21 @@ def test_main_text(spark, tmp_path):
     assert op3.extract(pages(spark, []), ["page_id"]).count() == 0
 
 
+def test_furniture_words_take_no_main_text(spark):
+    long = "This is a paragraph of the story with quite a number of words in it so that it counts."
+    html = [
+        f"<body class='has-sidebar'><p>{long}</p><p>{long}</p></body>", f"<body class='sidebar'><article><p>{long}</p></article></body>",
+        f"<body><div class='content no-sidebar'><p>{long}</p></div><div class='site-footer'><p>{long}</p></div></body>",
+        f"<body><article><header class='entry-header'><h1>Headline</h1></header><p>{long}</p></article></body>",
+        f"<body><div class='page-menu'><main><p>{long}</p></main></div></body>",
+        *[f"<body><article><p>{long}</p><{t}>hidden<p>{long}</p></article></body>" for t in ("noscript", "button", "svg", "object", "select")],
+        f"<body><article><p>{long}</p><script>hidden<p>{long}</p></article></body>",
+    ]
+    out = {r.page_id: r["__text"] for r in op3.extract(pages(spark, html), ["page_id"]).collect()}
+    twice = f"{long}\n\n{long}"
+    assert [out[i] for i in range(len(html))] == [twice, long, long, f"Headline\n\n{long}", long, *[twice] * 5, long]
+
+
 def test_tree_reproduces_its_table(spark):
     table = op3.labelled_blocks(spark)
     decide = op3.fit(spark, table)
