@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step looks at.
@@ -50,6 +51,18 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most_rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``BLOCK_BYTES`` of ``column`` (or one row) and ``most_rows``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+    row = 0
+    while row < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[row] + BLOCK_BYTES, "right")) - 1
+        end = min(max(end, row + 1), row + most_rows, batch.num_rows)
+        yield batch.slice(row, end - row)
+        row = end
+
+
 def utf8_blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, row offsets into bytes) for blocks of whole rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -117,6 +117,38 @@ def test_furniture_words_take_no_main_text(spark):
     assert [out[i] for i in range(len(html))] == [twice, long, long, f"Headline\n\n{long}", long, *[twice] * 5, long]
 
 
+def test_judgements_on_page_parts(spark):
+    long = "This is a paragraph of the story with quite a number of words in it so that it counts."
+    html = [
+        "<article><p>A</p><button>x<p>rest A</p></article>", f"<body class='has-sidebar'><article><p>{long}</p></article>",
+        f"<article><div class='article-header'><h1>Title</h1></div><p>{long}</p></article>",
+        *[f"<article><p>{long}</p></article><div class='{c}'><article><p>{long}</p></article></div>" for c in ("user-reviews", "discussion", "kommentare", "responses")],
+        f"<nav><ul><li><a>x</a></li></ul><article><p>{long}</p></article>", f"<div class='page-menu'><main><p>{long}</p></main></div>",
+    ]
+    out = {r.page_id: r["__text"] for r in op3.extract(pages(spark, html), ["page_id"]).collect()}
+    assert [out[i] for i in range(len(html))] == ["A\n\nrest A", long, f"Title\n\n{long}", *[long] * 6]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, '<a "' * 200_000, '<a ="' * 200_001, '<a =">"' * 100_000, "<div>" * 50_000 + "</p></ul>" * 50_000, "<button>" * 100_000, "</" * 200_000):
+        began = time.time()
+        op3.blocks(page)
+        assert time.time() - began < 20
+
+
+def test_tree_judges_unseen_pages_by_counts(spark):
+    model = op3.train(spark)
+    weight = dict(zip(op3.FEATURES, model.featureImportances.toArray()))
+    assert weight["place"] < 0.4 and sum(weight[f] for f in ("prev_words", "prev_links", "next_words", "next_links")) > 0.02
+    decide = op3.expression(model)
+    for named in (0.0, 1.0):  # no name tells anything; all names tell
+        unseen = op3.labelled_blocks(spark, op3.training_pages(60, seed=99, named=named))
+        right = unseen.select(F.avg((decide(F.struct(*op3.FEATURES)) == (F.col("label") == 1)).cast("int"))).first()[0]
+        assert right > 0.98
+
+
 def test_tree_reproduces_its_table(spark):
     table = op3.labelled_blocks(spark)
     decide = op3.fit(spark, table)
