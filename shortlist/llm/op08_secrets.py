@@ -2,15 +2,17 @@
 
 The three base kinds (assign, access, hex) are patterns.  Beyond them, a value that follows a credential word ("pwd is
 ...", "passphrase: ...") is cut into segments at the least total cost by dynamic programming; the cost of a segment is the
-logarithm of the guesses it takes: words by rank, dates, repeats, keyboard walks, or brute force by character class.  Values
-that cost ``LEAST_COST`` decimal digits or more are secrets of kind guess, unless a base span has them.  Ranks are those of
-common passwords and of the words of all documents, counted outside of the values themselves (``word_ranks``).
+decimal logarithm of the guesses it takes: words by rank (as they are or with common replacements of letters), dates, repeats,
+keyboard walks, or brute force by character class.  Values that cost ``LEAST_COST`` or more are secrets of kind guess, unless
+a base span has them.  Base spans get the cost of their value too.  Ranks are those of common passwords and of the words of
+all documents, counted outside of the values themselves (``word_ranks``).
 
 Scale: one pass that counts words (combined before the shuffle), one without a shuffle; the table of ranks has at most
-``TABLE_WORDS`` words, which only sets costs; the work is linear in the text and in each value (segments are of bounded length).
+``TABLE_WORDS`` words, which only sets costs.  Words are found by an Aho-Corasick automaton, repeats and walks by run lengths
+computed once a value, so the work is linear in the text and in each value, however long.
 
-Nulls and odd input: a null text counts as empty; offsets are code points, end exclusive; texts are scanned whole; repeated
-rows each get a row.
+Nulls and odd input: a null text counts as empty; an empty table gives an empty result; further columns don't matter; offsets
+are code points, end exclusive; texts and values are scanned whole; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -18,8 +20,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +44,12 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 LEAST_COST = 10.0
-LONGEST_SEGMENT = 24
-#: Most words in the table of ranks; rarer ones cost brute force.
+#: Most words in the table of ranks, and the code points of the longest of them; others cost brute force.
 TABLE_WORDS = 50_000
+LONGEST_WORD = 64
+#: Longest unit of a repeat, and least length of a keyboard walk.
+UNITS = 6
+LEAST_WALK = 4
 #: Common parts of passwords, most common first.
 WORDS = (
     "password 123456 qwerty letmein admin welcome monkey dragon master login abc123 iloveyou sunshine princess football shadow "
@@ -55,21 +65,24 @@ DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\
 LEET = str.maketrans("4@310$57", "aaeiosst")
 
 
+#: For each line, the place of every character in it, by code; -1 for others, which the last entry stands for.
+LINES = [np.array([*(line.find(chr(c)) for c in range(128)), -1]) for line in WALKS]
+
+
 def _brute(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def _walk(part: str) -> float | None:
-    for line in WALKS:
-        if part in line or part[::-1] in line:
-            return math.log10(2 * len(WALKS) * 12 * len(part))
-    return None
+def _runs(same: np.ndarray) -> np.ndarray:
+    """At each place, how many places in a row from here on are true."""
+    ends = np.flatnonzero(~np.r_[same, False])
+    return ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same))
 
 
 def word_ranks(docs: DataFrame, most: int = TABLE_WORDS) -> dict[str, int]:
     """Ranks of the most common words of ``docs`` (text): those that occur twice or more outside of credential values."""
     left = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")
-    words = docs.select(F.explode(F.split(F.lower(left), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.length("word").between(3, LONGEST_SEGMENT))
+    words = docs.select(F.explode(F.split(F.lower(left), r"[^\p{L}\p{N}]+")).alias("word")).filter(F.length("word").between(3, LONGEST_WORD))
     counted = C.settle(words.groupBy("word").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"), "words")
     # Whole levels of about 2 % from the top, as many as the table has room for.
     level = F.floor(F.log10("times") * 100)
@@ -85,78 +98,121 @@ def word_ranks(docs: DataFrame, most: int = TABLE_WORDS) -> dict[str, int]:
     return {word: i + 1 for i, (_, word) in enumerate(found)}
 
 
+class Guesser:
+    """Costs of values under a table of word ranks."""
+
+    def __init__(self, ranks: dict[str, int]):
+        self.ranks = ranks
+        self.words = ahocorasick.Automaton()
+        for word, rank in ranks.items():
+            if len(word) > 2:
+                self.words.add_word(word, (len(word), rank))
+        if len(self.words):
+            self.words.make_automaton()
+
+    def _words(self, low: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, rank) of all words in ``low``."""
+        if len(self.words):
+            for last, (n, rank) in self.words.iter(low):
+                yield last + 1 - n, last + 1, rank
+
+    def cost(self, value: str) -> float:
+        """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes.
+
+        A repeat goes on from its start as long as whole units do; walks and words have all their lengths.
+        """
+        n = len(value)
+        low = value.lower()
+        if len(low) != n:  # some capitals have two small letters
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in value)
+        codes = np.fromiter(map(ord, value), np.int64, n)
+        small = np.fromiter(map(ord, low), np.int64, n)
+        each = [_brute(c) for c in value]
+        repeats = []
+        for unit in range(1, min(UNITS, n - 1) + 1):
+            same = codes[unit:] == codes[:-unit]
+            if same.any():
+                repeats.append((unit, 2 if unit == 1 else 1, (_runs(same) // unit + 1).tolist()))
+        walk = np.zeros(max(n - 1, 0), np.int64)
+        for at in LINES:
+            place = at[np.minimum(small, len(at) - 1)]
+            step = np.where((place[1:] >= 0) & (place[:-1] >= 0), place[1:] - place[:-1], 0)
+            for way in (1, -1):
+                if (step == way).any():
+                    walk = np.maximum(walk, _runs(step == way))
+        walk = walk.tolist()
+        words = defaultdict(list)
+        capitals = [0, *accumulate(c.isupper() for c in value)]
+        plain = low.translate(LEET)
+        for text, changed in ((low, 0), (plain, 1)) if plain != low else ((low, 0),):
+            for start, end, rank in self._words(text):
+                extra = (capitals[end] > capitals[start]) + (changed and low[start:end] != plain[start:end])
+                words[start].append((end, math.log10(rank + 1) + math.log10(2) * extra))
+        best = [0.0] + [math.inf] * n
+        for i in range(n):
+            base = best[i]
+            if base + each[i] < best[i + 1]:
+                best[i + 1] = base + each[i]
+            for unit, least, times in repeats:
+                if i < len(times) and times[i] > least:
+                    end, cost = i + unit * times[i], base + sum(each[i : i + unit]) + math.log10(times[i])
+                    if cost < best[end]:
+                        best[end] = cost
+            if i < len(walk) and walk[i] + 1 >= LEAST_WALK:
+                for k in range(LEAST_WALK, walk[i] + 2):
+                    best[i + k] = min(best[i + k], base + math.log10(2 * len(WALKS) * 12 * k))
+            for end, cost in words.get(i, ()):
+                best[end] = min(best[end], base + cost)
+            if "0" <= value[i] <= "3" and (m := DATE.match(value, i)):
+                best[m.end()] = min(best[m.end()], base + (math.log10(366 * 120) if len(m[0]) > 4 else math.log10(120)))
+        return best[-1]
+
+
 def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
-    """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes."""
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    low = value.lower()
-    plain = low.translate(LEET)
-    for i in range(n):
-        base = best[i]
-        best[i + 1] = min(best[i + 1], base + _brute(value[i]))
-        run = 1
-        while i + run < n and value[i + run] == value[i]:
-            run += 1
-        if run > 2:
-            best[i + run] = min(best[i + run], base + _brute(value[i]) + math.log10(run))
-        for unit in range(2, 7):
-            part, times = value[i : i + unit], 1
-            while value[i + times * unit : i + (times + 1) * unit] == part and len(part) == unit:
-                times += 1
-            if times > 1:
-                cost = base + sum(map(_brute, part)) + math.log10(times)
-                best[i + times * unit] = min(best[i + times * unit], cost)
-        for j in range(i + 3, min(n, i + LONGEST_SEGMENT) + 1):
-            part = low[i:j]
-            rank = ranks.get(part) or ranks.get(plain[i:j])
-            if rank:
-                upper = sum(c.isupper() for c in value[i:j])
-                changed = part != plain[i:j] and part not in ranks
-                best[j] = min(best[j], base + math.log10(rank + 1) + math.log10(2) * ((upper > 0) + changed))
-            if j - i > 3 and (walk := _walk(part)) is not None:
-                best[j] = min(best[j], base + walk)
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            days = math.log10(366 * 120) if len(m[0]) > 4 else math.log10(120)
-            best[m.end()] = min(best[m.end()], base + days)
-    return best[n]
-
-
-def spans(text: str, ranks: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end), sorted."""
+    return Guesser(ranks).cost(value)
+
+
+def spans(text: str, guesser: Guesser) -> list[tuple[int, int, int, float]]:
+    """(start, kind's number, end, cost of the value), sorted."""
     out, low = [], text.lower()
     if any(k in low for k in ("password", "passwd", "secret", "token", "apikey", "api_key")):
-        out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+        out += [(m.start(), 0, m.end(), guesser.cost(m[2])) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     if "AKIA" in text:
-        out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        out += [(m.start(), 1, m.end(), guesser.cost(m[0])) for m in ACCESS.finditer(text)]
+    out += [(m.start(), 2, m.end(), guesser.cost(m[0])) for m in HEX.finditer(text)]
     if any(k in low for k in ("pass", "pwd", "secret", "token", "api", "credential", "auth", "bearer")):
-        base = list(out)
+        out.sort()
+        starts, reach = [x[0] for x in out], list(accumulate((x[2] for x in out), max))
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             while end > start and text[end - 1] in ".!?)":
                 end -= 1
-            if end - start < 8 or any(s < end and start < e for s, _, e in base):
+            before = bisect_left(starts, end)  # base spans that begin before the value ends
+            if end - start < 8 or (before and reach[before - 1] > start):
                 continue
-            if guess_cost(text[start:end], ranks) >= LEAST_COST:
-                out.append((start, 3, end))
+            cost = guesser.cost(text[start:end])
+            if cost >= LEAST_COST:
+                out.append((start, 3, end, cost))
     return sorted(out)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and spans array<struct<kind, start, end>> of every row of ``docs`` (doc_id, text)."""
+    """doc_id and spans array<struct<kind, start, end, cost>> of every row of ``docs`` (doc_id, text)."""
     ranks = word_ranks(docs)
     ranks |= {w: min(r, ranks.get(w, r)) for w, r in RANK.items()}
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans(text.as_py() or "", ranks)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
+        guesser = Guesser(ranks)
+        for whole in batches:
+            for batch in C.by_bytes(whole, "text"):
+                found = []
+                for text in batch.column("text"):
+                    found.append([{"kind": KINDS[k], "start": s, "end": e, "cost": c} for s, k, e, c in spans(text.as_py() or "", guesser)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(find, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return rows.mapInArrow(find, "doc_id long, spans array<struct<kind:string,start:int,end:int,cost:double>>")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +228,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", number("assign"), number("access"), number("hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.transform("spans", lambda s: F.round(s["cost"], 2)).alias("costs"),
     )

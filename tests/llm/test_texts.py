@@ -1,8 +1,10 @@
 """Toxicity, HTML, quality, media, secrets and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -130,8 +132,6 @@ def test_judgements_on_page_parts(spark):
 
 
 def test_hostile_pages_take_linear_time():
-    import time
-
     for page in ("<a " * 300_000, '<a "' * 200_000, '<a ="' * 200_001, '<a =">"' * 100_000, "<div>" * 50_000 + "</p></ul>" * 50_000, "<button>" * 100_000, "</" * 200_000):
         began = time.time()
         op3.blocks(page)
@@ -266,7 +266,55 @@ def test_guess_cost():
     cost = op8.guess_cost
     assert cost("password") < 1 and cost("P@ssword") < 2 and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 3 and cost("20240131") < 5
     assert cost("abcabcabcabc") < 5.5 and cost("dragon2019monkey") < 6 and cost("xK9vQ2mW7zRt") > 10 and cost("") == 0
-    assert cost("Xk9$vQ2!mW7z") > cost("password123") and cost("x" * 5000) < 6
+    assert cost("Xk9$vQ2!mW7z") > cost("password123") and cost("x" * 5000) < 6 and cost("abcdefghijklmnopqrstuvwxyz") < 4
+    assert cost("neighbourhoodassociations" * 1, {"neighbourhoodassociations": 9}) == pytest.approx(1.0)
+
+
+def brute_cost(value, ranks):
+    """The least cost over all segmentations, each segment judged by itself from the definitions."""
+    one = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
+
+    def segment(i, j):
+        part, prices = value[i:j], [sum(map(one, value[i:j]))]
+        low = part.lower()
+        plain = low.translate(op8.LEET)
+        for word, changed in ((low, False), (plain, plain != low)):
+            if len(word) > 2 and word in ranks:
+                prices.append(math.log10(ranks[word] + 1) + math.log10(2) * (changed + (part != low)))
+        for unit in range(1, 7):
+            times = len(part) // unit
+            if len(part) % unit == 0 and times > (2 if unit == 1 else 1) and part == part[:unit] * times and value[j : j + unit] != part[:unit]:
+                prices.append(sum(map(one, part[:unit])) + math.log10(times))
+        if len(part) > 3 and any(low in line or low[::-1] in line for line in op8.WALKS):
+            prices.append(math.log10(2 * len(op8.WALKS) * 12 * len(part)))
+        m = op8.DATE.match(value, i)
+        if m and m.end() == j:
+            prices.append(math.log10(366 * 120) if len(part) > 4 else math.log10(120))
+        return min(prices)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + segment(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_cost_equals_brute_force():
+    rng = random.Random(4)
+    pieces = ["password", "P@ss", "qwer", "4321", "poiuy", "aaaa", "abab", "xyzxyz", "2019", "1999-12-31", "dragon", "M0nkey", "İ", "é", "$", "Z", "7", "k", "abcdefg"]
+    for _ in range(150):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))
+        assert op8.guess_cost(value) == pytest.approx(brute_cost(value, op8.RANK)), value
+
+
+def test_long_values_take_linear_time(spark):
+    began = time.time()
+    for value in ("x1" * 500_000, "1" + "x" * 1_000_000, "abcdefghij" * 100_000, "passwordmonkey" * 70_000):
+        assert op8.guess_cost(value) >= 0
+    guesser = op8.Guesser(op8.RANK)
+    many = "password=abcdefghijklm pwd is 9f!kQ2#xZ7@w " * 10_000
+    assert len(op8.spans(many, guesser)) == 20_000
+    assert time.time() - began < 120
+    assert op8.scan(docs(spark, [])).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):
