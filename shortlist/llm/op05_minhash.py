@@ -2,18 +2,20 @@
 
 Every text is a sequence of ``K``-word shingles, labelled by their occurrence (the second "a b c d e" differs from the
 first).  For each of ``SKETCHES`` hash functions the ``L`` smallest shingles, in text order, form a bucket key; texts
-that share a key are candidates.  A pair is linked if a banded alignment of the two shingle sequences finds M shingles in
-common order with M / (n_a + n_b - M) >= ``SIMILARITY``; the band follows from that bound, so the alignment is exact.
-(The same ratio without order bounds it from above and is tried first.)  Classes are the connected components.
-
-Scale: equal texts are one node; a sketch row has ``SKETCHES`` longs.  In a bucket all nodes are compared with one of them
-(a star) and components are formed.  Buckets whose nodes aren't in one component by then are taken up again: nodes
-that share too few shingles with all the others there are out, exactly; the rest forms families of nodes with common
-buckets, and each family is cut into blocks of a bounded size that are compared with each other (only pairs in different
+that share a key are candidates.  A pair is linked if its edit similarity is ``SIMILARITY`` or more: a banded alignment of the
+two shingle sequences finds M shingles in common order, and M / max(n_a, n_b) is that similarity.  The band follows from the
+bound, so the alignment is exact.  (The same ratio without order bounds it from above and is tried first.)  Every pair whose
+shingles have a Jaccard similarity of 0.8 in common order is among them.  Classes are the connected components.
+
+Scale: equal texts are one node (combined before the shuffle); a sketch row has ``SKETCHES`` longs.  In a bucket all nodes are
+compared with one of them (a star) and components are formed.  Buckets whose nodes aren't in one component by then are taken
+up again: nodes that share too few shingles with all the others there are out, exactly; the rest forms families of nodes with
+common buckets, and each family is cut into blocks of a bounded size that are compared with each other (only pairs in different
 components, until they are connected).  So no link is left out that would change a class, and groups whose members are
 close to one of them cost about one comparison a member; a family without such a centre costs the square of its blocks.
-Texts travel only for nodes in candidate pairs, to be joined with their pairs.
-A pair with similarity s shares no bucket with probability about (1 - s**L) ** SKETCHES: 1e-5 at 0.8.
+Texts travel once a node and map task, then only for nodes in candidate pairs, to be joined with their pairs.
+Two texts of equal length at exactly ``SIMILARITY`` share two thirds of their shingles and no bucket with probability
+(1 - (2 / 3) ** L) ** SKETCHES: 2e-4; at a Jaccard similarity of 0.8 it is 5e-8.
 
 Nulls and odd input: a null text is a class of its own row; texts without words (empty too) are linked to equal texts only;
 texts of fewer than K words are one shingle; a class's id is its smallest doc_id (null if it has none); repeated rows have
@@ -22,6 +24,7 @@ one class and one of them is kept; an empty table gives an empty result; further
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ from . import common as C
 
 K = 5
 L = 3
-SKETCHES = 16
+SKETCHES = 24
 SIMILARITY = 0.8
 #: Shingles of a family's nodes that one block holds.
 BLOCK_SHINGLES = 50_000
@@ -139,22 +142,27 @@ def _common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the shingles that a and b have in common order are ``least`` of all theirs."""
-    n = len(a) + len(b)
-    if not len(a) or not len(b):
+    """Whether the shingles that a and b have in common order are ``least`` of the longer one's."""
+    need = _need(len(a), len(b), least)
+    if not len(a) or not len(b) or min(len(a), len(b)) < need:
         return False
-    unordered = len(np.intersect1d(a, b, assume_unique=True))
-    if unordered < least * (n - unordered):
+    if len(np.intersect1d(a, b, assume_unique=True)) < need:
         return False
-    band = int(n * (1 - least) / (1 + least)) + 1
-    common = _common_in_order(a, b, band)
-    return common >= least * (n - common)
+    return _common_in_order(a, b, len(a) + len(b) - 2 * need) >= need
+
+
+def _need(n: int, m: int, least: float) -> int:
+    """The shingles in common order that sequences of n and m shingles need."""
+    return math.ceil(least * max(n, m) - 1e-9)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the ``nodes``, once each.  The only pass that shuffles all texts; by a merge join at any size."""
-    own = docs.select(F.unhex(F.md5("text")).alias("node"), "text").join(nodes.hint("merge"), "node", "left_semi")
-    return C.settle(own.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    """node, text of the ``nodes``, once each.  The only pass that shuffles all texts; by a merge join at any size.
+
+    Copies are combined before the shuffle, so that a task meets a text once for each task before it, not once a copy.
+    """
+    own = docs.filter("text IS NOT NULL").groupBy(F.unhex(F.md5("text")).alias("node")).agg(F.first("text").alias("text"))
+    return C.settle(own.join(nodes.hint("merge"), "node", "left_semi"), "texts")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
@@ -203,7 +211,7 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def _shared_shingles(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """node, n, seq for the nodes of ``open_`` that can still have a partner there.
 
-    seq holds the shingles (in text order) that some other of these nodes has too.  A partner shares ``least`` of all n at
+    seq holds the shingles (in text order) that some other of these nodes has too.  A partner shares ``least`` of the n at
     least, so nodes with a smaller seq have none.
     """
     texts = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
@@ -251,7 +259,7 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
         times = begin[own + 1] - begin[own]
         at = np.repeat(begin[own] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         common = np.bincount(holders[at], minlength=len(nodes))
-        near = common >= least * (n[x] + n - common)
+        near = common >= least * np.maximum(n[x], n) - 1e-9
         near[: x + 1] = False
         if i != j:
             near &= block != block[x]
@@ -260,8 +268,9 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
             if a == b:
                 continue
             sx, sy = values[cuts[x] : cuts[x + 1]], values[cuts[y] : cuts[y + 1]]
-            m = _common_in_order(sx, sy, int((n[x] + n[y]) * (1 - least) / (1 + least)) + 1)
-            if m >= least * (n[x] + n[y] - m):
+            need = _need(n[x], n[y], least)
+            # What both lack of their whole sequences counts against the band already.
+            if _common_in_order(sx, sy, max(1, len(sx) + len(sy) - 2 * need)) >= need:
                 out.append((nodes[x], nodes[y]))
                 root[a] = b
     return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
@@ -290,9 +299,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int
     null for unrelated classes.
     """
     table = C.settle(sketches(docs, k, length, n), "sketches")
-    rows = table.select(F.explode("keys").alias("key"), "node")
+    nodes = C.settle(table.filter(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys")), "nodes")
+    rows = nodes.select(F.explode("keys").alias("key"), "node")
     shared = C.settle(rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), "keys")
-    members = C.settle(rows.join(shared, "key").distinct(), "members")
+    members = C.settle(rows.join(shared, "key"), "members")
     # The centre of a bucket is its node with the most shared keys: the one that differs least from the others.
     ranked = members.join(members.groupBy("node").agg(F.count(F.lit(1)).alias("shared")), "node")
     centres = C.settle(ranked.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("x")).select("key", F.col("x.node").alias("a")), "centres")

@@ -35,7 +35,7 @@ def shingles(t):
 
 
 def true_classes(rows):
-    """Connected components of equal texts and of pairs with 0.8 of all shingles in common order."""
+    """Connected components of equal texts and of pairs with 0.8 of the longer one's shingles in common order."""
     root = list(range(len(rows)))
 
     def find(x):
@@ -48,8 +48,9 @@ def true_classes(rows):
         for j in range(i):
             if rows[i][1] is None or rows[j][1] is None:
                 continue
-            m = 0 if not s[i] or not s[j] or len(set(s[i]) & set(s[j])) * 1.8 < 0.8 * (len(s[i]) + len(s[j])) else lcs(s[i], s[j])
-            if rows[i][1] == rows[j][1] or (m and m >= 0.8 * (len(s[i]) + len(s[j]) - m)):
+            need = 0.8 * max(len(s[i]), len(s[j])) - 1e-9
+            m = 0 if not s[i] or not s[j] or len(set(s[i]) & set(s[j])) < need else lcs(s[i], s[j])
+            if rows[i][1] == rows[j][1] or (m and m >= need):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -59,13 +60,13 @@ def true_classes(rows):
 
 
 def family(seed=5, n=60, size=100):
-    """One text with up to four changed words in each copy: chains of links around the threshold."""
+    """One text with up to six changed words in each copy: chains of links around the threshold."""
     rng = random.Random(seed)
     base = words(rng, size)
     rows = []
     for i in range(n):
         w = list(base)
-        for _ in range(rng.randint(0 if i % 9 == 0 else 1, 4)):
+        for _ in range(rng.randint(0 if i % 9 == 0 else 1, 6)):
             w[rng.randrange(size)] = f"x{rng.randrange(50)}"
         rows.append((1000 + i, " ".join(w), "en", "s", 0))
     return rows
@@ -77,6 +78,16 @@ def test_classes_equal_brute_force(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == true_classes(rows)
 
 
+def test_similarity_is_exact_at_its_bound():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.permutation(200)[: rng.integers(1, 60)].astype(np.uint64)
+        b = np.insert(np.delete(a, rng.integers(0, len(a), len(a) // 6)), 0, rng.integers(300, 400, rng.integers(0, 5)).astype(np.uint64))
+        b = b[np.sort(np.unique(b, return_index=True)[1])]
+        need = 0.8 * max(len(a), len(b)) - 1e-9
+        assert op5.similar(a, b) == (len(b) > 0 and lcs(a.tolist(), b.tolist()) >= need)
+
+
 def test_blocks_of_one_family(spark, monkeypatch):
     monkeypatch.setattr(op5, "BLOCK_SHINGLES", 500)
     rows = family(seed=8, n=80)
