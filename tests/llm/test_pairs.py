@@ -219,6 +219,13 @@ def test_substring_dedup_equals_brute_force(spark, tmp_path):
     out = op10.op10_substring_dedup(spark, write(spark, tmp_path, documents=clashing(docs(spark, rows)).repartition(3)))
     assert Counter(map(tuple, out.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_repeats(rows)
     assert op10.remove_repeats(docs(spark, [])).count() == 0
+    assert op10.levels(25, 50) == [25, 50] and op10.levels(13, 50) == [13, 26, 50] and op10.levels(60, 50) == [50]
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    for shortest in (9, 50):  # four levels, and one
+        again = op10.remove_repeats(docs(spark, rows), shortest=shortest)
+        assert Counter(map(tuple, again.select(columns).collect())) == brute_repeats(rows)
+    small = op10.remove_repeats(docs(spark, rows), window=7, shortest=2)
+    assert Counter(map(tuple, small.select(columns).collect())) == brute_repeats(rows, 7)
 
 
 def test_word_helpers_do_not_depend_on_the_block(monkeypatch):
