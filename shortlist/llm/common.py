@@ -7,6 +7,7 @@ never cut.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +35,12 @@ LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in ``spark.checkpoint.dir``, else (tests) a new temporary one."""
+    """The folder that all executors share: the one in ``spark.checkpoint.dir``; a new temporary one where all is one machine (tests)."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 

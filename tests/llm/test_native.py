@@ -40,15 +40,29 @@ def test_shuffle_is_seeded_whole_and_carries_columns(spark):
 
 
 def test_one_key_with_most_rows(spark):
-    rows = [(1, "same", "en", "s", 4)] * 600 + [(i, f"t{i}", "en", "s", 2) for i in range(100)]
-    out = op1.shard(docs(spark, rows), bucket_rows=16).collect()
-    slots = Counter(r.shard for r in out)
-    assert len(out) == 700 and max(slots.values()) - min(slots.values()) <= 1 and len({(r.shard, r.slot) for r in out}) == 700
+    rows = [(1, "same", "en", "s", 4)] * 600 + [(i, f"t{i}", "en", "s", 2) for i in range(100)] + [(None, f"u{i % 90}", None, "s", 2) for i in range(300)]
+    d = docs(spark, rows)
+    a, b = (op1.shard(x, bucket_rows=16).collect() for x in (d.repartition(2), d.repartition(9)))
+    slots = Counter(r.shard for r in a)
+    assert len(a) == 1000 and max(slots.values()) - min(slots.values()) <= 1 and len({(r.shard, r.slot) for r in a}) == 1000
+    assert sorted(map(str, a)) == sorted(map(str, b))  # whatever the partitions, also where most rows are one
+    assert Counter((r.doc_id, r.text, r.lang) for r in a) == Counter((r[0], r[1], r[2]) for r in rows)
+
+
+def test_equal_rows_in_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(op1, "RUN", 7)
+    monkeypatch.setattr(op1, "BUCKETS_A_GROUP", 3)
+    a = op1.shard(docs(spark, [(1, "same", "en", "s", 4)] * 200 + [(2, None, None, None, None)] * 50), bucket_rows=16).collect()
+    assert Counter(r.doc_id for r in a) == {1: 200, 2: 50} and len({(r.shard, r.slot) for r in a}) == 250 and max(r.slot for r in a) == 31
 
 
 def test_written_shards(spark, tmp_path):
-    op1.write_shards(docs(spark), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == len(corpus())
+    out = op1.write_shards(docs(spark), str(tmp_path / "out"), bucket_rows=4)
+    assert out.count() == spark.read.parquet(str(tmp_path / "out")).count() == len(corpus())
+    for f in (tmp_path / "out").glob("shard=*/*.parquet"):  # every file holds its rows in order
+        slots = [r.slot for r in spark.read.parquet(str(f)).collect()]
+        assert slots == sorted(slots)
+    assert op1.write_shards(docs(spark, []), str(tmp_path / "none")).count() == 0
 
 
 def filled(sizes):
