@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -214,17 +215,77 @@ def test_media_round_trip(spark, tmp_path):
     assert {r.feature.split(":")[0] for r in out} == {"wav", "bmp", "png"}
 
 
-def test_sniffing_carves_and_rejects():
+def test_sniffing_carves_and_rejects(spark):
     payload = bytes(range(192)) * 3
     parts = [op7.store(payload, k) for k in ("wav", "bmp", "png")]
     blob = b"junk BM RIFF" + parts[0] + b"\x89PNG\r\n\x1a\nno" + parts[1] + parts[2] + b"tail"
     found = op7.sniff(blob)
-    assert [f[2] for f in found] == ["wav", "bmp", "png"] and all(f[4] == payload for f in found)
-    assert [blob[s : s + n] for s, n, *_ in found] == parts
+    assert [f.kind for f in found] == ["wav", "bmp", "png"] and all(f.samples == payload for f in found)
+    assert [blob[m.start : m.start + m.length] for m in found] == parts
     broken = bytearray(parts[2])
     broken[60] ^= 1
     assert op7.sniff(bytes(broken)) == [] and op7.sniff(parts[0][:-1]) == [] and op7.sniff(b"") == []
-    assert op7.sniff(op7.store(parts[1].ljust(384 * 3, b" ")[: 192 * 6], "wav"))[0][2] == "wav"
+    assert op7.sniff(op7.store(parts[1].ljust(384 * 3, b" ")[: 192 * 6], "wav"))[0].kind == "wav"
+    rows = spark.createDataFrame([(1, "text/plain", bytearray(blob)), (2, "image/png", bytearray(b"no media")), (3, None, None)], "doc_id long, declared string, media binary")
+    out = sorted(op7.carve(rows).collect())
+    assert [(r.doc_id, r.n, r.declared, r.type) for r in out] == [(1, 0, "text/plain", "audio/wav"), (1, 1, "text/plain", "image/bmp"), (1, 2, "text/plain", "image/png")]
+    assert [bytes(r.bytes) for r in out] == parts
+    assert op7.op7_media and op7.carve(rows.limit(0)).count() == 0 and op7.read_back(op7.media(docs(spark, []))).count() == 0
+
+
+def png(width, height, depth, colour, lines, interlace=0):
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    head = struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlace)
+    body = zlib.compress(lines)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"a\0b") + chunk(b"IDAT", body[:9]) + chunk(b"IDAT", body[9:]) + chunk(b"IEND", b"")
+
+
+def filtered(image, kinds, step):
+    """PNG lines of ``image`` (rows of bytes), each by its filter."""
+    out, above = b"", [0] * len(image[0])
+    for kind, row in zip(kinds, image):
+        line = []
+        for i, x in enumerate(row):
+            a, b, c = (row[i - step] if i >= step else 0), above[i], (above[i - step] if i >= step else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((x - [0, a, b, (a + b) // 2, paeth][kind]) % 256)
+        out += bytes([kind, *line])
+        above = row
+    return out
+
+
+def test_media_of_many_layouts():
+    rng = random.Random(8)
+    image = [[rng.randrange(256) for _ in range(28)] for _ in range(10)]
+    flat = bytes(x for row in image for x in row)
+    kinds = [0, 1, 2, 3, 4, 4, 3, 2, 1, 0]
+    rgba = png(7, 10, 8, 6, filtered(image, kinds, 4))
+    grey16 = png(14, 10, 16, 0, filtered(image, kinds, 2))
+    bits = png(9, 2, 1, 0, bytes([0, 0xAA, 0x80, 0, 0x55, 0]))
+    woven = png(1, 1, 8, 0, b"\0\x07", interlace=1)
+    assert [(m.samples, m.shape) for b in (rgba, grey16, bits, woven) for m in op7.sniff(b)] == [(flat, "7x10x32"), (flat, "14x10x16"), (b"\xaa\x80\x55\0", "9x2x1"), (b"\x07", "1x1x8")]
+    assert op7.sniff(png(7, 10, 8, 6, filtered(image, kinds, 4)[:-1])) == [] and op7.sniff(png(7, 10, 8, 5, filtered(image, kinds, 4))) == []
+    line = bytes(range(15)) + b"\0"  # 5 pixels of 3 bytes and padding
+    up = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + 32, 0, 0, 54, 40, 5, 2, 1, 24, 0, 0, 0, 0, 0, 0) + line + line[:15][::-1] + b"\0"
+    (m,) = op7.sniff(b"xBM" + up + b"y")
+    assert m.samples == line[:15][::-1] + line[:15] and m.start == 3 and m.length == 86
+    sound = struct.pack("<8h", *range(-4, 4))
+    chunks = b"LIST" + struct.pack("<I", 5) + b"INFOx\0" + b"fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 44100, 176400, 4, 16) + b"data" + struct.pack("<I", 16) + sound
+    wav = b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+    (m,) = op7.sniff(b"RIFF" + wav + b"RIFF")
+    assert (m.start, m.length, m.shape, m.samples) == (4, len(wav), "2x44100x16", sound) and op7.sniff(wav[:-1]) == []
+    gif = b"GIF89a" + struct.pack("<HHBBB", 2, 3, 0x80, 0, 0) + bytes(6) + b"\x21\xf9\x04\0\0\0\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 2, 3, 0) + b"\x02\x03abc\0;"
+    (m,) = op7.sniff(b"GIF89a" + gif + b"rest")
+    assert (m.start, m.length, m.shape, m.samples) == (6, len(gif), "2x3x1", b"abc") and op7.sniff(gif[:-1]) == []
+    frame = b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, 3, 2, 1) + b"\x01\x11\0"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 6) + b"JFIF" + frame + b"\xff\xda" + struct.pack(">H", 8) + b"\1\1\0\0\0\0" + b"data\xff\0\xff\xd0more" + b"\xff\xd9"
+    (m,) = op7.sniff(b"\xff\xd8\xff" + jpeg + b"rest")
+    assert (m.start, m.length, m.shape) == (3, len(jpeg), "2x3x8") and m.samples == b"data\xff\0\xff\xd0more" and op7.sniff(jpeg[:-1]) == []
+    began = time.time()
+    assert op7.sniff(b"\xff\xd8\xff\xdaBMRIFFGIF89a" * 50_000) == [] and time.time() - began < 60
 
 
 def base_spans(t):
