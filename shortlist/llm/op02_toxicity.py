@@ -6,16 +6,20 @@ more often than others).  A voter
 "silence" fires when no other does.  A generative label model estimates by EM, over the votes on all training rows, how
 often each voter fires on toxic and on other texts; labelled training rows enter with their labels.  Voters that fire
 together within a class more than their rates explain are correlated; their votes are discounted by the sum of these
-correlations.  The model's posteriors are the labels on which a linear classifier over stems and patterns is trained.
+correlations.  The model's posteriors are the labels on which a linear classifier over stems and patterns is trained, on
+training rows with and without labels alike; its log odds are then stretched and shifted to fit the labelled ones.
 
 A training row has crc32(doc_id as text) mod 3 other than 1.  A score uses the text alone.
 
-Scale: stems and the classifier come from at most ``SAMPLE_ROWS`` labelled rows; votes are counted over all training rows
-(one small row for each vote pattern is shuffled); scoring is one pass without a shuffle.
+Scale: stems come from at most ``SAMPLE_ROWS`` labelled rows, the classifier from the posteriors of as many training rows by
+the hash of their ids; votes are counted over all training rows (one small row for each vote pattern is shuffled).  One pass
+without a shuffle reads all texts (in slices of ``common.BLOCK_BYTES``) and writes the numbers of what fires in them; votes,
+fits and scores read that table.
 
 Nulls and odd input: null and empty texts have no words and get the score of a text in which nothing fires; a null doc_id
-is no training row and not held out; without labels of both kinds the fixed voters and a prior rate stand alone; texts are
-read whole; repeated rows get equal scores.
+is no training row and not held out; without labels the fixed voters start the label model and the classifier is trained on its
+posteriors; labels of one class alone make every score low or high; an empty table gives an empty result; further columns don't
+matter; texts are read whole; repeated rows get equal scores.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -129,12 +134,13 @@ def mine(sample: DataFrame) -> list[str]:
     counted = sample.select("text", "label").mapInArrow(explode, "stem string, label double").groupBy("stem").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("label").alias("t")
     )
+    counted = C.settle(counted.filter("n >= 3"), "stems")
     # A stem counts if its share of toxic texts is further above the whole's than chance would make one of all stems
     # (log likelihood ratio against the number of stems looked at).
     rate, c = toxic / n, F.col
     rest = F.greatest(c("n") - c("t"), F.lit(1e-9))
     ratio = c("t") * F.log(c("t") / (c("n") * rate)) + rest * F.log(rest / (c("n") * (1 - rate)))
-    some = counted.filter("n >= 3").withColumn("ratio", F.when(c("t") > c("n") * rate, ratio).otherwise(0.0))
+    some = counted.withColumn("ratio", F.when(c("t") > c("n") * rate, ratio).otherwise(0.0))
     bound = math.log(max(2, some.count()))
     strong = some.filter((c("ratio") >= bound) & (c("t") / c("n") >= min(0.5, 4 * rate)))
     # Beginnings of one word with equal counts say the same; the first of them stands for all.
@@ -220,71 +226,92 @@ def label_model(patterns: DataFrame, known_rows: np.ndarray, known_fired: np.nda
     return model
 
 
-class Scorer:
-    """The linear classifier: a weight for each stem and pattern."""
+LOOKED = "votes array<int>, features array<int>"
 
-    def __init__(self, known: Lexicon, weights: np.ndarray, intercept: float):
-        self.known, self.weights, self.intercept = known, weights, intercept
 
-    def logit(self, text: str) -> float:
-        found, words = self.known.look(text)
-        z = self.intercept + float(self.weights[PATTERNS:][found].sum())
-        return z + float(self.weights[:PATTERNS] @ _patterns(text, words))
+def look(docs: DataFrame, known: Lexicon, carry: list[str]) -> DataFrame:
+    """``carry`` columns, votes and features of every row of ``docs`` (text): all that the models need of a text."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), LOOKED])
+    kind = pa.list_(pa.int32())
 
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.by_bytes(whole, "__text"):
+                votes, features = [], []
+                for text in batch.column("__text"):
+                    text = text.as_py() or ""
+                    found, words = known.look(text)
+                    patterns = _patterns(text, words)
+                    votes.append(_votes(found, patterns))
+                    features.append([i for i, p in enumerate(patterns) if p] + [PATTERNS + i for i in found])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(votes, kind), pa.array(features, kind)], [*carry, "votes", "features"])
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Scorer:
-    """A scorer from the training rows of ``docs`` (doc_id, text) and their ``labels`` (doc_id, toxic)."""
-    sample = C.settle(linear.labelled(docs, labels, "toxic", rows, training(F.col("doc_id"))).select("text", "label"), "toxic-sample")
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(see, schema)
+
+
+class Scorer(NamedTuple):
+    """The linear classifier: the mined stems, a weight for each pattern and stem."""
+
+    known: Lexicon
+    weights: np.ndarray
+    intercept: float
+
+
+def calibrated(weights: np.ndarray, intercept: float, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """The classifier with its log odds stretched and shifted to fit the labels y of the rows x."""
+    if len(set(y)) < 2:
+        return weights, intercept
+    slope, shift = linear.fit((x @ weights + intercept)[:, None], y, ridge=1e-3, standard=False)
+    return (weights * slope[0], intercept * slope[0] + shift) if slope[0] > 0 else (weights, intercept)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame]:
+    """A scorer from the training rows of ``docs`` (doc_id, text) and their ``labels`` (doc_id, toxic), and ``look`` at all rows.
+
+    The classifier learns the posteriors of at most ``rows`` training rows, by a hash of the id; labelled rows are looked at
+    (at most ``rows`` of them) to mine stems, to anchor the label model and to calibrate.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    sample = C.settle(linear.labelled(docs, labels, "toxic", rows, training(F.col("doc_id"))).select("doc_id", "text", "label"), "toxic-sample")
     known = Lexicon(mine(sample))
     m = PATTERNS + VOTERS + 1
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                found, words = known.look(text)
-                patterns = _patterns(text, words)
-                out.append((_votes(found, patterns), [i for i, p in enumerate(patterns) if p] + [PATTERNS + i for i in found]))
-            kind = pa.list_(pa.int32())
-            label = batch.column("label") if "label" in batch.schema.names else pa.nulls(len(out), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), label], ["votes", "features", "label"])
-
-    schema = "votes array<int>, features array<int>, label double"
-    seen = sample.mapInArrow(look, schema).collect()
-    votes = _dense([r.votes for r in seen], m)
-    x = _dense([r.features for r in seen], PATTERNS + STEMS)
-    y = np.array([r.label for r in seen])
-    known_rows = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    known_fired = np.array([votes[y == 0].sum(0), votes[y == 1].sum(0)])
-    others = docs.filter(training(F.col("doc_id"))).select("text").mapInArrow(look, schema)
-    patterns = C.settle(others.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
+    looked = C.settle(look(docs, known, ["doc_id"]), "looked")
+    own = looked.filter(training(F.col("doc_id")))
+    patterns = C.settle(own.groupBy("votes").agg(F.count(F.lit(1)).alias("n")), "votes")
     # Every task of a round gives m * m sums, so the (small) table of patterns goes to no more tasks than it needs.
     patterns = patterns.coalesce(1 + patterns.count() // PATTERNS_A_TASK)
+    gold = look(sample, known, ["label"]).collect()
+    votes, y = _dense([r.votes for r in gold], m), np.array([r.label for r in gold])
+    known_rows = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    known_fired = np.array([votes[y == 0].sum(0), votes[y == 1].sum(0)])
     model = label_model(patterns, known_rows, known_fired)
-    if not len(seen):  # nothing to train on: the label model's own weights
-        weights = np.r_[model.weights()[:PATTERNS], np.zeros(STEMS)]
-        return Scorer(known, weights, float(np.log(model.prior / (1 - model.prior)) - 1))
-    weights, intercept = linear.fit(x, model.posterior(votes), standard=False)
-    return Scorer(known, weights, intercept)
+    some = own.orderBy(F.xxhash64(F.lit(23), "doc_id")).limit(rows).select("votes", "features").collect()
+    if not some:
+        return Scorer(known, np.zeros(PATTERNS + STEMS), float(np.log(model.prior / (1 - model.prior)))), looked
+    x, posterior = _dense([r.features for r in some], PATTERNS + STEMS), model.posterior(_dense([r.votes for r in some], m))
+    weights, intercept = linear.fit(x, posterior, standard=False)
+    return Scorer(known, *calibrated(weights, intercept, _dense([r.features for r in gold], PATTERNS + STEMS), y)), looked
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id and score of every row."""
+def score(looked: DataFrame, scorer: Scorer) -> DataFrame:
+    """doc_id and score of every row of ``looked`` (doc_id, features)."""
+    weights, intercept = scorer.weights, scorer.intercept
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([scorer.logit(t.as_py() or "") for t in batch.column("text")])
+            features = batch.column("features")
+            upto = np.r_[0.0, np.cumsum(weights[features.flatten().to_numpy(zero_copy_only=False)])]
+            ends = features.offsets.to_numpy() - features.offsets.to_numpy()[0]
+            z = intercept + np.round(upto[ends[1:]] - upto[ends[:-1]], 9)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(linear.sigmoid(z))], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(rate, "doc_id long, score double")
+    return looked.select("doc_id", "features").mapInArrow(rate, "doc_id long, score double")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scorer = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scorer, looked = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    return score(docs, scorer).select(
+    return score(looked, scorer).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

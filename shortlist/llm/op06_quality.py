@@ -6,7 +6,8 @@ of its host, and the host's towards the whole; the strengths of both priors are
 between paths (moments of grouped sums).  A sparse site hence tells nothing, a large one what it is.  The document itself is
 left out of its path's mean.
 
-Scale: two scans of the texts; the only shuffle has one partial sum a path and task.  The table of paths is broadcast below
+Scale: one scan of the texts writes each row's evidence (with what is carried); the only shuffle has one partial sum a path and
+task.  The table of paths is broadcast below
 ``BROADCAST_PATHS`` rows, else joined by a shuffle.
 
 Nulls and odd input: null and wordless texts are rejected; a null source or language is a place of its own; without labels
@@ -134,9 +135,9 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str], host: str = "sou
     fitted = len(set(y)) > 1
     weights, intercept = linear.fit(x, y) if fitted else (np.zeros(FEATURES), 2.0)
     need = list(dict.fromkeys([*carry, host, path]))
-    measured = _measured(docs, need, weights, intercept).withColumn("__p", 1 / (1 + F.exp(-F.col("__logit"))))
-    light = _measured(docs, [host, path], weights, intercept).withColumn("__p", 1 / (1 + F.exp(-F.col("__logit"))))
-    paths = C.settle(light.groupBy(F.col(host).alias("h"), F.col(path).alias("p")).agg(F.sum("__p").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
+    # Written once with what is carried, so that no text is measured twice.
+    measured = C.settle(_measured(docs, need, weights, intercept), "evidence").withColumn("__p", 1 / (1 + F.exp(-F.col("__logit"))))
+    paths = C.settle(measured.groupBy(F.col(host).alias("h"), F.col(path).alias("p")).agg(F.sum("__p").alias("s"), F.count(F.lit(1)).alias("n")), "paths")
     whole = paths.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     mu = min(max((whole.s or 0) / whole.n if whole.n else 0.5, 0.01), 0.99)
     hosts = paths.groupBy("h").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("mu", F.lit(mu))

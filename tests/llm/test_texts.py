@@ -55,15 +55,70 @@ def test_toxicity_on_held_out_rows(spark, tmp_path):
 def test_scores_do_not_see_held_out_labels(spark):
     rows, labels = toxic_corpus(300)
     flip = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 3 == 1 else t) for i, q, t in labels]
-    a, b = ({r.doc_id: r.score for r in op2.score(docs(spark, rows), op2.train(docs(spark, rows), spark.createDataFrame(x, LABELS))).collect()} for x in (labels, flip))
+    a, b = ({r.doc_id: r.score for r in scored(docs(spark, rows), spark.createDataFrame(x, LABELS)).collect()} for x in (labels, flip))
     assert a == pytest.approx(b)
 
 
+def scored(d, labels):
+    scorer, looked = op2.train(d, labels)
+    return op2.score(looked, scorer)
+
+
 def test_toxicity_without_labels(spark):
-    rows = [(1, "you are a stupid worthless idiot, pathetic scum", "en", "s", 0), (2, "a calm day", "en", "s", 0)]
-    scorer = op2.train(docs(spark, rows), spark.createDataFrame([], LABELS))
-    s = {r.doc_id: r.score for r in op2.score(docs(spark, rows), scorer).collect()}
-    assert s[1] > s[2]
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng, 30) + (["you", "stupid", "worthless", "idiot", "scum"] if i % 5 == 0 else [])), "en", "s", 0) for i in range(200)]
+    s = {r.doc_id: r.score for r in scored(docs(spark, rows), spark.createDataFrame([], LABELS)).collect()}
+    assert min(v for i, v in s.items() if i % 5 == 0) > max(v for i, v in s.items() if i % 5)
+    one = {r.doc_id: r.score for r in scored(docs(spark, rows), spark.createDataFrame([(i, 1, 0) for i in range(200)], LABELS)).collect()}
+    assert len(one) == 200 and max(one.values()) < 0.7  # labels of one class: nothing is toxic
+    assert scored(docs(spark, []), spark.createDataFrame([(1, 1, 1)], LABELS)).count() == 0
+
+
+def test_unlabelled_rows_train_the_classifier(spark):
+    """A word that only unlabelled toxic texts have gets weight by the posteriors of those texts."""
+    rows, labels = toxic_corpus(900)
+    few = [x for x in labels if x[0] % 6 == 0]
+    scorer, looked = op2.train(docs(spark, rows), spark.createDataFrame(few, LABELS))
+    s = {r.doc_id: r.score for r in op2.score(looked, scorer).collect()}
+    held = [(s[i], t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum((x >= 0.7) == bool(t) for x, t in held) / len(held) > 0.95
+    twice = scored(docs(spark, rows[:50] * 2), spark.createDataFrame(labels, LABELS)).collect()
+    assert len({(r.doc_id, r.score) for r in twice}) == 50  # repeated rows get one score
+
+
+def test_label_model_equals_brute_force(spark):
+    """EM over rows one by one, in plain numpy, gives the same rates as over grouped patterns in Spark."""
+    rng = np.random.default_rng(5)
+    y = rng.random(300) < 0.25
+    v = np.c_[rng.random(300) < np.where(y, 0.7, 0.1), rng.random(300) < np.where(y, 0.5, 0.05), rng.random(300) < np.where(y, 0.2, 0.3)]
+    v = np.c_[v, ~v.any(1)].astype(float)
+    known = slice(0, 60)
+    rows = np.array([(~y[known]).sum(), y[known].sum()], float)
+    fired = np.array([v[known][~y[known]].sum(0), v[known][y[known]].sum(0)])
+    patterns = Counter(tuple(np.flatnonzero(r).tolist()) for r in v)
+    m = op2.label_model(spark.createDataFrame([(list(k), n) for k, n in patterns.items()], "votes array<int>, n long"), rows, fired, rounds=4)
+    start = np.array([np.full(4, 0.02), np.full(4, 0.2)])
+    start[:, -1] = (0.9, 0.2)
+    rate, prior, discount = (fired + 2 * start) / (rows[:, None] + 2), (rows[1] + 0.1) / (rows.sum() + 1), np.ones(4)
+    for i in range(4):
+        rate = np.clip(rate, 1e-4, 1 - 1e-4)
+        z = np.array([sum(math.log(rate[1, j] / rate[0, j]) * discount[j] for j in range(4) if r[j]) + math.log(prior / (1 - prior)) for r in v])
+        p = 1 / (1 + np.exp(-z))
+        n = np.array([(1 - p).sum(), p.sum()])
+        f = np.array([((1 - p)[:, None] * v).sum(0), (p[:, None] * v).sum(0)])
+        if i in (0, 2):
+            discount = np.ones(4)
+            for a in range(4):
+                for b in range(4):
+                    excess = 0.0
+                    for k, w in enumerate((1 - p, p)):
+                        mean, joint = f[k] / n[k], (w * v[:, a] * v[:, b]).sum() / n[k]
+                        excess += n[k] / n.sum() * (joint - mean[a] * mean[b]) / math.sqrt(max(mean[a] * (1 - mean[a]), 1e-9) * max(mean[b] * (1 - mean[b]), 1e-9))
+                    discount[a] += min(max(excess, 0), 1) if a != b else 0
+            discount = 1 / discount
+        rate = (f + 4 * fired + 2 * start) / (n[:, None] + 4 * rows[:, None] + 2)
+        prior = (n[1] + 4 * rows[1] + 0.1) / (n.sum() + 4 * rows.sum() + 1)
+    assert m.rates == pytest.approx(rate, rel=1e-6) and m.prior == pytest.approx(prior, rel=1e-6) and m.discount == pytest.approx(discount, rel=1e-6)
 
 
 def test_label_model_finds_rates_and_correlations(spark):
