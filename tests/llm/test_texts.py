@@ -247,6 +247,44 @@ def test_places_move_scores_and_sparse_ones_do_not(spark):
     assert out[2000]["__place"] < 0.2 < out[2001]["__place"]
 
 
+def test_places_equal_brute_force(spark):
+    """Posterior places and scores from the documents' own evidence, computed row by row in plain Python."""
+    rows, labels = quality_rows(240)
+    rng = random.Random(3)
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["a", "a", "a", "b", "c", None]) if i > 9 else f"lone{i}", 0) for i, t, *_ in rows]
+    found = op6.judge(docs(spark, rows), spark.createDataFrame(labels, LABELS), ["doc_id", "source", "lang"]).collect()
+    groups = {}
+    for r in found:
+        s, n = groups.get((r.source, r.lang), (0.0, 0))
+        groups[r.source, r.lang] = (s + r["__evidence"], n + 1)
+    hosts = {}
+    for (h, _), (s, n) in groups.items():
+        a, b = hosts.get(h, (0.0, 0))
+        hosts[h] = (a + s, b + n)
+    mu = min(max(sum(s for s, _ in hosts.values()) / len(found), 0.01), 0.99)
+
+    def strength(parts):
+        parts = [(s, n, m) for s, n, m in parts if n > 1]
+        if len(parts) < 2:
+            return 10.0
+        total = sum(n for _, n, _ in parts)
+        noise = sum(n * m * (1 - m) for _, n, m in parts) / total
+        extra = (sum(n * (s / n - m) ** 2 for s, n, m in parts) - len(parts) * noise) / total
+        return min(1e6, max(1.0, noise / extra - 1)) if extra > 0 else 1e6
+
+    wide = strength([(s, n, mu) for s, n in hosts.values()])
+    mean = {h: (s + wide * mu) / (n + wide) for h, (s, n) in hosts.items()}
+    narrow = strength([(s, n, mean[h]) for (h, _), (s, n) in groups.items()])
+    for r in found:
+        s, n = groups[r.source, r.lang]
+        p = r["__evidence"]
+        place = min(0.99, max(0.01, (max(0.0, s - p) + narrow * mean[r.source]) / (n - 1 + narrow)))
+        odds = math.log(p / (1 - p)) + math.log(place / (1 - place)) - math.log(mu / (1 - mu))
+        assert r["__place"] == pytest.approx(place, rel=1e-6) and r["__score"] == pytest.approx(1 / (1 + math.exp(-odds)), rel=1e-4, abs=1e-9)
+    empty = docs(spark, [])
+    assert op6.judge(empty, spark.createDataFrame(labels, LABELS), ["doc_id"]).count() == 0 and op6.accept(empty, spark.createDataFrame([], LABELS)).count() == 0
+
+
 def test_linear_fit():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 3))
