@@ -6,11 +6,13 @@ window are needed, its prefix is one shingle, the rarest.  Documents are probed
 the place and both lengths bound where the window can start, and the words there are compared one by one.
 
 Scale: two scans of the documents (frequencies, then probes), no shuffle of text.  The index of windows is broadcast in
-blocks of at most ``BLOCK_WINDOWS`` rows (about 100 MB): one block for usual benchmarks; more blocks are probed one after
-the other against all documents and their hits united by row.  Words are compared by 64-bit hashes.
+blocks of at most ``BLOCK_WINDOWS`` rows, which come to the driver as Arrow (about 100 MB, and as much for their shingles'
+counts): one block for usual benchmarks; more blocks are probed one after the other against all documents and their hits united
+by row.  Words are compared by 64-bit hashes.
 
 Nulls and odd input: a null or wordless text has no words and no hits, a null or wordless item has no windows; a null
-item id isn't reported but its windows hit; repeated items are one item; equal rows each get a row.
+item id isn't reported but its windows hit; repeated items are one item; equal rows each get a row; an empty benchmark hits
+nothing, an empty table gives an empty result; very long texts are read whole (a block of bytes is never cut inside a text).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,14 +67,14 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 class Index:
     """The windows of one block: words (n x WINDOW, 0 behind shorter ones), lengths, item numbers, prefix shingles."""
 
-    def __init__(self, rows: list, window: int = WINDOW):
-        self.items = sorted({r.item_id for r in rows if r.item_id is not None})
-        number = {x: i for i, x in enumerate(self.items)}
-        self.item = np.array([number.get(r.item_id, -1) for r in rows], np.int64)
-        self.length = np.array([len(r.words) for r in rows], np.int64)
+    def __init__(self, rows: pa.Table, window: int = WINDOW):
+        ids, words = (rows.column(c).combine_chunks() for c in ("item_id", "words"))
+        self.items = sorted(x for x in pc.unique(ids).to_pylist() if x is not None)
+        found = pc.index_in(ids, pa.array(self.items, ids.type), skip_nulls=True)
+        self.item = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.length = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         self.words = np.zeros((len(rows), window), np.uint64)
-        for i, r in enumerate(rows):
-            self.words[i, : len(r.words)] = np.array(r.words, np.int64).view(np.uint64)
+        self.words[np.arange(window) < self.length[:, None]] = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         flat, at, offset, self.sizes = [], [], [], sorted({min(SHINGLE, int(n)) for n in np.unique(self.length)})
         for n in np.unique(self.length):
             k, own = min(SHINGLE, int(n)), np.flatnonzero(self.length == n)
@@ -122,7 +125,7 @@ def _places(words: np.ndarray, rows: np.ndarray, sizes: list[int], table: np.nda
         yield at, hashes[at]
 
 
-def _frequencies(docs: DataFrame, index) -> list:
+def _frequencies(docs: DataFrame, index) -> pa.Table:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         table, total = _slots(x.vocabulary), np.zeros(len(x.vocabulary), np.int64)
@@ -137,7 +140,7 @@ def _frequencies(docs: DataFrame, index) -> list:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["shingle", "n"])
 
     counted = docs.select("text").mapInArrow(count, "shingle long, n long")
-    return counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+    return counted.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
 
 
 def _probe(docs: DataFrame, carry: list[str], index) -> DataFrame:
@@ -204,10 +207,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str], block
     out = None
     for b in range(blocks):
         own = cuts.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
-        index = Index(own.collect())
+        index = Index(own.toArrow())
         frequency = np.zeros(len(index.vocabulary), np.int64)
-        for r in _frequencies(docs, spark.sparkContext.broadcast(index)):
-            frequency[r.shingle] = r.n
+        counted = _frequencies(docs, spark.sparkContext.broadcast(index))
+        frequency[counted.column("shingle").to_numpy()] = counted.column("n").to_numpy()
         index.order(frequency)
         part = _probe(docs, carry if blocks == 1 else [*carry, "__row"], spark.sparkContext.broadcast(index))
         out = part if out is None else out.unionByName(part)
