@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from .evaluate import share
-from .pairs import KEY, kendall, spearman
+from .pairs import KEY, correlations
 
 
 def audit_rows(candidates: DataFrame, sets: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def audit_summary(rows: DataFrame) -> DataFrame:
         F.max_by(F.struct("position", "full_correct", "full_margin"), F.struct("full_margin", pos)).alias("o"),
         F.avg(F.col("covered").cast("double")).alias("coverage"),
     )
-    c = spearman(rows, "margin", "full_margin", by).drop("n").join(kendall(rows, "margin", "full_margin", by), by)
+    c = correlations(rows, "margin", "full_margin", by)
     x = q.join(c, by).withColumn("regret", F.col("o.full_margin") - F.col("s.full_margin"))
     return x.groupBy("k").agg(
         F.avg("coverage").alias("coverage"), F.avg("spearman").alias("mean_spearman"), F.avg("kendall").alias("mean_kendall"),

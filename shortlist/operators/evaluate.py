@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import stats
+from . import pairs
 
 CUTOFFS = (1, 5, 10, 20, 50, 100, 200)
 
@@ -106,18 +107,18 @@ def choice_macro(trials: DataFrame) -> DataFrame:
 
 def clustered_difference(trials: DataFrame, treatment: str, control: str) -> DataFrame:
     """Per k: the mean over queries of the mean difference over seeds, with its standard error and 95 % interval."""
-    keys = ["k", "query_idx", "letter_seed"]
+    keys = ["k", "query_split", "query_idx", "letter_seed"]
     t = trials.filter(F.col("condition") == treatment).select(*keys, F.col("correct").alias("t"))
     c = trials.filter(F.col("condition") == control).select(*keys, F.col("correct").alias("c"))
     both = t.join(c, keys).filter("t IS NOT NULL AND c IS NOT NULL")
-    d = both.groupBy("k", "query_idx").agg(F.avg(F.col("t").cast("double") - F.col("c").cast("double")).alias("d"), F.count(F.lit(1)).alias("trials"))
+    d = both.groupBy("k", "query_split", "query_idx").agg(F.avg(F.col("t").cast("double") - F.col("c").cast("double")).alias("d"), F.count(F.lit(1)).alias("trials"))
     out = d.groupBy("k").agg(F.count(F.lit(1)).alias("clusters"), F.sum("trials").alias("trials"), F.avg("d").alias("difference"), (F.coalesce(F.stddev_samp("d"), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)))).alias("se"))
     return out.withColumns({"low": F.col("difference") - 1.959963984540054 * F.col("se"), "high": F.col("difference") + 1.959963984540054 * F.col("se")})
 
 
 def seed_transitions(trials: DataFrame, treatment: str, control: str) -> DataFrame:
     """Per k and seed: the four transition counts, the difference and the exact p (permutations aren't independent)."""
-    keys = ["k", "query_idx", "letter_seed"]
+    keys = ["k", "query_split", "query_idx", "letter_seed"]
     t = trials.filter(F.col("condition") == treatment).select(*keys, F.col("correct").alias("t"))
     c = trials.filter(F.col("condition") == control).select(*keys, F.col("correct").alias("c"))
     n = lambda test, name: F.sum(test.cast("long")).alias(name)
@@ -130,12 +131,12 @@ def seed_transitions(trials: DataFrame, treatment: str, control: str) -> DataFra
 
 def first_trial_rates(trials: DataFrame) -> DataFrame:
     """Query-level rates from each query's first trial per k, with counts of trials, queries and seeds."""
-    w = Window.partitionBy("k", "query_idx").orderBy("letter_seed")
+    w = Window.partitionBy("k", "query_split", "query_idx").orderBy("letter_seed")
     x = trials.withColumn("rn", F.row_number().over(w))
     first = x.filter("rn = 1").groupBy("k").agg(
         share(F.col("pool_has_true")).alias("pool_has_true_rate"), share(F.col("top1_in_options")).alias("in_options_rate"), share(F.col("top1_same_class")).alias("same_class_rate")
     )
-    counts = trials.groupBy("k").agg(F.count(F.lit(1)).alias("trials"), F.count_distinct("query_idx").alias("queries"), F.count_distinct("letter_seed").alias("seeds"))
+    counts = trials.groupBy("k").agg(F.count(F.lit(1)).alias("trials"), F.count_distinct("query_split", "query_idx").alias("queries"), F.count_distinct("letter_seed").alias("seeds"))
     return counts.join(first, "k")
 
 
@@ -183,18 +184,46 @@ def selector_stats(selections: DataFrame, baseline: str) -> DataFrame:
     )
 
 
-def held_out_report(measured: DataFrame, primary: str, control: str, selections: DataFrame) -> DataFrame:
-    """Long metrics of all conditions (condition, metric, value): summary, paired difference to the control, exemplars."""
-    if primary == control:
-        raise ValueError("the primary condition can't be its own control")
-    s = summarize(measured, ["condition"])
-    names = [c for c in s.columns if c != "condition"]
-    long = s.unpivot("condition", [F.col(c).cast("double").alias(c) for c in names], "metric", "value")
-    p = paired(measured.filter(F.col("condition").isin(primary, control)), primary, control).drop("n")
-    pair = p.select(F.lit(primary).alias("condition"), *[F.col(c).cast("double").alias(f"paired_{c}") for c in p.columns])
-    pair = pair.unpivot("condition", [c for c in pair.columns if c != "condition"], "metric", "value")
-    each = distinct_exemplars(selections).agg(F.avg(F.size("exemplars")).alias("value")).select(F.lit("all").alias("condition"), F.lit("distinct_exemplars").alias("metric"), "value")
-    return long.unionByName(pair).unionByName(each)
+def _long(rows: DataFrame, by: list[str], prefix: str = "") -> DataFrame:
+    names = [c for c in rows.columns if c not in by]
+    wide = rows.select(*by, *[F.col(c).cast("double").alias(f"{prefix}{c}") for c in names])
+    return wide.unpivot(by, [f"{prefix}{c}" for c in names], "metric", "value")
+
+
+def held_out_report(scored: DataFrame, sets: DataFrame, selections: DataFrame, control: str, zero_shot: str, samples: int = 2000) -> DataFrame:
+    """Long metrics (condition, k, metric, value) of all conditions; k is null over all classes.
+
+    ``scored`` has the score vectors (condition, query_split, query_idx, true_class, scores) of zero-shot and of every selector; each is
+    measured over all classes and in the nested ``sets``.  Every selector but ``control`` is compared to it, and it to zero-shot, with
+    discordant counts, exact p and bootstrap interval.  Selection statistics and the mean number of distinct exemplars come from
+    ``selections`` (with correct).  An answer that gets right as classes are added is an error.
+    """
+    if control == zero_shot:
+        raise ValueError("the control can't be the zero-shot condition")
+    both = measure(scored).withColumn("k", F.lit(None).cast("int")).select("condition", *pairs.KEY, "true_class", "k", "m")
+    nested = measure(scored, sets=sets).select("condition", *pairs.KEY, "true_class", F.col("k").cast("int").alias("k"), "m")
+    w = Window.partitionBy("condition", *pairs.KEY).orderBy(F.asc_nulls_last("k"))
+    both = both.unionByName(nested).withColumn("before", F.lag("m.correct").over(w))
+    gained = F.coalesce(~F.col("before") & F.col("m.correct"), F.lit(False))
+    both = both.withColumn("m", F.when(gained, F.raise_error(F.lit("an answer gets right as classes are added"))).otherwise(F.col("m"))).drop("before")
+    summary = _long(summarize(both.withColumn("k", F.coalesce("k", F.lit(0))), ["condition", "k"]), ["condition", "k"])
+    base = both.withColumn("control", F.when(F.col("condition") == control, F.lit(zero_shot)).when(F.col("condition") != zero_shot, F.lit(control)))
+    keyed = base.withColumn("k", F.coalesce("k", F.lit(0)))
+    other = keyed.select(F.col("condition").alias("control"), *pairs.KEY, "k", F.col("m.correct").alias("c"))
+    duel = keyed.filter("control IS NOT NULL").join(other, ["control", *pairs.KEY, "k"])
+    t, c = F.col("m.correct"), F.col("c")
+    counts = duel.groupBy("condition", "k").agg(
+        F.count(F.lit(1)).alias("n"), (share(t) - share(c)).alias("difference"), F.sum((t & ~c).cast("long")).alias("treatment_only"), F.sum((c & ~t).cast("long")).alias("control_only")
+    )
+    tested = counts.withColumn("p", stats.mcnemar("treatment_only", "control_only"))
+    interval = stats.bootstrap(counts.select("condition", "k", "n", "treatment_only", "control_only"), ["condition", "k"], samples)
+    duels = _long(tested.drop("n"), ["condition", "k"], "paired_").unionByName(_long(interval, ["condition", "k"], "paired_"))
+    picked = _long(selector_stats(selections, control).withColumnRenamed("selector", "condition").withColumn("k", F.lit(0)), ["condition", "k"], "selection_")
+    each = distinct_exemplars(selections).agg(F.avg(F.size("exemplars")).alias("value")).select(
+        F.lit("all").alias("condition"), F.lit(0).alias("k"), F.lit("distinct_exemplars").alias("metric"), "value"
+    )
+    out = summary.unionByName(duels).unionByName(picked).unionByName(each)
+    return out.withColumn("k", F.nullif("k", F.lit(0)))
 
 
 def oracle_summary(candidates: DataFrame) -> DataFrame:
@@ -243,32 +272,52 @@ def selection_metrics(candidates: DataFrame, score: str, target: str) -> DataFra
         F.max_by(F.struct("correct", "margin", F.col(target).alias("t"), "position"), F.struct(F.col(score), pos)).alias("s"),
         F.max_by("correct", pos).alias("top1"), F.bool_or("correct").alias("any"), F.max("margin").alias("best_margin"), F.max(target).alias("best_target"),
         F.max_by("position", F.struct("margin", pos)).alias("margin_pick"), F.max_by("position", F.struct(F.col(target), pos)).alias("target_pick"),
-        F.max_by("correct", F.struct("margin", pos)).alias("oracle"),
+        F.max_by("correct", F.struct("margin", pos)).alias("oracle"), F.collect_list(F.struct(F.col(score).alias("a"), F.col("margin").alias("b"))).alias("rows"),
     )
     return q.agg(
         F.count(F.lit(1)).alias("queries"), share(F.col("s.correct")).alias("selected_accuracy"), share(F.col("top1")).alias("top1_accuracy"),
         share(F.col("oracle")).alias("pool_oracle_accuracy"), share(F.col("any")).alias("any_correct"), F.avg("s.margin").alias("mean_selected_margin"),
         F.avg(F.col("best_margin") - F.col("s.margin")).alias("mean_margin_regret"), share(F.col("s.position") == F.col("margin_pick")).alias("margin_agreement"),
         share(F.col("s.position") == F.col("target_pick")).alias("target_agreement"), F.avg(F.col("best_target") - F.col("s.t")).alias("mean_target_regret"),
+        F.avg(pairs.rank_correlation("rows", 0.0)).alias("mean_margin_spearman"),
     )
 
 
 def teacher_summary(candidates: DataFrame) -> DataFrame:
-    """Per query split, from candidates with structs m (candidate) and z (zero-shot) and the exemplar's class."""
+    """Per query split, from candidates with structs m (candidate) and z (zero-shot) and the exemplar's class.
+
+    A query is contrastive if some candidate raises its margin and some doesn't.
+    """
+    pos, gain = -F.col("position"), F.col("m.margin") - F.col("z.margin")
     q = candidates.groupBy("query_split", "query_idx").agg(
-        F.first("z.correct").alias("zero"), F.max_by("m.correct", -F.col("position")).alias("top1"), F.bool_or("m.correct").alias("any"), F.bool_and("m.correct").alias("all"),
+        F.first("z.correct").alias("zero"), F.max_by("m.correct", pos).alias("top1"), F.bool_or("m.correct").alias("any"),
+        F.max_by("position", F.struct("m.margin", pos)).alias("oracle"), F.bool_or(gain > 0).alias("up"), F.bool_or(gain <= 0).alias("down"),
     )
     per_query = q.groupBy("query_split").agg(
         F.count(F.lit(1)).alias("queries"), share(F.col("zero")).alias("zero_accuracy"), share(F.col("top1")).alias("top1_accuracy"),
-        share(F.col("any")).alias("any_correct"), share(F.col("any") & ~F.col("all")).alias("contrastive_rate"),
+        share(F.col("any")).alias("any_correct"), share(F.col("oracle") == 0).alias("oracle_at_top1"), share(F.col("up") & F.col("down")).alias("contrastive_rate"),
     )
     per_pair = candidates.groupBy("query_split").agg(
         F.count(F.lit(1)).alias("pairs"), share(F.col("m.correct")).alias("pair_accuracy"), share(F.col("class_idx") == F.col("true_class")).alias("same_class_rate"),
-        share(F.col("m.margin") > F.col("z.margin")).alias("positive_increment_rate"),
+        share(gain > 0).alias("positive_increment_rate"),
     )
     return per_query.join(per_pair, "query_split")
 
 
+def teacher_distributions(candidates: DataFrame) -> DataFrame:
+    """The five distributions of a teacher artifact, by query split: margins and true probabilities, with their increments."""
+    m, z = (lambda c: F.col(f"m.{c}")), (lambda c: F.col(f"z.{c}"))
+    return distribution(candidates, "query_split", {
+        "margin": m("margin"), "incremental_margin": m("margin") - z("margin"), "true_probability": m("probability"),
+        "incremental_true_probability": m("probability") - z("probability"), "incremental_true_log_probability": m("log_probability") - z("log_probability"),
+    })
+
+
+def scoring_counts(records: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, n): how many query records were scored in which mode, batch size, ..."""
+    return records.select(*[F.col(c).cast("string").alias(c) for c in fields]).unpivot([], fields, "field", "value").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def distribution(rows: DataFrame, by: str, columns: dict[str, Column]) -> DataFrame:
     """Seven numbers of each column: mean, population deviation, min, p05, median, p95, max (interpolated)."""
     x = rows.select(by, *[c.alias(n) for n, c in columns.items()]).unpivot(by, list(columns), "column", "value")
@@ -314,21 +363,32 @@ def position_buckets(selections: DataFrame, edges: list[int]) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("selector")))
 
 
-def best_epochs(history: DataFrame, patience: int) -> DataFrame:
-    """Per run: the best epoch (greater primary; within 1e-12 of it, greater secondary) and where patience ends training.
+def best_epochs(history: DataFrame, patience: int, tolerance: float = 1e-12) -> DataFrame:
+    """Per run, in order of its epochs: the best one, where patience ends training, and the last one seen.
 
-    An epoch improves if its (primary rounded to 12 digits, secondary) exceeds all before; epochs since the last
-    improvement are counted within the run.
+    An epoch improves if its primary metric is above the best one's, or within ``tolerance`` of it and its secondary metric is
+    above the best one's; the improving epoch is the best one from then on.  A run's epochs are one array.
     """
-    key = F.struct(F.round("primary_metric", 12).alias("p"), F.col("secondary_metric").alias("s"))
-    run = Window.partitionBy("run_id").orderBy("epoch")
-    x = history.withColumn("key", key).withColumn("before", F.max("key").over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("improved", F.col("before").isNull() | (F.col("key") > F.col("before")))
-    x = x.withColumn("last", F.max(F.when(F.col("improved"), F.col("epoch"))).over(run)).withColumn("since", F.col("epoch") - F.col("last"))
-    stop = F.min(F.when(F.col("since") >= patience, F.col("epoch")))
-    stops = x.groupBy("run_id").agg(stop.alias("stop_epoch"))
-    seen = x.join(stops, "run_id").filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
-    return seen.groupBy("run_id").agg(F.max_by("epoch", F.when(F.col("improved"), F.col("epoch"))).alias("best_epoch"), F.first("stop_epoch").alias("stop_epoch"), F.max("epoch").alias("last_epoch"))
+    epochs = F.array_sort(F.collect_list(F.struct("epoch", F.col("primary_metric").alias("p"), F.col("secondary_metric").alias("s"))))
+    none = F.lit(None)
+    start = F.struct(
+        F.lit(float("-inf")).alias("p"), F.lit(float("-inf")).alias("s"), none.cast("long").alias("best"), none.cast("long").alias("last"),
+        F.lit(0).cast("long").alias("since"), none.cast("long").alias("stop"),
+    )
+
+    def step(a: Column, e: Column) -> Column:
+        better = (e["p"] > a["p"]) | ((F.abs(e["p"] - a["p"]) <= tolerance) & (e["s"] > a["s"]))
+        since = F.when(better, F.lit(0).cast("long")).otherwise(a["since"] + 1)
+        new = F.struct(
+            F.when(better, e["p"]).otherwise(a["p"]).alias("p"), F.when(better, e["s"]).otherwise(a["s"]).alias("s"),
+            F.when(better, e["epoch"].cast("long")).otherwise(a["best"]).alias("best"), e["epoch"].cast("long").alias("last"), since.alias("since"),
+            F.when((since >= patience) & a["best"].isNotNull(), e["epoch"].cast("long")).alias("stop"),
+        )
+        return F.when(a["stop"].isNotNull(), a).otherwise(new)
+
+    x = history.groupBy("run_id").agg(F.aggregate(epochs, start, step).alias("x"))
+    kind = dict(history.dtypes)["epoch"]
+    return x.select("run_id", *[F.col(f"x.{c}").cast(kind).alias(n) for c, n in (("best", "best_epoch"), ("stop", "stop_epoch"), ("last", "last_epoch"))])
 
 
 def leaderboard(history: DataFrame, primary_mode: str = "max", secondary_mode: str = "max") -> DataFrame:

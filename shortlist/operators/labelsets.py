@@ -11,14 +11,23 @@ from ..functions.prompts import LETTERS
 from .sampling import draw
 
 
+#: Class vectors in one array.
+MOST_CLASSES = 5000
+QUERY = ["query_split", "query_idx"]
+
+
 def class_similarity(queries: DataFrame, class_vectors: DataFrame) -> DataFrame:
     """query_split, query_idx, true_class, class_idx, sim for every query and class.
 
-    The class table has one row a class (hundreds); it travels as one array, so that there is no join of all pairs.
+    The class table has one row a class (hundreds); up to ``MOST_CLASSES`` it travels as one array, so that there is no join of
+    all pairs.  More classes come in blocks of that size: each block's array meets every query.
     """
-    table = class_vectors.agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("table"))
+    blocks = -(-class_vectors.count() // MOST_CLASSES)
+    block = F.pmod(F.xxhash64("class_idx"), F.lit(max(1, blocks)))
+    table = class_vectors.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("table"))
+    table = F.broadcast(table) if blocks <= 1 else table
     q = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"), F.col("class_idx").alias("true_class"), "vec")
-    x = q.join(F.broadcast(table)).select("query_split", "query_idx", "true_class", "vec", F.explode("table").alias("c"))
+    x = q.crossJoin(table).select("query_split", "query_idx", "true_class", "vec", F.explode("table").alias("c"))
     return x.select("query_split", "query_idx", "true_class", F.col("c.class_idx").alias("class_idx"), V.dot(F.col("vec"), F.col("c.vec")).alias("sim"))
 
 
@@ -28,9 +37,12 @@ def class_ranking(similarity: DataFrame) -> DataFrame:
     return similarity.filter("class_idx <> true_class").withColumn("rank", F.row_number().over(w))
 
 
-def label_sets(ranking: DataFrame, ks: list[int], n_classes: int) -> DataFrame:
-    """query_split, query_idx, true_class, k, classes (ascending): the true class and the k - 1 most similar wrong ones."""
-    if any(k < 2 or k > n_classes for k in ks):
+def label_sets(ranking: DataFrame, ks: list[int], n_classes: int, clamp: bool = False) -> DataFrame:
+    """query_split, query_idx, true_class, k, classes (ascending): the true class and the k - 1 most similar wrong ones.
+
+    A k beyond the classes there are is an error, or with ``clamp`` a set of all classes.
+    """
+    if any(k < 2 or (k > n_classes and not clamp) for k in ks):
         raise ValueError(f"k must be between 2 and {n_classes}")
     sizes = F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])).alias("k")
     ranked = ranking.select("query_split", "query_idx", "true_class", "class_idx", "rank", sizes).filter("rank <= k - 1")
@@ -48,26 +60,31 @@ def set_similarities(sets: DataFrame, similarity: DataFrame) -> DataFrame:
 
 def letters(sets: DataFrame, seeds: list[int]) -> DataFrame:
     """One row for each query, k, seed and class: its option letter, drawn by a hash."""
-    x = sets.select("query_idx", "true_class", "k", "classes", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("letter_seed"))
+    x = sets.select(*QUERY, "true_class", "k", "classes", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("letter_seed"))
     x = x.withColumn("class_idx", F.explode("classes"))
     order = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("letter_seed", "query_idx", "k", "class_idx")]))
-    w = Window.partitionBy("query_idx", "k", "letter_seed").orderBy(order, "class_idx")
+    w = Window.partitionBy(*QUERY, "k", "letter_seed").orderBy(order, "class_idx")
     x = x.withColumn("n", F.row_number().over(w))
     letter = F.when(F.col("n") > len(LETTERS), F.raise_error(F.lit("more than 52 options"))).otherwise(F.substring(F.lit(LETTERS), F.col("n"), F.lit(1)))
-    return x.select("query_idx", "true_class", "k", "letter_seed", "class_idx", letter.alias("letter"))
+    return x.select(*QUERY, "true_class", "k", "letter_seed", "class_idx", letter.alias("letter"))
 
 
 def option_map(lettered: DataFrame) -> DataFrame:
     """Letter -> class as a map, and the true class's letter."""
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("letter", "class_idx"))))
     true = F.max(F.when(F.col("class_idx") == F.col("true_class"), F.col("letter")))
-    return lettered.groupBy("query_idx", "k", "letter_seed").agg(pairs.alias("options"), true.alias("true_letter"))
+    return lettered.groupBy(*QUERY, "k", "letter_seed").agg(pairs.alias("options"), true.alias("true_letter"))
+
 
+def in_set(gallery: DataFrame, sets: DataFrame) -> DataFrame:
+    """query_split, query_idx, k, example_idx: the gallery rows whose class is in the query's set.
 
-def in_set(pool: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pool rows whose class is in the query's set, for each k."""
-    members = sets.select("query_idx", "k", F.explode("classes").alias("class_idx"))
-    return pool.join(members, ["query_idx", "class_idx"])
+    Sets of equal classes are expanded once a set of classes, not once a query, before they meet the gallery.
+    """
+    alike = sets.select(F.array_sort("classes").alias("classes")).distinct()
+    members = alike.select("classes", F.explode("classes").alias("class_idx"))
+    rows = gallery.select("class_idx", "example_idx").join(members, "class_idx").select("classes", "example_idx")
+    return sets.select(*QUERY, "k", F.array_sort("classes").alias("classes")).join(rows, "classes").select(*QUERY, "k", "example_idx")
 
 
 def nesting_violations(sets: DataFrame) -> DataFrame:

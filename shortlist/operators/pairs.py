@@ -95,29 +95,68 @@ def hybrid_pointwise_loss(rows: DataFrame, pairwise_weight: float = 0.1, min_gap
     return combined(bce_loss(rows), pairwise_loss(rows, min_gap, temperature), pairwise_weight)
 
 
-def _average_rank(by: list[str], c: str) -> Column:
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
+def rank_correlation(rows: str, undefined: Column | float) -> Column:
+    """Spearman's rho of an array of (a, b), ties by average rank; ``undefined`` where a or b is constant.
 
+    A group's rows are one array of bounded length (a pool), so ranks are counts over it and need no sort or window.
+    """
 
-def _fallback(value: Column, equal: Column, if_equal: float) -> Column:
-    return F.when(value.isNull() | F.isnan(value), F.when(equal, F.lit(if_equal)).otherwise(0.0)).otherwise(value)
+    def ranks(c: str) -> Column:
+        values = F.transform(rows, lambda x: x[c])
+
+        def rank(v: Column) -> Column:
+            less = F.aggregate(values, F.lit(0.0), lambda n, y: n + F.when(y < v, 1.0).when(y == v, 0.5).otherwise(0.0))
+            return less + 0.5
+
+        return F.transform(values, rank)
+
+    both = F.zip_with(ranks("a"), ranks("b"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    middle = (F.size(rows) + 1) / 2.0
+
+    def moment(p: str, q: str) -> Column:
+        return lambda x: F.aggregate(x, F.lit(0.0), lambda n, y: n + (y[p] - middle) * (y[q] - middle))
+
+    sums = F.transform(F.array(both), lambda x: F.struct(moment("a", "b")(x).alias("ab"), moment("a", "a")(x).alias("aa"), moment("b", "b")(x).alias("bb")))
+    s = F.get(sums, F.lit(0))
+    value = F.when((s["aa"] > 0) & (s["bb"] > 0), s["ab"] / F.sqrt(F.nullif(s["aa"] * s["bb"], F.lit(0.0))))
+    return F.coalesce(value, undefined if isinstance(undefined, Column) else F.lit(undefined))
+
+
+def tau_b(rows: str, undefined: Column | float) -> Column:
+    """Kendall's tau-b of an array of (a, b), from the signs over all its pairs; ``undefined`` where a or b is constant."""
+
+    def pair(x: Column, y: Column) -> Column:
+        da, db = F.signum(x["a"] - y["a"]), F.signum(x["b"] - y["b"])
+        return F.struct((da * db).alias("s"), F.abs(da).alias("na"), F.abs(db).alias("nb"))
+
+    def add(n: Column, t: Column) -> Column:
+        return F.struct((n["s"] + t["s"]).alias("s"), (n["na"] + t["na"]).alias("na"), (n["nb"] + t["nb"]).alias("nb"))
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("na"), F.lit(0.0).alias("nb"))
+    # Every pair is met twice, which leaves the quotient as it is.
+    total = F.aggregate(rows, zero, lambda n, x: F.aggregate(rows, n, lambda k, y: add(k, pair(x, y))), lambda t: F.when((t["na"] > 0) & (t["nb"] > 0), t["s"] / F.sqrt(F.nullif(t["na"] * t["nb"], F.lit(0.0)))))
+    return F.coalesce(total, undefined if isinstance(undefined, Column) else F.lit(undefined))
+
+
+def _paired(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(F.collect_list(F.struct(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))).alias("rows"))
+
+
+def _equal(if_equal: float) -> Column:
+    return F.when(F.forall("rows", lambda x: x["a"] == x["b"]), F.lit(if_equal)).otherwise(0.0)
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
     """Rank correlation within each group, ties by average rank; where undefined ``if_equal`` for equal columns, else 0."""
-    x = rows.withColumn("__ra", _average_rank(by, a)).withColumn("__rb", _average_rank(by, b))
-    n, sa, sb = F.count(F.lit(1)), F.stddev_pop("__ra"), F.stddev_pop("__rb")
-    rho = F.when((sa > 0) & (sb > 0), F.covar_pop("__ra", "__rb") / F.nullif(sa * sb, F.lit(0.0)))
-    return x.groupBy(*by).agg(_fallback(rho, F.bool_and(F.col(a) == F.col(b)), if_equal).alias("spearman"), n.alias("n"))
+    return _paired(rows, a, b, by).select(*by, rank_correlation("rows", _equal(if_equal)).alias("spearman"), F.size("rows").cast("long").alias("n"))
 
 
 def kendall(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
     """Tau-b within each group, from the signs over its pairs; the fallback is that of ``spearman``."""
-    x = rows.select(*by, F.col("position").alias("i"), F.col(a).alias("ai"), F.col(b).alias("bi"))
-    y = rows.select(*by, F.col("position").alias("j"), F.col(a).alias("aj"), F.col(b).alias("bj"))
-    p = x.join(y, by).filter("i < j").select(*by, F.signum(F.col("ai") - F.col("aj")).alias("da"), F.signum(F.col("bi") - F.col("bj")).alias("db"))
-    t = p.groupBy(*by).agg(F.sum(F.col("da") * F.col("db")).alias("s"), F.sum(F.abs("da")).alias("na"), F.sum(F.abs("db")).alias("nb"))
-    equal = rows.groupBy(*by).agg(F.bool_and(F.col(a) == F.col(b)).alias("eq"))
-    tau = F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("s") / F.sqrt(F.nullif(F.col("na") * F.col("nb"), F.lit(0.0))))
-    return equal.join(t, by, "left").select(*by, _fallback(tau, F.col("eq"), if_equal).alias("kendall"))
+    return _paired(rows, a, b, by).select(*by, tau_b("rows", _equal(if_equal)).alias("kendall"))
+
+
+def correlations(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
+    """Both, from one grouping."""
+    x = _paired(rows, a, b, by)
+    return x.select(*by, rank_correlation("rows", _equal(if_equal)).alias("spearman"), tau_b("rows", _equal(if_equal)).alias("kendall"))

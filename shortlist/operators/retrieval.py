@@ -1,14 +1,13 @@
 """Exact top-M retrieval and what is derived from pools.
 
-Order is (similarity descending, id ascending) at every step, so ties always go to the lower id.
+Order is (similarity descending, id ascending) at every step, so ties always go to the lower id.  A query is known by
+(query_split, query_idx): ids may repeat from split to split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,87 +15,128 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from .sampling import draw
 
-#: Numbers (queries x dimensions) that one block of broadcast queries may hold: 128 MB.
-BLOCK_NUMBERS = 16_000_000
+#: Rows of a block of queries and of a block of gallery rows at most (one task multiplies two blocks), rows below which a side
+#: isn't cut into four, and gallery rows of one product.
+BLOCK_ROWS = 4096
+SMALL_ROWS = 256
+STEP_ROWS = 1024
+POOL = "query_split string, query_idx long, true_class int, k int, example_idx long, class_idx int, similarity double"
+QUERY = ["query_split", "query_idx"]
+
+
+def _blocks(rows: DataFrame) -> int:
+    n = rows.count()
+    return max(-(-n // BLOCK_ROWS), min(4, -(-n // SMALL_ROWS)), 1)
+
+
+def _dealt(rows: DataFrame, n: int, others: int) -> DataFrame:
+    """Each row with its block and once for every block of the other side, all columns new (both sides may be one table)."""
+    own = F.pmod(F.xxhash64("split", "example_idx"), F.lit(n)).cast("int")
+    renamed = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns], own.alias("own"))
+    return renamed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
 
 def top_m(
-    queries: DataFrame, gallery: DataFrame, m: int, exclude_self: str = "same_split", exclude_same_class: bool = False, half: bool = False
+    queries: DataFrame, gallery: DataFrame, m: int, exclude_self: str = "same_split", exclude_same_class: bool = False, half: bool = False,
+    sets: DataFrame | None = None,
 ) -> DataFrame:
-    """The m most similar gallery rows for each query row.
+    """The m most similar gallery rows for each query row (fewer if there are fewer).
 
     Both have split, example_idx, class_idx, vec; a query never meets its own row of the same split (``same_split``) or id
-    (``always``) unless ``never`` is given.  ``half`` rounds vectors and similarities to 16 bits before ordering.
+    (``always``) unless ``never`` is given.  ``half`` rounds vectors and similarities to 16 bits before ordering.  With ``sets``
+    (query_split, query_idx, k, classes) the m are those among the gallery rows of these classes, ranked over the whole gallery, once
+    for each k; null classes allow all, an empty set gives an empty pool.
 
-    Queries are broadcast in blocks of ``BLOCK_NUMBERS``; each task multiplies a batch of gallery rows with the block and
-    keeps its best m for each query, so that m rows for each query and task are shuffled, whatever the gallery's size.
+    Queries and gallery are cut into blocks by the hash of their ids; a task multiplies one block of each (at most ``STEP_ROWS``
+    gallery rows at once) and keeps its best m for each query and k, so that m rows for each query, k and gallery block are
+    shuffled.  Nothing goes through the driver.
     """
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    blocks = max(1, -(-(shape.n * (shape.d or 1)) // BLOCK_NUMBERS))
-    context, out = queries.sparkSession.sparkContext, None
-    schema = "query_split string, query_idx long, true_class int, example_idx long, class_idx int, similarity double"
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("split", "example_idx"), F.lit(blocks)) == b).select("split", "example_idx", "class_idx", "vec").collect()
-        if not rows:
-            continue
-        matrix = np.array([r.vec for r in rows], dtype=np.float64)
-        head = pd.DataFrame({"split": [r.split for r in rows], "idx": [r.example_idx for r in rows], "cls": [r.class_idx for r in rows]})
-        sent = context.broadcast((matrix.astype(np.float16).astype(np.float64) if half else matrix, head))
-
-        def search(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            matrix, head = sent.value
-            n = len(head)
-            best = pd.DataFrame()
-            split, idx, cls = head.split.to_numpy(), head.idx.to_numpy(), head.cls.to_numpy()
-            for frame in frames:
-                for at in range(0, len(frame), 2048):
-                    part = frame.iloc[at : at + 2048]
-                    g = np.array(part.vec.tolist(), dtype=np.float64)
-                    if half:
-                        g = g.astype(np.float16).astype(np.float64)
-                    sims = matrix @ g.T
-                    if half:
-                        sims = sims.astype(np.float16).astype(np.float64)
-                    ids, classes, splits = part.example_idx.to_numpy(), part.class_idx.to_numpy(), part.split.to_numpy()
-                    bad = np.zeros(sims.shape, bool)
-                    if exclude_self != "never":
-                        bad |= idx[:, None] == ids[None, :]
-                        if exclude_self == "same_split":
-                            bad &= split[:, None] == splits[None, :]
-                    if exclude_same_class:
-                        bad |= cls[:, None] == classes[None, :]
-                    sims[bad] = -np.inf
-                    keep = min(m, sims.shape[1])
-                    # All that reach the keep-th largest similarity, ties included; the final order settles them.
-                    edge = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1]
-                    q, e = np.nonzero((sims >= edge[:, None]) & (sims > -np.inf))
-                    new = pd.DataFrame({"q": q, "example_idx": ids[e], "class_idx": classes[e], "similarity": sims[q, e]})
-                    best = pd.concat([best, new]) if len(best) else new
-                    if len(best) > 4 * m * n:
-                        best = _first(best, m)
-            if len(best):
-                best = _first(best, m)
-                q = best.q.to_numpy()
-                yield pd.DataFrame(
-                    {"query_split": split[q], "query_idx": idx[q], "true_class": cls[q], "example_idx": best.example_idx.to_numpy(),
-                     "class_idx": best.class_idx.to_numpy(), "similarity": best.similarity.to_numpy()}
-                )
-
-        part = gallery.select("split", "example_idx", "class_idx", "vec").mapInPandas(search, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], schema + ", position int")
-    return numbered(out).filter(F.col("position") < m)
-
-
-def _first(best: pd.DataFrame, m: int) -> pd.DataFrame:
-    best = best.sort_values(["q", "similarity", "example_idx"], ascending=[True, False, True])
-    return best[best.groupby("q").cumcount() < m]
-
-
-def numbered(pool: DataFrame) -> DataFrame:
-    """``position`` from 0 within (query_split, query_idx)."""
-    w = Window.partitionBy("query_split", "query_idx").orderBy(F.desc("similarity"), "example_idx")
+    q = queries.select("split", "example_idx", "class_idx", F.col("vec").cast("array<double>").alias("vec"))
+    if sets is None:
+        q = q.withColumn("asked", F.array(F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("array<int>").alias("classes"))))
+    else:
+        asked = sets.groupBy(*QUERY).agg(F.collect_list(F.struct(F.col("k").cast("int").alias("k"), F.col("classes").cast("array<int>").alias("classes"))).alias("asked"))
+        asked = asked.withColumnsRenamed({"query_split": "split", "query_idx": "example_idx"})
+        q = q.join(asked, ["split", "example_idx"])
+    g = gallery.select("split", "example_idx", "class_idx", F.col("vec").cast("array<double>").alias("vec"))
+    n, l = _blocks(queries), _blocks(gallery)
+    left, right = _dealt(q, n, l), _dealt(g, l, n)
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _search(a, b, m, exclude_self, exclude_same_class, half)
+
+    found = left.groupBy("own", "other").cogroup(right.groupBy("other", "own")).applyInArrow(search, POOL)
+    keys = [*QUERY, "k"] if sets is not None else QUERY
+    return numbered(found if sets is not None else found.drop("k"), keys).filter(F.col("position") < m)
+
+
+def _matrix(column: pa.ChunkedArray, half: bool) -> np.ndarray:
+    rows = column.combine_chunks()
+    out = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    return out.astype(np.float16).astype(np.float64) if half else out
+
+
+def _search(a: pa.Table, b: pa.Table, m: int, exclude_self: str, exclude_same_class: bool, half: bool) -> pa.Table:
+    """The best m rows of gallery block ``b`` for every query and class set of block ``a``."""
+    out: list[tuple] = []
+    if len(a) and len(b):
+        a, b = (x.rename_columns([c.removeprefix("x_") for c in x.column_names]) for x in (a, b))
+        b = b.take(np.argsort(b.column("example_idx").to_numpy(), kind="stable"))
+        query = {c: np.array(a.column(c).to_pylist()) for c in ("split", "example_idx", "class_idx")}
+        asked = a.column("asked").to_pylist()
+        vectors = _matrix(a.column("vec"), half)
+        rounds = max(map(len, asked))
+        best: list[list[tuple]] = [[] for _ in range(rounds)]
+        for at in range(0, len(b), STEP_ROWS):
+            part = b.slice(at, STEP_ROWS)
+            ids, classes = part.column("example_idx").to_numpy(), part.column("class_idx").to_numpy()
+            sims = vectors @ _matrix(part.column("vec"), half).T
+            if half:
+                sims = sims.astype(np.float16).astype(np.float64)
+            if exclude_self != "never":
+                own = query["example_idx"][:, None] == ids[None, :]
+                if exclude_self == "same_split":
+                    own &= query["split"][:, None] == np.array(part.column("split").to_pylist())[None, :]
+                sims[own] = -np.inf
+            if exclude_same_class:
+                sims[query["class_idx"][:, None] == classes[None, :]] = -np.inf
+            known, code = np.unique(classes, return_inverse=True)
+            for r in range(rounds):
+                rows = np.array([i for i, x in enumerate(asked) if len(x) > r])
+                allowed = np.zeros((len(rows), len(known)), bool)
+                for i, row in enumerate(rows):
+                    some = asked[row][r]["classes"]
+                    allowed[i] = True if some is None else np.isin(known, some)
+                own = np.where(allowed[:, code], sims[rows], -np.inf)
+                i, j = _best(own, m)
+                best[r].append((rows[i], ids[j], classes[j], own[i, j]))
+        for r, parts in enumerate(best):
+            row, ids, classes, sims = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((ids, -sims, row))
+            row, ids, classes, sims = row[order], ids[order], classes[order], sims[order]
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            some = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < m
+            row = row[some]
+            k = [asked[i][r]["k"] for i in row]
+            out.append((query["split"][row], query["example_idx"][row], query["class_idx"][row], k, ids[some], classes[some], sims[some]))
+    names = [c.split()[0] for c in POOL.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64()]
+    columns = [pa.concat_arrays([pa.array(x[i], kind) for x in out]) if out else pa.array([], kind) for i, kind in enumerate(kinds)]
+    return pa.table(dict(zip(names, columns)))
+
+
+def _best(sims: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the m greatest of each row, without -inf; ties go to the lower column."""
+    keep = min(m, sims.shape[1])
+    edge = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]
+    above, tied = sims > edge, sims == edge
+    tied &= np.cumsum(tied, axis=1) <= keep - above.sum(1, keepdims=True)
+    return np.nonzero((above | tied) & (sims > -np.inf))
+
+
+def numbered(pool: DataFrame, keys: list[str] = QUERY) -> DataFrame:
+    """``position`` from 0 within ``keys``."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "example_idx")
     return pool.withColumn("position", F.row_number().over(w) - 1)
 
 
@@ -108,9 +148,9 @@ def top_m_builtin(queries: DataFrame, gallery: DataFrame, m: int) -> DataFrame:
     return numbered(sims).filter(F.col("position") < m)
 
 
-def restricted(pool: DataFrame, allowed: DataFrame, on: list[str], k: int) -> DataFrame:
-    """The first k of each pool among the allowed (an empty set gives an empty pool), numbered anew."""
-    return numbered(pool.drop("position").join(allowed, on, "left_semi")).filter(F.col("position") < k)
+def restricted(queries: DataFrame, gallery: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The first k gallery rows of each query whose class is in the query's set, over the whole gallery, for every set size."""
+    return top_m(queries, gallery, k, sets=sets)
 
 
 def top_one(pool: DataFrame, keys: list[str] = ["query_split", "query_idx"]) -> DataFrame:
@@ -119,35 +159,38 @@ def top_one(pool: DataFrame, keys: list[str] = ["query_split", "query_idx"]) ->
     return pool.groupBy(*keys).agg(best.alias("x")).select(*keys, "x.*")
 
 
-def pool_facts(pool: DataFrame) -> DataFrame:
-    """Size, whether the true class is in the pool, whether the first exemplar is of the true class."""
+def pool_facts(pool: DataFrame, keys: list[str] = QUERY) -> DataFrame:
+    """Size, whether the true class is in the pool, whether the first exemplar is of the true class; for restricted pools by k too."""
     same = F.col("class_idx") == F.col("true_class")
-    return pool.groupBy("query_split", "query_idx").agg(
+    return pool.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pool_size"), F.bool_or(same).alias("has_true"),
         F.max_by(same, F.struct("similarity", -F.col("example_idx"))).alias("top1_same_class"),
     )
 
 
-def controls(pool: DataFrame, sets: DataFrame, seed: int) -> DataFrame:
-    """For each query and class set (query_idx, k, classes): four selectors without a model.
+def controls(queries: DataFrame, gallery: DataFrame, sets: DataFrame, seed: int, pool_size: int) -> DataFrame:
+    """For each query and class set (query_split, query_idx, k, classes): four selectors without a model.
 
-    The first exemplar within the set, the first of all (and whether its class is in the set), the first of the true class,
-    and a member of the set's pool drawn by a hash.
+    The first exemplar within the set and a member of the set's pool (its first ``pool_size``) drawn by a hash, the first of all
+    (and whether its class is in the set), the first of the true class; each ranked over the whole gallery.  What doesn't exist
+    is null.
     """
-    joined = pool.join(sets, "query_idx")
-    inside = F.expr("array_contains(classes, class_idx)")
-    order = F.struct("similarity", -F.col("example_idx"))
-
-    def first(test: Column) -> Column:
-        return F.max_by(F.when(test, F.col("example_idx")), F.when(test, order))
-
-    drawn = F.when(inside, draw(seed, "query_idx", "k", "example_idx"))
-    return joined.groupBy("query_idx", "k").agg(
-        first(inside).alias("restricted_top1"), first(F.lit(True)).alias("top1"),
-        F.max_by(inside, order).alias("top1_in_options"),
-        first(F.col("class_idx") == F.col("true_class")).alias("same_class_top1"),
-        F.min_by(F.when(inside, F.col("example_idx")), drawn).alias("random_member"),
-    )
+    q = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"), F.col("class_idx").alias("own"))
+    everything = q.select(*QUERY, F.lit(-1).alias("k"), F.lit(None).cast("array<int>").alias("classes"))
+    same_class = q.select(*QUERY, F.lit(-2).alias("k"), F.array("own").alias("classes"))
+    own = sets.select(*QUERY, F.col("k").cast("int").alias("k"), F.col("classes").cast("array<int>").alias("classes"))
+    found = top_m(queries, gallery, pool_size, sets=own.unionByName(everything).unionByName(same_class))
+    first = F.col("position") == 0
+    at = lambda k, c: F.max(F.when(first & (F.col("k") == k), F.col(c)))
+    free = found.filter(first & (F.col("k") < 0)).groupBy(*QUERY).agg(
+        at(-1, "example_idx").alias("top1"), at(-1, "class_idx").alias("__class"), at(-2, "example_idx").alias("same_class_top1")
+    )
+    inside = found.filter("k > 0").groupBy(*QUERY, "k").agg(
+        F.min_by("example_idx", "position").alias("restricted_top1"), F.min_by("example_idx", draw(seed, "query_idx", "k", "example_idx")).alias("random_member")
+    )
+    x = own.join(inside, [*QUERY, "k"], "left").join(free, QUERY, "left")
+    in_options = F.when(F.col("__class").isNotNull(), F.array_contains("classes", F.col("__class")))
+    return x.select(*QUERY, "k", "restricted_top1", "top1", in_options.alias("top1_in_options"), "same_class_top1", "random_member")
 
 
 def pool_prefix(pool: DataFrame, m: int, strict: bool = True) -> DataFrame:
@@ -161,11 +204,14 @@ def pool_prefix(pool: DataFrame, m: int, strict: bool = True) -> DataFrame:
 
 
 def assemble(pool: DataFrame, queries: DataFrame, gallery: DataFrame, class_vectors: DataFrame) -> DataFrame:
-    """Attach query, candidate and candidate-class vectors by id; small sides are broadcast by Spark's own size check."""
-    q = queries.select(F.col("example_idx").alias("query_idx"), F.col("vec").alias("query_vec"))
+    """Attach query, candidate and candidate-class vectors by id; small sides are broadcast by Spark's own size check.
+
+    ``gallery`` is the one split that the pool was drawn from.
+    """
+    q = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"), F.col("vec").alias("query_vec"))
     g = gallery.select("example_idx", F.col("vec").alias("example_vec"))
     c = class_vectors.select("class_idx", F.col("vec").alias("label_vec"))
-    return pool.join(q, "query_idx").join(g, "example_idx").join(c, "class_idx")
+    return pool.join(q, QUERY).join(g, "example_idx").join(c, "class_idx")
 
 
 def scalar_features(assembled: DataFrame, m: int) -> DataFrame:

@@ -6,12 +6,15 @@ table of scores.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import vectors as V
 from ..operators import labelsets, retrieval
+from ..sources import scratch
 
 POOL = 30
 KS = [2, 4, 6, 8, 10]
@@ -36,14 +39,6 @@ def class_vectors(ex: DataFrame) -> DataFrame:
     return means.groupBy("class_idx").agg(vec.alias("v")).select("class_idx", V.normalise(F.col("v")).alias("vec"))
 
 
-def pools(ex: DataFrame, m: int = POOL, splits: list[str] = ["test", "val", "train"]) -> DataFrame:
-    return retrieval.top_m(ex.filter(F.col("split").isin(splits)), ex.filter("split = 'train'"), m)
-
-
-def similarity(ex: DataFrame) -> DataFrame:
-    return labelsets.class_similarity(ex, class_vectors(ex))
-
-
 def sim_vectors(sim: DataFrame) -> DataFrame:
     """query_split, query_idx, true_class, sims: similarities to all classes, by class."""
     rows = F.array_sort(F.collect_list(F.struct("class_idx", "sim")))
@@ -56,30 +51,41 @@ def zero_scores(sims: DataFrame) -> DataFrame:
 
 def pair_scores(pool: DataFrame, sims: DataFrame) -> DataFrame:
     """Pool rows with the score vector of (query, exemplar)."""
-    q = sims.select("query_idx", F.col("sims").alias("qs"))
-    e = sims.select(F.col("query_idx").alias("example_idx"), F.col("sims").alias("es"))
-    x = pool.join(q, "query_idx").join(e, "example_idx")
+    q = sims.select("query_split", "query_idx", F.col("sims").alias("qs"))
+    e = sims.filter("query_split = 'train'").select(F.col("query_idx").alias("example_idx"), F.col("sims").alias("es"))
+    x = pool.join(q, ["query_split", "query_idx"]).join(e, "example_idx")
     own = F.transform(F.zip_with("qs", "es", lambda a, b: a + 0.5 * b), lambda s, c: s + F.when(c == F.col("class_idx"), 0.3 * F.col("similarity")).otherwise(0.0) - 3)
     return x.withColumn("scores", own).drop("qs", "es")
 
 
-def sets(sim: DataFrame, ks: list[int] = KS) -> DataFrame:
-    return labelsets.label_sets(labelsets.class_ranking(sim), ks, N_CLASSES)
+def sets(sim: DataFrame, ks: list[int] = KS, clamp: bool = False) -> DataFrame:
+    return labelsets.label_sets(labelsets.class_ranking(sim), ks, N_CLASSES, clamp)
 
 
 class World:
-    """The fixture's tables, each defined once (lazily evaluated by Spark)."""
+    """The fixture's tables.  Pools, class similarities, pair scores and candidates are written once, when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, splits: list[str] = ["test", "val", "train"]):
         self.spark, self.sf_dir, self.splits = spark, sf_dir, splits
         self.ex = examples(spark, sf_dir)
-        self.cv = class_vectors(self.ex)
-        self.sim = similarity(self.ex)
-        self.sims = sim_vectors(self.sim)
+        self.queries = self.ex.filter(F.col("split").isin(splits))
+        self.gallery = self.ex.filter("split = 'train'")
 
-    @property
+    @cached_property
+    def cv(self) -> DataFrame:
+        return scratch.settle(class_vectors(self.ex), "class-vectors")
+
+    @cached_property
+    def sim(self) -> DataFrame:
+        return labelsets.class_similarity(self.ex, self.cv)
+
+    @cached_property
+    def sims(self) -> DataFrame:
+        return scratch.settle(sim_vectors(self.sim), "similarities")
+
+    @cached_property
     def pool(self) -> DataFrame:
-        return pools(self.ex, POOL, self.splits)
+        return scratch.settle(retrieval.top_m(self.queries, self.gallery, POOL), "pool")
 
     @property
     def own(self) -> DataFrame:
@@ -89,29 +95,35 @@ class World:
     def zero(self) -> DataFrame:
         return zero_scores(self.own)
 
-    @property
+    @cached_property
     def pair(self) -> DataFrame:
-        return pair_scores(self.pool, self.sims)
+        return scratch.settle(pair_scores(self.pool, self.sims), "pair")
 
-    @property
+    @cached_property
     def sets(self) -> DataFrame:
-        return sets(self.sim.filter(F.col("query_split").isin(self.splits)))
+        return scratch.settle(sets(self.sim.filter(F.col("query_split").isin(self.splits))), "sets")
 
     @property
     def conditions(self) -> DataFrame:
         """Zero-shot and first-exemplar score vectors, by condition."""
         z = self.zero.select("query_split", "query_idx", "true_class", F.lit("zero_shot").alias("condition"), "scores")
-        t = self.pair.filter("position = 0").select("query_split", "query_idx", "true_class", F.lit("top1").alias("condition"), "scores")
+        t = pair_scores(self.pool.filter("position = 0"), self.sims).select("query_split", "query_idx", "true_class", F.lit("top1").alias("condition"), "scores")
         return z.unionByName(t)
 
-    @property
+    @cached_property
     def cand(self) -> DataFrame:
         """Pool rows with scores, ``m`` and ``z`` (metrics with and without the exemplar) and a selector ``score``."""
-        z = self.zero.select("query_idx", S.teacher(F.col("scores"), F.col("true_class")).alias("z"))
-        s = self.sims.select("query_idx", "sims")
-        x = self.pair.join(z, "query_idx").join(s, "query_idx").withColumn("m", S.teacher(F.col("scores"), F.col("true_class")))
+        key = ["query_split", "query_idx"]
+        z = self.zero.select(*key, S.teacher(F.col("scores"), F.col("true_class")).alias("z"))
+        s = self.sims.select(*key, "sims")
+        x = pair_scores(self.pool, self.sims).join(z, key).join(s, key).withColumn("m", S.teacher(F.col("scores"), F.col("true_class")))
         x = x.withColumn("score", S.at(F.col("sims"), F.col("class_idx")) + 0.5 * F.col("similarity")).drop("sims")
-        return x.withColumns({"correct": F.col("m.correct"), "margin": F.col("m.margin"), "true_rank": F.col("m.true_rank"), "target": S.sigmoid(F.col("m.margin") * 4)})
+        x = x.withColumns({"correct": F.col("m.correct"), "margin": F.col("m.margin"), "true_rank": F.col("m.true_rank"), "target": S.sigmoid(F.col("m.margin") * 4)})
+        return scratch.settle(x, "candidates")
+
+    @cached_property
+    def picked(self) -> DataFrame:
+        return scratch.settle(self.selections(), "selections")
 
     def selections(self, limit: int = POOL) -> DataFrame:
         """What four selectors pick: the first, the scorer's, the label match, a hash-random one; with correctness."""

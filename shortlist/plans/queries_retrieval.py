@@ -7,38 +7,37 @@ from pyspark.sql import functions as F
 from ..functions import prompts, vectors as V
 from ..operators import labelsets, retrieval
 from .base_sql import base
-from .fixtures import KS, N_CLASSES, World, examples, table
+from .fixtures import KS, N_CLASSES, POOL, World, examples, sets, table
 from .registry import query, r6, rounded, text
 
 END = " x AS (SELECT 1) "
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v )), 4) AS before, 1.0::DOUBLE AS after FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v )), 4) AS before, 1.0::DOUBLE AS after, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v ))), 6) + 0.0 AS total FROM embeddings")
 def v1_normalise(spark, sf_dir):
     v = V.normalise(F.col("embedding"))
     return table(spark, sf_dir, "embeddings").select(
-        "vec_id", r6(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("before"), r6(V.dot(v, v)).alias("after")
+        "vec_id", r6(V.dot(F.col("embedding"), F.col("embedding")), 4).alias("before"), r6(V.dot(v, v)).alias("after"), r6(V.total(v)).alias("total")
     )
 
 
 @query("""
 SELECT a.vec_id AS query_idx, b.vec_id AS example_idx, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label = b.label
+FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0
 """)
 def v2_cosine(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_idx"), "label", F.col("embedding").alias("q"))
-    return e.join(q, "label").select("query_idx", F.col("vec_id").alias("example_idx"), r6(V.cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
-
-
-@query()
-def v2_cosine_whole(spark, sf_dir):
     """Every id divisible by 20 against all rows, of any label; Spark pairs blocks of both sides."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_idx"), F.col("embedding").alias("q"))
     return e.crossJoin(q).select("query_idx", F.col("vec_id").alias("example_idx"), r6(V.cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
 
 
+@query()
+def v2_cosine_whole(spark, sf_dir):
+    """The same under its earlier name."""
+    return v2_cosine(spark, sf_dir)
+
+
 @query(base() + """
 r AS (SELECT query_idx, example_idx, example_class, similarity, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY similarity DESC, example_idx) - 1 AS INTEGER) AS position
       FROM sims WHERE query_split = 'train' AND true_class <> example_class)
@@ -63,15 +62,22 @@ def v5_multi_split_pools(spark, sf_dir):
     return rounded(World(spark, sf_dir).pool.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
 
 
-@query(base("test") + """
-a AS (SELECT p.query_idx, p.example_idx, p.similarity, CAST(row_number() OVER (PARTITION BY p.query_idx ORDER BY similarity DESC, example_idx) - 1 AS INTEGER) AS position
-      FROM pools p JOIN members m ON m.k = 4 AND m.query_idx = p.query_idx AND m.class_idx = p.example_class)
-SELECT query_idx, position, example_idx, round(similarity, 6) AS similarity FROM a WHERE position < 5
+RESTRICTED = """
+rp AS (SELECT * FROM (
+  SELECT s.query_split, s.query_idx, s.true_class, m.k, s.example_idx, s.example_class, s.similarity,
+         CAST(row_number() OVER (PARTITION BY s.query_split, s.query_idx, m.k ORDER BY s.similarity DESC, s.example_idx) - 1 AS INTEGER) AS position
+  FROM sims s JOIN members m ON m.query_split = s.query_split AND m.query_idx = s.query_idx AND m.class_idx = s.example_class) WHERE position < 30)
+"""
+
+
+@query(base("test", "val") + RESTRICTED + """
+SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM rp WHERE position < 5
 """)
 def v6_restricted(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
-    allowed = w.sets.filter("k = 4").select("query_idx", F.explode("classes").alias("class_idx"))
-    return rounded(retrieval.restricted(w.pool, allowed, ["query_idx", "class_idx"], 5).select("query_idx", "position", "example_idx", "similarity"))
+    """The first five of the query's class sets, ranked over the whole train split."""
+    w = World(spark, sf_dir, ["test", "val"])
+    found = retrieval.restricted(w.queries, w.gallery, w.sets, 5)
+    return rounded(found.select("query_split", "query_idx", "k", "position", "example_idx", "class_idx", "similarity"))
 
 
 @query(base("test", "val") + END + "SELECT query_split, query_idx, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools WHERE position = 0")
@@ -79,17 +85,31 @@ def v7_top_one(spark, sf_dir):
     return rounded(retrieval.top_one(World(spark, sf_dir, ["test", "val"]).pool))
 
 
-@query(base("test") + """
-j AS (SELECT p.*, k.k, m.class_idx IS NOT NULL AS inside FROM pools p CROSS JOIN ks k
-      LEFT JOIN members m ON m.query_idx = p.query_idx AND m.k = k.k AND m.class_idx = p.example_class)
-SELECT query_idx, CAST(k AS INTEGER) AS k, first(example_idx ORDER BY position) FILTER (inside) AS restricted_top1, first(example_idx ORDER BY position) AS top1,
-       first(inside ORDER BY position) AS top1_in_options, first(example_idx ORDER BY position) FILTER (example_class = true_class) AS same_class_top1,
-       first(example_idx ORDER BY md5(concat_ws(':', '9', CAST(query_idx AS VARCHAR), CAST(k AS VARCHAR), CAST(example_idx AS VARCHAR)))) FILTER (inside) AS random_member
-FROM j GROUP BY query_idx, k
-""")
+CONTROLS = RESTRICTED + """,
+fs AS (SELECT query_split, query_idx, first(example_idx ORDER BY similarity DESC, example_idx) AS top1, first(example_class ORDER BY similarity DESC, example_idx) AS top1_class,
+              first(example_idx ORDER BY similarity DESC, example_idx) FILTER (example_class = true_class) AS same_class_top1 FROM sims GROUP BY query_split, query_idx),
+rc AS (SELECT query_split, query_idx, k, first(example_idx ORDER BY position) AS restricted_top1,
+              first(example_idx ORDER BY md5(concat_ws(':', '9', CAST(query_idx AS VARCHAR), CAST(k AS VARCHAR), CAST(example_idx AS VARCHAR)))) AS random_member
+       FROM rp GROUP BY query_split, query_idx, k),
+ctl AS (SELECT c.query_split, c.query_idx, c.k, rc.restricted_top1, fs.top1, o.class_idx IS NOT NULL AS top1_in_options, fs.same_class_top1, rc.random_member
+        FROM (SELECT DISTINCT query_split, query_idx, k FROM members) c LEFT JOIN rc USING (query_split, query_idx, k) JOIN fs USING (query_split, query_idx)
+        LEFT JOIN members o ON o.query_split = c.query_split AND o.query_idx = c.query_idx AND o.k = c.k AND o.class_idx = fs.top1_class)
+"""
+
+
+@query(base("test", "val") + CONTROLS + "SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, restricted_top1, top1, top1_in_options, same_class_top1, random_member FROM ctl")
 def v8_controls(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
-    return retrieval.controls(w.pool, w.sets.select("query_idx", "k", "classes"), 9)
+    w = World(spark, sf_dir, ["test", "val"])
+    return retrieval.controls(w.queries, w.gallery, w.sets, 9, POOL)
+
+
+@query(base("test", "val") + RESTRICTED + """
+SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, count(*) AS pool_size, bool_or(example_class = true_class) AS has_true,
+       first(example_class = true_class ORDER BY position) AS top1_same_class FROM rp GROUP BY query_split, query_idx, k
+""")
+def v9_restricted_facts(spark, sf_dir):
+    w = World(spark, sf_dir, ["test", "val"])
+    return retrieval.pool_facts(retrieval.restricted(w.queries, w.gallery, w.sets, POOL), ["query_split", "query_idx", "k"])
 
 
 @query(base("test", "val") + END + """
@@ -118,7 +138,7 @@ SELECT query_idx, position, round(list_sum(qv), 6) AS query_sum, round(list_sum(
 """)
 def v11_assemble(spark, sf_dir):
     w = World(spark, sf_dir, ["test"])
-    a = retrieval.assemble(w.pool, w.ex, w.ex, w.cv)
+    a = retrieval.assemble(w.pool, w.queries, w.gallery, w.cv)
     return rounded(a.select("query_idx", "position", *[V.total(F.col(f"{n}_vec")).alias(f"{n}_sum") for n in ("query", "example", "label")]))
 
 
@@ -129,7 +149,7 @@ SELECT query_idx, position, CAST(4 * len(qv) AS INTEGER) AS size,
 def v12_interaction(spark, sf_dir):
     w = World(spark, sf_dir, ["test"])
     x = V.interaction(F.col("query_vec"), F.col("example_vec"))
-    return rounded(retrieval.assemble(w.pool, w.ex, w.ex, w.cv).select("query_idx", "position", F.size(x).alias("size"), V.total(x).alias("total")))
+    return rounded(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv).select("query_idx", "position", F.size(x).alias("size"), V.total(x).alias("total")))
 
 
 @query(base("test") + ASSEMBLED + """
@@ -138,7 +158,7 @@ SELECT query_split, query_idx, position, example_idx, round(list_cosine_similari
 """)
 def v13_scalar_features(spark, sf_dir):
     w = World(spark, sf_dir, ["test"])
-    return rounded(retrieval.scalar_features(retrieval.assemble(w.pool, w.ex, w.ex, w.cv), 30))
+    return rounded(retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30))
 
 
 @query(base("test", "val") + END + "SELECT query_split, query_idx, true_class, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools")
@@ -177,33 +197,41 @@ def l3_set_similarities(spark, sf_dir):
 
 
 LETTERED = """
-lt AS (SELECT query_idx, true_class, k, seed AS letter_seed, class_idx,
-         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(row_number() OVER (PARTITION BY query_idx, k, seed ORDER BY
+lt AS (SELECT query_split, query_idx, true_class, k, seed AS letter_seed, class_idx,
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(row_number() OVER (PARTITION BY query_split, query_idx, k, seed ORDER BY
            md5(concat_ws(':', CAST(seed AS VARCHAR), CAST(query_idx AS VARCHAR), CAST(k AS VARCHAR), CAST(class_idx AS VARCHAR))), class_idx) AS BIGINT), 1) AS letter
-       FROM members CROSS JOIN (SELECT unnest([42, 43, 44]) AS seed))
+       FROM (SELECT * FROM members UNION ALL SELECT query_split, query_idx, true_class, 12, class_idx FROM members WHERE k = 10) CROSS JOIN (SELECT unnest([42, 43, 44]) AS seed))
 """
 
 
-@query(base("test") + LETTERED + """
-SELECT query_idx, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, string_agg(letter || class_idx, ',' ORDER BY letter) AS options,
-       max(CASE WHEN class_idx = true_class THEN letter END) AS true_letter FROM lt GROUP BY query_idx, k, letter_seed
+@query(base("test", "val") + LETTERED + """
+SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, string_agg(letter || class_idx, ',' ORDER BY letter) AS options,
+       max(CASE WHEN class_idx = true_class THEN letter END) AS true_letter FROM lt GROUP BY query_split, query_idx, k, letter_seed
 """)
 def l4_letters(spark, sf_dir):
-    m = labelsets.option_map(labelsets.letters(World(spark, sf_dir, ["test"]).sets, [42, 43, 44]))
+    """Letters for sets of 2 to 10 classes, and of 12 where there are 10."""
+    w = World(spark, sf_dir, ["test", "val"])
+    clamped = sets(w.sim.filter("query_split <> 'train'"), [*KS, 12], clamp=True)
+    m = labelsets.option_map(labelsets.letters(clamped, [42, 43, 44]))
     pairs = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], e["value"].cast("string")))
-    return m.select("query_idx", "k", "letter_seed", F.array_join(pairs, ",").alias("options"), "true_letter")
+    return m.select("query_split", "query_idx", "k", "letter_seed", F.array_join(pairs, ",").alias("options"), "true_letter")
 
 
-@query(base("test") + END + """
-SELECT p.query_idx, CAST(m.k AS INTEGER) AS k, count(*) AS n, min(position) AS first_position FROM pools p
-JOIN members m ON m.query_idx = p.query_idx AND m.class_idx = p.example_class GROUP BY p.query_idx, m.k
+@query(base("test", "val") + END + """
+SELECT m.query_split, m.query_idx, CAST(m.k AS INTEGER) AS k, count(*) AS n, min(e.example_idx) AS first_example, CAST(sum(e.example_idx) AS BIGINT) AS total FROM members m
+JOIN examples e ON e.split = 'train' AND m.class_idx = e.class_idx GROUP BY m.query_split, m.query_idx, m.k
 """)
 def l5_in_set(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
-    return labelsets.in_set(w.pool, w.sets.select("query_idx", "k", "classes")).groupBy("query_idx", "k").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_position"))
+    w = World(spark, sf_dir, ["test", "val"])
+    x = labelsets.in_set(w.gallery, w.sets)
+    return x.groupBy("query_split", "query_idx", "k").agg(F.count(F.lit(1)).alias("n"), F.min("example_idx").alias("first_example"), F.sum("example_idx").alias("total"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations, count(*) * 5 AS sets FROM embeddings")
+@query(base() + """
+n AS (SELECT a.query_split, a.query_idx, a.k, a.class_idx, (SELECT min(k) FROM ks WHERE ks.k > a.k) AS next FROM members a WHERE a.k < 10),
+missing AS (SELECT DISTINCT n.query_split, n.query_idx, n.k FROM n LEFT JOIN members b ON b.query_split = n.query_split AND b.query_idx = n.query_idx AND b.k = n.next AND b.class_idx = n.class_idx WHERE b.class_idx IS NULL)
+SELECT (SELECT count(*) FROM missing) AS violations, (SELECT count(*) FROM (SELECT DISTINCT query_split, query_idx, k FROM members)) AS sets
+""")
 def l6_nesting(spark, sf_dir):
     s = World(spark, sf_dir).sets
     bad = labelsets.nesting_violations(s).agg(F.count(F.lit(1)).alias("violations"))
@@ -219,59 +247,76 @@ def l7_classes_to_score(spark, sf_dir):
     return labelsets.classes_to_score(s).withColumn("classes", text("classes"))
 
 
-QUANT = """
-WITH a AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT vec_id, label, v, list_max(list_transform(v, lambda x: abs(x))) / 127 AS scale FROM a),
-q AS (SELECT vec_id, label, v, scale, list_transform(v, lambda x: greatest(-127, least(127, round_even(x / scale, 0)))) AS qv FROM s),
-e AS (SELECT vec_id, label, scale, qv, v, list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - qv[i] * scale)) AS err FROM q)
+# Single precision as in the stored arrays; a 16-bit number has 11 significant bits and steps of 2^-24 at least.
+HALF = "CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round_even({x} / pow(2, greatest(-24, floor(log2(abs({x}))) - 10)), 0) * pow(2, greatest(-24, floor(log2(abs({x}))) - 10)) END"
+QUANT = f"""
+WITH a AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'test' WHEN vec_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT vec_id, split, v, CASE WHEN most = 0 THEN 1.0::DOUBLE ELSE CAST(CAST(most / 127 AS FLOAT) AS DOUBLE) END AS scale
+      FROM (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS most FROM a)),
+h AS (SELECT *, {HALF.format(x="scale")} AS stored FROM s),
+q AS (SELECT *, list_transform(v, lambda x: greatest(-127, least(127, round_even(CAST(CAST(x / scale AS FLOAT) AS DOUBLE), 0)))) AS qv,
+      list_transform(v, lambda x: greatest(-127, least(127, round_even(CAST(CAST(x / stored AS FLOAT) AS DOUBLE), 0)))) AS sv FROM h),
+e AS (SELECT *, list_transform(qv, lambda x: {HALF.format(x="(x * stored)")}) AS back, list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - sv[i] * stored)) AS err FROM q)
 """
 
 
 def _quantized(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("scale", V.int8_scale(F.col("embedding")))
-    e = e.withColumn("q", V.int8_values(F.col("embedding"), F.col("scale")))
-    return e.withColumn("back", V.dequantize(F.col("q"), F.col("scale"))).withColumn("v", F.col("embedding").cast("array<double>"))
+    """Scales in single precision and as stored (16 bits); values quantized with each, and what is read back."""
+    split = F.when(F.col("vec_id") % 10 == 0, "test").when(F.col("vec_id") % 10 == 1, "val").otherwise("train")
+    e = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")).withColumn("split", split)
+    e = e.withColumn("scale", V.int8_scale(F.col("v"))).withColumn("stored", V.half(F.col("scale")))
+    return e.withColumns({
+        "q": V.int8_values(F.col("v"), F.col("scale")), "back": V.dequantize(V.int8_values(F.col("v"), F.col("scale")), F.col("stored")),
+        "sq": V.int8_values(F.col("v"), F.col("stored")),
+    })
 
 
-@query(QUANT + "SELECT vec_id, round(scale, 9) AS scale, array_to_string(list_transform(qv, lambda x: CAST(x AS INTEGER)), ',') AS q FROM e")
+@query(QUANT + "SELECT vec_id, round(scale, 12) AS scale, stored, array_to_string(list_transform(qv, lambda x: CAST(x AS INTEGER)), ',') AS q FROM e")
 def q1_quantize(spark, sf_dir):
-    return rounded(_quantized(spark, sf_dir).select("vec_id", "scale", text("q").alias("q")), 9)
+    """Values by the exact scale; the scale is stored in 16 bits."""
+    return _quantized(spark, sf_dir).select("vec_id", r6(F.col("scale"), 12).alias("scale"), "stored", text("q").alias("q"))
 
 
-@query(QUANT + "SELECT vec_id, round(scale * list_sum(qv), 6) AS total, round(list_max(err), 6) AS worst FROM e")
+@query(QUANT + "SELECT vec_id, round(list_sum(back), 6) + 0.0 AS total, round(list_max(list_transform(range(1, len(v) + 1), lambda i: abs(v[i] - back[i]))), 6) AS worst FROM e")
 def q2_dequantize(spark, sf_dir):
+    """Values times the stored scale, rounded to 16 bits."""
     x = _quantized(spark, sf_dir)
     return rounded(x.select("vec_id", V.total(F.col("back")).alias("total"), V.max_error(F.col("v"), F.col("back")).alias("worst")))
 
 
-@query(QUANT + "SELECT vec_id, round(list_sum(err) / len(err), 8) AS mean_error, round(list_max(err), 8) AS max_error, round(list_cosine_similarity(v, qv), 8) AS cosine FROM e")
+@query(QUANT + "SELECT vec_id, round(list_sum(err) / len(err), 8) AS mean_error, round(list_max(err), 8) AS max_error, round(list_cosine_similarity(v, sv), 8) AS cosine FROM e")
 def q3_quantize_errors(spark, sf_dir):
-    x, v, b = _quantized(spark, sf_dir), F.col("v"), F.col("back")
-    return rounded(x.select("vec_id", V.mean_error(v, b).alias("mean_error"), V.max_error(v, b).alias("max_error"), V.cosine(v, b).alias("cosine")), 8)
+    """Values by the stored scale itself, so that the errors include its rounding."""
+    return rounded(_errors(spark, sf_dir).drop("split"), 8)
+
+
+def _errors(spark, sf_dir):
+    x, v = _quantized(spark, sf_dir), F.col("v")
+    b = V.scaled(F.col("sq"), F.col("stored"))
+    cosine = F.coalesce(V.cosine(v, b), F.lit(1.0))  # nothing against nothing
+    return x.select("vec_id", "split", V.mean_error(v, b).alias("mean_error"), V.max_error(v, b).alias("max_error"), cosine.alias("cosine"))
 
 
 @query(QUANT + """
-SELECT label, count(*) AS images, round(avg(list_sum(err) / len(err)), 8) AS mean_error, round(max(list_max(err)), 8) AS max_error,
-       round(avg(list_cosine_similarity(v, qv)), 8) AS mean_cosine, round(min(list_cosine_similarity(v, qv)), 8) AS min_cosine FROM e GROUP BY label
+SELECT split, count(*) AS images, round(avg(list_sum(err) / len(err)), 8) AS mean_error, round(max(list_max(err)), 8) AS max_error,
+       round(avg(list_cosine_similarity(v, sv)), 8) AS mean_cosine, round(min(list_cosine_similarity(v, sv)), 8) AS min_cosine FROM e GROUP BY split
 """)
 def q4_reconstruction(spark, sf_dir):
-    x, v, b = _quantized(spark, sf_dir), F.col("v"), F.col("back")
-    return rounded(x.groupBy("label").agg(
-        F.count(F.lit(1)).alias("images"), F.avg(V.mean_error(v, b)).alias("mean_error"), F.max(V.max_error(v, b)).alias("max_error"),
-        F.avg(V.cosine(v, b)).alias("mean_cosine"), F.min(V.cosine(v, b)).alias("min_cosine"),
+    return rounded(_errors(spark, sf_dir).groupBy("split").agg(
+        F.count(F.lit(1)).alias("images"), F.avg("mean_error").alias("mean_error"), F.max("max_error").alias("max_error"),
+        F.avg("cosine").alias("mean_cosine"), F.min("cosine").alias("min_cosine"),
     ), 8)
 
 
+@query(QUANT + "SELECT vec_id, stored AS stored_scale FROM e")
 def q_half_precision(spark, sf_dir):
-    """Scales rounded to 16 bits (no SQL twin: DuckDB has no such type)."""
-    return _quantized(spark, sf_dir).select("vec_id", "scale", V.half_precision("scale").alias("stored_scale"))
-
-
-query()(q_half_precision)
+    """Scales rounded to 16 bits."""
+    return _quantized(spark, sf_dir).select("vec_id", F.col("stored").alias("stored_scale"))
 
 
 @query(base("test") + LETTERED + """
 , o AS (SELECT query_idx, k, letter_seed, string_agg(letter || '. ' || p_name, chr(10) ORDER BY letter) AS lines FROM lt JOIN part ON p_partkey = class_idx + 1 WHERE k = 4 GROUP BY query_idx, k, letter_seed)
+-- The wording is fixed: that of functions/prompts.py.
 SELECT o.query_idx, CAST(letter_seed AS INTEGER) AS letter_seed, array_to_string(['The goal of this task is to correctly classify an image. Choose the correct option from the list below.', lines, '',
   'Labeled reference examples:', '<image>', 'Reference label: ' || p_name, '', '', 'Classify the query image. Output only the letter of the correct option.', '<image>', 'Answer:'], chr(10)) AS prompt
 FROM o JOIN pools p ON p.query_idx = o.query_idx AND p.position = 0 JOIN part ON p_partkey = p.example_class + 1
@@ -280,19 +325,28 @@ def t1_choice_prompt(spark, sf_dir):
     w = World(spark, sf_dir, ["test"])
     names = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("class_idx"), F.col("p_name").alias("class_name"))
     named = labelsets.labels_of(labelsets.letters(w.sets.filter("k = 4"), [42, 43, 44]), names)
-    options = named.groupBy("query_idx", "letter_seed").agg(F.map_from_entries(F.collect_list(F.struct("letter", "class_name"))).alias("options"))
-    first = labelsets.labels_of(retrieval.top_one(w.pool), names).select("query_idx", F.col("class_name").alias("reference"))
-    return options.join(first, "query_idx").select("query_idx", "letter_seed", prompts.multiple_choice(F.col("options"), F.array("reference")).alias("prompt"))
+    options = named.groupBy("query_split", "query_idx", "letter_seed").agg(F.map_from_entries(F.collect_list(F.struct("letter", "class_name"))).alias("options"))
+    first = labelsets.labels_of(retrieval.top_one(w.pool), names).select("query_split", "query_idx", F.col("class_name").alias("reference"))
+    return options.join(first, ["query_split", "query_idx"]).select("query_idx", "letter_seed", prompts.multiple_choice(F.col("options"), F.array("reference")).alias("prompt"))
 
 
+#: The wording is fixed: that of functions/prompts.py.
 LABEL_PROMPT = """
 SELECT p_partkey, array_to_string(['Classify the query image. Output only its exact class label.', '', 'Labeled reference examples:', '<image>', 'Label: ' || p_name, '', 'Query image:', '<image>', 'Label:'], chr(10)) AS prompt FROM part
 """
 
 
-@query(LABEL_PROMPT)
+@query("""
+WITH s AS (SELECT p_partkey % 3 AS shots, p_partkey, p_name FROM part)
+SELECT p_partkey, array_to_string(list_concat(['Classify the query image. Output only its exact class label.', ''],
+  CASE shots WHEN 0 THEN [] WHEN 1 THEN ['Labeled reference examples:', '<image>', 'Label: ' || p_name, ''] ELSE ['Labeled reference examples:', '<image>', 'Label: ' || p_name, '', '<image>', 'Label: b', ''] END,
+  ['Query image:', '<image>', 'Label:']), chr(10)) AS prompt FROM s
+""")
 def t2_full_prompt(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", prompts.full_label(F.array("p_name")).alias("prompt"))
+    """Without, with one and with two reference examples."""
+    shots = F.col("p_partkey") % 3
+    references = F.when(shots == 0, F.array().cast("array<string>")).when(shots == 1, F.array("p_name")).otherwise(F.array(F.col("p_name"), F.lit("b")))
+    return table(spark, sf_dir, "part").select("p_partkey", prompts.full_label(references).alias("prompt"))
 
 
 @query(LABEL_PROMPT)

@@ -8,7 +8,8 @@ from ..functions import scores as S
 from ..functions import stats
 from ..operators import audit, evaluate, labelsets, pairs, retrieval, scorers
 from .base_sql import CAND, base, metrics
-from .fixtures import N_CLASSES, World, table
+from .fixtures import N_CLASSES, POOL, World, table
+from .queries_retrieval import CONTROLS
 from .registry import query, rounded, text
 
 END = " x AS (SELECT 1) "
@@ -43,14 +44,14 @@ def m1_mean_log_likelihood(spark, sf_dir):
 
 
 LETTERED = """
-lt AS (SELECT query_idx, true_class, k, seed AS letter_seed, class_idx,
-         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(row_number() OVER (PARTITION BY query_idx, k, seed ORDER BY
+lt AS (SELECT query_split, query_idx, true_class, k, seed AS letter_seed, class_idx,
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST(row_number() OVER (PARTITION BY query_split, query_idx, k, seed ORDER BY
            md5(concat_ws(':', CAST(seed AS VARCHAR), CAST(query_idx AS VARCHAR), CAST(k AS VARCHAR), CAST(class_idx AS VARCHAR))), class_idx) AS BIGINT), 1) AS letter
        FROM members CROSS JOIN (SELECT unnest([42, 43, 44]) AS seed)),
-tr AS (SELECT c.condition, lt.query_idx, lt.k, lt.letter_seed, lt.true_class, max(CASE WHEN lt.class_idx = lt.true_class THEN letter END) AS true_letter,
+tr AS (SELECT c.condition, lt.query_split, lt.query_idx, lt.k, lt.letter_seed, lt.true_class, max(CASE WHEN lt.class_idx = lt.true_class THEN letter END) AS true_letter,
          first(letter ORDER BY s + 0.02 * ascii(letter) / 65 DESC, letter) AS pred_letter,
          max(exp(s + 0.02 * ascii(letter) / 65)) / sum(exp(s + 0.02 * ascii(letter) / 65)) AS probability
-       FROM lt JOIN cond c ON c.query_idx = lt.query_idx AND c.class_idx = lt.class_idx GROUP BY 1, 2, 3, 4, 5),
+       FROM lt JOIN cond c ON c.query_split = lt.query_split AND c.query_idx = lt.query_idx AND c.class_idx = lt.class_idx GROUP BY 1, 2, 3, 4, 5, 6),
 trials AS (SELECT *, CASE WHEN condition = 'top1' AND query_idx % 20 = 0 AND letter_seed = 44 THEN NULL ELSE pred_letter = true_letter END AS correct FROM tr)
 """
 
@@ -58,9 +59,9 @@ trials AS (SELECT *, CASE WHEN condition = 'top1' AND query_idx % 20 = 0 AND let
 def _trials(w):
     """Multiple-choice trials: letters by hash, the prediction is the best option with a small bias to late letters."""
     lettered = labelsets.letters(w.sets, [42, 43, 44])
-    c = w.conditions.select("condition", "query_idx", "scores")
-    x = lettered.join(c, "query_idx").withColumn("s", S.at(F.col("scores"), F.col("class_idx")) + 0.02 * F.ascii("letter") / 65)
-    t = x.groupBy("condition", "query_idx", "k", "letter_seed", "true_class").agg(
+    c = w.conditions.select("condition", "query_split", "query_idx", "scores")
+    x = lettered.join(c, ["query_split", "query_idx"]).withColumn("s", S.at(F.col("scores"), F.col("class_idx")) + 0.02 * F.ascii("letter") / 65)
+    t = x.groupBy("condition", "query_split", "query_idx", "k", "letter_seed", "true_class").agg(
         F.max(F.when(F.col("class_idx") == F.col("true_class"), F.col("letter"))).alias("true_letter"),
         F.max_by("letter", F.struct("s", -F.ascii("letter"))).alias("pred_letter"), (F.max(F.exp("s")) / F.sum(F.exp("s"))).alias("probability"),
     )
@@ -232,7 +233,7 @@ def e8_choice_macro(spark, sf_dir):
 
 @query(base("test") + LETTERED + """
 , d AS (SELECT t.k, t.query_idx, avg(CAST(t.correct AS DOUBLE) - CAST(c.correct AS DOUBLE)) AS d, count(*) AS trials FROM trials t JOIN trials c
-   ON t.k = c.k AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' AND t.correct IS NOT NULL AND c.correct IS NOT NULL GROUP BY t.k, t.query_idx),
+   ON t.k = c.k AND t.query_split = c.query_split AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' AND t.correct IS NOT NULL AND c.correct IS NOT NULL GROUP BY t.k, t.query_split, t.query_idx),
 g AS (SELECT k, count(*) AS clusters, CAST(sum(trials) AS BIGINT) AS trials, avg(d) AS difference, coalesce(stddev_samp(d), 0) / sqrt(count(*)) AS se FROM d GROUP BY k)
 SELECT CAST(k AS INTEGER) AS k, clusters, trials, round(difference, 6) + 0.0 AS difference, round(se, 6) AS se, round(difference - 1.959963984540054 * se, 6) + 0.0 AS low, round(difference + 1.959963984540054 * se, 6) + 0.0 AS high FROM g
 """)
@@ -243,23 +244,26 @@ def e9_clustered_difference(spark, sf_dir):
 @query(base("test") + LETTERED + """
 SELECT CAST(t.k AS INTEGER) AS k, CAST(t.letter_seed AS INTEGER) AS letter_seed, count(*) FILTER (t.correct AND c.correct) AS both, count(*) FILTER (t.correct AND NOT c.correct) AS treatment_only,
    count(*) FILTER (NOT t.correct AND c.correct) AS control_only, count(*) FILTER (NOT t.correct AND NOT c.correct) AS neither
-FROM trials t JOIN trials c ON t.k = c.k AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' GROUP BY t.k, t.letter_seed
+FROM trials t JOIN trials c ON t.k = c.k AND t.query_split = c.query_split AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' GROUP BY t.k, t.letter_seed
 """)
 def e9_seed_transitions(spark, sf_dir):
     return evaluate.seed_transitions(_trials(_world(spark, sf_dir, "test")), "top1", "zero_shot").drop("difference", "p")
 
 
-@query(base("test") + LETTERED + """
-, f AS (SELECT query_idx, bool_or(example_class = true_class) AS has, first(example_class = true_class ORDER BY position) AS same, first(example_class ORDER BY position) AS c1 FROM pools GROUP BY query_idx)
-SELECT CAST(t.k AS INTEGER) AS k, count(*) AS trials, count(DISTINCT t.query_idx) AS queries, count(DISTINCT letter_seed) AS seeds, round(avg(CAST(has AS DOUBLE)) FILTER (letter_seed = 42), 6) AS pool_has_true_rate,
-   round(avg(CAST(m.class_idx IS NOT NULL AS DOUBLE)) FILTER (letter_seed = 42), 6) AS in_options_rate, round(avg(CAST(same AS DOUBLE)) FILTER (letter_seed = 42), 6) AS same_class_rate
-FROM trials t JOIN f ON f.query_idx = t.query_idx LEFT JOIN members m ON m.query_idx = t.query_idx AND m.k = t.k AND m.class_idx = f.c1 WHERE t.condition = 'zero_shot' GROUP BY t.k
+@query(base("test", "val") + CONTROLS + "," + LETTERED + """
+, f AS (SELECT query_split, query_idx, k, bool_or(example_class = true_class) AS has, first(example_class = true_class ORDER BY position) AS same FROM rp GROUP BY query_split, query_idx, k)
+SELECT CAST(t.k AS INTEGER) AS k, count(*) AS trials, count(DISTINCT (t.query_split, t.query_idx)) AS queries, count(DISTINCT letter_seed) AS seeds, round(avg(CAST(has AS DOUBLE)) FILTER (letter_seed = 42), 6) AS pool_has_true_rate,
+   round(avg(CAST(top1_in_options AS DOUBLE)) FILTER (letter_seed = 42), 6) AS in_options_rate, round(avg(CAST(same AS DOUBLE)) FILTER (letter_seed = 42), 6) AS same_class_rate
+FROM trials t LEFT JOIN f ON f.query_split = t.query_split AND f.query_idx = t.query_idx AND f.k = t.k JOIN ctl ON ctl.query_split = t.query_split AND ctl.query_idx = t.query_idx AND ctl.k = t.k
+WHERE t.condition = 'zero_shot' GROUP BY t.k
 """)
 def e10_first_trial_rates(spark, sf_dir):
-    w = _world(spark, sf_dir, "test")
-    facts = retrieval.pool_facts(w.pool).select("query_idx", F.col("has_true").alias("pool_has_true"), "top1_same_class")
-    inside = retrieval.controls(w.pool, w.sets.select("query_idx", "k", "classes"), 9).select("query_idx", "k", "top1_in_options")
-    t = _trials(w).filter("condition = 'zero_shot'").join(facts, "query_idx").join(inside, ["query_idx", "k"])
+    """Rates over the pools restricted to each query's class set."""
+    w, key = _world(spark, sf_dir, "test", "val"), ["query_split", "query_idx", "k"]
+    pool = retrieval.restricted(w.queries, w.gallery, w.sets, POOL)
+    facts = retrieval.pool_facts(pool, key).select(*key, F.col("has_true").alias("pool_has_true"), "top1_same_class")
+    inside = retrieval.controls(w.queries, w.gallery, w.sets, 9, POOL).select(*key, "top1_in_options")
+    t = _trials(w).filter("condition = 'zero_shot'").join(facts, key, "left").join(inside, key)
     return rounded(evaluate.first_trial_rates(t))
 
 
@@ -288,37 +292,61 @@ SELECT selector, round(avg(CAST(example_class = true_class AS DOUBLE)), 6) AS sa
 FROM sel JOIN b USING (query_idx) GROUP BY selector
 """)
 def e13_selector_stats(spark, sf_dir):
-    return rounded(evaluate.selector_stats(_world(spark, sf_dir, "test", "val").selections(), "top1"))
+    return rounded(evaluate.selector_stats(_world(spark, sf_dir, "test", "val").picked, "top1"))
 
 
 @query(base("test", "val") + CAND + END + """
 SELECT query_split, query_idx, string_agg(CAST(example_idx AS VARCHAR), ',' ORDER BY example_idx) AS exemplars FROM (SELECT DISTINCT query_split, query_idx, example_idx FROM sel) GROUP BY query_split, query_idx
 """)
 def e14_selections(spark, sf_dir):
-    return evaluate.distinct_exemplars(_world(spark, sf_dir, "test", "val").selections()).withColumn("exemplars", text("exemplars"))
+    return evaluate.distinct_exemplars(_world(spark, sf_dir, "test", "val").picked).withColumn("exemplars", text("exemplars"))
 
 
 @query(base("test") + CAND + END + "SELECT selector AS condition, query_idx, example_idx, correct, round(margin, 6) AS margin FROM sel")
 def e15_condition_views(spark, sf_dir):
     w = _world(spark, sf_dir, "test")
-    views = evaluate.condition_views(w.selections().drop("scores", "correct"), w.pair.select("query_split", "query_idx", "example_idx", "scores"))
+    views = evaluate.condition_views(w.picked.drop("scores", "correct"), w.pair.select("query_split", "query_idx", "example_idx", "scores"))
     return rounded(evaluate.measure(views).select("condition", "query_idx", "example_idx", "m.correct", "m.margin"))
 
 
-@query(base("test") + CAND + """
-s AS (SELECT s.selector, s.query_idx, s.true_class, s.correct FROM sel s),
-r AS (SELECT selector AS condition, 'accuracy' AS metric, avg(CAST(correct AS DOUBLE)) AS value FROM s GROUP BY selector UNION ALL SELECT selector, 'n', count(*) FROM s GROUP BY selector
-  UNION ALL SELECT selector, 'macro_accuracy', avg(a) FROM (SELECT selector, true_class, avg(CAST(correct AS DOUBLE)) AS a FROM s GROUP BY selector, true_class) GROUP BY selector
-  UNION ALL SELECT 'scorer', 'paired_difference', avg(CAST(a.correct AS DOUBLE) - CAST(b.correct AS DOUBLE)) FROM s a JOIN s b ON a.query_idx = b.query_idx AND a.selector = 'scorer' AND b.selector = 'top1'
-  UNION ALL SELECT 'all', 'distinct_exemplars', avg(n) FROM (SELECT query_idx, count(DISTINCT example_idx) AS n FROM sel GROUP BY query_idx))
-SELECT condition, metric, round(value, 6) + 0.0 AS value FROM r
-""")
+REPORT = CAND + """
+scond AS (SELECT 'zero_shot' AS condition, query_split, query_idx, true_class, class_idx, s FROM zero
+  UNION ALL SELECT k.selector, p.query_split, p.query_idx, p.true_class, p.class_idx, p.s FROM picks k JOIN pair p ON p.query_split = k.query_split AND p.query_idx = k.query_idx AND p.position = k.position),
+scondk AS (SELECT CAST(0 AS BIGINT) AS k, scond.* FROM scond UNION ALL SELECT m.k, c.* FROM scond c JOIN members m ON m.query_split = c.query_split AND m.query_idx = c.query_idx AND m.class_idx = c.class_idx),
+""" + metrics("rm", "scondk", "condition, k, query_split, query_idx") + """
+du AS (SELECT a.condition, a.k, a.correct AS t, b.correct AS c FROM rm a JOIN rm b ON a.k = b.k AND a.query_split = b.query_split AND a.query_idx = b.query_idx
+  AND b.condition = CASE WHEN a.condition = 'top1' THEN 'zero_shot' ELSE 'top1' END WHERE a.condition <> 'zero_shot'),
+bs AS (SELECT query_split, query_idx, example_idx AS base FROM sel WHERE selector = 'top1'),
+st AS (SELECT selector, avg(CAST(example_class = true_class AS DOUBLE)) AS same_class_rate, avg(CAST(example_idx = base AS DOUBLE)) AS agreement, avg(position) AS mean_position, avg(CAST(pool_has_true AS DOUBLE)) AS pool_has_true_rate,
+  avg(CAST(correct AS DOUBLE)) FILTER (pool_has_true) AS accuracy_has, avg(CAST(correct AS DOUBLE)) FILTER (NOT pool_has_true) AS accuracy_lacks FROM sel JOIN bs USING (query_split, query_idx) GROUP BY selector),
+r AS (
+  SELECT condition, k, unnest(['n', 'accuracy', 'top5', 'mrr', 'mean_rank', 'median_rank', 'mean_probability', 'mean_margin', 'mean_gap', 'mean_entropy', 'mean_effective_classes']) AS metric,
+    unnest([CAST(count(*) AS DOUBLE), avg(CAST(correct AS DOUBLE)), avg(CAST(true_rank <= 5 AS DOUBLE)), avg(1.0 / true_rank), avg(true_rank), median(true_rank), avg(probability), avg(margin), avg(gap), avg(entropy), avg(exp(entropy))]) AS value
+  FROM rm GROUP BY condition, k
+  UNION ALL SELECT condition, k, 'macro_accuracy', avg(a) FROM (SELECT condition, k, true_class, avg(CAST(correct AS DOUBLE)) AS a FROM rm GROUP BY condition, k, true_class) GROUP BY condition, k
+  UNION ALL SELECT condition, k, unnest(['paired_difference', 'paired_treatment_only', 'paired_control_only']), unnest([avg(CAST(t AS DOUBLE)) - avg(CAST(c AS DOUBLE)), count(*) FILTER (t AND NOT c), count(*) FILTER (c AND NOT t)]) FROM du GROUP BY condition, k
+  UNION ALL SELECT selector, 0, unnest(['selection_same_class_rate', 'selection_agreement', 'selection_mean_position', 'selection_pool_has_true_rate', 'selection_accuracy_has', 'selection_accuracy_lacks']),
+    unnest([same_class_rate, agreement, mean_position, pool_has_true_rate, accuracy_has, accuracy_lacks]) FROM st
+  UNION ALL SELECT 'all', 0, 'distinct_exemplars', avg(n) FROM (SELECT query_split, query_idx, count(DISTINCT example_idx) AS n FROM sel GROUP BY query_split, query_idx))
+"""
+
+
+def _report(w):
+    z = w.zero.select("query_split", "query_idx", "true_class", F.lit("zero_shot").alias("condition"), "scores")
+    s = w.picked.select("query_split", "query_idx", "true_class", F.col("selector").alias("condition"), "scores")
+    return evaluate.held_out_report(z.unionByName(s), w.sets, w.picked, "top1", "zero_shot")
+
+
+@query(base("test") + REPORT + "SELECT condition, CAST(nullif(k, 0) AS INTEGER) AS k, metric, round(value, 6) + 0.0 AS value FROM r")
 def e16_held_out_report(spark, sf_dir):
-    w = _world(spark, sf_dir, "test")
-    s = w.selections()
-    m = evaluate.measure(s.withColumnRenamed("selector", "condition"))
-    report = evaluate.held_out_report(m, "scorer", "top1", s)
-    return rounded(report.filter(F.col("metric").isin("accuracy", "n", "macro_accuracy", "paired_difference", "distinct_exemplars")))
+    """Summaries over all classes and for every k, paired comparisons, selections; drawn intervals and p have their own queries."""
+    return rounded(_report(_world(spark, sf_dir, "test")).filter(~F.col("metric").isin("paired_p", "paired_low", "paired_high")))
+
+
+@query()
+def e16_report_intervals(spark, sf_dir):
+    """The report's exact p and bootstrap intervals, which SQL can't draw."""
+    return rounded(_report(_world(spark, sf_dir, "test")).filter(F.col("metric").isin("paired_p", "paired_low", "paired_high")))
 
 
 CANDK = """
@@ -408,19 +436,21 @@ def e23_kendall(spark, sf_dir):
 
 @query(base("test", "val") + CAND + """
 q AS (SELECT query_idx, first(correct ORDER BY score DESC, position) AS sc, first(margin ORDER BY score DESC, position) AS sm, first(target ORDER BY score DESC, position) AS stt, first(position ORDER BY score DESC, position) AS p,
-  first(correct ORDER BY position) AS t1, bool_or(correct) AS hit, max(margin) AS bm, max(target) AS bt, first(position ORDER BY margin DESC, position) AS mp, first(correct ORDER BY margin DESC, position) AS oc FROM cand GROUP BY query_idx)
+  first(correct ORDER BY position) AS t1, bool_or(correct) AS hit, max(margin) AS bm, max(target) AS bt, first(position ORDER BY margin DESC, position) AS mp, first(position ORDER BY target DESC, position) AS tp, first(correct ORDER BY margin DESC, position) AS oc FROM cand GROUP BY query_idx),
+sr AS (SELECT query_idx, coalesce(corr(ra, rb), 0) AS rho FROM (SELECT query_idx, rank() OVER (PARTITION BY query_idx ORDER BY score) + (count(*) OVER (PARTITION BY query_idx, score) - 1) / 2.0 AS ra,
+  rank() OVER (PARTITION BY query_idx ORDER BY margin) + (count(*) OVER (PARTITION BY query_idx, margin) - 1) / 2.0 AS rb FROM cand) GROUP BY query_idx)
 SELECT count(*) AS queries, round(avg(CAST(sc AS DOUBLE)), 6) AS selected_accuracy, round(avg(CAST(t1 AS DOUBLE)), 6) AS top1_accuracy, round(avg(CAST(oc AS DOUBLE)), 6) AS pool_oracle_accuracy, round(avg(CAST(hit AS DOUBLE)), 6) AS any_correct,
-  round(avg(sm), 6) AS mean_selected_margin, round(avg(bm - sm), 6) AS mean_margin_regret, round(avg(CAST(p = mp AS DOUBLE)), 6) AS margin_agreement, round(avg(bt - stt), 6) AS mean_target_regret FROM q
+  round(avg(sm), 6) AS mean_selected_margin, round(avg(bm - sm), 6) AS mean_margin_regret, round(avg(CAST(p = mp AS DOUBLE)), 6) AS margin_agreement, round(avg(CAST(p = tp AS DOUBLE)), 6) AS target_agreement, round(avg(bt - stt), 6) AS mean_target_regret, round(avg(rho), 6) AS mean_margin_spearman FROM q JOIN sr USING (query_idx)
 """)
 def e24_selection_metrics(spark, sf_dir):
-    return rounded(evaluate.selection_metrics(_world(spark, sf_dir, "test", "val").cand, "score", "target").drop("target_agreement"))
+    return rounded(evaluate.selection_metrics(_world(spark, sf_dir, "test", "val").cand, "score", "target"))
 
 
 @query(base() + CAND + """
-q AS (SELECT query_split, query_idx, bool_or(z_correct) AS z, first(correct ORDER BY position) AS t1, bool_or(correct) AS hit, bool_and(correct) AS al FROM cand GROUP BY query_split, query_idx),
-a AS (SELECT query_split, count(*) AS queries, avg(CAST(z AS DOUBLE)) AS za, avg(CAST(t1 AS DOUBLE)) AS t1a, avg(CAST(hit AS DOUBLE)) AS ha, avg(CAST(hit AND NOT al AS DOUBLE)) AS cr FROM q GROUP BY query_split),
+q AS (SELECT query_split, query_idx, bool_or(z_correct) AS z, first(correct ORDER BY position) AS t1, bool_or(correct) AS hit, first(position ORDER BY margin DESC, position) AS op, bool_or(margin - z_margin > 0) AS up, bool_or(margin - z_margin <= 0) AS down FROM cand GROUP BY query_split, query_idx),
+a AS (SELECT query_split, count(*) AS queries, avg(CAST(z AS DOUBLE)) AS za, avg(CAST(t1 AS DOUBLE)) AS t1a, avg(CAST(hit AS DOUBLE)) AS ha, avg(CAST(op = 0 AS DOUBLE)) AS oa, avg(CAST(up AND down AS DOUBLE)) AS cr FROM q GROUP BY query_split),
 b AS (SELECT query_split, count(*) AS pairs, avg(CAST(correct AS DOUBLE)) AS pa, avg(CAST(example_class = true_class AS DOUBLE)) AS sr, avg(CAST(margin > z_margin AS DOUBLE)) AS pr FROM cand GROUP BY query_split)
-SELECT query_split, queries, round(za, 6) AS zero_accuracy, round(t1a, 6) AS top1_accuracy, round(ha, 6) AS any_correct, round(cr, 6) AS contrastive_rate, pairs, round(pa, 6) AS pair_accuracy, round(sr, 6) AS same_class_rate,
+SELECT query_split, queries, round(za, 6) AS zero_accuracy, round(t1a, 6) AS top1_accuracy, round(ha, 6) AS any_correct, round(oa, 6) AS oracle_at_top1, round(cr, 6) AS contrastive_rate, pairs, round(pa, 6) AS pair_accuracy, round(sr, 6) AS same_class_rate,
   round(pr, 6) AS positive_increment_rate FROM a JOIN b USING (query_split)
 """)
 def e25_teacher_summary(spark, sf_dir):
@@ -428,13 +458,25 @@ def e25_teacher_summary(spark, sf_dir):
 
 
 @query(base() + CAND + """
-v AS (SELECT query_split, 'margin' AS "column", margin AS v FROM cand UNION ALL SELECT query_split, 'probability', probability FROM cand UNION ALL SELECT query_split, 'increment', margin - z_margin FROM cand)
+v AS (SELECT query_split, 'margin' AS "column", margin AS v FROM cand UNION ALL SELECT query_split, 'true_probability', probability FROM cand UNION ALL SELECT query_split, 'incremental_margin', margin - z_margin FROM cand
+  UNION ALL SELECT query_split, 'incremental_true_probability', probability - z_probability FROM cand UNION ALL SELECT query_split, 'incremental_true_log_probability', log_probability - z_log_probability FROM cand)
 SELECT query_split, "column", round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS min, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95,
   round(max(v), 6) AS max FROM v GROUP BY query_split, "column"
 """)
 def e25_distributions(spark, sf_dir):
-    c = {"margin": F.col("m.margin"), "probability": F.col("m.probability"), "increment": F.col("m.margin") - F.col("z.margin")}
-    return rounded(evaluate.distribution(_world(spark, sf_dir).cand, "query_split", c))
+    return rounded(evaluate.teacher_distributions(_world(spark, sf_dir).cand))
+
+
+@query(base() + END + """
+SELECT field, value, count(*) AS n FROM (SELECT 'scoring_mode' AS field, CASE WHEN query_idx % 3 = 0 THEN 'cached_prefix' ELSE 'full_sequence_batch' END AS value FROM zero WHERE class_idx = 0
+  UNION ALL SELECT 'scoring_batch_size', CAST(CASE WHEN query_idx % 4 = 0 THEN 4 ELSE 8 END AS VARCHAR) FROM zero WHERE class_idx = 0) GROUP BY field, value
+""")
+def e25_scoring_counts(spark, sf_dir):
+    """How many records were scored in which mode and batch size (here derived from the query's number)."""
+    mode = F.when(F.col("query_idx") % 3 == 0, "cached_prefix").otherwise("full_sequence_batch")
+    size = F.when(F.col("query_idx") % 4 == 0, 4).otherwise(8)
+    records = _world(spark, sf_dir).zero.withColumns({"scoring_mode": mode, "scoring_batch_size": size})
+    return evaluate.scoring_counts(records, ["scoring_mode", "scoring_batch_size"])
 
 
 @query(base("test", "val") + CAND + END + "SELECT query_idx, position, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, position) - 1 AS INTEGER) AS rank FROM cand")
@@ -455,7 +497,7 @@ SELECT count(*) AS n, round(avg(CAST(a.example_idx = b.example_idx AS DOUBLE)),
   round(avg(CAST(b.correct AS DOUBLE)), 6) AS accuracy_b FROM sel a JOIN sel b ON a.query_idx = b.query_idx WHERE a.selector = 'scorer' AND b.selector = 'label_match'
 """)
 def e28_compare_selectors(spark, sf_dir):
-    return rounded(evaluate.compare_selectors(_world(spark, sf_dir, "test", "val").selections(), "scorer", "label_match"))
+    return rounded(evaluate.compare_selectors(_world(spark, sf_dir, "test", "val").picked, "scorer", "label_match"))
 
 
 @query(base("test", "val") + CAND + END + "SELECT s.query_split, s.query_idx, s.position, s.example_idx, s.example_class AS class_idx, round(q.sim, 6) AS score FROM sel s JOIN qc q ON q.query_idx = s.query_idx AND q.class_idx = s.example_class WHERE selector = 'label_match'")
@@ -484,12 +526,12 @@ def _history(spark, sf_dir):
     )
 
 
-@query(HISTORY + """,
-k AS (SELECT *, round(primary_metric, 12) * 1000 + secondary_metric AS key FROM h),
-i AS (SELECT *, max(key) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k),
-l AS (SELECT *, before IS NULL OR key > before AS improved, max(CASE WHEN before IS NULL OR key > before THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS last FROM i),
-s AS (SELECT run_id, min(epoch) FILTER (epoch - last >= 3) AS stop_epoch FROM l GROUP BY run_id)
-SELECT l.run_id, max(epoch) FILTER (improved) AS best_epoch, max(s.stop_epoch) AS stop_epoch, max(epoch) AS last_epoch FROM l JOIN s ON s.run_id = l.run_id WHERE s.stop_epoch IS NULL OR epoch <= s.stop_epoch GROUP BY l.run_id
+@query(HISTORY.replace("WITH h", "WITH RECURSIVE h") + """,
+w AS (SELECT run_id, epoch, primary_metric AS bp, secondary_metric AS bs, epoch AS best, 0 AS since, CAST(NULL AS INTEGER) AS stop FROM h WHERE epoch = 1
+  UNION ALL SELECT run_id, epoch, CASE WHEN better THEN p ELSE bp END, CASE WHEN better THEN s ELSE bs END, CASE WHEN better THEN epoch ELSE best END, CASE WHEN better THEN 0 ELSE since + 1 END, CASE WHEN NOT better AND since + 1 >= 3 THEN epoch END
+  FROM (SELECT w.run_id, h.epoch, w.bp, w.bs, w.best, w.since, h.primary_metric AS p, h.secondary_metric AS s,
+          h.primary_metric > w.bp OR (abs(h.primary_metric - w.bp) <= 1e-12 AND h.secondary_metric > w.bs) AS better FROM w JOIN h ON h.run_id = w.run_id AND h.epoch = w.epoch + 1 WHERE w.stop IS NULL))
+SELECT run_id, last(best ORDER BY epoch) AS best_epoch, max(stop) AS stop_epoch, max(epoch) AS last_epoch FROM w GROUP BY run_id
 """)
 def e31_best_epoch(spark, sf_dir):
     return evaluate.best_epochs(_history(spark, sf_dir), 3)
@@ -513,7 +555,7 @@ t AS (SELECT query_idx, example_class = true_class AS t1 FROM sel WHERE selector
 SELECT selector, example_class = true_class AS pick_same_class, t1 AS top1_same_class, count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM sel JOIN t USING (query_idx) GROUP BY 1, 2, 3
 """)
 def e34_selector_breakdown(spark, sf_dir):
-    return rounded(evaluate.selector_breakdown(_world(spark, sf_dir, "test", "val").selections(), "top1"))
+    return rounded(evaluate.selector_breakdown(_world(spark, sf_dir, "test", "val").picked, "top1"))
 
 
 @query(base("test", "val") + CAND + """
@@ -521,4 +563,4 @@ b AS (SELECT selector, CAST(position >= 1 AS INTEGER) + CAST(position >= 5 AS IN
 SELECT selector, bucket, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY selector) AS DOUBLE), 6) AS share FROM b GROUP BY selector, bucket
 """)
 def e34_position_buckets(spark, sf_dir):
-    return rounded(evaluate.position_buckets(_world(spark, sf_dir, "test", "val").selections(), [1, 5, 15]))
+    return rounded(evaluate.position_buckets(_world(spark, sf_dir, "test", "val").picked, [1, 5, 15]))
