@@ -100,13 +100,14 @@ def validate_teacher(records: DataFrame, k: int, pool_size: int, n_classes: int)
     return checked.unpivot(["query_split", "query_idx"], list(rules), "rule", "ok").filter("NOT ok").drop("ok")
 
 
-def table_violations(vectors: DataFrame, pool: DataFrame) -> DataFrame:
-    """(rule, n): mixed dimensions, non-finite vectors, pool rows whose ids don't exist, empty pools."""
+def table_violations(vectors: DataFrame, pool: DataFrame, gallery_split: str = "train") -> DataFrame:
+    """(rule, n): mixed dimensions, non-finite vectors, pool rows whose ids don't exist in the gallery, queries without a pool."""
     sizes = vectors.agg((F.count_distinct(F.size("vec")) - 1).alias("n")).select(F.lit("dimensions").alias("rule"), F.greatest(F.col("n"), F.lit(0)).alias("n"))
     odd = vectors.filter(~finite(F.col("vec"))).agg(F.count(F.lit(1)).alias("n")).select(F.lit("finite").alias("rule"), "n")
-    unknown = pool.join(vectors, "example_idx", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown_id").alias("rule"), "n")
-    lonely = vectors.filter("split <> 'train'").join(pool.select(F.col("query_idx").alias("example_idx")), "example_idx", "left_anti")
-    empty = lonely.agg(F.count(F.lit(1)).alias("n")).select(F.lit("empty_pool").alias("rule"), "n")
+    gallery = vectors.filter(F.col("split") == gallery_split).select("example_idx")
+    unknown = pool.join(gallery, "example_idx", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown_id").alias("rule"), "n")
+    queries = vectors.filter(F.col("split") != gallery_split).select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"))
+    empty = queries.join(pool, ["query_split", "query_idx"], "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("empty_pool").alias("rule"), "n")
     return sizes.unionByName(odd).unionByName(unknown).unionByName(empty)
 
 
@@ -114,10 +115,18 @@ def alignment(examples: DataFrame, embeddings: DataFrame, key: str) -> DataFrame
     """(rule, n): examples without an embedding, embeddings without an example, more than one model."""
     a = examples.join(embeddings, key, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("no_embedding").alias("rule"), "n")
     b = embeddings.join(examples, key, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("no_example").alias("rule"), "n")
-    m = embeddings.agg(F.count_distinct("model_name").alias("n")).select(F.lit("models").alias("rule"), (F.col("n") - 1).alias("n"))
+    m = embeddings.agg(F.count_distinct("model_name").alias("n")).select(F.lit("models").alias("rule"), F.greatest(F.col("n") - 1, F.lit(0)).alias("n"))
     return a.unionByName(b).unionByName(m)
 
 
+def order_violations(stored: DataFrame, expected: DataFrame, place: str, value: str, rule: str = "class_order") -> DataFrame:
+    """(rule, n): places where two ordered lists (of class names, of ids) differ or only one has a value."""
+    a = stored.select(F.col(place).alias("p"), F.col(value).alias("a"), F.lit(1).alias("ha"))
+    b = expected.select(F.col(place).alias("p"), F.col(value).alias("b"), F.lit(1).alias("hb"))
+    differ = F.col("ha").isNull() | F.col("hb").isNull() | ~F.col("a").eqNullSafe(F.col("b"))
+    return a.join(b, "p", "full").filter(differ).agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+
+
 def difference(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     """Rows of either table that the other lacks, with multiplicity."""
     columns = stored.columns
@@ -156,8 +165,13 @@ def fingerprint_tree(rows: DataFrame, by: str, order: str, value: str, block: in
 
 
 def fingerprint_large(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """The same purpose without gathering a group: an exclusive-or of the hashes of (place, value)."""
-    return rows.groupBy(by).agg(F.bit_xor(F.xxhash64(order, value)).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    """The same purpose without gathering a group: the sums of two 64-bit hashes of every (place, value), and their number.
+
+    A sum, other than an exclusive-or, doesn't cancel equal pairs; ``order`` is to be unique in its group.
+    """
+    part = lambda i: F.sum(F.xxhash64(F.lit(i), order, value).cast("decimal(38,0)"))
+    n = F.count(F.lit(1))
+    return rows.groupBy(by).agg(F.sha2(F.concat_ws(":", part(1).cast("string"), part(2).cast("string"), n.cast("string")), 256).alias("fingerprint"), n.alias("n"))
 
 
 def top1_violations(pool: DataFrame, stored: DataFrame, done: DataFrame) -> DataFrame:

@@ -78,12 +78,13 @@ def stratified_split(examples: DataFrame, key: str, column: str, train: float, v
     return placed.withColumn("split", F.when(rn <= a, "train").when(rn <= a + b, "val").otherwise("test")).drop("__n", "__rn", "__class_n")
 
 
-def ranked(rows: DataFrame, key: str, column: str, seed: int, ranges: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, key: str, column: str, seed: int, range_rows: int = 1_000_000) -> DataFrame:
     """``__rn``: the row's place (from 1) in its class by drawn order, ``__class_n``: the class's size; in two stages.
 
-    The drawn order is cut into ranges by its first digits; only (class, range) groups are ordered, and range counts give
-    the offsets.
+    The drawn order is cut by its first digits into so many ranges that even a class with all rows has about ``range_rows`` in
+    each; only (class, range) groups are ordered, and range counts give the offsets.
     """
+    ranges = min(65536, max(64, -(-rows.count() // range_rows)))
     drawn = rows.withColumn("__draw", draw(seed, key))
     drawn = drawn.withColumn("__range", F.floor(F.conv(F.substring("__draw", 1, 4), 16, 10).cast("int") * ranges / 65536).cast("int"))
     counts = drawn.groupBy(column, "__range").agg(F.count(F.lit(1)).alias("__n"))

@@ -33,12 +33,20 @@ def io1_read_parts(spark, sf_dir):
 
 @query("""
 SELECT 'no_embedding' AS rule, count(*) FILTER (vec_id % 7 = 0) AS n FROM embeddings
-UNION ALL SELECT 'no_example', CAST(0 AS BIGINT) UNION ALL SELECT 'models', CAST(0 AS BIGINT)
+UNION ALL SELECT 'no_example', count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 100 = 3) FROM embeddings
+UNION ALL SELECT 'models', count(DISTINCT CASE WHEN vec_id % 50 = 9 THEN 'n' ELSE 'm' END) - 1 FROM embeddings WHERE vec_id % 7 <> 0
+UNION ALL SELECT 'class_order', count(*) FILTER (n_name <> CASE n_nationkey WHEN 3 THEN (SELECT n_name FROM nation WHERE n_nationkey = 4) WHEN 4 THEN (SELECT n_name FROM nation WHERE n_nationkey = 3) ELSE n_name END OR n_nationkey = 7) FROM nation
 """)
 def io2_alignment(spark, sf_dir):
+    """Embeddings with gaps, strangers and two models; class names with two swapped and one missing."""
     e = table(spark, sf_dir, "embeddings")
-    kept = e.filter("vec_id % 7 <> 0").select("vec_id", F.lit("m").alias("model_name"))
-    return integrity.alignment(e.select("vec_id"), kept, "vec_id")
+    model = F.when(F.col("vec_id") % 50 == 9, "n").otherwise("m")
+    kept = e.filter("vec_id % 7 <> 0").select("vec_id", model.alias("model_name"))
+    found = integrity.alignment(e.filter("vec_id % 7 = 0 OR vec_id % 100 <> 3").select("vec_id"), kept, "vec_id")
+    names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    place = F.when(F.col("n_nationkey") == 3, 4).when(F.col("n_nationkey") == 4, 3).otherwise(F.col("n_nationkey"))
+    stored = names.withColumn("n_nationkey", place).filter("n_nationkey <> 7")
+    return found.unionByName(integrity.order_violations(stored, names, "n_nationkey", "n_name"))
 
 
 @query(f"SELECT o_orderkey AS global_idx, {SPLIT10} AS split FROM orders")
@@ -50,7 +58,7 @@ def io3_split_file(spark, sf_dir):
 
 
 @query(base("test", "val") + CAND + """
-x AS (SELECT 1) SELECT query_split, count(*) AS candidates, count(DISTINCT query_idx) AS queries FROM cand GROUP BY query_split
+x AS (SELECT 1) SELECT query_split, count(*) AS candidates, count(DISTINCT query_idx) AS queries, (SELECT count(*) FROM examples) AS vectors, (SELECT count(*) FROM class_vectors) AS class_vectors FROM cand GROUP BY query_split
 """)
 def io4_teacher_artifact(spark, sf_dir):
     return _teacher_artifact(spark, World(spark, sf_dir, ["test", "val"]))
@@ -65,10 +73,12 @@ def io4_teacher_artifact_whole(spark, sf_dir):
 def _teacher_artifact(spark, w):
     place = scratch.new(spark, "teacher")
     c = w.cand.select("query_split", "query_idx", "position", "example_idx", "scores", "margin")
-    artifacts.write_teacher(w.zero, c, c.groupBy("query_split").count(), place)
+    features = {"vectors": w.ex, "class_vectors": w.cv}
+    artifacts.write_teacher(w.zero, c, features, evaluate.teacher_summary(w.cand), place)
     back = spark.read.parquet(f"{place}/candidates").groupBy("query_split").agg(F.count(F.lit(1)).alias("candidates"))
     n = spark.read.parquet(f"{place}/queries").groupBy("query_split").agg(F.count_distinct("query_idx").alias("queries"))
-    return back.join(n, "query_split")
+    sizes = [spark.read.parquet(f"{place}/features/{name}").agg(F.count(F.lit(1)).alias(name)) for name in features]
+    return back.join(n, "query_split").crossJoin(sizes[0]).crossJoin(sizes[1])  # one row each
 
 
 @query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """
@@ -78,7 +88,20 @@ def io5_results(spark, sf_dir):
     s = evaluate.summarize(evaluate.measure(World(spark, sf_dir, ["test"]).conditions), ["condition"])
     long = s.select("condition", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     place = artifacts.write_results(long, "run-1", scratch.new(spark, "results"))
-    return rounded(spark.read.parquet(place).select("run_id", "condition", "metric", "value"))
+    return rounded(spark.read.parquet(f"{place}/metrics").select("run_id", "condition", "metric", "value"))
+
+
+@query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """
+x AS (SELECT 1) SELECT condition, metric, round(value, 6) AS value, (SELECT count(*) FROM m) AS records FROM (
+  SELECT condition, unnest(['accuracy', 'mean_margin', 'n']) AS metric, unnest([avg(CAST(correct AS DOUBLE)), avg(margin), CAST(count(*) AS DOUBLE)]) AS value FROM m GROUP BY condition)
+""")
+def io5_tree_and_records(spark, sf_dir):
+    """Metrics as a JSON tree and the records beside it, written and read back."""
+    measured = evaluate.measure(World(spark, sf_dir, ["test"]).conditions)
+    s = evaluate.summarize(measured, ["condition"]).select("condition", *[F.col(c).cast("double").alias(c) for c in ("accuracy", "mean_margin", "n")])
+    place = artifacts.write_results(s.unpivot("condition", ["accuracy", "mean_margin", "n"], "metric", "value"), "run-2", scratch.new(spark, "results"), records=measured)
+    n = spark.read.parquet(f"{place}/records").agg(F.count(F.lit(1)).alias("records"))
+    return rounded(artifacts.read_tree(spark, place, "condition string").crossJoin(n))  # one row
 
 
 @query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """

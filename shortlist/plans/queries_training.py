@@ -222,15 +222,16 @@ def r5_prefix_check(spark, sf_dir):
 
 def _teacher_records(w, k=8):
     s = w.sets.filter(F.col("k") == k).select("query_split", "query_idx", "true_class", "classes")
-    z = w.zero.select("query_idx", F.col("scores").alias("zs"))
-    p = w.pair.join(s.select("query_idx", "classes"), "query_idx").withColumn("r", S.restrict(F.col("scores"), F.col("classes")))
+    key = ["query_split", "query_idx"]
+    z = w.zero.select(*key, F.col("scores").alias("zs"))
+    p = w.pair.join(s.select(*key, "classes"), key).withColumn("r", S.restrict(F.col("scores"), F.col("classes")))
     p = p.withColumn("mg", S.margin(F.col("r"), S.place_in(F.col("classes"), F.col("true_class"))))
     rows = F.array_sort(F.collect_list(F.struct("position", "example_idx", "class_idx", "r", "mg")))
-    c = p.groupBy("query_idx").agg(rows.alias("x"))
+    c = p.groupBy(*key).agg(rows.alias("x"))
     from ..operators import labelsets
 
-    ranking = labelsets.class_ranking(w.sim).groupBy("query_idx").agg(F.array_sort(F.collect_list(F.struct("rank", "class_idx"))).alias("rk"))
-    out = s.join(z, "query_idx").join(c, "query_idx").join(ranking, "query_idx")
+    ranking = labelsets.class_ranking(w.sim).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rank", "class_idx"))).alias("rk"))
+    out = s.join(z, key).join(c, key).join(ranking, key)
     return out.select(
         "query_split", "query_idx", "true_class", "classes", F.col("rk.class_idx").alias("ranking"), S.restrict(F.col("zs"), F.col("classes")).alias("zero_scores"),
         F.col("x.example_idx").alias("examples"), F.col("x.class_idx").alias("example_classes"), F.col("x.r").alias("scores"), F.col("x.mg").alias("margins"),
@@ -253,10 +254,20 @@ def r6_teacher_validation(spark, sf_dir):
     return integrity.validate_teacher(t, 8, 30, N_CLASSES)
 
 
-@query("SELECT 'dimensions' AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'finite', CAST(0 AS BIGINT) UNION ALL SELECT 'unknown_id', CAST(0 AS BIGINT) UNION ALL SELECT 'empty_pool', count(*) FROM embeddings WHERE vec_id % 10 <= 1 AND vec_id % 4 = 0")
+@query("""
+SELECT 'dimensions' AS rule, count(DISTINCT CASE WHEN vec_id % 40 = 7 THEN 63 ELSE 64 END) - 1 AS n FROM embeddings
+UNION ALL SELECT 'finite', count(*) FILTER (vec_id % 40 = 9) FROM embeddings
+UNION ALL SELECT 'unknown_id', count(*) FILTER (vec_id % 10 <= 1 AND vec_id % 4 <> 0 AND vec_id % 3 = 0) FROM embeddings
+UNION ALL SELECT 'empty_pool', count(*) FILTER (vec_id % 10 <= 1 AND vec_id % 4 = 0) FROM embeddings
+""")
 def r7_table_checks(spark, sf_dir):
+    """Tables with planted faults: short vectors, infinite numbers, unknown exemplars, missing pools."""
     w = World(spark, sf_dir, ["test", "val"])
-    return integrity.table_violations(w.ex, w.pool.filter("query_idx % 4 <> 0"))
+    i = F.col("example_idx")
+    vec = F.when(i % 40 == 7, F.slice("vec", 1, 63)).when(i % 40 == 9, F.transform("vec", lambda v, k: F.when(k == 5, float("inf")).otherwise(v))).otherwise(F.col("vec"))
+    first = (F.col("position") == 0) & (F.col("query_idx") % 3 == 0)
+    pool = w.pool.filter("query_idx % 4 <> 0").withColumn("example_idx", F.when(first, -1).otherwise(i))
+    return integrity.table_violations(w.ex.withColumn("vec", vec), pool)
 
 
 @query("""
@@ -287,7 +298,9 @@ def r10_fingerprint_tree(spark, sf_dir):
 
 @query()
 def r10_fingerprint_large(spark, sf_dir):
-    return integrity.fingerprint_large(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_partkey")
+    """The order is unique: (order, line)."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 1000 + F.col("l_linenumber"))
+    return integrity.fingerprint_large(rows, "l_returnflag", "line", "l_partkey")
 
 
 @query(STORED + "SELECT o_orderkey, first(o_orderstatus ORDER BY shard_seq DESC) AS o_orderstatus, CAST(max(shard_seq) AS INTEGER) AS shard_seq FROM sh GROUP BY o_orderkey")

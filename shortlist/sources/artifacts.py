@@ -34,24 +34,37 @@ def read_split_parts(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.explode("ids").alias("global_idx"), "split")
 
 
-def write_teacher(queries: DataFrame, candidates: DataFrame, summary: DataFrame, path: str) -> None:
-    """The training artifact: both tables partitioned by query split, the summary as JSON."""
+def write_teacher(queries: DataFrame, candidates: DataFrame, features: dict[str, DataFrame], summary: DataFrame, path: str) -> None:
+    """The training artifact: both tables partitioned by query split, the feature tables by name, the summary as JSON lines."""
     queries.write.mode("overwrite").partitionBy("query_split").parquet(f"{path}/queries")
     candidates.write.mode("overwrite").partitionBy("query_split").parquet(f"{path}/candidates")
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    for name, table in features.items():
+        table.write.mode("overwrite").parquet(f"{path}/features/{name}")
+    summary.write.mode("overwrite").json(f"{path}/summary")
 
 
-def write_results(metrics: DataFrame, run_id: str, path: str, complete: bool = True) -> str:
-    """Long metrics under the run's id; partial runs go to a folder of their own."""
+def write_results(metrics: DataFrame, run_id: str, path: str, complete: bool = True, records: DataFrame | None = None, keys: list[str] = ["condition"]) -> str:
+    """A run's folder: long metrics, their tree as JSON, and (if given) the records; partial runs go to a folder of their own."""
     place = f"{path}/{run_id}" + ("" if complete else "-partial")
-    metrics.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(place)
+    metrics.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{place}/metrics")
+    metric_tree(metrics, keys).write.mode("overwrite").json(f"{place}/tree")
+    if records is not None:
+        records.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{place}/records")
     return place
 
 
 def metric_tree(metrics: DataFrame, keys: list[str]) -> DataFrame:
-    """One JSON text a key: metric names to values."""
-    tree = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
-    return metrics.groupBy(*keys).agg(F.to_json(tree).alias("tree"))
+    """One JSON text a key: metric names to values, null for what JSON has no number for."""
+    value = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    tree = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", value.alias("value")))))
+    return metrics.groupBy(*keys).agg(F.to_json(tree, {"ignoreNullFields": "false"}).alias("tree"))
+
+
+def read_tree(spark: SparkSession, place: str, keys: str) -> DataFrame:
+    """The tree of a run's folder as long metrics; ``keys``: their names and types."""
+    tree = spark.read.schema(f"{keys}, tree string").json(f"{place}/tree")
+    names = [k.split()[0] for k in keys.split(", ")]
+    return tree.select(*names, F.explode(F.from_json("tree", "map<string,double>")).alias("metric", "value"))
 
 
 def wide_by_condition(measured: DataFrame, conditions: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ def test_monotonicity_and_paired(spark):
 def test_choice_trials(spark):
     rows = [(1, 0, 0, "A", True, "A"), (1, 1, 1, "B", False, "A"), (2, 0, 0, "B", True, "B"), (2, 1, 1, "A", True, "A")]
     clip = [(1, 0, 0, "A", False, "B"), (1, 1, 1, "B", True, "B"), (2, 0, 0, "B", True, "B"), (2, 1, 1, "A", False, "B")]
-    data = [("zero", 4, *r) for r in rows] + [("clip", 4, *r) for r in clip] + [("none", 4, 1, 0, 0, "A", None, None)]
-    df = spark.createDataFrame(data, "condition string, k int, letter_seed int, query_idx long, true_class int, true_letter string, correct boolean, pred_letter string")
+    data = [("zero", 4, *r, "test") for r in rows] + [("clip", 4, *r, "test") for r in clip] + [("none", 4, 1, 0, 0, "A", None, None, "test")]
+    df = spark.createDataFrame(data, "condition string, k int, letter_seed int, query_idx long, true_class int, true_letter string, correct boolean, pred_letter string, query_split string")
     out = evaluate.choice_summary(df).filter("condition = 'clip'").collect()
     assert {r.letter_seed: r.accuracy for r in out if r.letter_seed} == {1: 0.5, 2: 0.5}
     assert {r.true_letter: r.accuracy for r in out if r.true_letter} == {"A": 0, "B": 1}
@@ -58,6 +59,13 @@ def test_choice_trials(spark):
     assert evaluate.choice_summary(df).filter("condition = 'none'").count() == 0
     d = evaluate.clustered_difference(df, "clip", "zero").first()
     assert d.difference == -0.25 and d.clusters == 2 and d.trials == 4
+    both = df.unionByName(df.withColumn("query_split", F.lit("val")))  # equal ids in another split are other queries
+    d = evaluate.clustered_difference(both, "clip", "zero").first()
+    assert d.difference == -0.25 and d.clusters == 4 and d.trials == 8
+    assert sum(r.both + r.treatment_only + r.control_only + r.neither for r in evaluate.seed_transitions(both, "clip", "zero").collect()) == 8
+    x = both.filter("condition = 'zero'").withColumns({"pool_has_true": F.col("query_split") == "test", "top1_in_options": F.lit(True), "top1_same_class": F.lit(False)})
+    r = evaluate.first_trial_rates(x).first()
+    assert (r.trials, r.queries, r.seeds, r.pool_has_true_rate) == (8, 4, 2, 0.5)
 
 
 CAND = "query_split string, query_idx long, position int, score double, target double, correct boolean, margin double"
@@ -110,7 +118,48 @@ def test_audit_finds_the_counterexample(spark):
 def test_selection_metrics(spark):
     x = spark.createDataFrame([("t", 0, 0, 0.1, 0.2, False, -1.0), ("t", 0, 1, 0.9, 0.8, True, 2.0)], CAND)
     r = evaluate.selection_metrics(x, "score", "target").first()
-    assert r.selected_accuracy == 1 and r.mean_margin_regret == 0 and r.margin_agreement == 1
+    assert r.selected_accuracy == 1 and r.mean_margin_regret == 0 and r.margin_agreement == 1 and r.target_agreement == 1
+    assert r.mean_margin_spearman == pytest.approx(1) and evaluate.selection_metrics(x.filter("position = 0"), "score", "target").first().mean_margin_spearman == 0
+
+
+def test_teacher_summary_and_distributions(spark):
+    m = "struct<correct boolean, margin double, probability double, log_probability double>"
+    rows = [
+        ("train", 5, 0, 0, 0, (True, 1.0, 0.5, -0.7), (False, -0.5, 0.2, -1.6)), ("train", 5, 0, 1, 1, (False, -1.0, 0.1, -2.3), (False, -0.5, 0.2, -1.6)),
+        ("val", 5, 1, 0, 1, (False, -1.0, 0.3, -1.2), (True, 0.5, 0.4, -0.9)), ("val", 5, 1, 1, 1, (True, 2.0, 0.8, -0.2), (True, 0.5, 0.4, -0.9)),
+    ]
+    c = spark.createDataFrame(rows, f"query_split string, query_idx long, true_class int, position int, class_idx int, m {m}, z {m}")
+    out = {r.query_split: r for r in evaluate.teacher_summary(c).collect()}
+    assert out["train"].zero_accuracy == 0 and out["train"].contrastive_rate == 1 and out["train"].oracle_at_top1 == 1 and out["val"].oracle_at_top1 == 0
+    assert out["val"].any_correct == 1 and out["train"].pairs == 2 and out["train"].positive_increment_rate == 0.5
+    d = {(r.query_split, r.column): r for r in evaluate.teacher_distributions(c).collect()}
+    assert len(d) == 10 and d["train", "incremental_margin"].mean == pytest.approx(0.5) and d["val", "incremental_true_probability"].max == pytest.approx(0.4)
+    counts = evaluate.scoring_counts(spark.createDataFrame([("a", 8), ("a", 4), ("b", 8)], "mode string, size int"), ["mode", "size"])
+    assert {(r.field, r.value): r.n for r in counts.collect()} == {("mode", "a"): 2, ("mode", "b"): 1, ("size", "8"): 2, ("size", "4"): 1}
+
+
+def report(spark, rr):
+    zero = [0.0, 0.0, 1.0]
+    picks = [(0, 0, 10, 2, [0.0, -1.0, 0.5], 11, 0, rr, True), (1, 1, 12, 1, [0.0, 0.8, 0.1], 12, 1, [0.0, 0.8, 0.1], True), (2, 0, 13, 2, [0.1, 0.0, 0.9], 14, 1, [0.2, 0.6, 0.3], False)]
+    scored = [("test", q, t, "zero_shot", zero) for q, t, *_ in picks]
+    chosen = []
+    for q, t, e1, c1, s1, e2, c2, s2, has in picks:
+        scored += [("test", q, t, "top1", s1), ("test", q, t, "rr", s2)]
+        chosen += [("test", q, t, "top1", 0, e1, c1, has, s1[t] == max(s1)), ("test", q, t, "rr", 1 if e1 != e2 else 0, e2, c2, has, s2[t] == max(s2))]
+    sd = spark.createDataFrame(scored, "query_split string, query_idx long, true_class int, condition string, scores array<double>")
+    cd = spark.createDataFrame(chosen, "query_split string, query_idx long, true_class int, selector string, position int, example_idx long, class_idx int, pool_has_true boolean, correct boolean")
+    sets = spark.createDataFrame([("test", q, 2, sorted({t, 2})) for q, t, *_ in picks], "query_split string, query_idx long, k int, classes array<int>")
+    return {(r.condition, r.k, r.metric): r.value for r in evaluate.held_out_report(sd, sets, cd, "top1", "zero_shot", 500).collect()}
+
+
+def test_held_out_report(spark):
+    r = report(spark, [0.9, 0.1, 0.0])
+    assert (r["rr", None, "accuracy"], r["top1", None, "accuracy"], r["zero_shot", None, "accuracy"]) == pytest.approx((2 / 3, 1 / 3, 0))
+    assert (r["rr", None, "paired_difference"], r["rr", None, "paired_treatment_only"], r["rr", None, "paired_control_only"]) == pytest.approx((1 / 3, 1, 0))
+    assert r["rr", None, "paired_low"] <= 1 / 3 <= r["rr", None, "paired_high"] and r["top1", None, "paired_difference"] == pytest.approx(1 / 3)
+    assert (r["rr", None, "selection_same_class_rate"], r["rr", None, "selection_agreement"], r["rr", None, "selection_pool_has_true_rate"]) == pytest.approx((2 / 3, 1 / 3, 2 / 3))
+    assert (r["rr", None, "selection_accuracy_has"], r["top1", None, "selection_accuracy_has"], r["rr", None, "selection_accuracy_lacks"]) == (1, 0.5, 0)
+    assert r["all", None, "distinct_exemplars"] == pytest.approx(5 / 3) and r["rr", 2, "accuracy"] == pytest.approx(2 / 3) and ("top1", 2, "paired_p") in r
 
 
 def test_best_epoch(spark):
@@ -118,6 +167,8 @@ def test_best_epoch(spark):
     r = evaluate.best_epochs(h, 2).first()
     assert (r.best_epoch, r.stop_epoch) == (2, 4)
     assert evaluate.best_epochs(h, 9).first().best_epoch == 5
+    near = spark.createDataFrame([(1, 1, 0.5, 0.1), (1, 2, 0.5 + 4e-13, 0.05), (1, 3, 0.5 - 4e-13, 0.2), (1, 4, 0.5 - 4e-12, 0.9)], h.schema)
+    assert evaluate.best_epochs(near, 9).first().best_epoch == 3  # a greater primary metric wins by any amount, ties are within the tolerance
 
 
 def test_merge_and_resume(spark):
@@ -158,3 +209,44 @@ def test_stream_merges_growing_shards(spark, tmp_path):
     shards.merge_stream(spark, source, target, marks, s, ["id"], "seq")
     assert {r.id: r.v for r in shards.merged(spark, target, ["id"], "seq").collect()} == {1: "a", 2: "c", 3: "d"}
     assert max(r.completed for r in shards.progress(spark, target, ["id"]).collect()) == 3
+
+
+def test_validation_of_tables_and_records(spark):
+    a = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    e = spark.createDataFrame([(2, "m"), (3, "n"), (4, "m")], "id long, model_name string")
+    assert {r.rule: r.n for r in integrity.alignment(a, e, "id").collect()} == {"no_embedding": 1, "no_example": 1, "models": 1}
+    names = lambda x: spark.createDataFrame(list(enumerate(x)), "i int, name string")
+    assert integrity.order_violations(names("abc"), names("acbd"), "i", "name").first().n == 3 and integrity.order_violations(names("ab"), names("ab"), "i", "name").first().n == 0
+    v = spark.createDataFrame([("train", 0, [1.0, 2.0]), ("test", 0, [1.0, 2.0]), ("test", 1, [math.inf, 1.0]), ("val", 1, [1.0])], "split string, example_idx long, vec array<double>")
+    pool = spark.createDataFrame([("test", 0, 0), ("test", 1, 7)], "query_split string, query_idx long, example_idx long")
+    assert {r.rule: r.n for r in integrity.table_violations(v, pool).collect()} == {"dimensions": 1, "finite": 1, "unknown_id": 1, "empty_pool": 1}
+    x, y = (spark.createDataFrame([(i,) for i in r], "id long") for r in ([1, 1, 2], [1, 2, 3]))
+    assert sorted((r.id, r.side) for r in integrity.difference(x, y).collect()) == [(1, "stored"), (3, "rebuilt")]
+    s = "query_split string, query_idx long, true_class int, classes array<int>, ranking array<int>, zero_scores array<double>, examples array<long>, example_classes array<int>, scores array<array<double>>, margins array<double>"
+    good = ("train", 5, 0, [0, 1, 2], [1, 2, 3], [2.0, 2.5, 0.0], [10, 11], [0, 1], [[3.0, 2.0, 0.0], [2.0, 3.0, 0.0]], [1.0, -1.0])
+    bad = [(*good[:1], 6, *good[2:9], [1.1, -1.0]), (*good[:1], 7, 3, *good[3:]), (*good[:1], 10, *good[2:]), (*good[:1], 8, *good[2:5], [2.0, math.inf, 0.0], *good[6:])]
+    out = {(r.query_idx, r.rule) for r in integrity.validate_teacher(spark.createDataFrame([good, *bad], s), 3, 2, 4).collect()}
+    assert {(6, "margins_match"), (7, "true_class_in_labels"), (10, "no_self_retrieval"), (8, "zero_scores_finite")} <= out and not any(i == 5 for i, _ in out)
+
+
+def test_scorers(spark):
+    x = spark.createDataFrame([(0, [1.0, 2.0, 4.0]), (1, [0.0, 0.0, 0.0])], "i int, x array<double>")
+    w1, b1, w2 = np.eye(3), np.zeros(3), np.array([1.0, 0.0, -1.0])
+    got = {r.i: r.score for r in scorers.two_layer(x, "x", w1, b1, w2, 0.5).collect()}
+    z = (np.array([1.0, 2.0, 4.0]) - 7 / 3) / math.sqrt(np.var([1.0, 2.0, 4.0]) + 1e-5)
+    gelu = lambda h: 0.5 * h * (1 + math.tanh(math.sqrt(2 / math.pi) * (h + 0.044715 * h**3)))
+    assert got[0] == pytest.approx(gelu(z[0]) - gelu(z[2]) + 0.5) and got[1] == pytest.approx(0.5)
+    rng = np.random.default_rng(2)
+    rows = [("train", q, p, *map(float, f), float(2 * f[0] - f[1])) for q in range(30) for p, f in enumerate(rng.normal(size=(5, 2)))]
+    w = scorers.fit_pairwise(spark.createDataFrame(rows, "query_split string, query_idx long, position int, a double, b double, target double"), ["a", "b"], "target")
+    assert w[0] > 0 > w[1] and w[0] / -w[1] == pytest.approx(2, rel=0.2)
+
+
+def test_results_survive_json(spark, tmp_path):
+    from shortlist.sources import artifacts
+
+    long = spark.createDataFrame([("zero_shot", 4, "accuracy", 0.5), ("zero_shot", 4, "odd", math.nan), ("top1", 4, "accuracy", 1.0)], "condition string, k int, metric string, value double")
+    place = artifacts.write_results(long, "r", str(tmp_path), complete=False, records=spark.createDataFrame([(1, True)], "id long, correct boolean"), keys=["condition", "k"])
+    got = {(r.condition, r.k, r.metric): r.value for r in artifacts.read_tree(spark, place, "condition string, k int").collect()}
+    assert place.endswith("-partial") and got == {("zero_shot", 4, "accuracy"): 0.5, ("zero_shot", 4, "odd"): None, ("top1", 4, "accuracy"): 1.0}
+    assert spark.read.parquet(f"{place}/records").first().run_id == "r" and spark.read.parquet(f"{place}/metrics").count() == 3

@@ -21,11 +21,62 @@ def test_pool_is_in_order(spark):
 
 
 def test_restricted_pool(spark):
-    p = retrieval.top_m(rows(spark, [[1, 0]], "test"), rows(spark, [[1, 0], [0.8, 0.2], [0, 1]], "train"), 3)
-    allowed = spark.createDataFrame([(1,), (2,)], "example_idx long")
-    got = retrieval.restricted(p, allowed, ["example_idx"], 2).orderBy("position").collect()
-    assert [(r.example_idx, r.similarity) for r in got] == [(1, 0.8), (2, 0.0)]
-    assert retrieval.restricted(p, allowed.limit(0), ["example_idx"], 2).count() == 0
+    g = rows(spark, [[1, 0], [0.8, 0.2], [0, 1]], "train", [0, 1, 2])
+    q = rows(spark, [[1, 0]], "test")
+    sets = spark.createDataFrame([("test", 0, 2, [1, 2]), ("test", 0, 1, []), ("test", 0, 3, None)], "query_split string, query_idx long, k int, classes array<int>")
+    got = [(r.k, r.position, r.example_idx, r.similarity) for r in retrieval.restricted(q, g, sets, 2).orderBy("k", "position").collect()]
+    assert got == [(2, 0, 1, 0.8), (2, 1, 2, 0.0), (3, 0, 0, 1.0), (3, 1, 1, 0.8)]  # an empty set gives an empty pool, null allows all
+
+
+def worlds(spark, seed=6, n=90):
+    """Queries of two splits with equal ids and a gallery with many equal vectors; class sets for both."""
+    rng = random.Random(seed)
+    vec = lambda: [float(rng.randint(-1, 1)) for _ in range(4)]
+    g = [("train", i, rng.randrange(12), vec()) for i in range(n)]
+    q = [(s, i, rng.randrange(12), vec()) for s in ("test", "val") for i in range(9)]
+    sets = [(s, i, k, sorted(rng.sample(range(14), k))) for s, i, *_ in q for k in (2, 5)]
+    return g, q, sets
+
+
+def test_restricted_ranks_the_whole_gallery_for_colliding_ids(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SMALL_ROWS", 10)
+    g, q, sets = worlds(spark)
+    gd, qd = spark.createDataFrame(g, SCHEMA), spark.createDataFrame(q, SCHEMA)
+    sd = spark.createDataFrame(sets, "query_split string, query_idx long, k int, classes array<int>")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+
+    def best(vec, allowed, m):
+        found = sorted((-dot(vec, v), i, c) for _, i, c, v in g if allowed is None or c in allowed)
+        return [(i, c) for _, i, c in found[:m]]
+
+    vec = {(s, i): (v, c) for s, i, c, v in q}
+    want = {(s, i, k, p, e) for s, i, k, classes in sets for p, (e, _) in enumerate(best(vec[s, i][0], classes, 3))}
+    got = {(r.query_split, r.query_idx, r.k, r.position, r.example_idx) for r in retrieval.restricted(qd, gd, sd, 3).collect()}
+    assert got == want
+    out = retrieval.controls(qd, gd, sd, 7, 3).collect()
+    assert len(out) == len(sets)
+    for r in out:
+        v, own = vec[r.query_split, r.query_idx]
+        classes = next(c for s, i, k, c in sets if (s, i, k) == (r.query_split, r.query_idx, r.k))
+        pool, first, same = best(v, classes, 3), best(v, None, 1)[0], best(v, [own], 1)
+        assert r.restricted_top1 == (pool[0][0] if pool else None) and r.top1 == first[0] and r.top1_in_options == (first[1] in classes)
+        assert r.same_class_top1 == (same[0][0] if same else None) and (r.random_member in [e for e, _ in pool] if pool else r.random_member is None)
+    facts = {(r.query_split, r.query_idx, r.k): r for r in retrieval.pool_facts(retrieval.restricted(qd, gd, sd, 3), ["query_split", "query_idx", "k"]).collect()}
+    for (s, i, k), r in facts.items():
+        pool = best(vec[s, i][0], next(c for a, b, d, c in sets if (a, b, d) == (s, i, k)), 3)
+        assert r.pool_size == len(pool) and r.has_true == any(c == vec[s, i][1] for _, c in pool) and r.top1_same_class == (pool[0][1] == vec[s, i][1])
+    inside = {(r.query_split, r.query_idx, r.k, r.example_idx) for r in labelsets.in_set(gd, sd).collect()}
+    assert inside == {(s, i, k, e) for s, i, k, c in sets for _, e, cls, _ in g if cls in c}
+    classes = spark.createDataFrame([(c, [float(c)] * 4) for c in range(12)], "class_idx int, vec array<double>")
+    a = retrieval.assemble(retrieval.top_m(qd, gd, 3), qd, gd, classes).collect()
+    assert len(a) == 3 * len(q) and all(r.query_vec == vec[r.query_split, r.query_idx][0] and r.label_vec[0] == r.class_idx for r in a)
+
+
+def test_letters_of_colliding_ids(spark):
+    sets = spark.createDataFrame([("test", 0, 1, 3, [1, 2, 3]), ("val", 0, 2, 3, [2, 5, 7])], "query_split string, query_idx long, true_class int, k int, classes array<int>")
+    out = {r.query_split: r for r in labelsets.option_map(labelsets.letters(sets, [42])).collect()}
+    assert sorted(out["test"].options.values()) == [1, 2, 3] and sorted(out["val"].options.values()) == [2, 5, 7]
+    assert all(set(r.options) == set("ABC") for r in out.values()) and out["val"].options[out["val"].true_letter] == 2
 
 
 def test_block_search_equals_builtin_with_ties_and_self_exclusion(spark):
@@ -73,6 +124,8 @@ def test_label_sets_are_nested(spark):
     assert labelsets.nesting_violations(sets).count() == 0
     with pytest.raises(ValueError):
         labelsets.label_sets(ranking, [5], 4)
+    clamped = labelsets.label_sets(ranking, [3, 9], 4, clamp=True)
+    assert {r.k: r.classes for r in clamped.collect()} == {3: [0, 1, 2], 9: [0, 1, 2, 3]}
     letters = labelsets.letters(sets, [1, 2])
     options = labelsets.option_map(letters).collect()
     assert all(set(o.options) == set("ABCD"[: o.k]) and o.options[o.true_letter] == 0 for o in options)
@@ -149,3 +202,17 @@ def test_fingerprint_tree_is_of_ordered_blocks(spark):
     for parts in (1, 5):
         got = integrity.fingerprint_tree(df.repartition(parts), "g", "i", "v", block=10).collect()
         assert {r.g: r.fingerprint for r in got} == want and {r.g: r.n for r in got} == {"a": 97, "b": 5}
+
+
+def test_large_fingerprint_doesnt_cancel_equal_pairs(spark):
+    from shortlist.operators import integrity
+
+    def of(rows, parts=1):
+        df = spark.createDataFrame(rows, "g string, i long, v string").repartition(parts)
+        return {r.g: (r.fingerprint, r.n) for r in integrity.fingerprint_large(df, "g", "i", "v").collect()}
+
+    base = [("a", i, f"v{i}") for i in range(20)]
+    assert of(base) == of(base[::-1], 4) and of(base)["a"][1] == 20
+    swapped = [("a", i, f"v{ {3: 4, 4: 3}.get(i, i)}") for i in range(20)]
+    twice = base + [("a", 3, "v3"), ("a", 3, "v3")]
+    assert len({of(x)["a"] for x in (base, swapped, twice, base[:-1])}) == 4

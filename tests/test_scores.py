@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,10 +61,33 @@ def test_teacher_and_targets(spark):
 def test_quantization(spark):
     df = spark.createDataFrame([([0.0, -2.0, 1.0],), ([3.0, 4.0, -1.0],), ([0.0, 0.0, 0.0],)], "v array<double>")
     df = df.withColumn("scale", V.int8_scale(F.col("v"))).withColumn("q", V.int8_values(F.col("v"), F.col("scale")))
-    out = df.select("q", "scale", V.max_error(F.col("v"), V.dequantize(F.col("q"), F.col("scale"))).alias("e")).collect()
+    out = df.select("q", "scale", V.max_error(F.col("v"), V.dequantize(F.col("q"), V.half(F.col("scale")))).alias("e")).collect()
     assert all(r.e < 0.04 for r in out) and list(out[2].q) == [0, 0, 0] and out[2].scale == 1.0
     assert max(abs(x) for r in out for x in r.q) == 127
-    assert df.select(V.half_precision(F.lit(0.1)).alias("h")).first().h == pytest.approx(0.0999755859375)
+
+
+def test_half_precision_equals_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(size=500), rng.normal(size=300) * 1e-6, 2.0 ** np.arange(-26, 16), 65504, 65519, 65520, 70000, 0, 5.9e-8, 2.9e-8, 1.00048828125, 1.0009765625, -3.3]
+    out = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", V.half(F.col("x")).alias("h")).collect()
+    with np.errstate(over="ignore"):
+        assert all(r.h == float(np.float16(r.x)) for r in out)
+
+
+def test_stored_scale_quantization_equals_numpy(spark):
+    v = np.random.default_rng(4).normal(size=(4, 32)).astype(np.float32)
+    df = spark.createDataFrame([([float(x) for x in r],) for r in v], "v array<double>")
+    df = df.withColumn("scale", V.int8_scale(F.col("v"))).withColumn("stored", V.half(F.col("scale")))
+    out = df.select(
+        "stored", V.int8_values(F.col("v"), F.col("scale")).alias("q"), V.int8_values(F.col("v"), F.col("stored")).alias("sq"),
+        V.dequantize(V.int8_values(F.col("v"), F.col("scale")), F.col("stored")).alias("back"), V.cosine(F.col("v"), V.scaled(V.int8_values(F.col("v"), F.col("stored")), F.col("stored"))).alias("c"),
+    ).collect()
+    for row, r in zip(v, out):
+        scale = np.float32(np.abs(row).max() / np.float32(127))
+        stored = np.float16(scale)
+        q = np.clip(np.rint(row / scale), -127, 127)
+        assert r.stored == float(stored) and list(r.q) == q.tolist() and list(r.sq) == np.clip(np.rint(row / np.float32(stored)), -127, 127).tolist()
+        assert list(r.back) == (q.astype(np.float32) * np.float32(stored)).astype(np.float16).astype(float).tolist() and r.c > 0.9999
 
 
 def test_vectors(spark):
