@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its Parquet is the next one's docs.  All but the last
 return the columns of documents; the last adds shard and slot.
+
+Nulls and odd input: quality rejects null and wordless texts, and a document without a source or language is judged by the
+place "none"; a null doc_id is an id like any other (two such rows are two documents); repeated rows leave one at near_duplicates;
+very long texts are read whole by every stage; an empty table passes all stages empty; further columns of documents are kept,
+but for columns named shard and slot, which the last stage replaces; without labels quality rejects only wordless texts, without
+a benchmark decontamination rejects none.
 """
 
 from __future__ import annotations

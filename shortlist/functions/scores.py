@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import total
+from .vectors import let, total
 
 
 def at(scores: Column, i: Column) -> Column:
@@ -46,8 +46,7 @@ def gap(scores: Column) -> Column:
 
 def log_total(scores: Column, temperature: float = 1.0) -> Column:
     """Logarithm of the sum of exponentials, shifted by the maximum."""
-    most = F.array_max(scores) / temperature
-    return most + F.log(total(F.transform(scores, lambda s: F.exp(s / temperature - most))))
+    return let(F.array_max(scores) / temperature, lambda most: most + F.log(F.aggregate(scores, F.lit(0.0), lambda n, s: n + F.exp(s / temperature - most))))
 
 
 def log_probability(scores: Column, true: Column, temperature: float = 1.0) -> Column:
@@ -56,12 +55,11 @@ def log_probability(scores: Column, true: Column, temperature: float = 1.0) -> C
 
 def entropy(scores: Column, temperature: float = 1.0) -> Column:
     """Of the softmax; classes whose probability underflows add nothing."""
-    return total(
-        F.transform(
-            F.transform(scores, lambda s: s / temperature - log_total(scores, temperature)),
-            lambda p: F.when(F.exp(p) > 0, -F.exp(p) * p).otherwise(0.0),
-        )
-    )
+    def of(log_sum: Column) -> Column:
+        logs = F.transform(scores, lambda s: s / temperature - log_sum)
+        return total(F.transform(logs, lambda p: F.when(F.exp(p) > 0, -F.exp(p) * p).otherwise(0.0)))
+
+    return let(log_total(scores, temperature), of)
 
 
 def closed_set(scores: Column, true: Column, temperature: float = 1.0) -> Column:

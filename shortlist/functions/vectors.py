@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once a row, also where ``f`` uses it inside of functions of elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -20,7 +25,7 @@ def norm(a: Column) -> Column:
 
 def normalise(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return F.transform(a, lambda x: x.cast("double") / F.when(norm(a) == 0, 1.0).otherwise(norm(a)))
+    return let(norm(a), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

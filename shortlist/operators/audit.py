@@ -14,7 +14,8 @@ def audit_rows(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """(query, k, position) with full and restricted margins, correctness over all classes, strongest-wrong coverage."""
     x = candidates.join(sets.select(*KEY, "k", "classes"), KEY)
     full = S.teacher(F.col("scores"), F.col("true_class"))
-    x = x.withColumn("f", full).withColumn("r", S.teacher(S.restrict(F.col("scores"), F.col("classes")), S.place_in(F.col("classes"), F.col("true_class"))))
+    x = x.withColumns({"__s": S.restrict(F.col("scores"), F.col("classes")), "__t": S.place_in(F.col("classes"), F.col("true_class"))})
+    x = x.withColumn("f", full).withColumn("r", S.teacher(F.col("__s"), F.col("__t")))
     return x.select(
         *KEY, "k", "position", F.col("f.margin").alias("full_margin"), F.col("r.margin").alias("margin"), F.col("f.correct").alias("full_correct"),
         F.expr("array_contains(classes, f.strongest_wrong)").alias("covered"),

@@ -28,7 +28,10 @@ def measure(rows: DataFrame, temperature: float = 1.0, sets: DataFrame | None =
         return rows.withColumn("m", S.closed_set(F.col("scores"), F.col("true_class"), temperature))
     s = sets.select("query_split", "query_idx", "k", "classes")
     joined = rows.join(s, ["query_split", "query_idx"])
-    return joined.withColumn("m", S.restricted(F.col("scores"), F.col("classes"), F.col("true_class"), temperature))
+    # The set's scores are a column of their own, so that no metric picks them anew.
+    joined = joined.withColumns({"__s": S.restrict(F.col("scores"), F.col("classes")), "__t": S.place_in(F.col("classes"), F.col("true_class"))})
+    m = S.closed_set(F.col("__s"), F.col("__t"), temperature)
+    return joined.withColumn("m", m.withField("predicted", S.at(F.col("classes"), m["predicted"]))).drop("__s", "__t")
 
 
 def summarize(measured: DataFrame, by: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import vectors as V
+
 KEY = ["query_split", "query_idx"]
 
 
@@ -100,42 +102,39 @@ def rank_correlation(rows: str, undefined: Column | float) -> Column:
 
     A group's rows are one array of bounded length (a pool), so ranks are counts over it and need no sort or window.
     """
+    none = undefined if isinstance(undefined, Column) else F.lit(undefined)
 
-    def ranks(c: str) -> Column:
-        values = F.transform(rows, lambda x: x[c])
-
-        def rank(v: Column) -> Column:
-            less = F.aggregate(values, F.lit(0.0), lambda n, y: n + F.when(y < v, 1.0).when(y == v, 0.5).otherwise(0.0))
-            return less + 0.5
-
-        return F.transform(values, rank)
+    def ranks(values: Column) -> Column:
+        """Twice the average rank, less the mean: whole numbers, that sum to 0."""
+        return F.transform(values, lambda v: F.aggregate(values, F.lit(0.0), lambda n, y: n + F.signum(v - y)))
 
-    both = F.zip_with(ranks("a"), ranks("b"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    middle = (F.size(rows) + 1) / 2.0
+    def product(x: Column, y: Column) -> Column:
+        return V.total(F.zip_with(x, y, lambda p, q: p * q))
 
-    def moment(p: str, q: str) -> Column:
-        return lambda x: F.aggregate(x, F.lit(0.0), lambda n, y: n + (y[p] - middle) * (y[q] - middle))
+    def of(r: Column) -> Column:
+        a, b = product(r["a"], r["a"]), product(r["b"], r["b"])
+        return F.when((a > 0) & (b > 0), product(r["a"], r["b"]) / F.sqrt(F.nullif(a * b, F.lit(0.0))))
 
-    sums = F.transform(F.array(both), lambda x: F.struct(moment("a", "b")(x).alias("ab"), moment("a", "a")(x).alias("aa"), moment("b", "b")(x).alias("bb")))
-    s = F.get(sums, F.lit(0))
-    value = F.when((s["aa"] > 0) & (s["bb"] > 0), s["ab"] / F.sqrt(F.nullif(s["aa"] * s["bb"], F.lit(0.0))))
-    return F.coalesce(value, undefined if isinstance(undefined, Column) else F.lit(undefined))
+    sides = F.struct(F.transform(rows, lambda x: x["a"]).alias("a"), F.transform(rows, lambda x: x["b"]).alias("b"))
+    ranked = V.let(sides, lambda x: F.struct(ranks(x["a"]).alias("a"), ranks(x["b"]).alias("b")))
+    return F.coalesce(V.let(ranked, of), none)
 
 
 def tau_b(rows: str, undefined: Column | float) -> Column:
     """Kendall's tau-b of an array of (a, b), from the signs over all its pairs; ``undefined`` where a or b is constant."""
+    none = undefined if isinstance(undefined, Column) else F.lit(undefined)
 
-    def pair(x: Column, y: Column) -> Column:
-        da, db = F.signum(x["a"] - y["a"]), F.signum(x["b"] - y["b"])
-        return F.struct((da * db).alias("s"), F.abs(da).alias("na"), F.abs(db).alias("nb"))
+    def over_pairs(f) -> Column:  # every pair is met twice, which leaves the quotient as it is
+        return F.aggregate(rows, F.lit(0.0), lambda n, x: F.aggregate(rows, n, lambda k, y: k + f(x, y)))
 
-    def add(n: Column, t: Column) -> Column:
-        return F.struct((n["s"] + t["s"]).alias("s"), (n["na"] + t["na"]).alias("na"), (n["nb"] + t["nb"]).alias("nb"))
+    def of(t: Column) -> Column:
+        return F.when((t["a"] > 0) & (t["b"] > 0), t["s"] / F.sqrt(F.nullif(t["a"] * t["b"], F.lit(0.0))))
 
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("na"), F.lit(0.0).alias("nb"))
-    # Every pair is met twice, which leaves the quotient as it is.
-    total = F.aggregate(rows, zero, lambda n, x: F.aggregate(rows, n, lambda k, y: add(k, pair(x, y))), lambda t: F.when((t["na"] > 0) & (t["nb"] > 0), t["s"] / F.sqrt(F.nullif(t["na"] * t["nb"], F.lit(0.0)))))
-    return F.coalesce(total, undefined if isinstance(undefined, Column) else F.lit(undefined))
+    sums = F.struct(
+        over_pairs(lambda x, y: F.signum(x["a"] - y["a"]) * F.signum(x["b"] - y["b"])).alias("s"),
+        over_pairs(lambda x, y: F.abs(F.signum(x["a"] - y["a"]))).alias("a"), over_pairs(lambda x, y: F.abs(F.signum(x["b"] - y["b"]))).alias("b"),
+    )
+    return F.coalesce(V.let(sums, of), none)
 
 
 def _paired(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

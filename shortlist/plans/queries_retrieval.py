@@ -8,7 +8,7 @@ from ..functions import prompts, vectors as V
 from ..operators import labelsets, retrieval
 from .base_sql import base
 from .fixtures import KS, N_CLASSES, POOL, World, examples, sets, table
-from .registry import query, r6, rounded, text
+from .registry import also, query, r6, rounded, text
 
 END = " x AS (SELECT 1) "
 
@@ -32,10 +32,7 @@ def v2_cosine(spark, sf_dir):
     return e.crossJoin(q).select("query_idx", F.col("vec_id").alias("example_idx"), r6(V.cosine(F.col("q"), F.col("embedding"))).alias("cosine"))
 
 
-@query()
-def v2_cosine_whole(spark, sf_dir):
-    """The same under its earlier name."""
-    return v2_cosine(spark, sf_dir)
+also("v2_cosine_whole", v2_cosine)
 
 
 @query(base() + """
@@ -52,9 +49,9 @@ def v3_top_k(spark, sf_dir):
 POOLS = "SELECT query_split, query_idx, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools"
 
 
-@query(base("test", "val") + END + POOLS)
+@query(base() + END + POOLS)
 def v4_pools(spark, sf_dir):
-    return rounded(World(spark, sf_dir, ["test", "val"]).pool.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
+    return rounded(World(spark, sf_dir).pool.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
 
 
 @query(base() + END + POOLS)
@@ -70,19 +67,19 @@ rp AS (SELECT * FROM (
 """
 
 
-@query(base("test", "val") + RESTRICTED + """
+@query(base() + RESTRICTED + """
 SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM rp WHERE position < 5
 """)
 def v6_restricted(spark, sf_dir):
     """The first five of the query's class sets, ranked over the whole train split."""
-    w = World(spark, sf_dir, ["test", "val"])
+    w = World(spark, sf_dir)
     found = retrieval.restricted(w.queries, w.gallery, w.sets, 5)
     return rounded(found.select("query_split", "query_idx", "k", "position", "example_idx", "class_idx", "similarity"))
 
 
-@query(base("test", "val") + END + "SELECT query_split, query_idx, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools WHERE position = 0")
+@query(base() + END + "SELECT query_split, query_idx, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools WHERE position = 0")
 def v7_top_one(spark, sf_dir):
-    return rounded(retrieval.top_one(World(spark, sf_dir, ["test", "val"]).pool))
+    return rounded(retrieval.top_one(World(spark, sf_dir).pool))
 
 
 CONTROLS = RESTRICTED + """,
@@ -97,32 +94,32 @@ ctl AS (SELECT c.query_split, c.query_idx, c.k, rc.restricted_top1, fs.top1, o.c
 """
 
 
-@query(base("test", "val") + CONTROLS + "SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, restricted_top1, top1, top1_in_options, same_class_top1, random_member FROM ctl")
+@query(base() + CONTROLS + "SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, restricted_top1, top1, top1_in_options, same_class_top1, random_member FROM ctl")
 def v8_controls(spark, sf_dir):
-    w = World(spark, sf_dir, ["test", "val"])
+    w = World(spark, sf_dir)
     return retrieval.controls(w.queries, w.gallery, w.sets, 9, POOL)
 
 
-@query(base("test", "val") + RESTRICTED + """
+@query(base() + RESTRICTED + """
 SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, count(*) AS pool_size, bool_or(example_class = true_class) AS has_true,
        first(example_class = true_class ORDER BY position) AS top1_same_class FROM rp GROUP BY query_split, query_idx, k
 """)
 def v9_restricted_facts(spark, sf_dir):
-    w = World(spark, sf_dir, ["test", "val"])
+    w = World(spark, sf_dir)
     return retrieval.pool_facts(retrieval.restricted(w.queries, w.gallery, w.sets, POOL), ["query_split", "query_idx", "k"])
 
 
-@query(base("test", "val") + END + """
+@query(base() + END + """
 SELECT query_split, query_idx, count(*) AS pool_size, bool_or(example_class = true_class) AS has_true,
        first(example_class = true_class ORDER BY position) AS top1_same_class FROM pools GROUP BY query_split, query_idx
 """)
 def v9_pool_facts(spark, sf_dir):
-    return retrieval.pool_facts(World(spark, sf_dir, ["test", "val"]).pool)
+    return retrieval.pool_facts(World(spark, sf_dir).pool)
 
 
-@query(base("test", "val") + END + "SELECT query_idx, position, example_idx, round(position / 9.0, 6)::DOUBLE AS rank_fraction FROM pools WHERE position < 10")
+@query(base() + END + "SELECT query_idx, position, example_idx, round(position / 9.0, 6)::DOUBLE AS rank_fraction FROM pools WHERE position < 10")
 def v10_pool_prefix(spark, sf_dir):
-    p = retrieval.pool_prefix(World(spark, sf_dir, ["test", "val"]).pool, 10)
+    p = retrieval.pool_prefix(World(spark, sf_dir).pool, 10)
     return rounded(p.select("query_idx", "position", "example_idx", "rank_fraction"))
 
 
@@ -133,48 +130,48 @@ f AS (SELECT p.query_split, p.query_idx, p.position, p.example_idx, p.similarity
 """
 
 
-@query(base("test") + ASSEMBLED + """
+@query(base() + ASSEMBLED + """
 SELECT query_idx, position, round(list_sum(qv), 6) AS query_sum, round(list_sum(gv), 6) AS example_sum, round(list_sum(cv), 6) AS label_sum FROM f
 """)
 def v11_assemble(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     a = retrieval.assemble(w.pool, w.queries, w.gallery, w.cv)
     return rounded(a.select("query_idx", "position", *[V.total(F.col(f"{n}_vec")).alias(f"{n}_sum") for n in ("query", "example", "label")]))
 
 
-@query(base("test") + ASSEMBLED + """
+@query(base() + ASSEMBLED + """
 SELECT query_idx, position, CAST(4 * len(qv) AS INTEGER) AS size,
        round(list_sum(qv) + list_sum(gv) + list_dot_product(qv, gv) + list_sum(list_transform(range(1, len(qv) + 1), lambda i: abs(qv[i] - gv[i]))), 6) AS total FROM f
 """)
 def v12_interaction(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     x = V.interaction(F.col("query_vec"), F.col("example_vec"))
     return rounded(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv).select("query_idx", "position", F.size(x).alias("size"), V.total(x).alias("total")))
 
 
-@query(base("test") + ASSEMBLED + """
+@query(base() + ASSEMBLED + """
 SELECT query_split, query_idx, position, example_idx, round(list_cosine_similarity(qv, cv), 6) AS query_label, round(list_cosine_similarity(gv, cv), 6) AS example_label,
        round(similarity, 6) AS similarity, round(position / 29.0, 6)::DOUBLE AS rank_fraction FROM f
 """)
 def v13_scalar_features(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     return rounded(retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30))
 
 
-@query(base("test", "val") + END + "SELECT query_split, query_idx, true_class, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools")
+@query(base() + END + "SELECT query_split, query_idx, true_class, position, example_idx, example_class AS class_idx, round(similarity, 6) AS similarity FROM pools")
 def v14_nesting(spark, sf_dir):
-    return rounded(retrieval.unnest(retrieval.nest(World(spark, sf_dir, ["test", "val"]).pool)))
+    return rounded(retrieval.unnest(retrieval.nest(World(spark, sf_dir).pool)))
 
 
-@query(base("test") + END + "SELECT query_idx, position, example_class AS class_idx, p_name AS class_name FROM pools LEFT JOIN part ON p_partkey = example_class + 1")
+@query(base() + END + "SELECT query_idx, position, example_class AS class_idx, p_name AS class_name FROM pools LEFT JOIN part ON p_partkey = example_class + 1")
 def v15_labels(spark, sf_dir):
     names = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("class_idx"), F.col("p_name").alias("class_name"))
-    return labelsets.labels_of(World(spark, sf_dir, ["test"]).pool, names).select("query_idx", "position", "class_idx", "class_name")
+    return labelsets.labels_of(World(spark, sf_dir).pool, names).select("query_idx", "position", "class_idx", "class_name")
 
 
-@query(base("test", "val") + END + "SELECT query_split, query_idx, true_class, class_idx, rank, round(sim, 6) AS sim FROM crank")
+@query(base() + END + "SELECT query_split, query_idx, true_class, class_idx, rank, round(sim, 6) AS sim FROM crank")
 def l1_class_ranking(spark, sf_dir):
-    sim = World(spark, sf_dir).sim.filter("query_split <> 'train'")
+    sim = World(spark, sf_dir).sim
     return rounded(labelsets.class_ranking(sim).select("query_split", "query_idx", "true_class", "class_idx", "rank", "sim"))
 
 
@@ -186,12 +183,12 @@ def l2_label_sets(spark, sf_dir):
     return World(spark, sf_dir).sets.withColumn("classes", text("classes"))
 
 
-@query(base("test") + END + """
+@query(base() + END + """
 SELECT m.query_split, m.query_idx, CAST(m.k AS INTEGER) AS k, string_agg(CAST(m.class_idx AS VARCHAR), ',' ORDER BY m.class_idx) AS classes, round(sum(sim), 6) AS total
 FROM members m JOIN qc ON qc.query_idx = m.query_idx AND qc.class_idx = m.class_idx GROUP BY m.query_split, m.query_idx, m.k
 """)
 def l3_set_similarities(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     s = labelsets.set_similarities(w.sets, w.sim)
     return rounded(s.select("query_split", "query_idx", "k", text("classes").alias("classes"), V.total(F.col("sims")).alias("total")))
 
@@ -204,25 +201,25 @@ lt AS (SELECT query_split, query_idx, true_class, k, seed AS letter_seed, class_
 """
 
 
-@query(base("test", "val") + LETTERED + """
+@query(base() + LETTERED + """
 SELECT query_split, query_idx, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, string_agg(letter || class_idx, ',' ORDER BY letter) AS options,
        max(CASE WHEN class_idx = true_class THEN letter END) AS true_letter FROM lt GROUP BY query_split, query_idx, k, letter_seed
 """)
 def l4_letters(spark, sf_dir):
     """Letters for sets of 2 to 10 classes, and of 12 where there are 10."""
-    w = World(spark, sf_dir, ["test", "val"])
-    clamped = sets(w.sim.filter("query_split <> 'train'"), [*KS, 12], clamp=True)
+    w = World(spark, sf_dir)
+    clamped = sets(w.sim, [*KS, 12], clamp=True)
     m = labelsets.option_map(labelsets.letters(clamped, [42, 43, 44]))
     pairs = F.transform(F.array_sort(F.map_entries("options")), lambda e: F.concat(e["key"], e["value"].cast("string")))
     return m.select("query_split", "query_idx", "k", "letter_seed", F.array_join(pairs, ",").alias("options"), "true_letter")
 
 
-@query(base("test", "val") + END + """
+@query(base() + END + """
 SELECT m.query_split, m.query_idx, CAST(m.k AS INTEGER) AS k, count(*) AS n, min(e.example_idx) AS first_example, CAST(sum(e.example_idx) AS BIGINT) AS total FROM members m
 JOIN examples e ON e.split = 'train' AND m.class_idx = e.class_idx GROUP BY m.query_split, m.query_idx, m.k
 """)
 def l5_in_set(spark, sf_dir):
-    w = World(spark, sf_dir, ["test", "val"])
+    w = World(spark, sf_dir)
     x = labelsets.in_set(w.gallery, w.sets)
     return x.groupBy("query_split", "query_idx", "k").agg(F.count(F.lit(1)).alias("n"), F.min("example_idx").alias("first_example"), F.sum("example_idx").alias("total"))
 
@@ -238,12 +235,12 @@ def l6_nesting(spark, sf_dir):
     return bad.crossJoin(s.agg(F.count(F.lit(1)).alias("sets")))
 
 
-@query(base("test") + END + """
+@query(base() + END + """
 SELECT query_split, query_idx, string_agg(CAST(class_idx AS VARCHAR), ',' ORDER BY class_idx) AS classes
 FROM (SELECT DISTINCT query_split, query_idx, class_idx FROM members WHERE k <= 6) GROUP BY query_split, query_idx
 """)
 def l7_classes_to_score(spark, sf_dir):
-    s = World(spark, sf_dir, ["test"]).sets.filter("k <= 6")
+    s = World(spark, sf_dir).sets.filter("k <= 6")
     return labelsets.classes_to_score(s).withColumn("classes", text("classes"))
 
 
@@ -314,7 +311,7 @@ def q_half_precision(spark, sf_dir):
     return _quantized(spark, sf_dir).select("vec_id", F.col("stored").alias("stored_scale"))
 
 
-@query(base("test") + LETTERED + """
+@query(base() + LETTERED + """
 , o AS (SELECT query_idx, k, letter_seed, string_agg(letter || '. ' || p_name, chr(10) ORDER BY letter) AS lines FROM lt JOIN part ON p_partkey = class_idx + 1 WHERE k = 4 GROUP BY query_idx, k, letter_seed)
 -- The wording is fixed: that of functions/prompts.py.
 SELECT o.query_idx, CAST(letter_seed AS INTEGER) AS letter_seed, array_to_string(['The goal of this task is to correctly classify an image. Choose the correct option from the list below.', lines, '',
@@ -322,7 +319,7 @@ SELECT o.query_idx, CAST(letter_seed AS INTEGER) AS letter_seed, array_to_string
 FROM o JOIN pools p ON p.query_idx = o.query_idx AND p.position = 0 JOIN part ON p_partkey = p.example_class + 1
 """)
 def t1_choice_prompt(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     names = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("class_idx"), F.col("p_name").alias("class_name"))
     named = labelsets.labels_of(labelsets.letters(w.sets.filter("k = 4"), [42, 43, 44]), names)
     options = named.groupBy("query_split", "query_idx", "letter_seed").agg(F.map_from_entries(F.collect_list(F.struct("letter", "class_name"))).alias("options"))

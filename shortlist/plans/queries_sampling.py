@@ -9,7 +9,7 @@ from ..operators import evaluate, integrity, sampling
 from ..sources import artifacts, scratch
 from .base_sql import CAND, base, metrics
 from .fixtures import World, table
-from .registry import query, r6, rounded, text
+from .registry import also, query, r6, rounded, text
 
 SPLIT10 = "CASE WHEN o_orderkey % 10 = 0 THEN 'test' WHEN o_orderkey % 10 = 1 THEN 'val' ELSE 'train' END"
 
@@ -57,17 +57,15 @@ def io3_split_file(spark, sf_dir):
     return artifacts.read_split_parts(spark, place)
 
 
-@query(base("test", "val") + CAND + """
+@query(base("train", "val") + CAND + """
 x AS (SELECT 1) SELECT query_split, count(*) AS candidates, count(DISTINCT query_idx) AS queries, (SELECT count(*) FROM examples) AS vectors, (SELECT count(*) FROM class_vectors) AS class_vectors FROM cand GROUP BY query_split
 """)
 def io4_teacher_artifact(spark, sf_dir):
-    return _teacher_artifact(spark, World(spark, sf_dir, ["test", "val"]))
+    """Train and val, never test."""
+    return _teacher_artifact(spark, World(spark, sf_dir, ["train", "val"]))
 
 
-@query()
-def io4_teacher_artifact_whole(spark, sf_dir):
-    """Teacher data proper: train and val, never test."""
-    return _teacher_artifact(spark, World(spark, sf_dir, ["train", "val"]))
+also("io4_teacher_artifact_whole", io4_teacher_artifact)
 
 
 def _teacher_artifact(spark, w):
@@ -81,30 +79,30 @@ def _teacher_artifact(spark, w):
     return back.join(n, "query_split").crossJoin(sizes[0]).crossJoin(sizes[1])  # one row each
 
 
-@query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """
+@query(base() + metrics("m", "cond", "condition, query_split, query_idx") + """
 x AS (SELECT 1) SELECT 'run-1' AS run_id, condition, 'accuracy' AS metric, round(avg(CAST(correct AS DOUBLE)), 6) AS value FROM m GROUP BY condition
 """)
 def io5_results(spark, sf_dir):
-    s = evaluate.summarize(evaluate.measure(World(spark, sf_dir, ["test"]).conditions), ["condition"])
+    s = evaluate.summarize(evaluate.measure(World(spark, sf_dir).conditions), ["condition"])
     long = s.select("condition", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     place = artifacts.write_results(long, "run-1", scratch.new(spark, "results"))
     return rounded(spark.read.parquet(f"{place}/metrics").select("run_id", "condition", "metric", "value"))
 
 
-@query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """
+@query(base() + metrics("m", "cond", "condition, query_split, query_idx") + """
 x AS (SELECT 1) SELECT condition, metric, round(value, 6) AS value, (SELECT count(*) FROM m) AS records FROM (
   SELECT condition, unnest(['accuracy', 'mean_margin', 'n']) AS metric, unnest([avg(CAST(correct AS DOUBLE)), avg(margin), CAST(count(*) AS DOUBLE)]) AS value FROM m GROUP BY condition)
 """)
 def io5_tree_and_records(spark, sf_dir):
     """Metrics as a JSON tree and the records beside it, written and read back."""
-    measured = evaluate.measure(World(spark, sf_dir, ["test"]).conditions)
+    measured = evaluate.measure(World(spark, sf_dir).conditions)
     s = evaluate.summarize(measured, ["condition"]).select("condition", *[F.col(c).cast("double").alias(c) for c in ("accuracy", "mean_margin", "n")])
     place = artifacts.write_results(s.unpivot("condition", ["accuracy", "mean_margin", "n"], "metric", "value"), "run-2", scratch.new(spark, "results"), records=measured)
     n = spark.read.parquet(f"{place}/records").agg(F.count(F.lit(1)).alias("records"))
     return rounded(artifacts.read_tree(spark, place, "condition string").crossJoin(n))  # one row
 
 
-@query(base("test") + metrics("m", "cond", "condition, query_split, query_idx") + """
+@query(base() + metrics("m", "cond", "condition, query_split, query_idx") + """
 a AS (SELECT * FROM m WHERE condition = 'zero_shot'), b AS (SELECT * FROM m WHERE condition = 'top1')
 SELECT a.query_split, a.query_idx, a.true_class, a.predicted AS zero_shot_predicted, a.correct AS zero_shot_correct,
        a.true_rank AS zero_shot_true_rank, round(a.margin, 6) AS zero_shot_margin, b.predicted AS top1_predicted,
@@ -112,19 +110,19 @@ SELECT a.query_split, a.query_idx, a.true_class, a.predicted AS zero_shot_predic
 FROM a JOIN b ON a.query_idx = b.query_idx
 """)
 def io6_query_csv(spark, sf_dir):
-    m = evaluate.measure(World(spark, sf_dir, ["test"]).conditions)
+    m = evaluate.measure(World(spark, sf_dir).conditions)
     wide = artifacts.wide_by_condition(m, ["zero_shot", "top1"])
     place = scratch.new(spark, "csv")
     artifacts.write_csv(wide, place)
     return rounded(spark.read.schema(wide.schema).csv(place, header=True))
 
 
-@query(base("test") + """
+@query(base() + """
 x AS (SELECT 1) SELECT query_split, query_idx, string_agg(CAST(example_idx AS VARCHAR), ',' ORDER BY position) AS examples,
        string_agg(CAST(example_class AS VARCHAR), ',' ORDER BY position) AS classes FROM pools GROUP BY query_split, query_idx
 """)
 def io7_candidate_export(spark, sf_dir):
-    e = artifacts.export_candidates(World(spark, sf_dir, ["test"]).pool, ["example_idx", "class_idx"])
+    e = artifacts.export_candidates(World(spark, sf_dir).pool, ["example_idx", "class_idx"])
     return e.select("query_split", "query_idx", text("example_idx").alias("examples"), text("class_idx").alias("classes"))
 
 

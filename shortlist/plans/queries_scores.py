@@ -10,7 +10,7 @@ from ..operators import audit, evaluate, labelsets, pairs, retrieval, scorers
 from .base_sql import CAND, base, metrics
 from .fixtures import N_CLASSES, POOL, World, table
 from .queries_retrieval import CONTROLS
-from .registry import query, rounded, text
+from .registry import also, query, rounded, text
 
 END = " x AS (SELECT 1) "
 M = metrics("m", "cond", "condition, query_split, query_idx")
@@ -19,8 +19,8 @@ ALL_METRICS = "predicted, correct, true_rank, round(true_score, 6) AS true_score
 SHOWN = ["predicted", "correct", "true_rank", "true_score", "log_probability", "probability", "margin", "gap", "entropy"]
 
 
-def _world(spark, sf_dir, *splits):
-    return World(spark, sf_dir, list(splits) or ["test", "val", "train"])
+def _world(spark, sf_dir):
+    return World(spark, sf_dir)
 
 
 def _measured(w, k=False):
@@ -69,20 +69,20 @@ def _trials(w):
     return t.withColumn("correct", F.when(~missing, F.col("pred_letter") == F.col("true_letter")))
 
 
-@query(base("test") + LETTERED + "SELECT condition, query_idx, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, true_letter, pred_letter, round(probability, 6) AS probability FROM trials")
+@query(base() + LETTERED + "SELECT condition, query_idx, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, true_letter, pred_letter, round(probability, 6) AS probability FROM trials")
 def m2_letter_softmax(spark, sf_dir):
-    t = _trials(_world(spark, sf_dir, "test"))
+    t = _trials(_world(spark, sf_dir))
     return rounded(t.select("condition", "query_idx", "k", "letter_seed", "true_letter", "pred_letter", "probability"))
 
 
-@query(base("test", "val") + M + END + f"SELECT condition, query_idx, {ALL_METRICS} FROM m")
+@query(base() + M + END + f"SELECT condition, query_idx, {ALL_METRICS} FROM m")
 def m3_closed_set(spark, sf_dir):
-    return rounded(_measured(_world(spark, sf_dir, "test", "val")).select("condition", "query_idx", *[f"m.{c}" for c in SHOWN]))
+    return rounded(_measured(_world(spark, sf_dir)).select("condition", "query_idx", *[f"m.{c}" for c in SHOWN]))
 
 
-@query(base("test", "val") + MK + END + f"SELECT condition, CAST(k AS INTEGER) AS k, query_idx, {ALL_METRICS} FROM m")
+@query(base() + MK + END + f"SELECT condition, CAST(k AS INTEGER) AS k, query_idx, {ALL_METRICS} FROM m")
 def m4_restricted(spark, sf_dir):
-    return rounded(_measured(_world(spark, sf_dir, "test", "val"), k=True).select("condition", "k", "query_idx", *[f"m.{c}" for c in SHOWN]))
+    return rounded(_measured(_world(spark, sf_dir), k=True).select("condition", "k", "query_idx", *[f"m.{c}" for c in SHOWN]))
 
 
 TEACHER = ["correct", "true_rank", "true_score", "strongest_wrong", "strongest_wrong_score", "margin", "log_probability", "probability"]
@@ -96,16 +96,16 @@ def m5_teacher_metrics(spark, sf_dir):
     return rounded(_world(spark, sf_dir).cand.select("query_split", "query_idx", "position", *[f"m.{c}" for c in TEACHER]))
 
 
-@query(base("test", "val") + CAND + END + """
+@query(base() + CAND + END + """
 SELECT query_idx, position, round(margin - z_margin, 6) + 0.0 AS d_margin, round(log_probability - z_log_probability, 6) + 0.0 AS d_log_probability, round(probability - z_probability, 6) + 0.0 AS d_probability FROM cand
 """)
 def m6_increments(spark, sf_dir):
     m, z = F.col("m"), F.col("z")
     kinds = {"d_margin": "incremental_margin", "d_log_probability": "incremental_true_log_probability", "d_probability": "incremental_true_probability"}
-    return rounded(_world(spark, sf_dir, "test", "val").cand.select("query_idx", "position", *[S.target(k, m, z).alias(n) for n, k in kinds.items()]))
+    return rounded(_world(spark, sf_dir).cand.select("query_idx", "position", *[S.target(k, m, z).alias(n) for n, k in kinds.items()]))
 
 
-@query(base("test") + CAND + """
+@query(base() + CAND + """
 lk AS (SELECT *, exp(greatest(-80, least(0, true_score))) AS p1, exp(greatest(-80, least(0, z_true_score))) AS p0 FROM cand)
 SELECT query_idx, position, round(margin, 6) AS margin, round(log_probability, 6) AS true_log_probability, round(probability, 6) AS true_probability,
   round(margin - z_margin, 6) + 0.0 AS incremental_margin, round(log_probability - z_log_probability, 6) + 0.0 AS incremental_true_log_probability, round(probability - z_probability, 6) + 0.0 AS incremental_true_probability,
@@ -114,12 +114,10 @@ SELECT query_idx, position, round(margin, 6) AS margin, round(log_probability, 6
   round(greatest(0, least(1, ((p1 - p0) / greatest(pow(greatest(p1, p0), 0.5), 1e-12) + 1) / 2)), 6) AS normalized_incremental_mean_token_probability FROM lk
 """)
 def m7_targets(spark, sf_dir):
-    return _targets(_world(spark, sf_dir, "test"))
+    return _targets(_world(spark, sf_dir))
 
 
-@query()
-def m7_targets_whole(spark, sf_dir):
-    return _targets(_world(spark, sf_dir))
+also("m7_targets_whole", m7_targets)
 
 
 def _targets(w):
@@ -127,10 +125,10 @@ def _targets(w):
     return rounded(w.cand.select("query_idx", "position", *[S.target(k, m, z, 0.5, 0.5).alias(k) for k in S.TARGETS]))
 
 
-@query(base("test", "val") + CAND + END + "SELECT query_idx, position, CAST(predicted AS INTEGER) AS output_class FROM cand")
+@query(base() + CAND + END + "SELECT query_idx, position, CAST(predicted AS INTEGER) AS output_class FROM cand")
 def m8_output_class(spark, sf_dir):
     classes = F.array(*[F.lit(i) for i in range(N_CLASSES)])
-    return _world(spark, sf_dir, "test", "val").pair.select("query_idx", "position", S.output_class(F.col("scores"), classes).alias("output_class"))
+    return _world(spark, sf_dir).pair.select("query_idx", "position", S.output_class(F.col("scores"), classes).alias("output_class"))
 
 
 def _summary_sql(keys: str, shown: str) -> str:
@@ -145,16 +143,16 @@ FROM su JOIN mac USING ({keys})
 """
 
 
-@query(base("test") + M + _summary_sql("condition", "condition"))
+@query(base() + M + _summary_sql("condition", "condition"))
 def e1_condition_summary(spark, sf_dir):
-    return rounded(evaluate.summarize(_measured(_world(spark, sf_dir, "test")), ["condition"]))
+    return rounded(evaluate.summarize(_measured(_world(spark, sf_dir)), ["condition"]))
 
 
-@query(base("test", "val") + M + """
+@query(base() + M + """
 c AS (SELECT unnest([1, 5, 10]) AS cutoff) SELECT condition, CAST(cutoff AS INTEGER) AS cutoff, round(avg(CAST(true_rank <= cutoff AS DOUBLE)), 6) AS share FROM m CROSS JOIN c GROUP BY condition, cutoff
 """)
 def e2_rank_cdf(spark, sf_dir):
-    return rounded(evaluate.rank_cdf(_measured(_world(spark, sf_dir, "test", "val")), ["condition"], N_CLASSES))
+    return rounded(evaluate.rank_cdf(_measured(_world(spark, sf_dir)), ["condition"], N_CLASSES))
 
 
 def _paired_sql(keys: str, select: str) -> str:
@@ -173,27 +171,27 @@ pp AS (SELECT *, CASE WHEN treatment_only + control_only = 0 THEN 1.0::DOUBLE EL
 PAIRED = "n, round(difference, 6) + 0.0 AS difference, treatment_only, control_only, round(dl, 6) AS mean_log_probability_difference, round(dm, 6) AS mean_margin_difference, round(p, 6) AS p FROM pp"
 
 
-@query(base("test", "val") + M + _paired_sql("", "") + "SELECT " + PAIRED)
+@query(base() + M + _paired_sql("", "") + "SELECT " + PAIRED)
 def e3_paired(spark, sf_dir):
-    return rounded(evaluate.paired(_measured(_world(spark, sf_dir, "test", "val")), "top1", "zero_shot"))
+    return rounded(evaluate.paired(_measured(_world(spark, sf_dir)), "top1", "zero_shot"))
 
 
-@query(base("test", "val") + MK + _summary_sql("condition, k", "condition, CAST(k AS INTEGER) AS k"))
+@query(base() + MK + _summary_sql("condition, k", "condition, CAST(k AS INTEGER) AS k"))
 def e4_k_sweep(spark, sf_dir):
-    return rounded(evaluate.summarize(_measured(_world(spark, sf_dir, "test", "val"), k=True), ["condition", "k"]))
+    return rounded(evaluate.summarize(_measured(_world(spark, sf_dir), k=True), ["condition", "k"]))
 
 
-@query(base("test", "val") + MK + _paired_sql("t.k", "t.k AS k,") + "SELECT CAST(k AS INTEGER) AS k, " + PAIRED)
+@query(base() + MK + _paired_sql("t.k", "t.k AS k,") + "SELECT CAST(k AS INTEGER) AS k, " + PAIRED)
 def e4_k_sweep_paired(spark, sf_dir):
-    return rounded(evaluate.paired(_measured(_world(spark, sf_dir, "test", "val"), k=True), "top1", "zero_shot", ["k"]))
+    return rounded(evaluate.paired(_measured(_world(spark, sf_dir), k=True), "top1", "zero_shot", ["k"]))
 
 
-@query(base("test", "val") + MK + """
+@query(base() + MK + """
 l AS (SELECT *, lag(correct) OVER (PARTITION BY query_idx, condition ORDER BY k) AS before FROM m)
 SELECT condition, count(*) AS checked, count(*) FILTER (NOT before AND correct) AS violations FROM l GROUP BY condition
 """)
 def e5_monotonicity(spark, sf_dir):
-    m = _measured(_world(spark, sf_dir, "test", "val"), k=True)
+    m = _measured(_world(spark, sf_dir), k=True)
     bad = evaluate.monotonicity_violations(m).groupBy("condition").agg(F.count(F.lit(1)).alias("violations"))
     return m.groupBy("condition").agg(F.count(F.lit(1)).alias("checked")).join(bad, "condition", "left").select("condition", "checked", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
 
@@ -204,53 +202,53 @@ def e6_retrieval_facts(spark, sf_dir):
     return rounded(p.groupBy("query_split").agg(F.count(F.lit(1)).alias("n"), evaluate.share(F.col("class_idx") == F.col("true_class")).alias("same_class_rate"), F.avg("similarity").alias("mean_similarity")))
 
 
-@query(base("test", "val") + M + """
+@query(base() + M + """
 j AS (SELECT p.example_class = p.true_class AS same_class, z.correct AS zc, t.correct AS tc, t.predicted = p.example_class AS tcopy, z.predicted = p.example_class AS zcopy
       FROM pools p JOIN m t ON t.query_idx = p.query_idx AND t.condition = 'top1' JOIN m z ON z.query_idx = p.query_idx AND z.condition = 'zero_shot' WHERE p.position = 0)
 SELECT same_class, count(*) AS n, round(avg(CAST(zc AS DOUBLE)), 6) AS zero_accuracy, round(avg(CAST(tc AS DOUBLE)), 6) AS accuracy,
        round(avg(CAST(tcopy AS DOUBLE)), 6) AS copy_rate, round(avg(CAST(zcopy AS DOUBLE)), 6) AS zero_copy_rate FROM j GROUP BY ROLLUP (same_class)
 """)
 def e7_copy_breakdown(spark, sf_dir):
-    w = _world(spark, sf_dir, "test", "val")
+    w = _world(spark, sf_dir)
     m = _measured(w)
     return rounded(evaluate.copy_breakdown(m.filter("condition = 'top1'"), m.filter("condition = 'zero_shot'"), retrieval.top_one(w.pool)))
 
 
-@query(base("test") + LETTERED + """
+@query(base() + LETTERED + """
 SELECT condition, CAST(k AS INTEGER) AS k, CAST(letter_seed AS INTEGER) AS letter_seed, true_class, true_letter, pred_letter, count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy
 FROM trials WHERE correct IS NOT NULL GROUP BY GROUPING SETS ((condition, k), (condition, k, letter_seed), (condition, k, true_class), (condition, k, true_letter), (condition, k, pred_letter))
 """)
 def e8_choice_summary(spark, sf_dir):
-    return rounded(evaluate.choice_summary(_trials(_world(spark, sf_dir, "test"))))
+    return rounded(evaluate.choice_summary(_trials(_world(spark, sf_dir))))
 
 
-@query(base("test") + LETTERED + """
+@query(base() + LETTERED + """
 SELECT condition, CAST(k AS INTEGER) AS k, round(avg(a), 6) AS macro_accuracy FROM (SELECT condition, k, true_class, avg(CAST(correct AS DOUBLE)) AS a FROM trials WHERE correct IS NOT NULL GROUP BY condition, k, true_class) GROUP BY condition, k
 """)
 def e8_choice_macro(spark, sf_dir):
-    return rounded(evaluate.choice_macro(_trials(_world(spark, sf_dir, "test"))))
+    return rounded(evaluate.choice_macro(_trials(_world(spark, sf_dir))))
 
 
-@query(base("test") + LETTERED + """
+@query(base() + LETTERED + """
 , d AS (SELECT t.k, t.query_idx, avg(CAST(t.correct AS DOUBLE) - CAST(c.correct AS DOUBLE)) AS d, count(*) AS trials FROM trials t JOIN trials c
    ON t.k = c.k AND t.query_split = c.query_split AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' AND t.correct IS NOT NULL AND c.correct IS NOT NULL GROUP BY t.k, t.query_split, t.query_idx),
 g AS (SELECT k, count(*) AS clusters, CAST(sum(trials) AS BIGINT) AS trials, avg(d) AS difference, coalesce(stddev_samp(d), 0) / sqrt(count(*)) AS se FROM d GROUP BY k)
 SELECT CAST(k AS INTEGER) AS k, clusters, trials, round(difference, 6) + 0.0 AS difference, round(se, 6) AS se, round(difference - 1.959963984540054 * se, 6) + 0.0 AS low, round(difference + 1.959963984540054 * se, 6) + 0.0 AS high FROM g
 """)
 def e9_clustered_difference(spark, sf_dir):
-    return rounded(evaluate.clustered_difference(_trials(_world(spark, sf_dir, "test")), "top1", "zero_shot"))
+    return rounded(evaluate.clustered_difference(_trials(_world(spark, sf_dir)), "top1", "zero_shot"))
 
 
-@query(base("test") + LETTERED + """
+@query(base() + LETTERED + """
 SELECT CAST(t.k AS INTEGER) AS k, CAST(t.letter_seed AS INTEGER) AS letter_seed, count(*) FILTER (t.correct AND c.correct) AS both, count(*) FILTER (t.correct AND NOT c.correct) AS treatment_only,
    count(*) FILTER (NOT t.correct AND c.correct) AS control_only, count(*) FILTER (NOT t.correct AND NOT c.correct) AS neither
 FROM trials t JOIN trials c ON t.k = c.k AND t.query_split = c.query_split AND t.query_idx = c.query_idx AND t.letter_seed = c.letter_seed WHERE t.condition = 'top1' AND c.condition = 'zero_shot' GROUP BY t.k, t.letter_seed
 """)
 def e9_seed_transitions(spark, sf_dir):
-    return evaluate.seed_transitions(_trials(_world(spark, sf_dir, "test")), "top1", "zero_shot").drop("difference", "p")
+    return evaluate.seed_transitions(_trials(_world(spark, sf_dir)), "top1", "zero_shot").drop("difference", "p")
 
 
-@query(base("test", "val") + CONTROLS + "," + LETTERED + """
+@query(base() + CONTROLS + "," + LETTERED + """
 , f AS (SELECT query_split, query_idx, k, bool_or(example_class = true_class) AS has, first(example_class = true_class ORDER BY position) AS same FROM rp GROUP BY query_split, query_idx, k)
 SELECT CAST(t.k AS INTEGER) AS k, count(*) AS trials, count(DISTINCT (t.query_split, t.query_idx)) AS queries, count(DISTINCT letter_seed) AS seeds, round(avg(CAST(has AS DOUBLE)) FILTER (letter_seed = 42), 6) AS pool_has_true_rate,
    round(avg(CAST(top1_in_options AS DOUBLE)) FILTER (letter_seed = 42), 6) AS in_options_rate, round(avg(CAST(same AS DOUBLE)) FILTER (letter_seed = 42), 6) AS same_class_rate
@@ -259,7 +257,7 @@ WHERE t.condition = 'zero_shot' GROUP BY t.k
 """)
 def e10_first_trial_rates(spark, sf_dir):
     """Rates over the pools restricted to each query's class set."""
-    w, key = _world(spark, sf_dir, "test", "val"), ["query_split", "query_idx", "k"]
+    w, key = _world(spark, sf_dir), ["query_split", "query_idx", "k"]
     pool = retrieval.restricted(w.queries, w.gallery, w.sets, POOL)
     facts = retrieval.pool_facts(pool, key).select(*key, F.col("has_true").alias("pool_has_true"), "top1_same_class")
     inside = retrieval.controls(w.queries, w.gallery, w.sets, 9, POOL).select(*key, "top1_in_options")
@@ -280,31 +278,31 @@ def e11_mcnemar(spark, sf_dir):
 
 @query()
 def e12_bootstrap(spark, sf_dir):
-    p = evaluate.paired(_measured(_world(spark, sf_dir, "test", "val"), k=True), "top1", "zero_shot", ["k"])
+    p = evaluate.paired(_measured(_world(spark, sf_dir), k=True), "top1", "zero_shot", ["k"])
     ci = stats.bootstrap(p.select("k", "n", "treatment_only", "control_only"), ["k"])
     return p.select("k", "n", "difference").join(ci, "k")
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 b AS (SELECT query_idx, example_idx AS base FROM sel WHERE selector = 'top1')
 SELECT selector, round(avg(CAST(example_class = true_class AS DOUBLE)), 6) AS same_class_rate, round(avg(CAST(example_idx = base AS DOUBLE)), 6) AS agreement, round(avg(position), 6) AS mean_position,
   round(avg(CAST(pool_has_true AS DOUBLE)), 6) AS pool_has_true_rate, round(avg(CAST(correct AS DOUBLE)) FILTER (pool_has_true), 6) AS accuracy_has, round(avg(CAST(correct AS DOUBLE)) FILTER (NOT pool_has_true), 6) AS accuracy_lacks
 FROM sel JOIN b USING (query_idx) GROUP BY selector
 """)
 def e13_selector_stats(spark, sf_dir):
-    return rounded(evaluate.selector_stats(_world(spark, sf_dir, "test", "val").picked, "top1"))
+    return rounded(evaluate.selector_stats(_world(spark, sf_dir).picked, "top1"))
 
 
-@query(base("test", "val") + CAND + END + """
+@query(base() + CAND + END + """
 SELECT query_split, query_idx, string_agg(CAST(example_idx AS VARCHAR), ',' ORDER BY example_idx) AS exemplars FROM (SELECT DISTINCT query_split, query_idx, example_idx FROM sel) GROUP BY query_split, query_idx
 """)
 def e14_selections(spark, sf_dir):
-    return evaluate.distinct_exemplars(_world(spark, sf_dir, "test", "val").picked).withColumn("exemplars", text("exemplars"))
+    return evaluate.distinct_exemplars(_world(spark, sf_dir).picked).withColumn("exemplars", text("exemplars"))
 
 
-@query(base("test") + CAND + END + "SELECT selector AS condition, query_idx, example_idx, correct, round(margin, 6) AS margin FROM sel")
+@query(base() + CAND + END + "SELECT selector AS condition, query_idx, example_idx, correct, round(margin, 6) AS margin FROM sel")
 def e15_condition_views(spark, sf_dir):
-    w = _world(spark, sf_dir, "test")
+    w = _world(spark, sf_dir)
     views = evaluate.condition_views(w.picked.drop("scores", "correct"), w.pair.select("query_split", "query_idx", "example_idx", "scores"))
     return rounded(evaluate.measure(views).select("condition", "query_idx", "example_idx", "m.correct", "m.margin"))
 
@@ -337,16 +335,16 @@ def _report(w):
     return evaluate.held_out_report(z.unionByName(s), w.sets, w.picked, "top1", "zero_shot")
 
 
-@query(base("test") + REPORT + "SELECT condition, CAST(nullif(k, 0) AS INTEGER) AS k, metric, round(value, 6) + 0.0 AS value FROM r")
+@query(base() + REPORT + "SELECT condition, CAST(nullif(k, 0) AS INTEGER) AS k, metric, round(value, 6) + 0.0 AS value FROM r")
 def e16_held_out_report(spark, sf_dir):
     """Summaries over all classes and for every k, paired comparisons, selections; drawn intervals and p have their own queries."""
-    return rounded(_report(_world(spark, sf_dir, "test")).filter(~F.col("metric").isin("paired_p", "paired_low", "paired_high")))
+    return rounded(_report(_world(spark, sf_dir)).filter(~F.col("metric").isin("paired_p", "paired_low", "paired_high")))
 
 
 @query()
 def e16_report_intervals(spark, sf_dir):
     """The report's exact p and bootstrap intervals, which SQL can't draw."""
-    return rounded(_report(_world(spark, sf_dir, "test")).filter(F.col("metric").isin("paired_p", "paired_low", "paired_high")))
+    return rounded(_report(_world(spark, sf_dir)).filter(F.col("metric").isin("paired_p", "paired_low", "paired_high")))
 
 
 CANDK = """
@@ -359,7 +357,7 @@ def _candidates_k(w):
     return m.select("query_split", "query_idx", "true_class", "position", "example_idx", "class_idx", "k", "m.correct", "m.margin", "m.true_rank")
 
 
-@query(base("test") + CANDK + """
+@query(base() + CANDK + """
 q AS (SELECT query_idx, true_class, k, bool_or(correct) AS hit, first(correct ORDER BY position) AS top1, max(margin) AS margin, min(true_rank) AS rank,
   first(example_class = true_class ORDER BY margin DESC, position) AS same, bool_or(example_class = true_class) AS has FROM ck GROUP BY query_idx, true_class, k),
 mac AS (SELECT k, avg(a) AS macro FROM (SELECT k, true_class, avg(CAST(hit AS DOUBLE)) AS a FROM q GROUP BY k, true_class) GROUP BY k)
@@ -368,29 +366,29 @@ SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(hit AS DOUBLE)), 6) AS oracle_acc
 FROM q JOIN mac USING (k) GROUP BY k
 """)
 def e17_oracle_summary(spark, sf_dir):
-    return rounded(evaluate.oracle_summary(_candidates_k(_world(spark, sf_dir, "test"))))
+    return rounded(evaluate.oracle_summary(_candidates_k(_world(spark, sf_dir))))
 
 
-@query(base("test", "val") + CAND + END + "SELECT query_split, query_idx, first(example_idx ORDER BY position) FILTER (correct) AS example_idx, min(position) FILTER (correct) AS position FROM cand GROUP BY query_split, query_idx")
+@query(base() + CAND + END + "SELECT query_split, query_idx, first(example_idx ORDER BY position) FILTER (correct) AS example_idx, min(position) FILTER (correct) AS position FROM cand GROUP BY query_split, query_idx")
 def e18_first_success(spark, sf_dir):
-    return evaluate.first_success(_world(spark, sf_dir, "test", "val").cand)
+    return evaluate.first_success(_world(spark, sf_dir).cand)
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 f AS (SELECT query_idx, min(position) FILTER (correct) AS p FROM cand GROUP BY query_idx), n AS (SELECT unnest(range(1, 31)) AS candidates)
 SELECT candidates, round(count(*) FILTER (p < candidates) / CAST(count(*) AS DOUBLE), 6) AS accuracy FROM f CROSS JOIN n GROUP BY candidates
 """)
 def e19_oracle_curve(spark, sf_dir):
-    c = evaluate.oracle_curve(_world(spark, sf_dir, "test", "val").cand, 30)
+    c = evaluate.oracle_curve(_world(spark, sf_dir).cand, 30)
     return rounded(c.select(F.col("candidates").cast("long").alias("candidates"), "accuracy"))
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 q AS (SELECT query_idx, bool_or(correct) AS hit, bool_or(example_class = true_class) AS pool_has_true FROM cand GROUP BY query_idx)
 SELECT pool_has_true, count(*) AS n, round(avg(CAST(hit AS DOUBLE)), 6) AS oracle_accuracy FROM q GROUP BY pool_has_true
 """)
 def e20_oracle_by_pool(spark, sf_dir):
-    return rounded(evaluate.oracle_by_pool(_world(spark, sf_dir, "test", "val").cand))
+    return rounded(evaluate.oracle_by_pool(_world(spark, sf_dir).cand))
 
 
 AUDIT = CAND + CANDK + """
@@ -406,35 +404,35 @@ aq AS (SELECT query_idx, k, first(position ORDER BY margin DESC, position) AS sp
 """
 
 
-@query(base("test") + AUDIT + """
+@query(base() + AUDIT + """
 SELECT CAST(aq.k AS INTEGER) AS k, round(avg(coverage), 6) AS coverage, round(avg(rho), 6) AS mean_spearman, round(avg(tau), 6) AS mean_kendall, round(avg(CAST(aq.sp = op AS DOUBLE)), 6) AS top_agreement,
   round(avg(CAST(sc AS DOUBLE)), 6) AS selected_accuracy, round(avg(CAST(oc AS DOUBLE)), 6) AS oracle_accuracy, round(avg(CAST(oc AS DOUBLE)) - avg(CAST(sc AS DOUBLE)), 6) + 0.0 AS accuracy_gap,
   round(avg(regret), 6) + 0.0 AS mean_regret, round(median(regret), 6) + 0.0 AS median_regret, round(quantile_cont(regret, 0.95), 6) + 0.0 AS p95_regret
 FROM aq JOIN sp ON sp.query_idx = aq.query_idx AND sp.k = aq.k JOIN kt ON kt.query_idx = aq.query_idx AND kt.k = aq.k GROUP BY aq.k
 """)
 def e21_label_space_audit(spark, sf_dir):
-    w = _world(spark, sf_dir, "test")
+    w = _world(spark, sf_dir)
     return rounded(audit.audit_summary(audit.audit_rows(w.pair, w.sets)))
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 rk AS (SELECT *, rank() OVER (PARTITION BY query_idx ORDER BY score) + (count(*) OVER (PARTITION BY query_idx, score) - 1) / 2.0 AS ra,
   rank() OVER (PARTITION BY query_idx ORDER BY margin) + (count(*) OVER (PARTITION BY query_idx, margin) - 1) / 2.0 AS rb FROM cand)
 SELECT query_split, query_idx, round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM rk GROUP BY query_split, query_idx
 """)
 def e22_spearman(spark, sf_dir):
-    return rounded(pairs.spearman(_world(spark, sf_dir, "test", "val").cand, "score", "margin"))
+    return rounded(pairs.spearman(_world(spark, sf_dir).cand, "score", "margin"))
 
 
-@query(base("test", "val") + CAND + END + """
+@query(base() + CAND + END + """
 SELECT a.query_split, a.query_idx, round(sum(sign(a.score - b.score) * sign(a.margin - b.margin)) / sqrt(sum(abs(sign(a.score - b.score))) * sum(abs(sign(a.margin - b.margin)))), 6) + 0.0 AS kendall
 FROM cand a JOIN cand b ON a.query_idx = b.query_idx AND a.position < b.position GROUP BY a.query_split, a.query_idx
 """)
 def e23_kendall(spark, sf_dir):
-    return rounded(pairs.kendall(_world(spark, sf_dir, "test", "val").cand, "score", "margin"))
+    return rounded(pairs.kendall(_world(spark, sf_dir).cand, "score", "margin"))
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 q AS (SELECT query_idx, first(correct ORDER BY score DESC, position) AS sc, first(margin ORDER BY score DESC, position) AS sm, first(target ORDER BY score DESC, position) AS stt, first(position ORDER BY score DESC, position) AS p,
   first(correct ORDER BY position) AS t1, bool_or(correct) AS hit, max(margin) AS bm, max(target) AS bt, first(position ORDER BY margin DESC, position) AS mp, first(position ORDER BY target DESC, position) AS tp, first(correct ORDER BY margin DESC, position) AS oc FROM cand GROUP BY query_idx),
 sr AS (SELECT query_idx, coalesce(corr(ra, rb), 0) AS rho FROM (SELECT query_idx, rank() OVER (PARTITION BY query_idx ORDER BY score) + (count(*) OVER (PARTITION BY query_idx, score) - 1) / 2.0 AS ra,
@@ -443,7 +441,7 @@ SELECT count(*) AS queries, round(avg(CAST(sc AS DOUBLE)), 6) AS selected_accura
   round(avg(sm), 6) AS mean_selected_margin, round(avg(bm - sm), 6) AS mean_margin_regret, round(avg(CAST(p = mp AS DOUBLE)), 6) AS margin_agreement, round(avg(CAST(p = tp AS DOUBLE)), 6) AS target_agreement, round(avg(bt - stt), 6) AS mean_target_regret, round(avg(rho), 6) AS mean_margin_spearman FROM q JOIN sr USING (query_idx)
 """)
 def e24_selection_metrics(spark, sf_dir):
-    return rounded(evaluate.selection_metrics(_world(spark, sf_dir, "test", "val").cand, "score", "target"))
+    return rounded(evaluate.selection_metrics(_world(spark, sf_dir).cand, "score", "target"))
 
 
 @query(base() + CAND + """
@@ -479,36 +477,36 @@ def e25_scoring_counts(spark, sf_dir):
     return evaluate.scoring_counts(records, ["scoring_mode", "scoring_batch_size"])
 
 
-@query(base("test", "val") + CAND + END + "SELECT query_idx, position, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, position) - 1 AS INTEGER) AS rank FROM cand")
+@query(base() + CAND + END + "SELECT query_idx, position, CAST(row_number() OVER (PARTITION BY query_idx ORDER BY score DESC, position) - 1 AS INTEGER) AS rank FROM cand")
 def e26_candidate_ranks(spark, sf_dir):
-    return evaluate.candidate_ranks(_world(spark, sf_dir, "test", "val").cand, "score").select("query_idx", "position", "rank")
+    return evaluate.candidate_ranks(_world(spark, sf_dir).cand, "score").select("query_idx", "position", "rank")
 
 
-@query(base("test", "val") + CAND + END + """
+@query(base() + CAND + END + """
 SELECT query_split, query_idx, first(position ORDER BY score DESC, position) AS position, first(example_idx ORDER BY score DESC, position) AS example_idx, first(correct ORDER BY score DESC, position) AS correct,
   round(first(margin ORDER BY score DESC, position), 6) AS margin, round(max(score), 6) AS score FROM cand GROUP BY query_split, query_idx
 """)
 def e27_selected_fields(spark, sf_dir):
-    return rounded(evaluate.select_best(_world(spark, sf_dir, "test", "val").cand, "score", ["example_idx", "correct", "margin"]))
+    return rounded(evaluate.select_best(_world(spark, sf_dir).cand, "score", ["example_idx", "correct", "margin"]))
 
 
-@query(base("test", "val") + CAND + END + """
+@query(base() + CAND + END + """
 SELECT count(*) AS n, round(avg(CAST(a.example_idx = b.example_idx AS DOUBLE)), 6) AS same_pick_rate, round(avg(CAST(a.correct OR b.correct AS DOUBLE)), 6) AS either_correct, round(avg(CAST(a.correct AS DOUBLE)), 6) AS accuracy_a,
   round(avg(CAST(b.correct AS DOUBLE)), 6) AS accuracy_b FROM sel a JOIN sel b ON a.query_idx = b.query_idx WHERE a.selector = 'scorer' AND b.selector = 'label_match'
 """)
 def e28_compare_selectors(spark, sf_dir):
-    return rounded(evaluate.compare_selectors(_world(spark, sf_dir, "test", "val").picked, "scorer", "label_match"))
+    return rounded(evaluate.compare_selectors(_world(spark, sf_dir).picked, "scorer", "label_match"))
 
 
-@query(base("test", "val") + CAND + END + "SELECT s.query_split, s.query_idx, s.position, s.example_idx, s.example_class AS class_idx, round(q.sim, 6) AS score FROM sel s JOIN qc q ON q.query_idx = s.query_idx AND q.class_idx = s.example_class WHERE selector = 'label_match'")
+@query(base() + CAND + END + "SELECT s.query_split, s.query_idx, s.position, s.example_idx, s.example_class AS class_idx, round(q.sim, 6) AS score FROM sel s JOIN qc q ON q.query_idx = s.query_idx AND q.class_idx = s.example_class WHERE selector = 'label_match'")
 def e29_label_match(spark, sf_dir):
-    w = _world(spark, sf_dir, "test", "val")
+    w = _world(spark, sf_dir)
     return rounded(evaluate.label_match(w.pool, w.sim))
 
 
-@query(base("test", "val") + CAND + END + "SELECT query_split, query_idx, position, round(score, 6) AS score FROM sel WHERE selector = 'scorer'")
+@query(base() + CAND + END + "SELECT query_split, query_idx, position, round(score, 6) AS score FROM sel WHERE selector = 'scorer'")
 def e30_learned_selection(spark, sf_dir):
-    return rounded(evaluate.select_best(_world(spark, sf_dir, "test", "val").cand, "score", []))
+    return rounded(evaluate.select_best(_world(spark, sf_dir).cand, "score", []))
 
 
 HISTORY = """
@@ -550,17 +548,17 @@ def e33_grid(spark, sf_dir):
     return rounded(evaluate.grid(e, ["event_type", "width"], "value"))
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 t AS (SELECT query_idx, example_class = true_class AS t1 FROM sel WHERE selector = 'top1')
 SELECT selector, example_class = true_class AS pick_same_class, t1 AS top1_same_class, count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM sel JOIN t USING (query_idx) GROUP BY 1, 2, 3
 """)
 def e34_selector_breakdown(spark, sf_dir):
-    return rounded(evaluate.selector_breakdown(_world(spark, sf_dir, "test", "val").picked, "top1"))
+    return rounded(evaluate.selector_breakdown(_world(spark, sf_dir).picked, "top1"))
 
 
-@query(base("test", "val") + CAND + """
+@query(base() + CAND + """
 b AS (SELECT selector, CAST(position >= 1 AS INTEGER) + CAST(position >= 5 AS INTEGER) + CAST(position >= 15 AS INTEGER) AS bucket FROM sel)
 SELECT selector, bucket, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER (PARTITION BY selector) AS DOUBLE), 6) AS share FROM b GROUP BY selector, bucket
 """)
 def e34_position_buckets(spark, sf_dir):
-    return rounded(evaluate.position_buckets(_world(spark, sf_dir, "test", "val").picked, [1, 5, 15]))
+    return rounded(evaluate.position_buckets(_world(spark, sf_dir).picked, [1, 5, 15]))

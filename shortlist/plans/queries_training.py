@@ -11,7 +11,7 @@ from ..sources import scratch
 from ..streaming import shards
 from .base_sql import CAND, base
 from .fixtures import N_CLASSES, World, table
-from .registry import query, rounded
+from .registry import also, query, rounded
 
 END = " x AS (SELECT 1) "
 PAIRS = CAND + """
@@ -35,10 +35,10 @@ BCE = "avg(greatest(score, 0) - score * target + ln(1 + exp(-abs(score))))"
 
 
 def _cand(spark, sf_dir):
-    return World(spark, sf_dir, ["test", "val"]).cand
+    return World(spark, sf_dir).cand
 
 
-SPLITS = base("test", "val")
+SPLITS = base()
 
 
 @query(SPLITS + PAIRS + "SELECT query_split, query_idx, i, j, round(ds, 6) + 0.0 AS ds, round(dt, 6) + 0.0 AS dt FROM pp")
@@ -103,36 +103,20 @@ def p11_hybrid_pointwise_loss(spark, sf_dir):
     return rounded(pairs.hybrid_pointwise_loss(_cand(spark, sf_dir)))
 
 
-def _whole(name: str, loss, *args):
-    """``name`` over every split; without a twin, as SQL compares each row with each."""
+for _f in (
+    p1_preference_pairs, p2_pairwise_loss, p3_weighted_loss, p4_crossing_loss, p5_crossing_margin_loss, p6_pairwise_accuracy, p7_listwise_loss,
+    p8_hybrid_listwise_loss, p9_bce_loss, p10_huber_loss, p11_hybrid_pointwise_loss,
+):
+    also(f"{_f.__name__}_whole", _f)
 
-    def run(spark, sf_dir):
-        return rounded(loss(World(spark, sf_dir).cand, *args))
 
-    run.__name__ = f"{name}_whole"
-    return query()(run)
-
-
-p1_whole = _whole("p1_preference_pairs", pairs.preference_pairs)
-p2_whole = _whole("p2_pairwise_loss", pairs.pairwise_loss)
-p3_whole = _whole("p3_weighted_loss", pairs.weighted_pairwise_loss, 0.5)
-p4_whole = _whole("p4_crossing_loss", pairs.crossing_loss)
-p5_whole = _whole("p5_crossing_margin_loss", pairs.crossing_with_margin_loss, 0.3)
-p6_whole = _whole("p6_pairwise_accuracy", pairs.pairwise_accuracy)
-p7_whole = _whole("p7_listwise_loss", pairs.listwise_loss)
-p8_whole = _whole("p8_hybrid_listwise_loss", pairs.hybrid_listwise_loss)
-p9_whole = _whole("p9_bce_loss", pairs.bce_loss)
-p10_whole = _whole("p10_huber_loss", pairs.huber_loss, 0.4)
-p11_whole = _whole("p11_hybrid_pointwise_loss", pairs.hybrid_pointwise_loss)
-
-
-@query(base("test") + """
+@query(base() + """
 f AS (SELECT p.query_idx, p.position, list_cosine_similarity(q.vec, c.vec) AS a, list_cosine_similarity(g.vec, c.vec) AS b, p.similarity AS s, p.position / 29.0::DOUBLE AS r
       FROM pools p JOIN examples q ON q.example_idx = p.query_idx JOIN examples g ON g.example_idx = p.example_idx JOIN class_vectors c ON c.class_idx = p.example_class)
 SELECT query_idx, position, round(1.5 * a + 0.25 * b + 0.5 * s - 0.1 * r + 0.05, 6) + 0.0 AS score FROM f
 """)
 def p12_linear_scorer(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
     x = F.array("query_label", "example_label", "similarity", "rank_fraction")
     return rounded(f.select("query_idx", "position", scorers.linear(x, [1.5, 0.25, 0.5, -0.1], 0.05).alias("score")))
@@ -140,7 +124,7 @@ def p12_linear_scorer(spark, sf_dir):
 
 @query()
 def p12_two_layer_scorer(spark, sf_dir):
-    w = World(spark, sf_dir, ["test"])
+    w = World(spark, sf_dir)
     f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
     rows = f.select("query_idx", "position", F.array("query_label", "example_label", "similarity", "rank_fraction").alias("x"))
     rng = np.random.default_rng(3)
@@ -207,15 +191,15 @@ def r4_resume_checks(spark, sf_dir):
     return integrity.resume_violations(new, o.filter("o_orderkey % 7 <> 0"), ["o_orderkey"], ["o_orderstatus"])
 
 
-@query(base("test") + END + "SELECT query_idx, position, example_idx FROM pools WHERE position >= 20")
+@query(base() + END + "SELECT query_idx, position, example_idx FROM pools WHERE position >= 20")
 def r5_expansion(spark, sf_dir):
-    p = World(spark, sf_dir, ["test"]).pool
+    p = World(spark, sf_dir).pool
     return integrity.expansion(p.filter("position < 20"), p, ["query_split", "query_idx"], 20, 30).select("query_idx", "position", "example_idx")
 
 
-@query(base("test") + END + "SELECT query_idx, position FROM pools WHERE position = 3 AND query_idx % 20 = 0")
+@query(base() + END + "SELECT query_idx, position FROM pools WHERE position = 3 AND query_idx % 20 = 0")
 def r5_prefix_check(spark, sf_dir):
-    p = World(spark, sf_dir, ["test"]).pool
+    p = World(spark, sf_dir).pool
     stored = p.withColumn("example_idx", F.when((F.col("position") == 3) & (F.col("query_idx") % 20 == 0), -1).otherwise(F.col("example_idx")))
     return integrity.prefix_violations(stored, p, ["query_split", "query_idx"], 20).select("query_idx", "position")
 
@@ -257,12 +241,12 @@ def r6_teacher_validation(spark, sf_dir):
 @query("""
 SELECT 'dimensions' AS rule, count(DISTINCT CASE WHEN vec_id % 40 = 7 THEN 63 ELSE 64 END) - 1 AS n FROM embeddings
 UNION ALL SELECT 'finite', count(*) FILTER (vec_id % 40 = 9) FROM embeddings
-UNION ALL SELECT 'unknown_id', count(*) FILTER (vec_id % 10 <= 1 AND vec_id % 4 <> 0 AND vec_id % 3 = 0) FROM embeddings
+UNION ALL SELECT 'unknown_id', count(*) FILTER (vec_id % 4 <> 0 AND vec_id % 3 = 0) FROM embeddings
 UNION ALL SELECT 'empty_pool', count(*) FILTER (vec_id % 10 <= 1 AND vec_id % 4 = 0) FROM embeddings
 """)
 def r7_table_checks(spark, sf_dir):
     """Tables with planted faults: short vectors, infinite numbers, unknown exemplars, missing pools."""
-    w = World(spark, sf_dir, ["test", "val"])
+    w = World(spark, sf_dir)
     i = F.col("example_idx")
     vec = F.when(i % 40 == 7, F.slice("vec", 1, 63)).when(i % 40 == 9, F.transform("vec", lambda v, k: F.when(k == 5, float("inf")).otherwise(v))).otherwise(F.col("vec"))
     first = (F.col("position") == 0) & (F.col("query_idx") % 3 == 0)
@@ -312,17 +296,17 @@ def r11_shard_stream(spark, sf_dir):
     return shards.merged(spark, target, ["o_orderkey"], "shard_seq").select("o_orderkey", "o_orderstatus", "shard_seq")
 
 
-@query(base("test") + END + "SELECT query_split, query_idx, CAST(-1 AS BIGINT) AS stored, example_idx AS rebuilt FROM pools WHERE position = 0 AND query_idx % 30 = 0 AND query_idx % 60 <> 0")
+@query(base() + END + "SELECT query_split, query_idx, CAST(-1 AS BIGINT) AS stored, example_idx AS rebuilt FROM pools WHERE position = 0 AND query_idx % 30 = 0 AND query_idx % 60 <> 0")
 def r12_top1_check(spark, sf_dir):
-    p = World(spark, sf_dir, ["test"]).pool
+    p = World(spark, sf_dir).pool
     first = retrieval.top_one(p)
     stored = first.withColumn("example_idx", F.when(F.col("query_idx") % 30 == 0, F.lit(-1).cast("long")).otherwise(F.col("example_idx")))
     return integrity.top1_violations(p, stored, first.filter("query_idx % 60 = 0").select("query_split", "query_idx"))
 
 
-@query(base("test") + CAND + END + "SELECT query_idx, position, position < 20 AS reused, round(true_score, 6) AS true_score FROM cand")
+@query(base() + CAND + END + "SELECT query_idx, position, position < 20 AS reused, round(true_score, 6) AS true_score FROM cand")
 def r13_reuse(spark, sf_dir):
-    p = World(spark, sf_dir, ["test"]).pair
+    p = World(spark, sf_dir).pair
     keys = ["query_split", "query_idx", "position"]
     x = integrity.reuse(p.drop("scores"), p.filter("position < 20"), p.filter("position >= 20"), keys)
     return rounded(x.select("query_idx", "position", "reused", S.at(F.col("scores"), F.col("true_class")).alias("true_score")))

@@ -23,6 +23,13 @@ def query(sql: str | None = None):
     return keep
 
 
+def also(name: str, f: Callable) -> None:
+    """Register a query and its twin under an earlier name."""
+    QUERIES[name] = f
+    if f.__name__ in SQL:
+        SQL[name] = SQL[f.__name__]
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded; for comparing engines whose sums differ in the last bits."""
     return df.select(*[r6(F.col(f"`{c}`"), digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
