@@ -37,12 +37,25 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50, stan
     return weights, float(w[-1] - weights @ mean)
 
 
+def first_by_hash(df: DataFrame, rows: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """The first ``rows`` rows by a hash of ``key``.
+
+    Rows beyond a bound on the hash that leaves a few more than ``rows`` go before anything is ordered, so that a task is sent
+    no more than it needs however many partitions there are.
+    """
+    n = df.count()
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
+    if n > rows:
+        df = df.filter(place < int(min(1.0, (rows + 6 * rows**0.5 + 10) / n) * (1 << 40)))
+    return df.orderBy(place, key).limit(rows)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS, where=None) -> DataFrame:
     """text and label of at most ``rows`` labelled documents, the first by a hash of the id."""
     own = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         own = own.filter(where)
     some = own.select("doc_id", F.col(column).cast("double").alias("label")).dropDuplicates(["doc_id"])
-    some = some.orderBy(F.xxhash64(F.lit(17), "doc_id")).limit(rows)
+    some = first_by_hash(some, rows, 17)
     # At most ``rows`` pairs of numbers are sent to the documents.
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")

@@ -285,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     known_rows = np.array([(y == 0).sum(), (y == 1).sum()], float)
     known_fired = np.array([votes[y == 0].sum(0), votes[y == 1].sum(0)])
     model = label_model(patterns, known_rows, known_fired)
-    some = own.orderBy(F.xxhash64(F.lit(23), "doc_id")).limit(rows).select("votes", "features").collect()
+    some = linear.first_by_hash(own, rows, 23).select("votes", "features").collect()
     if not some:
         return Scorer(known, np.zeros(PATTERNS + STEMS), float(np.log(model.prior / (1 - model.prior)))), looked
     x, posterior = _dense([r.features for r in some], PATTERNS + STEMS), model.posterior(_dense([r.votes for r in some], m))

@@ -285,6 +285,14 @@ def test_places_equal_brute_force(spark):
     assert op6.judge(empty, spark.createDataFrame(labels, LABELS), ["doc_id"]).count() == 0 and op6.accept(empty, spark.createDataFrame([], LABELS)).count() == 0
 
 
+def test_first_rows_by_hash(spark):
+    d = spark.range(5000).withColumnRenamed("id", "doc_id").repartition(6)
+    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40))
+    want = [r.doc_id for r in d.orderBy(place, "doc_id").limit(120).collect()]
+    assert [r.doc_id for r in linear.first_by_hash(d, 120, 3).collect()] == want
+    assert linear.first_by_hash(d, 9000, 3).count() == 5000 and linear.first_by_hash(d.limit(0), 5, 3).count() == 0
+
+
 def test_linear_fit():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 3))
