@@ -21,22 +21,30 @@ def predicted(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def count_if(scores: Column, test) -> Column:
-    return F.size(F.filter(scores, test))
-
-
 def rank(scores: Column, true: Column) -> Column:
+    """1 for the first of the largest; the place of the first equal score in descending order, plus equal ones before."""
     own = at(scores, true)
-    return (1 + count_if(scores, lambda s: s > own) + F.size(F.filter(scores, lambda s, i: (s == own) & (i < true)))).cast("int")
+    before = F.slice(scores, F.lit(1), true)
+    return (F.array_position(F.sort_array(scores, asc=False), own) + F.size(before) - F.size(F.array_remove(before, own))).cast("int")
+
+
+def best_other(scores: Column, true: Column) -> Column:
+    """The best score of the other classes; null if there is none."""
+    ordered, own = F.sort_array(scores, asc=False), at(scores, true)
+    return F.when(own < F.get(ordered, F.lit(0)), F.get(ordered, F.lit(0))).otherwise(F.get(ordered, F.lit(1)))
 
 
-def without(scores: Column, i: Column) -> Column:
-    return F.filter(scores, lambda s, j: j != i)
+def strongest_other(scores: Column, true: Column) -> Column:
+    """The first class of the best other score."""
+    best = best_other(scores, true)
+    first = F.array_position(scores, best) - 1
+    behind = F.slice(scores, true + 2, F.size(scores))
+    return F.when(first != true, first).otherwise(true + F.array_position(behind, best)).cast("int")
 
 
 def margin(scores: Column, true: Column) -> Column:
     """True score less the best other; infinite if there is no other class."""
-    return F.coalesce(at(scores, true) - F.array_max(without(scores, true)), F.lit(float("inf")))
+    return F.coalesce(at(scores, true) - best_other(scores, true), F.lit(float("inf")))
 
 
 def gap(scores: Column) -> Column:
@@ -99,16 +107,14 @@ def restricted(scores: Column, classes: Column, true: Column, temperature: float
 
 def teacher(scores: Column, true: Column, temperature: float = 1.0) -> Column:
     """Metrics that the training targets use; needs two classes at least."""
-    others = without(scores, true)
-    wrong = F.filter(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))), lambda x: x["i"] != true)
     logp = log_probability(scores, true, temperature)
     return F.struct(
         (predicted(scores) == true).alias("correct"),
         rank(scores, true).alias("true_rank"),
         at(scores, true).alias("true_score"),
-        F.array_min(wrong)["i"].alias("strongest_wrong"),
-        F.array_max(others).alias("strongest_wrong_score"),
-        (at(scores, true) - F.array_max(others)).alias("margin"),
+        strongest_other(scores, true).alias("strongest_wrong"),
+        best_other(scores, true).alias("strongest_wrong_score"),
+        (at(scores, true) - best_other(scores, true)).alias("margin"),
         logp.alias("log_probability"),
         F.exp(logp).alias("probability"),
     )

@@ -31,7 +31,7 @@ def audit_summary(rows: DataFrame) -> DataFrame:
         F.max_by(F.struct("position", "full_correct", "full_margin"), F.struct("full_margin", pos)).alias("o"),
         F.avg(F.col("covered").cast("double")).alias("coverage"),
     )
-    c = correlations(rows, "margin", "full_margin", by)
+    c = correlations(rows, "margin", "full_margin", by).drop("n")
     x = q.join(c, by).withColumn("regret", F.col("o.full_margin") - F.col("s.full_margin"))
     return x.groupBy("k").agg(
         F.avg("coverage").alias("coverage"), F.avg("spearman").alias("mean_spearman"), F.avg("kendall").alias("mean_kendall"),

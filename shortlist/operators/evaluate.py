@@ -276,13 +276,13 @@ def selection_metrics(candidates: DataFrame, score: str, target: str) -> DataFra
         F.max_by("correct", pos).alias("top1"), F.bool_or("correct").alias("any"), F.max("margin").alias("best_margin"), F.max(target).alias("best_target"),
         F.max_by("position", F.struct("margin", pos)).alias("margin_pick"), F.max_by("position", F.struct(F.col(target), pos)).alias("target_pick"),
         F.max_by("correct", F.struct("margin", pos)).alias("oracle"), F.collect_list(F.struct(F.col(score).alias("a"), F.col("margin").alias("b"))).alias("rows"),
-    )
+    ).withColumn("rho", pairs.rank_correlations("rows")["spearman"])
     return q.agg(
         F.count(F.lit(1)).alias("queries"), share(F.col("s.correct")).alias("selected_accuracy"), share(F.col("top1")).alias("top1_accuracy"),
         share(F.col("oracle")).alias("pool_oracle_accuracy"), share(F.col("any")).alias("any_correct"), F.avg("s.margin").alias("mean_selected_margin"),
         F.avg(F.col("best_margin") - F.col("s.margin")).alias("mean_margin_regret"), share(F.col("s.position") == F.col("margin_pick")).alias("margin_agreement"),
         share(F.col("s.position") == F.col("target_pick")).alias("target_agreement"), F.avg(F.col("best_target") - F.col("s.t")).alias("mean_target_regret"),
-        F.avg(pairs.rank_correlation("rows", 0.0)).alias("mean_margin_spearman"),
+        F.avg(F.coalesce(F.nanvl("rho", F.lit(None)), F.lit(0.0))).alias("mean_margin_spearman"),
     )
 
 

@@ -16,19 +16,25 @@ MOST_CLASSES = 5000
 QUERY = ["query_split", "query_idx"]
 
 
-def class_similarity(queries: DataFrame, class_vectors: DataFrame) -> DataFrame:
-    """query_split, query_idx, true_class, class_idx, sim for every query and class.
+def similarity_vectors(queries: DataFrame, class_vectors: DataFrame) -> DataFrame:
+    """query_split, query_idx, true_class, known (struct class_idx, sim; a block of classes in ascending order) for every query.
 
     The class table has one row a class (hundreds); up to ``MOST_CLASSES`` it travels as one array, so that there is no join of
     all pairs.  More classes come in blocks of that size: each block's array meets every query.
     """
-    blocks = -(-class_vectors.count() // MOST_CLASSES)
-    block = F.pmod(F.xxhash64("class_idx"), F.lit(max(1, blocks)))
+    blocks = max(1, -(-class_vectors.count() // MOST_CLASSES))
+    block = F.pmod(F.xxhash64("class_idx"), F.lit(blocks))
     table = class_vectors.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("table"))
-    table = F.broadcast(table) if blocks <= 1 else table
+    table = F.broadcast(table) if blocks == 1 else table
     q = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"), F.col("class_idx").alias("true_class"), "vec")
-    x = q.crossJoin(table).select("query_split", "query_idx", "true_class", "vec", F.explode("table").alias("c"))
-    return x.select("query_split", "query_idx", "true_class", F.col("c.class_idx").alias("class_idx"), V.dot(F.col("vec"), F.col("c.vec")).alias("sim"))
+    known = F.transform("table", lambda c: F.struct(c["class_idx"].alias("class_idx"), V.dot(F.col("vec"), c["vec"]).alias("sim")))
+    return q.crossJoin(table).select("query_split", "query_idx", "true_class", known.alias("known"))
+
+
+def class_similarity(queries: DataFrame, class_vectors: DataFrame) -> DataFrame:
+    """query_split, query_idx, true_class, class_idx, sim for every query and class."""
+    x = similarity_vectors(queries, class_vectors).select("query_split", "query_idx", "true_class", F.explode("known").alias("c"))
+    return x.select("query_split", "query_idx", "true_class", "c.class_idx", "c.sim")
 
 
 def class_ranking(similarity: DataFrame) -> DataFrame:

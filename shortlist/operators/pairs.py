@@ -1,18 +1,21 @@
 """Preference pairs within queries, ranking losses over them, and rank correlations.
 
 Pairs come from a self-join on the query key (never across queries) and are aggregated at once; ``targets`` are compared as
-stored and the gap is strict.
+stored and the gap is strict.  Rank correlations take a query's candidates (a pool of bounded size) as arrays.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions import vectors as V
-
 KEY = ["query_split", "query_idx"]
+#: Signs of differences that one step of the rank correlations holds.
+SIGNS = 4_000_000
 
 
 def softplus(x: Column) -> Column:
@@ -97,44 +100,29 @@ def hybrid_pointwise_loss(rows: DataFrame, pairwise_weight: float = 0.1, min_gap
     return combined(bce_loss(rows), pairwise_loss(rows, min_gap, temperature), pairwise_weight)
 
 
-def rank_correlation(rows: str, undefined: Column | float) -> Column:
-    """Spearman's rho of an array of (a, b), ties by average rank; ``undefined`` where a or b is constant.
+@F.pandas_udf(StructType([StructField("spearman", DoubleType()), StructField("kendall", DoubleType())]))
+def _rank_correlations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Spearman's rho (ties by average rank) and Kendall's tau-b of every row's two arrays; null where one is constant.
 
-    A group's rows are one array of bounded length (a pool), so ranks are counts over it and need no sort or window.
+    Both follow from the signs of all differences within an array; arrays of one length are taken together, ``SIGNS`` at once.
     """
-    none = undefined if isinstance(undefined, Column) else F.lit(undefined)
-
-    def ranks(values: Column) -> Column:
-        """Twice the average rank, less the mean: whole numbers, that sum to 0."""
-        return F.transform(values, lambda v: F.aggregate(values, F.lit(0.0), lambda n, y: n + F.signum(v - y)))
-
-    def product(x: Column, y: Column) -> Column:
-        return V.total(F.zip_with(x, y, lambda p, q: p * q))
-
-    def of(r: Column) -> Column:
-        a, b = product(r["a"], r["a"]), product(r["b"], r["b"])
-        return F.when((a > 0) & (b > 0), product(r["a"], r["b"]) / F.sqrt(F.nullif(a * b, F.lit(0.0))))
-
-    sides = F.struct(F.transform(rows, lambda x: x["a"]).alias("a"), F.transform(rows, lambda x: x["b"]).alias("b"))
-    ranked = V.let(sides, lambda x: F.struct(ranks(x["a"]).alias("a"), ranks(x["b"]).alias("b")))
-    return F.coalesce(V.let(ranked, of), none)
-
-
-def tau_b(rows: str, undefined: Column | float) -> Column:
-    """Kendall's tau-b of an array of (a, b), from the signs over all its pairs; ``undefined`` where a or b is constant."""
-    none = undefined if isinstance(undefined, Column) else F.lit(undefined)
+    out = np.full((len(a), 2), np.nan)
+    lengths = a.map(len).to_numpy()
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        for part in np.array_split(rows, -(-len(rows) * n * n // SIGNS) or 1):
+            x, y = (np.stack(c.iloc[part].to_list()).astype(np.float64) for c in (a, b))
+            sx, sy = (np.sign(v[:, :, None] - v[:, None, :]) for v in (x, y))
+            rx, ry = sx.sum(2), sy.sum(2)  # twice the rank less its mean
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out[part, 0] = (rx * ry).sum(1) / np.sqrt((rx * rx).sum(1) * (ry * ry).sum(1))
+                out[part, 1] = (sx * sy).sum((1, 2)) / np.sqrt((sx * sx).sum((1, 2)) * (sy * sy).sum((1, 2)))
+    return pd.DataFrame({"spearman": out[:, 0], "kendall": out[:, 1]})
 
-    def over_pairs(f) -> Column:  # every pair is met twice, which leaves the quotient as it is
-        return F.aggregate(rows, F.lit(0.0), lambda n, x: F.aggregate(rows, n, lambda k, y: k + f(x, y)))
 
-    def of(t: Column) -> Column:
-        return F.when((t["a"] > 0) & (t["b"] > 0), t["s"] / F.sqrt(F.nullif(t["a"] * t["b"], F.lit(0.0))))
-
-    sums = F.struct(
-        over_pairs(lambda x, y: F.signum(x["a"] - y["a"]) * F.signum(x["b"] - y["b"])).alias("s"),
-        over_pairs(lambda x, y: F.abs(F.signum(x["a"] - y["a"]))).alias("a"), over_pairs(lambda x, y: F.abs(F.signum(x["b"] - y["b"]))).alias("b"),
-    )
-    return F.coalesce(V.let(sums, of), none)
+def rank_correlations(rows: str) -> Column:
+    """Struct of spearman and kendall of an array of (a, b), a group of bounded size; null where a or b is constant."""
+    return _rank_correlations(F.col(f"{rows}.a"), F.col(f"{rows}.b"))
 
 
 def _paired(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -145,17 +133,15 @@ def _equal(if_equal: float) -> Column:
     return F.when(F.forall("rows", lambda x: x["a"] == x["b"]), F.lit(if_equal)).otherwise(0.0)
 
 
-def spearman(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
-    """Rank correlation within each group, ties by average rank; where undefined ``if_equal`` for equal columns, else 0."""
-    return _paired(rows, a, b, by).select(*by, rank_correlation("rows", _equal(if_equal)).alias("spearman"), F.size("rows").cast("long").alias("n"))
+def correlations(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
+    """spearman, kendall and n of each group; where undefined ``if_equal`` for equal columns, else 0."""
+    x = _paired(rows, a, b, by).withColumn("__c", rank_correlations("rows"))
+    return x.select(*by, *[F.coalesce(F.nanvl(F.col(f"__c.{c}"), F.lit(None)), _equal(if_equal)).alias(c) for c in ("spearman", "kendall")], F.size("rows").cast("long").alias("n"))
 
 
-def kendall(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
-    """Tau-b within each group, from the signs over its pairs; the fallback is that of ``spearman``."""
-    return _paired(rows, a, b, by).select(*by, tau_b("rows", _equal(if_equal)).alias("kendall"))
+def spearman(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
+    return correlations(rows, a, b, by, if_equal).select(*by, "spearman", "n")
 
 
-def correlations(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
-    """Both, from one grouping."""
-    x = _paired(rows, a, b, by)
-    return x.select(*by, rank_correlation("rows", _equal(if_equal)).alias("spearman"), tau_b("rows", _equal(if_equal)).alias("kendall"))
+def kendall(rows: DataFrame, a: str, b: str, by: list[str] = KEY, if_equal: float = 1.0) -> DataFrame:
+    return correlations(rows, a, b, by, if_equal).select(*by, "kendall")

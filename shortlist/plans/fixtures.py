@@ -39,12 +39,6 @@ def class_vectors(ex: DataFrame) -> DataFrame:
     return means.groupBy("class_idx").agg(vec.alias("v")).select("class_idx", V.normalise(F.col("v")).alias("vec"))
 
 
-def sim_vectors(sim: DataFrame) -> DataFrame:
-    """query_split, query_idx, true_class, sims: similarities to all classes, by class."""
-    rows = F.array_sort(F.collect_list(F.struct("class_idx", "sim")))
-    return sim.groupBy("query_split", "query_idx", "true_class").agg(F.transform(rows, lambda r: r["sim"]).alias("sims"))
-
-
 def zero_scores(sims: DataFrame) -> DataFrame:
     return sims.select("query_split", "query_idx", "true_class", F.transform("sims", lambda s: s - 3).alias("scores"))
 
@@ -75,13 +69,15 @@ class World:
     def cv(self) -> DataFrame:
         return scratch.settle(class_vectors(self.ex), "class-vectors")
 
-    @cached_property
-    def sim(self) -> DataFrame:
-        return labelsets.class_similarity(self.ex, self.cv)
-
     @cached_property
     def sims(self) -> DataFrame:
-        return scratch.settle(sim_vectors(self.sim), "similarities")
+        """query_split, query_idx, true_class, sims: similarities to all classes, by class (one block of classes)."""
+        known = labelsets.similarity_vectors(self.ex, self.cv)
+        return scratch.settle(known.select("query_split", "query_idx", "true_class", F.transform("known", lambda c: c["sim"]).alias("sims")), "similarities")
+
+    @property
+    def sim(self) -> DataFrame:
+        return self.sims.select("query_split", "query_idx", "true_class", F.posexplode("sims").alias("class_idx", "sim"))
 
     @cached_property
     def pool(self) -> DataFrame:
