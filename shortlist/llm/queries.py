@@ -12,6 +12,7 @@ from .op07_media import op7_media
 from .op08_secrets import op8_secrets
 from .op09_decontamination import OP9_SQL, op9_decontamination
 from .op10_substring_dedup import OP10_SQL, op10_substring_dedup
+from .op11_resampling import OP11_SQL, op11_resampling
 
 
 def pipeline(spark, sf_dir):
@@ -31,7 +32,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_resampling": op11_resampling,
     "pipeline": pipeline,
 }
 
-SQL = {"op9_decontamination": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+SQL = {"op9_decontamination": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_resampling": OP11_SQL}
