@@ -13,6 +13,7 @@ from .op08_secrets import op8_secrets
 from .op09_decontamination import OP9_SQL, op9_decontamination
 from .op10_substring_dedup import OP10_SQL, op10_substring_dedup
 from .op11_resampling import OP11_SQL, op11_resampling
+from .op12_conversations import OP12_SQL, op12_conversations
 
 
 def pipeline(spark, sf_dir):
@@ -33,7 +34,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_resampling": op11_resampling,
+    "op12_conversations": op12_conversations,
     "pipeline": pipeline,
 }
 
-SQL = {"op9_decontamination": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_resampling": OP11_SQL}
+SQL = {"op9_decontamination": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_resampling": OP11_SQL, "op12_conversations": OP12_SQL}
