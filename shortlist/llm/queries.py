@@ -14,6 +14,7 @@ from .op09_decontamination import OP9_SQL, op9_decontamination
 from .op10_substring_dedup import OP10_SQL, op10_substring_dedup
 from .op11_resampling import OP11_SQL, op11_resampling
 from .op12_conversations import OP12_SQL, op12_conversations
+from .op13_simhash import op13_simhash
 
 
 def pipeline(spark, sf_dir):
@@ -35,6 +36,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_resampling": op11_resampling,
     "op12_conversations": op12_conversations,
+    "op13_simhash": op13_simhash,
     "pipeline": pipeline,
 }
 
