@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from . import neighbours
 from .sampling import draw
 
 #: Rows of a block of queries and of a block of gallery rows at most (one task multiplies two blocks), rows below which a side
@@ -20,6 +21,8 @@ from .sampling import draw
 BLOCK_ROWS = 4096
 SMALL_ROWS = 256
 STEP_ROWS = 1024
+#: Gallery rows up to which all pairs are multiplied.
+PLAIN_ROWS = 20_000
 POOL = "query_split string, query_idx long, true_class int, k int, example_idx long, class_idx int, similarity double"
 QUERY = ["query_split", "query_idx"]
 
@@ -38,7 +41,7 @@ def _dealt(rows: DataFrame, n: int, others: int) -> DataFrame:
 
 def top_m(
     queries: DataFrame, gallery: DataFrame, m: int, exclude_self: str = "same_split", exclude_same_class: bool = False, half: bool = False,
-    sets: DataFrame | None = None,
+    sets: DataFrame | None = None, clusters: int | None = None,
 ) -> DataFrame:
     """The m most similar gallery rows for each query row (fewer if there are fewer).
 
@@ -47,10 +50,20 @@ def top_m(
     (query_split, query_idx, k, classes) the m are those among the gallery rows of these classes, ranked over the whole gallery, once
     for each k; null classes allow all, an empty set gives an empty pool.
 
-    Queries and gallery are cut into blocks by the hash of their ids; a task multiplies one block of each (at most ``STEP_ROWS``
-    gallery rows at once) and keeps its best m for each query and k, so that m rows for each query, k and gallery block are
-    shuffled.  Nothing goes through the driver.
+    A gallery of up to ``PLAIN_ROWS`` rows is searched whole: both sides are cut into blocks by the hash of their ids; a task multiplies
+    one block of each (at most ``STEP_ROWS`` gallery rows at once) and keeps its best m for each query and k, so that m rows for
+    each query, k and gallery block are shuffled.  Larger ones are indexed by clusters (``neighbours``; ``clusters`` sets their
+    number, 0 none), and blocks that can't hold any of the best m are skipped; the result is the same.  No vectors but the centres' sample
+    go through the driver.
     """
+    return searched(queries, gallery, m, exclude_self, exclude_same_class, half, sets, clusters)[0]
+
+
+def searched(
+    queries: DataFrame, gallery: DataFrame, m: int, exclude_self: str = "same_split", exclude_same_class: bool = False, half: bool = False,
+    sets: DataFrame | None = None, clusters: int | None = None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """``top_m``, and the work done by an indexed search (round, block, queries, gallery_rows), None for a plain one."""
     q = queries.select("split", "example_idx", "class_idx", F.col("vec").cast("array<double>").alias("vec"))
     if sets is None:
         q = q.withColumn("asked", F.array(F.struct(F.lit(None).cast("int").alias("k"), F.lit(None).cast("array<int>").alias("classes"))))
@@ -59,15 +72,23 @@ def top_m(
         asked = asked.withColumnsRenamed({"query_split": "split", "query_idx": "example_idx"})
         q = q.join(asked, ["split", "example_idx"])
     g = gallery.select("split", "example_idx", "class_idx", F.col("vec").cast("array<double>").alias("vec"))
-    n, l = _blocks(queries), _blocks(gallery)
-    left, right = _dealt(q, n, l), _dealt(g, l, n)
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _search(a, b, m, exclude_self, exclude_same_class, half)
-
-    found = left.groupBy("own", "other").cogroup(right.groupBy("other", "own")).applyInArrow(search, POOL)
+        parts = [_search(a.slice(at, BLOCK_ROWS), b, m, exclude_self, exclude_same_class, half) for at in range(0, max(len(a), 1), BLOCK_ROWS)]
+        return pa.concat_tables(parts)
+
+    work = None
+    if clusters is None:
+        clusters = 0 if gallery.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS else None
+    if clusters == 0 or gallery.isEmpty():
+        n, l = _blocks(queries), _blocks(gallery)
+        left, right = _dealt(q, n, l), _dealt(g, l, n)
+        found = left.groupBy("own", "other").cogroup(right.groupBy("other", "own")).applyInArrow(search, POOL)
+    else:
+        rounded = lambda rows: rows.withColumn("vec", F.transform("vec", V.half)) if half else rows
+        found, work = neighbours.search(*neighbours.build(rounded(g), clusters), rounded(q), m, exclude_same_class, half, search, POOL)
     keys = [*QUERY, "k"] if sets is not None else QUERY
-    return numbered(found if sets is not None else found.drop("k"), keys).filter(F.col("position") < m)
+    return numbered(found if sets is not None else found.drop("k"), keys).filter(F.col("position") < m), work
 
 
 def _matrix(column: pa.ChunkedArray, half: bool) -> np.ndarray:

@@ -11,6 +11,8 @@ from .fixtures import KS, N_CLASSES, POOL, World, examples, sets, table
 from .registry import also, query, r6, rounded, text
 
 END = " x AS (SELECT 1) "
+#: Clusters of the indexed search, on tables that would be searched whole otherwise.
+CLUSTERS = 24
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v )), 4) AS before, 1.0::DOUBLE AS after, round(list_sum(CAST(embedding AS DOUBLE[])) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v ))), 6) + 0.0 AS total FROM embeddings")
@@ -55,8 +57,54 @@ def v4_pools(spark, sf_dir):
 
 
 @query(base() + END + POOLS)
+def v4_pools_indexed(spark, sf_dir):
+    """The same pools by the search that skips clusters of the gallery."""
+    w = World(spark, sf_dir)
+    found = retrieval.top_m(w.queries, w.gallery, POOL, clusters=CLUSTERS)
+    return rounded(found.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
+
+
+@query()
+def v4_index_work(spark, sf_dir):
+    """Query and gallery rows multiplied by the indexed search, by round, and the share of all pairs."""
+    w = World(spark, sf_dir)
+    _, work = retrieval.searched(w.queries, w.gallery, POOL, clusters=CLUSTERS)
+    pairs = w.queries.count() * w.gallery.count()
+    n = F.sum(F.col("queries") * F.col("gallery_rows"))
+    return work.groupBy("round").agg(F.sum("queries").alias("visits"), n.alias("pairs"), (n / F.lit(float(max(pairs, 1)))).alias("share"))
+
+
+HALF = "CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round_even({x} / pow(2, greatest(-24, floor(log2(abs({x}))) - 10)), 0) * pow(2, greatest(-24, floor(log2(abs({x}))) - 10)) END"
+
+
+@query(base() + f"""
+hv AS (SELECT split, example_idx, class_idx, list_transform(vec, lambda x: {HALF.format(x="x")}) AS vec FROM examples),
+hd AS (SELECT q.split AS query_split, q.example_idx AS query_idx, g.example_idx, g.class_idx, list_dot_product(q.vec, g.vec) AS d
+       FROM hv q JOIN hv g ON g.split = 'train' AND q.example_idx <> g.example_idx),
+hs AS (SELECT query_split, query_idx, example_idx, class_idx, {HALF.format(x="d")} AS similarity FROM hd),
+hr AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_split, query_idx ORDER BY similarity DESC, example_idx) - 1 AS INTEGER) AS position FROM hs)
+SELECT query_split, query_idx, position, example_idx, class_idx, round(similarity, 6) AS similarity FROM hr WHERE position < 30
+""")
+def v4_pools_half(spark, sf_dir):
+    """Pools by vectors and similarities of 16 bits, where many candidates tie and the lower id comes first."""
+    w = World(spark, sf_dir)
+    found = retrieval.top_m(w.queries, w.gallery, POOL, half=True)
+    return rounded(found.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
+
+
+@query(base() + """
+ms AS (SELECT split, CASE WHEN split = 'train' THEN example_idx ELSE example_idx // 10 END AS idx, class_idx, vec FROM examples),
+mr AS (SELECT q.split AS query_split, q.idx AS query_idx, g.idx AS example_idx, g.class_idx, list_dot_product(q.vec, g.vec) AS similarity
+       FROM ms q JOIN ms g ON g.split = 'train' AND NOT (q.split = 'train' AND q.idx = g.idx) AND q.class_idx <> g.class_idx),
+mp AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_split, query_idx ORDER BY similarity DESC, example_idx) - 1 AS INTEGER) AS position FROM mr)
+SELECT query_split, query_idx, position, example_idx, class_idx, round(similarity, 6) AS similarity FROM mp WHERE position < 30
+""")
 def v5_multi_split_pools(spark, sf_dir):
-    return rounded(World(spark, sf_dir).pool.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
+    """Pools of three splits whose ids collide, from train rows of other classes; only a train query's own row is left out by its id."""
+    ex = examples(spark, sf_dir)
+    ex = ex.withColumn("example_idx", F.when(F.col("split") == "train", F.col("example_idx")).otherwise(F.floor(F.col("example_idx") / 10)).cast("long"))
+    found = retrieval.top_m(ex, ex.filter("split = 'train'"), POOL, exclude_same_class=True)
+    return rounded(found.select("query_split", "query_idx", "position", "example_idx", "class_idx", "similarity"))
 
 
 RESTRICTED = """
@@ -245,7 +293,6 @@ def l7_classes_to_score(spark, sf_dir):
 
 
 # Single precision as in the stored arrays; a 16-bit number has 11 significant bits and steps of 2^-24 at least.
-HALF = "CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE round_even({x} / pow(2, greatest(-24, floor(log2(abs({x}))) - 10)), 0) * pow(2, greatest(-24, floor(log2(abs({x}))) - 10)) END"
 QUANT = f"""
 WITH a AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'test' WHEN vec_id % 10 = 1 THEN 'val' ELSE 'train' END AS split, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT vec_id, split, v, CASE WHEN most = 0 THEN 1.0::DOUBLE ELSE CAST(CAST(most / 127 AS FLOAT) AS DOUBLE) END AS scale
