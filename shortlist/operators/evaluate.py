@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import stats
-from . import pairs
+from ..sources import scratch
+from . import pairs, quantiles
 
 CUTOFFS = (1, 5, 10, 20, 50, 100, 200)
 
@@ -323,10 +324,11 @@ def scoring_counts(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def distribution(rows: DataFrame, by: str, columns: dict[str, Column]) -> DataFrame:
     """Seven numbers of each column: mean, population deviation, min, p05, median, p95, max (interpolated)."""
-    x = rows.select(by, *[c.alias(n) for n, c in columns.items()]).unpivot(by, list(columns), "column", "value")
-    p = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = x.groupBy(by, "column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), p.alias("p"), F.max("value").alias("max"))
-    return out.select(by, "column", "mean", "std", "min", F.get("p", F.lit(0)).alias("p05"), F.get("p", F.lit(1)).alias("p50"), F.get("p", F.lit(2)).alias("p95"), "max")
+    x = scratch.settle(rows.select(by, *[c.alias(n) for n, c in columns.items()]).unpivot(by, list(columns), "column", "value"), "values")
+    sums = x.groupBy(by, "column").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles.quantiles(x, [by, "column"], "value", [0.05, 0.5, 0.95]).select(F.col(by).alias("b"), F.col("column").alias("c"), "q")
+    out = sums.join(q, F.col(by).eqNullSafe(F.col("b")) & (F.col("column") == F.col("c")), "left")
+    return out.select(by, "column", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p05", "p50", "p95"))], "max")
 
 
 def candidate_ranks(candidates: DataFrame, score: str) -> DataFrame:
