@@ -368,13 +368,17 @@ def position_buckets(selections: DataFrame, edges: list[int]) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("selector")))
 
 
-def best_epochs(history: DataFrame, patience: int, tolerance: float = 1e-12) -> DataFrame:
+def best_epochs(history: DataFrame, patience: int, tolerance: float = 1e-12, primary_mode: str = "max", secondary_mode: str = "max") -> DataFrame:
     """Per run, in order of its epochs: the best one, where patience ends training, and the last one seen.
 
-    An epoch improves if its primary metric is above the best one's, or within ``tolerance`` of it and its secondary metric is
-    above the best one's; the improving epoch is the best one from then on.  A run's epochs are one array.
+    An epoch improves if its primary metric is better than the best one's, or within ``tolerance`` of it and its secondary metric is
+    better than the best one's; the improving epoch is the best one from then on.  Better is greater, or smaller for a metric whose
+    mode is ``min``.  A run's epochs are one array.
     """
-    epochs = F.array_sort(F.collect_list(F.struct("epoch", F.col("primary_metric").alias("p"), F.col("secondary_metric").alias("s"))))
+    if {primary_mode, secondary_mode} - {"min", "max"}:
+        raise ValueError("a mode is min or max")
+    good = lambda c, mode: F.col(c) if mode == "max" else -F.col(c)
+    epochs = F.array_sort(F.collect_list(F.struct("epoch", good("primary_metric", primary_mode).alias("p"), good("secondary_metric", secondary_mode).alias("s"))))
     none = F.lit(None)
     start = F.struct(
         F.lit(float("-inf")).alias("p"), F.lit(float("-inf")).alias("s"), none.cast("long").alias("best"), none.cast("long").alias("last"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..functions import vectors as V
+from ..sources import scratch
 from . import sampling
 
 
@@ -100,6 +102,79 @@ def validate_teacher(records: DataFrame, k: int, pool_size: int, n_classes: int)
     return checked.unpivot(["query_split", "query_idx"], list(rules), "rule", "ok").filter("NOT ok").drop("ok")
 
 
+#: Metrics of a teacher record, zero-shot and by candidate (fields of ``scores.teacher``), and the increments of candidates over zero-shot.
+METRICS = ("correct", "true_rank", "true_score", "strongest_wrong", "strongest_wrong_score", "margin", "log_probability", "probability")
+INCREMENTS = ("margin", "log_probability", "probability")
+
+
+def teacher_metrics(records: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """``records`` with zero_metrics (struct) and metrics (an array of structs with increments), from zero_scores and scores over the label set.
+
+    Null where the true class isn't among the labels or scores aren't as many as labels.
+    """
+    true = S.place_in(F.col("classes"), F.col("true_class"))
+    fit = lambda s: F.array_contains("classes", F.col("true_class")) & (F.size("classes") > 1) & (F.size(s) == F.size("classes"))
+    r = records.withColumn("zero_metrics", F.when(fit(F.col("zero_scores")), S.teacher(F.col("zero_scores"), true, temperature)))
+
+    def full(s: Column) -> Column:
+        more = lambda m: [(m[n] - F.col(f"zero_metrics.{n}")).alias(f"incremental_{n}") for n in INCREMENTS]
+        return F.when(fit(s), V.let(S.teacher(s, true, temperature), lambda m: F.struct(*[m[n].alias(n) for n in METRICS], *more(m))))
+
+    return r.withColumn("metrics", F.transform("scores", full))
+
+
+def _same(a: Column, b: Column, kind: str) -> Column:
+    return close(a, b) if kind == "double" else a == b
+
+
+def record_rules(k: int, pool_size: int, n_classes: int) -> dict[str, Column]:
+    """Every rule of a teacher record by name, true where it holds; of the columns of ``validate_teacher`` without margins, and
+
+    label_similarities, similarities (of candidates), zero_metrics and metrics as in ``teacher_metrics``.
+    """
+    c = F.col
+    within = lambda a: F.forall(a, lambda x: (x >= 0) & (x < n_classes))
+    kinds = {"correct": "boolean", "true_rank": "int", "strongest_wrong": "int"}
+    equal = lambda kind: lambda a, b: _same(a, b, kind)
+    rules = {
+        "label_count": (F.size("classes") == k) & (F.size(F.array_distinct("classes")) == k),
+        "labels_ascending": F.array_sort(F.array_distinct("classes")) == c("classes"),
+        "labels_in_range": within("classes"),
+        "label_similarities": (F.size("label_similarities") == k) & finite(c("label_similarities")),
+        "true_class_in_range": (c("true_class") >= 0) & (c("true_class") < n_classes),
+        "true_class_in_labels": F.array_contains("classes", c("true_class")),
+        "ranking_complete": (F.size("ranking") == n_classes - 1) & (F.size(F.array_distinct("ranking")) == n_classes - 1) & ~F.array_contains("ranking", c("true_class")),
+        "ranking_in_range": within("ranking"),
+        "zero_scores_finite": (F.size("zero_scores") == k) & finite(c("zero_scores")),
+        "scores_finite": (F.size("scores") == pool_size) & F.forall("scores", lambda s: (F.size(s) == k) & finite(s)),
+        "pool_size": F.size("examples") == pool_size,
+        "candidates_distinct": F.size(F.array_distinct("examples")) == F.size("examples"),
+        "candidate_classes_in_range": (F.size("example_classes") == pool_size) & within("example_classes"),
+        "similarities_finite": (F.size("similarities") == pool_size) & finite(c("similarities")),
+        "similarities_descending": F.sort_array("similarities", asc=False) == c("similarities"),
+        "no_self_retrieval": (c("query_split") != "train") | ~F.array_contains("examples", c("query_idx")),
+    }
+    for n in METRICS:
+        rules[f"zero_{n}"] = _same(c(f"zero_metrics.{n}"), c(f"__zero.{n}"), kinds.get(n, "double"))
+    for n in (*METRICS, *(f"incremental_{n}" for n in INCREMENTS)):
+        same = F.zip_with(c(f"metrics.{n}"), c(f"__metrics.{n}"), equal(kinds.get(n, "double")))
+        rules[f"candidate_{n}"] = (F.size("metrics") == F.size("scores")) & F.forall(same, lambda x: x)
+    return rules
+
+
+def validate_records(records: DataFrame, k: int, pool_size: int, n_classes: int, temperature: float = 1.0) -> DataFrame:
+    """(query_split, query_idx, rule) for each rule of ``record_rules`` that a record breaks; a value that is null breaks its rule.
+
+    Metrics are computed anew from the scores and compared one by one (relative tolerance 1e-5, absolute 1e-6).
+    """
+    rules = record_rules(k, pool_size, n_classes)
+    kept = records.withColumnsRenamed({"zero_metrics": "__given_zero", "metrics": "__given"})
+    both = teacher_metrics(kept, temperature).withColumnsRenamed({"zero_metrics": "__zero", "metrics": "__metrics", "__given_zero": "zero_metrics", "__given": "metrics"})
+    both = scratch.settle(both, "derived")  # else each rule would compute the metrics for itself
+    checked = both.select("query_split", "query_idx", *[F.coalesce(v, F.lit(False)).alias(n) for n, v in rules.items()])
+    return checked.unpivot(["query_split", "query_idx"], list(rules), "rule", "ok").filter("NOT ok").drop("ok")
+
+
 def table_violations(vectors: DataFrame, pool: DataFrame, gallery_split: str = "train") -> DataFrame:
     """(rule, n): mixed dimensions, non-finite vectors, pool rows whose ids don't exist in the gallery, queries without a pool."""
     sizes = vectors.agg((F.count_distinct(F.size("vec")) - 1).alias("n")).select(F.lit("dimensions").alias("rule"), F.greatest(F.col("n"), F.lit(0)).alias("n"))
@@ -111,6 +186,43 @@ def table_violations(vectors: DataFrame, pool: DataFrame, gallery_split: str = "
     return sizes.unionByName(odd).unionByName(unknown).unionByName(empty)
 
 
+def dataset_violations(
+    families: dict[str, DataFrame], labels: DataFrame, label_family: str, pool: DataFrame, gallery_split: str = "train", fewest: int = 1
+) -> DataFrame:
+    """(rule, n) of a ranking data set: what breaks each rule, 0 where it holds.
+
+    ``families``: tables (split, example_idx, vec) of each kind of embedding; ``labels``: class_idx, vec, in the space of ``label_family``;
+    ``pool``: query_split, query_idx, example_idx, class_idx, similarity, target.  Rules: one dimension a family, finite numbers, label vectors
+    of their family's dimension, as many rows of every family in each split, queries and candidates that exist, classes that
+    exist, finite similarities and targets, ``fewest`` candidates a query.
+    """
+    n = lambda df, rule: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
+    odd = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    parts, counts = [], None
+    for name, rows in families.items():
+        widths = rows.select(F.size("vec").alias("w")).distinct()
+        more = widths.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("n"))
+        parts += [more.select(F.lit(f"dimensions:{name}").alias("rule"), "n"), n(rows.filter(~F.coalesce(finite(F.col("vec")), F.lit(False))), f"finite:{name}")]
+        own = rows.groupBy("split").agg(F.count(F.lit(1)).alias("rows")).withColumn("family", F.lit(name))
+        counts = own if counts is None else counts.unionByName(own)
+        if name == label_family:
+            parts.append(n(labels.select(F.size("vec").alias("w")).distinct().join(widths, "w", "left_anti"), "label_dimensions"))
+    uneven = counts.groupBy("split").agg(F.min("rows").alias("a"), F.max("rows").alias("b"), F.count(F.lit(1)).alias("families"))
+    parts.append(n(uneven.filter((F.col("a") != F.col("b")) | (F.col("families") < len(families))), "row_counts"))
+    whole = families[label_family].select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"))
+    gallery = families[label_family].filter(F.col("split") == gallery_split).select("example_idx")
+    parts += [
+        n(pool.select("query_split", "query_idx").distinct().join(whole, ["query_split", "query_idx"], "left_anti"), "unknown_query"),
+        n(pool.join(gallery, "example_idx", "left_anti"), "unknown_id"),
+        n(pool.join(labels.select("class_idx").distinct(), "class_idx", "left_anti"), "class_range"),
+        n(pool.filter(odd("similarity")), "similarity_finite"),
+        n(pool.filter(odd("target")), "target_finite"),
+        n(pool.groupBy("query_split", "query_idx").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") < fewest), "few_candidates"),
+        n(whole.filter(F.col("query_split") != gallery_split).join(pool, ["query_split", "query_idx"], "left_anti"), "empty_pool"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def alignment(examples: DataFrame, embeddings: DataFrame, key: str) -> DataFrame:
     """(rule, n): examples without an embedding, embeddings without an example, more than one model."""
     a = examples.join(embeddings, key, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("no_embedding").alias("rule"), "n")

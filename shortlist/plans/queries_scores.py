@@ -524,17 +524,31 @@ def _history(spark, sf_dir):
     )
 
 
-@query(HISTORY.replace("WITH h", "WITH RECURSIVE h") + """,
+BEST = HISTORY.replace("WITH h", "WITH RECURSIVE h") + """,
 w AS (SELECT run_id, epoch, primary_metric AS bp, secondary_metric AS bs, epoch AS best, 0 AS since, CAST(NULL AS INTEGER) AS stop FROM h WHERE epoch = 1
   UNION ALL SELECT run_id, epoch, CASE WHEN better THEN p ELSE bp END, CASE WHEN better THEN s ELSE bs END, CASE WHEN better THEN epoch ELSE best END, CASE WHEN better THEN 0 ELSE since + 1 END, CASE WHEN NOT better AND since + 1 >= 3 THEN epoch END
   FROM (SELECT w.run_id, h.epoch, w.bp, w.bs, w.best, w.since, h.primary_metric AS p, h.secondary_metric AS s,
           h.primary_metric > w.bp OR (abs(h.primary_metric - w.bp) <= 1e-12 AND h.secondary_metric > w.bs) AS better FROM w JOIN h ON h.run_id = w.run_id AND h.epoch = w.epoch + 1 WHERE w.stop IS NULL))
 SELECT run_id, last(best ORDER BY epoch) AS best_epoch, max(stop) AS stop_epoch, max(epoch) AS last_epoch FROM w GROUP BY run_id
-""")
+"""
+
+
+@query(BEST)
 def e31_best_epoch(spark, sf_dir):
     return evaluate.best_epochs(_history(spark, sf_dir), 3)
 
 
+@query(BEST.replace("h.primary_metric > w.bp", "h.primary_metric < w.bp"))
+def e31_best_epoch_min(spark, sf_dir):
+    """The primary metric is a loss: smaller is better; ties go to the greater secondary one."""
+    return evaluate.best_epochs(_history(spark, sf_dir), 3, primary_mode="min")
+
+
+@query(BEST.replace("h.secondary_metric > w.bs", "h.secondary_metric < w.bs"))
+def e31_best_epoch_second_min(spark, sf_dir):
+    return evaluate.best_epochs(_history(spark, sf_dir), 3, secondary_mode="min")
+
+
 @query(HISTORY + """
 SELECT run_id, first(epoch ORDER BY primary_metric DESC, secondary_metric DESC, epoch) AS epoch, max(primary_metric) AS primary_metric, first(secondary_metric ORDER BY primary_metric DESC, secondary_metric DESC, epoch) AS secondary_metric FROM h GROUP BY run_id
 """)

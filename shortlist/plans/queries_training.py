@@ -110,9 +110,13 @@ for _f in (
     also(f"{_f.__name__}_whole", _f)
 
 
-@query(base() + """
+FEATURES = """
 f AS (SELECT p.query_idx, p.position, list_cosine_similarity(q.vec, c.vec) AS a, list_cosine_similarity(g.vec, c.vec) AS b, p.similarity AS s, p.position / 29.0::DOUBLE AS r
       FROM pools p JOIN examples q ON q.example_idx = p.query_idx JOIN examples g ON g.example_idx = p.example_idx JOIN class_vectors c ON c.class_idx = p.example_class)
+"""
+
+
+@query(base() + FEATURES + """
 SELECT query_idx, position, round(1.5 * a + 0.25 * b + 0.5 * s - 0.1 * r + 0.05, 6) + 0.0 AS score FROM f
 """)
 def p12_linear_scorer(spark, sf_dir):
@@ -122,13 +126,34 @@ def p12_linear_scorer(spark, sf_dir):
     return rounded(f.select("query_idx", "position", scorers.linear(x, [1.5, 0.25, 0.5, -0.1], 0.05).alias("score")))
 
 
-@query()
+_RNG = np.random.default_rng(3)
+LAYERS = (_RNG.normal(size=(4, 8)), _RNG.normal(size=8), _RNG.normal(size=8), 0.1, _RNG.normal(size=4), _RNG.normal(size=4))
+
+
+def _layers_sql() -> str:
+    """The two layers in SQL, with the error function by its series of positive terms."""
+    w1, b1, w2, b2, scale, shift = LAYERS
+    z = [f"((x[{i + 1}] - mu) / sqrt(var + 1e-5) * {float(scale[i])!r} + {float(shift[i])!r})" for i in range(4)]
+    h = ", ".join(" + ".join([repr(float(b1[j])), *(f"{z[i]} * {float(w1[i, j])!r}" for i in range(4))]) for j in range(8))
+    erf = "CASE WHEN abs(v) > 6 THEN sign(v) ELSE 2 / sqrt(pi()) * exp(-v * v) * list_sum(list_transform(range(150), lambda n: v * exp(n * ln(2 * v * v + 1e-300) - odd[n + 1]))) END"
+    out = " + ".join([repr(b2), *(f"g[{j + 1}] * {float(w2[j])!r}" for j in range(8))])
+    return f"""
+x AS (SELECT query_idx, position, [a, b, s, r] AS x, (a + b + s + r) / 4 AS mu, (a * a + b * b + s * s + r * r) / 4 - ((a + b + s + r) / 4) ** 2 AS var FROM f),
+h AS (SELECT query_idx, position, unnest([{h}]) AS h, unnest(range(8)) AS j FROM x),
+odd AS (SELECT list(c ORDER BY n) AS odd FROM (SELECT n, sum(ln(2 * n + 1)) OVER (ORDER BY n) AS c FROM (SELECT unnest(range(150)) AS n))),
+e AS (SELECT query_idx, position, j, h, {erf} AS erf FROM (SELECT *, h / sqrt(2) AS v FROM h), odd),
+g AS (SELECT query_idx, position, list(h * (1 + erf) / 2 ORDER BY j) AS g FROM e GROUP BY query_idx, position)
+SELECT query_idx, position, round({out}, 5) + 0.0 AS score FROM g
+"""
+
+
+@query(base() + FEATURES + "," + _layers_sql())
 def p12_two_layer_scorer(spark, sf_dir):
     w = World(spark, sf_dir)
     f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
     rows = f.select("query_idx", "position", F.array("query_label", "example_label", "similarity", "rank_fraction").alias("x"))
-    rng = np.random.default_rng(3)
-    return scorers.two_layer(rows, "x", rng.normal(size=(4, 8)), rng.normal(size=8), rng.normal(size=8), 0.1).drop("x")
+    w1, b1, w2, b2, scale, shift = LAYERS
+    return rounded(scorers.two_layer(rows, "x", w1, b1, w2, b2, scale=scale, shift=shift).drop("x"), 5)
 
 
 @query()
@@ -238,6 +263,37 @@ def r6_teacher_validation(spark, sf_dir):
     return integrity.validate_teacher(t, 8, 30, N_CLASSES)
 
 
+RECORD_FAULTS = [
+    "label_similarities", "similarities_finite", "similarities_descending", *(f"zero_{n}" for n in integrity.METRICS),
+    *(f"candidate_{n}" for n in (*integrity.METRICS, *(f"incremental_{n}" for n in integrity.INCREMENTS))),
+]
+
+
+@query(f"""
+SELECT CASE WHEN vec_id % 10 = 0 THEN 'test' WHEN vec_id % 10 = 1 THEN 'val' ELSE 'train' END AS query_split, vec_id AS query_idx, rule
+FROM embeddings JOIN (SELECT unnest({RECORD_FAULTS!r}) AS rule, unnest(range({len(RECORD_FAULTS)})) AS i) ON vec_id % {len(RECORD_FAULTS) + 5} = i
+""")
+def r6_record_validation(spark, sf_dir):
+    """Records with one planted fault each, for every rule of values: an infinite or missing number, two swapped similarities, one changed metric."""
+    t = scratch.settle(integrity.teacher_metrics(_teacher_records(World(spark, sf_dir)).drop("margins")), "records")
+    t = t.withColumn("label_similarities", F.transform("classes", lambda c: 1 / (1.0 + c)))
+    t = t.withColumn("similarities", F.transform(F.sequence(F.lit(1), F.size("examples")), lambda i: 1 / (1.0 + i)))
+    fault = F.col("query_idx") % (len(RECORD_FAULTS) + 5)
+    hit = lambda rule: fault == RECORD_FAULTS.index(rule)
+
+    def wrong(v, kind):
+        return ~v if kind == "correct" else v + 1 if kind in ("true_rank", "strongest_wrong") else v + 0.01
+
+    zero = F.struct(*[F.when(hit(f"zero_{n}"), wrong(F.col(f"zero_metrics.{n}"), n)).otherwise(F.col(f"zero_metrics.{n}")).alias(n) for n in integrity.METRICS])
+    names = (*integrity.METRICS, *(f"incremental_{n}" for n in integrity.INCREMENTS))
+    each = lambda m, i: F.struct(*[F.when(hit(f"candidate_{n}") & (i == 7), wrong(m[n], n)).otherwise(m[n]).alias(n) for n in names])
+    at = lambda c, rule, value: F.when(hit(rule), F.transform(c, lambda v, i: F.when(i == 4, value).otherwise(v))).otherwise(F.col(c))
+    t = t.withColumns({"zero_metrics": zero, "metrics": F.transform("metrics", each), "label_similarities": at("label_similarities", "label_similarities", F.lit(None).cast("double"))})
+    swapped = F.transform("similarities", lambda v, i: F.when(i == 4, 1 / 7.0).when(i == 5, 1 / 6.0).otherwise(v))
+    t = t.withColumn("similarities", F.when(hit("similarities_descending"), swapped).when(hit("similarities_finite"), F.transform("similarities", lambda v, i: F.when(i == 0, float("inf")).otherwise(v))).otherwise(F.col("similarities")))
+    return integrity.validate_records(t, 8, 30, N_CLASSES)
+
+
 @query("""
 SELECT 'dimensions' AS rule, count(DISTINCT CASE WHEN vec_id % 40 = 7 THEN 63 ELSE 64 END) - 1 AS n FROM embeddings
 UNION ALL SELECT 'finite', count(*) FILTER (vec_id % 40 = 9) FROM embeddings
@@ -254,6 +310,34 @@ def r7_table_checks(spark, sf_dir):
     return integrity.table_violations(w.ex.withColumn("vec", vec), pool)
 
 
+@query("""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'test' WHEN vec_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM embeddings),
+p AS (SELECT *, vec_id % 10 <= 1 AND vec_id % 4 <> 0 AS asked FROM e)
+SELECT 'dimensions:image' AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'dimensions:text', count(DISTINCT vec_id % 90 = 7) - 1 FROM e
+UNION ALL SELECT 'finite:image', count(*) FILTER (vec_id % 40 = 9) FROM e UNION ALL SELECT 'finite:text', 0 UNION ALL SELECT 'label_dimensions', 1
+UNION ALL SELECT 'row_counts', count(DISTINCT split) FILTER (vec_id % 50 = 10) FROM e
+UNION ALL SELECT 'unknown_query', count(*) FILTER (asked AND (vec_id % 7 = 0 OR vec_id % 50 = 10)) FROM p UNION ALL SELECT 'unknown_id', count(*) FILTER (asked AND vec_id % 3 = 0) FROM p
+UNION ALL SELECT 'class_range', count(*) FILTER (asked AND vec_id % 3 = 1) FROM p UNION ALL SELECT 'similarity_finite', count(*) FILTER (asked AND vec_id % 3 = 2) FROM p
+UNION ALL SELECT 'target_finite', count(*) FILTER (asked AND vec_id % 5 = 1) FROM p UNION ALL SELECT 'few_candidates', count(*) FILTER (asked AND vec_id % 11 = 0) FROM p
+UNION ALL SELECT 'empty_pool', count(*) FILTER (vec_id % 10 <= 1 AND (NOT asked OR vec_id % 7 = 0) AND vec_id % 50 <> 10) FROM p
+""")
+def r7_dataset_checks(spark, sf_dir):
+    """Two families of embeddings, label vectors and pools, with a planted fault for each rule that has one."""
+    w = World(spark, sf_dir)
+    i, q = F.col("example_idx"), F.col("query_idx")
+    image = w.ex.withColumn("vec", F.when(i % 40 == 9, F.transform("vec", lambda v, k: F.when(k == 5, float("nan")).otherwise(v))).otherwise(F.col("vec")))
+    brief = w.ex.select("split", "example_idx", F.slice("vec", 1, F.when(i % 90 == 7, 15).otherwise(16)).alias("vec")).filter("example_idx % 50 <> 10")
+    labels = w.cv.select("class_idx", F.slice("vec", 1, F.when(F.col("class_idx") == 3, 9).otherwise(16)).alias("vec"))
+    pool = w.pool.filter("query_split <> 'train' AND query_idx % 4 <> 0 AND NOT (query_idx % 11 = 0 AND position = 1)").withColumn("target", F.col("similarity") / 2)
+    first = lambda rest: (F.col("position") == 0) & rest
+    pool = pool.withColumns({
+        "example_idx": F.when(first(q % 3 == 0), -1).otherwise(i), "class_idx": F.when(first(q % 3 == 1), N_CLASSES).otherwise(F.col("class_idx")),
+        "similarity": F.when(first(q % 3 == 2), float("-inf")).otherwise(F.col("similarity")), "target": F.when(first(q % 5 == 1), F.lit(None)).otherwise(F.col("target")),
+        "query_idx": F.when(q % 7 == 0, -q - 1).otherwise(q),
+    })
+    return integrity.dataset_violations({"image": image.select("split", "example_idx", "vec"), "text": brief}, labels, "text", pool, fewest=30)
+
+
 @query("""
 SELECT o_orderkey, 'stored' AS side FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey <> 0 UNION ALL SELECT -o_orderkey, 'rebuilt' FROM orders WHERE o_orderkey % 100 = 0 AND o_orderkey <> 0
 """)
