@@ -45,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def renamed(rows: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with plain names for all columns but the ``needed`` ones, by place, and the names they had.
+
+    So no column of the caller's meets one of the operator's, whatever it is called (dots too); ``toDF`` with the names gives them back.
+    """
+    return rows.toDF(*[c if c in needed else f"extra_{i}" for i, c in enumerate(rows.columns)]), rows.columns
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

@@ -51,11 +51,15 @@ def first_by_hash(df: DataFrame, rows: int, seed: int, key: str = "doc_id") -> D
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = SAMPLE_ROWS, where=None) -> DataFrame:
-    """text and label of at most ``rows`` labelled documents, the first by a hash of the id."""
+    """text and label of at most ``rows`` labelled documents, the first by a hash of the id.
+
+    Of several labels of one id the smallest counts, of several texts the one whose md5 is smallest.
+    """
     own = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
     if where is not None:
         own = own.filter(where)
-    some = own.select("doc_id", F.col(column).cast("double").alias("label")).dropDuplicates(["doc_id"])
+    some = own.groupBy("doc_id").agg(F.min(F.col(column).cast("double")).alias("label"))
     some = first_by_hash(some, rows, 17)
     # At most ``rows`` pairs of numbers are sent to the documents.
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.md5("text").alias("m"), "text", "label")).alias("x")).select("doc_id", "x.text", "x.label")

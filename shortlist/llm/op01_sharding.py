@@ -12,7 +12,8 @@ Scale: one scan counts the rows by 128 bits of hash (16 bytes a row are shuffled
 buckets' first places are running sums in two steps, over ``BUCKETS_A_GROUP`` buckets and over the groups.
 
 Nulls and odd input: a null text has 0 bytes, size 1 and the crc32 of the empty text; equal rows stay separate rows; an empty
-table gives an empty result; further columns are carried as they are (``shard`` and ``slot`` are replaced).
+table gives an empty result; further columns are carried as they are, whatever their names and types (``shard`` and ``slot`` are
+replaced).
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import settle, shared_dir
+from .common import renamed, settle, shared_dir
 
 SEED = 20_011
 N_SHARDS = 8
@@ -40,6 +41,13 @@ def n_bytes(text: str = "text"):
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+def _hashable(value: Column, kind: T.DataType) -> Column:
+    """The value, as text if it holds a map anywhere."""
+    if isinstance(kind, T.MapType):
+        return F.to_json(value)
+    return F.to_json(F.struct(value)) if '"map"' in kind.json() else value
+
+
 def _numbered(hot: DataFrame) -> DataFrame:
     """``hot`` with one row for each of its ``__n`` equal rows, numbered by ``__j``; spread over tasks in runs."""
     runs = hot.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / RUN))))
@@ -67,10 +75,10 @@ def shard(
 
     Each shard's slots are gapless from 0; shards differ by one row at most.
     """
-    rows = rows.drop("shard", "slot")
+    rows, names = renamed(rows.drop("shard", "slot"), text)
     columns = rows.columns
     # Maps have no hash of their own; a hash passes nulls over, so their places are hashed too.
-    parts = [F.to_json(c) if isinstance(rows.schema[c].dataType, T.MapType) else F.col(c) for c in columns] + [F.isnull(c) for c in columns]
+    parts = [_hashable(F.col(f.name), f.dataType) for f in rows.schema] + [F.isnull(c) for c in columns]
     marked = rows.withColumns({f"__h{i}": F.xxhash64(F.lit(2 * seed + i), *parts) for i in (0, 1)})
     alike = settle(marked.groupBy("__h0", "__h1").agg(F.count(F.lit(1)).alias("__n"), F.sum(n_bytes(text)).alias("__size")), "alike")
     n, size = alike.agg(F.sum("__n"), F.sum("__size")).first()
@@ -103,7 +111,7 @@ def shard(
         *[F.col("__row").getField(c).alias(c) for c in columns],
         F.pmod(place, F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(place / n_shards).cast("long").alias("slot"),
-    )
+    ).toDF(*names, "shard", "slot")
 
 
 def write_shards(rows: DataFrame, path: str, **options) -> DataFrame:

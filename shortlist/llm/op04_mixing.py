@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import settle
+from .common import renamed, settle
 
 SEED = 40_007
 WORD = r"[^\x20\x09-\x0D]+"
@@ -207,6 +207,7 @@ def _each(item: DataFrame, total: str, block: int = 4096) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 to 2 times); columns as in ``docs``."""
+    docs, names = renamed(docs, "doc_id", "source", "text")
     key = ["__s", "__d", "__w", "__h"]
     mix = decide(docs, seed).filter("copies > 0").select(
         F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__w"),
@@ -220,7 +221,7 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
     single = found.filter(F.col("__n") == 1)
     repeated = found.filter(F.col("__n") > 1).dropDuplicates(key)
-    return _each(single, "__copies").select(*docs.columns).unionByName(_each(repeated, "__copies").select(*docs.columns))
+    return _each(single, "__copies").select(*docs.columns).unionByName(_each(repeated, "__copies").select(*docs.columns)).toDF(*names)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

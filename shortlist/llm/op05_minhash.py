@@ -329,6 +329,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null text stay.
     """
+    docs, names = C.renamed(docs, "doc_id", "text")
     columns = docs.columns
     found = C.settle(classes(docs), "classes")
     first = found.filter(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("c").agg(
@@ -338,7 +339,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = keyed.join(first, keyed.doc_id.eqNullSafe(first["__id"]) & (F.col("__own") == F.col("__node")))
     once = kept.filter("__rows = 1").select(*columns)
     again = kept.filter("__rows > 1").dropDuplicates(["__own"]).select(*columns)
-    return once.unionByName(again).unionByName(docs.filter("text IS NULL"))
+    return once.unionByName(again).unionByName(docs.filter("text IS NULL")).toDF(*names)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from . import linear
@@ -101,7 +102,7 @@ def _matrix(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _measured(docs: DataFrame, carry: list[str], weights: np.ndarray, intercept: float) -> DataFrame:
     """``carry``, __words and __logit of every row."""
     schema = docs.select(*carry).schema
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__words long, __logit double"])
+    full = T.StructType([*schema, T.StructField("__words", T.LongType()), T.StructField("__logit", T.DoubleType())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +161,8 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str], host: str = "sou
 
 def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score isn't below ``REJECT_BELOW``; columns as in ``docs``."""
-    return judge(docs, labels, docs.columns).filter(F.col("__score") >= REJECT_BELOW).select(*docs.columns)
+    docs, names = C.renamed(docs, "doc_id", "text", "source", "lang")
+    return judge(docs, labels, docs.columns).filter(F.col("__score") >= REJECT_BELOW).select(*docs.columns).toDF(*names)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -146,8 +147,8 @@ def _frequencies(docs: DataFrame, index) -> pa.Table:
 def _probe(docs: DataFrame, carry: list[str], index) -> DataFrame:
     """``carry`` of every row, n_words, disjoint hit ranges [from, to) of word numbers and the items that occur."""
     schema = docs.select(*carry).schema
-    added = "__n_words long, __from array<int>, __to array<int>, __items array<string>"
-    full = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), added])
+    added = (("__n_words", T.LongType()), ("__from", T.ArrayType(T.IntegerType())), ("__to", T.ArrayType(T.IntegerType())), ("__items", T.ArrayType(T.StringType())))
+    full = T.StructType([*schema, *(T.StructField(*a) for a in added)])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
@@ -238,8 +239,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str], block
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a benchmark window; columns as in ``docs``."""
+    docs, names = C.renamed(docs, "text")
     columns = docs.columns
-    return decontaminate(docs, benchmark, columns).filter("__n_hit = 0").select(*columns)
+    return decontaminate(docs, benchmark, columns).filter("__n_hit = 0").select(*columns).toDF(*names)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

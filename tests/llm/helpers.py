@@ -48,3 +48,19 @@ def clashing(df):
 
     names = ["size", "n", "copies", "shard", "slot", "node", "h", "tid", "key", "c", "score", "items", "n_words", "target", "label", "words", "place"]
     return df.select("*", *[F.lit(7).alias(x) for x in names])
+
+
+#: Names that operators use themselves or that need quotes.
+ODD_NAMES = [
+    "a.b", "text.x", "`q`", "with space", "__n", "__id", "__text", "__h0", "__h1", "__bucket", "__row", "__x", "__j", "__s", "__d", "__w", "__h", "__copies",
+    "__own", "__node", "__rows", "__words", "__logit", "__p", "__m", "__score", "__n_hit", "__from", "__items", "extra_0", "extra_5", "j", "up", "item", "held", "p",
+]
+
+
+def odd(df):
+    """Further columns of such names, and values that have no hash: maps, also inside of structs and arrays."""
+    from pyspark.sql import functions as F
+
+    named = df.select("*", *[F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(x) for i, x in enumerate(ODD_NAMES)])
+    held = F.create_map(F.lit("k"), F.col("doc_id"))
+    return named.withColumns({"map": held, "deep": F.struct(F.array(held).alias("in.side"), F.lit(None).cast("int").alias("none")), "list": F.array(held)})

@@ -3,8 +3,9 @@
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 
-from .helpers import clashing, corpus, docs, write
+from .helpers import ODD_NAMES, clashing, corpus, docs, odd, write
 
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
@@ -38,6 +39,24 @@ def test_stages_on_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path
     assert Counter(r.doc_id for r in last) == Counter(r.doc_id for r in found["mixing"].collect()) and len({(r.shard, r.slot) for r in last}) == len(last)
 
 
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_columns_of_any_name_come_out_unchanged(spark, tmp_path, name, stage):
+    rows = [r for r in corpus() if r[1] is not None] + [corpus()[3]] * 3
+    d = odd(docs(spark, rows))
+    labels = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (1, 1, 0), (2, 1, 0), (4, 0, 0)], LABELS)
+    place = write(spark, tmp_path, labels=labels, benchmark=spark.createDataFrame([(1, rows[7][1])], ITEMS))
+    found = stage(spark, d, place)
+    assert found.columns == d.columns + (["shard", "slot"] if name == "sharding" else [])
+    got = [r.asDict(recursive=True) for r in found.collect()]
+    assert got
+    for r in got:
+        key = -1 if r["doc_id"] is None else r["doc_id"]
+        assert [r[x] for x in ODD_NAMES] == [f"{i}:{key}" for i in range(len(ODD_NAMES))]
+        assert r["map"] == {"k": r["doc_id"]} and r["deep"] == {"in.side": [{"k": r["doc_id"]}], "none": None} and r["list"] == [{"k": r["doc_id"]}]
+    plain = stage(spark, docs(spark, rows), place)
+    assert Counter(r["doc_id"] for r in got) == Counter(r.doc_id for r in plain.collect())
+
+
 def test_empty_tables_pass_all_stages(spark, tmp_path):
     d = docs(spark, [])
     place = write(spark, tmp_path, documents=d, labels=spark.createDataFrame([], LABELS), benchmark=spark.createDataFrame([], ITEMS))
