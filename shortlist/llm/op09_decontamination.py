@@ -6,8 +6,8 @@ window are needed, its prefix is one shingle, the rarest.  Documents are probed
 the place and both lengths bound where the window can start, and the words there are compared one by one.
 
 Scale: two scans of the documents (frequencies, then probes), no shuffle of text.  The index of windows is broadcast in
-blocks of at most ``BLOCK_WINDOWS`` rows, which come to the driver as Arrow (about 100 MB, and as much for their shingles'
-counts): one block for usual benchmarks; more blocks are probed one after the other against all documents and their hits united
+blocks of at most ``BLOCK_WINDOWS`` rows, which come to the driver as Arrow; a full block is about 130 MB when it is probed, and
+its distinct shingles (up to 64 MB) are sent alone for the frequencies: one block for usual benchmarks; more blocks are probed one after the other against all documents and their hits united
 by row.  Words are compared by 64-bit hashes.
 
 Nulls and odd input: a null or wordless text has no words and no hits, a null or wordless item has no windows; a null
@@ -93,7 +93,8 @@ class Index:
         first = first[np.r_[True, np.diff(self._at[first]) > 0]] if len(first) else first
         by = first[np.argsort(self._flat[first], kind="stable")]
         self.prefix, self.window, self.offset = self._flat[by].astype(np.uint64), self._at[by], self._offset[by]
-        self._flat = self._at = self._offset = None
+        self._flat = self._at = self._offset = self.vocabulary = None
+        self.wanted = np.unique(self.prefix)
         self.filter = _slots(self.prefix)
 
 
@@ -126,22 +127,27 @@ def _places(words: np.ndarray, rows: np.ndarray, sizes: list[int], table: np.nda
         yield at, hashes[at]
 
 
-def _frequencies(docs: DataFrame, index) -> pa.Table:
+def _frequencies(docs: DataFrame, vocabulary: np.ndarray, sizes: list[int]) -> pa.Table:
+    """shingle (its place in ``vocabulary``) and n, the number of documents that hold it."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
-        table, total = _slots(x.vocabulary), np.zeros(len(x.vocabulary), np.int64)
+        vocabulary = sent.value
+        table, total = _slots(vocabulary), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for _, _, data, offsets in C.utf8_blocks(batch.column(0)):
                 words, rows = _words(data, offsets)
-                for at, hashes in _places(words, rows, x.sizes, table, x.vocabulary):
+                for at, hashes in _places(words, rows, sizes, table, vocabulary):
                     row = np.searchsorted(rows, at, "right") - 1
-                    pairs = np.unique(row * len(total) + np.searchsorted(x.vocabulary, hashes))
+                    pairs = np.unique(row * len(total) + np.searchsorted(vocabulary, hashes))
                     total += np.bincount(pairs % len(total), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["shingle", "n"])
 
     counted = docs.select("text").mapInArrow(count, "shingle long, n long")
-    return counted.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    out = counted.groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    return out
 
 
 def _probe(docs: DataFrame, carry: list[str], index) -> DataFrame:
@@ -159,7 +165,7 @@ def _probe(docs: DataFrame, carry: list[str], index) -> DataFrame:
                 words, rows = _words(data, offsets)
                 n_words[first:end] = np.diff(rows)
                 starts, found = [], []
-                for at, hashes in _places(words, rows, x.sizes, x.filter, np.unique(x.prefix)):
+                for at, hashes in _places(words, rows, x.sizes, x.filter, x.wanted):
                     low_i, high_i = np.searchsorted(x.prefix, hashes, "left"), np.searchsorted(x.prefix, hashes, "right")
                     times = high_i - low_i
                     entry = np.repeat(low_i - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
@@ -210,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, carry: list[str], block
         own = cuts.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
         index = Index(own.toArrow())
         frequency = np.zeros(len(index.vocabulary), np.int64)
-        counted = _frequencies(docs, spark.sparkContext.broadcast(index))
+        counted = _frequencies(docs, index.vocabulary, index.sizes)
         frequency[counted.column("shingle").to_numpy()] = counted.column("n").to_numpy()
         index.order(frequency)
         part = _probe(docs, carry if blocks == 1 else [*carry, "__row"], spark.sparkContext.broadcast(index))
