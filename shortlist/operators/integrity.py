@@ -239,17 +239,60 @@ def order_violations(stored: DataFrame, expected: DataFrame, place: str, value:
     return a.join(b, "p", "full").filter(differ).agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
 
 
+#: Buckets of the first level of a comparison by hashes, and parts of a bucket at each further level.
+BUCKETS = 4096
+PARTS = 64
+
+
+def _marked(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``rows`` with a hash of the keys and two of keys and values; nulls count, as a hash passes them over."""
+    whole = lambda cs: [x for c in cs for x in (F.col(f"`{c}`"), F.isnull(f"`{c}`"))]
+    own = {"__k": F.xxhash64(*whole(keys)), **{f"__v{i}": F.xxhash64(F.lit(i), *whole([*keys, *values])) for i in (0, 1)}}
+    return rows.withColumns(own)
+
+
+def _unequal(a: DataFrame, b: DataFrame, bucket: Column) -> list[int]:
+    """Buckets whose rows differ between two marked tables, by their number and the sums of both hashes (in halves, which can't overflow)."""
+    half = lambda c, low: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)) if low else F.shiftrightunsigned(c, 32)
+    halves = [half(f"__v{i}", low) for i in (0, 1) for low in (True, False)]
+    sums = lambda rows, sign: rows.select(bucket.alias("b"), F.lit(sign).alias("n"), *[(sign * h).alias(f"s{i}") for i, h in enumerate(halves)])
+    both = sums(a, 1).unionByName(sums(b, -1)).groupBy("b").agg(*[F.sum(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")])
+    return [r.b for r in both.filter("n <> 0 OR s0 <> 0 OR s1 <> 0 OR s2 <> 0 OR s3 <> 0").select("b").collect()]
+
+
+def where_unequal(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], levels: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Rows of both tables in those buckets of ``keys`` where the tables differ; all differing rows and keys are among them.
+
+    A tree of hashes: sums of two 64-bit hashes of all rows by bucket are compared, then by parts of the buckets that differ.  Only sums
+    are shuffled, and the driver is sent the numbers of differing buckets, ``BUCKETS`` of the first level at most; it goes to a further
+    level only while few buckets differ.  Equal tables come out empty without a row being moved.
+    """
+    left, right = _marked(a, keys, values), _marked(b, keys, values)
+    size = BUCKETS
+    for level in range(levels):
+        bucket = F.pmod("__k", F.lit(size))
+        unequal = _unequal(left, right, bucket)
+        # A long list of buckets is as good as none.
+        if len(unequal) <= BUCKETS // 4:
+            left, right = (x.filter(bucket.isin(unequal)) if unequal else x.limit(0) for x in (left, right))
+        if not unequal or len(unequal) > BUCKETS // PARTS:
+            break
+        size *= PARTS
+    marks = ["__k", "__v0", "__v1"]
+    return left.drop(*marks), right.drop(*marks)
+
+
 def difference(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
-    """Rows of either table that the other lacks, with multiplicity."""
+    """Rows of either table that the other lacks, with multiplicity; only what differs by its hashes is compared row by row."""
     columns = stored.columns
-    rebuilt = rebuilt.select(*columns)
+    stored, rebuilt = where_unequal(stored, rebuilt.select(*[f"`{c}`" for c in columns]), columns, [])
     return stored.exceptAll(rebuilt).withColumn("side", F.lit("stored")).unionByName(rebuilt.exceptAll(stored).withColumn("side", F.lit("rebuilt")))
 
 
 def misaligned(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """Keys in one table only, or whose values differ by more than the tolerance."""
-    x = a.select(*keys, F.col(value).alias("a"))
-    y = b.select(*keys, F.col(value).alias("b"))
+    """Keys in one table only, or whose values differ by more than the tolerance; only keys in buckets that differ are joined."""
+    x, y = where_unequal(a.select(*keys, F.col(value).alias("a")), b.select(*keys, F.col(value).alias("a")), keys, ["a"])
+    y = y.withColumnRenamed("a", "b")
     return x.join(y, keys, "full").filter(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > tolerance))
 
 

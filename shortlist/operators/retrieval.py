@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..sources import scratch
 from . import neighbours
 from .sampling import draw
 
@@ -161,6 +162,28 @@ def numbered(pool: DataFrame, keys: list[str] = QUERY) -> DataFrame:
     return pool.withColumn("position", F.row_number().over(w) - 1)
 
 
+def maintained(pool: DataFrame, queries: DataFrame, gallery: DataFrame, added: DataFrame, removed: DataFrame, m: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(pools, recomputed) of ``queries`` after a change of the gallery, from the stored ``pool`` of the gallery before it.
+
+    ``gallery`` is the one after the change, ``added`` (as ``gallery``) and ``removed`` (example_idx) what came and went; a changed row is in both.
+    Queries whose pool lost a member are searched anew in the whole gallery, as is a query without a stored pool; all others meet the
+    added rows only, and their best m are merged with the stored ones.  Equal to a rebuild, ties included.  ``recomputed`` has the
+    keys of the queries that were searched anew.  ``options`` are those of ``top_m`` (without sets), the same as for the stored pool.
+    """
+    columns = [*QUERY, "true_class", "example_idx", "class_idx", "similarity"]
+    keys = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"))
+    lost = pool.join(removed.select("example_idx").distinct(), "example_idx", "left_semi").select(*QUERY)
+    new = keys.join(pool.select(*QUERY), QUERY, "left_anti")
+    anew = scratch.settle(lost.unionByName(new).distinct(), "searched-anew")
+    of = anew.withColumnsRenamed({"query_split": "split", "query_idx": "example_idx"})
+    some = top_m(queries.join(of, ["split", "example_idx"], "left_semi"), gallery, m, **options)
+    others = queries.join(of, ["split", "example_idx"], "left_anti")
+    met = top_m(others, added, m, **options)
+    stored = pool.join(keys, QUERY, "left_semi").join(anew, QUERY, "left_anti")
+    merged = numbered(stored.select(*columns).unionByName(met.select(*columns))).filter(F.col("position") < m)
+    return some.select(*columns, "position").unionByName(merged.select(*columns, "position")), anew
+
+
 def top_m_builtin(queries: DataFrame, gallery: DataFrame, m: int) -> DataFrame:
     """``top_m`` with built-in functions only (every pair is a row); the readable twin for tests and small galleries."""
     q = queries.select(F.col("split").alias("query_split"), F.col("example_idx").alias("query_idx"), F.col("class_idx").alias("true_class"), F.col("vec").alias("qv"))

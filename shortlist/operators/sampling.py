@@ -119,10 +119,52 @@ def split_summary(assignment: DataFrame, column: str) -> DataFrame:
     return assignment.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(column).alias("classes"), n("train"), n("val"), n("test"))
 
 
+def nth_smallest(rows: DataFrame, column: str, n: int, few: int = 10_000) -> str | None:
+    """The n-th smallest (from 1) of a string column of hexadecimal digits; None if there are fewer.
+
+    By counts of beginnings, three digits longer each time, until at most ``few`` strings share one: those are sorted on the driver.
+    """
+    prefix, left = "", n
+    while True:
+        inside = rows.filter(F.col(column).startswith(prefix)) if prefix else rows
+        cut = F.substring(column, 1, len(prefix) + 3).alias("p")
+        counts = sorted((r.p, r.n) for r in inside.groupBy(cut).agg(F.count(F.lit(1)).alias("n")).collect())
+        for p, size in counts:
+            if left <= size:
+                break
+            left -= size
+        else:
+            return None
+        if size <= few or p == prefix:
+            return sorted(r[0] for r in inside.filter(F.col(column).startswith(p)).select(column).limit(max(few, size)).collect())[left - 1]
+        prefix = p
+
+
 def balanced_sample(rows: DataFrame, key: str, column: str, n: int, seed: int) -> DataFrame:
-    """Round robin over classes, the order of classes drawn anew each round; all rows if there are no more than n."""
+    """Round robin over classes, the order of classes drawn anew each round; all rows if there are no more than n.
+
+    Without an order of all rows: from the classes' sizes follow the last whole round and how many classes are in the next one; the
+    last of these by drawn order gives a bound, and rows are kept by their place in their class and that bound.  The driver gets
+    the number of classes of each size, at most the root of twice the number of rows.
+    """
+    sizes = scratch.settle(rows.groupBy(column).agg(F.count(F.lit(1)).alias("__size")), "class-sizes")
+    of_size = sorted((r[0], r[1]) for r in sizes.groupBy("__size").agg(F.count(F.lit(1))).collect())
+    if sum(size * m for size, m in of_size) <= n:
+        return rows
+    rounds, left, classes = 0, n, sum(m for _, m in of_size)
+    for size, m in of_size:  # rounds up to this size have all classes that are left
+        whole = min(size - rounds, left // classes)
+        rounds, left = rounds + whole, left - whole * classes
+        if rounds < size:
+            break
+        classes -= m
     placed = ranked(rows, key, column, seed).drop("__class_n")
-    return placed.orderBy("__rn", draw(seed, F.col("__rn"), F.col(column)), key).limit(n).drop("__rn")
+    keep = F.col("__rn") <= rounds
+    if left:
+        order = draw(seed, F.lit(rounds + 1), F.col(column))
+        last = nth_smallest(sizes.filter(F.col("__size") > rounds).select(order.alias("d")), "d", left)
+        keep = keep | ((F.col("__rn") == rounds + 1) & (order <= last))
+    return placed.filter(keep).drop("__rn")
 
 
 def proportional_sample(rows: DataFrame, key: str, column: str, n: int | Column, seed: int) -> DataFrame:

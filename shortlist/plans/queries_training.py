@@ -222,6 +222,19 @@ def r5_expansion(spark, sf_dir):
     return integrity.expansion(p.filter("position < 20"), p, ["query_split", "query_idx"], 20, 30).select("query_idx", "position", "example_idx")
 
 
+@query(base().replace("FROM embeddings)", "FROM embeddings WHERE vec_id % 17 <> 4)") + END + "SELECT query_split, query_idx, position, example_idx, round(similarity, 6) AS similarity FROM pools WHERE query_split <> 'train'")
+def r5_maintained(spark, sf_dir):
+    """Pools of a gallery without every ninth row, after those came and every seventeenth went."""
+    w = World(spark, sf_dir, ["test", "val"])
+    i = F.col("example_idx")
+    before, after = w.gallery.filter(i % 9 != 2), w.gallery.filter(i % 17 != 4)
+    queries = w.queries.filter(i % 17 != 4)
+    stored = scratch.settle(retrieval.top_m(queries, before, 30), "stored")
+    added, removed = after.filter(i % 9 == 2), before.filter(i % 17 == 4)
+    pools, _ = retrieval.maintained(stored, queries, after, added, removed, 30)
+    return rounded(pools.select("query_split", "query_idx", "position", "example_idx", "similarity"))
+
+
 @query(base() + END + "SELECT query_idx, position FROM pools WHERE position = 3 AND query_idx % 20 = 0")
 def r5_prefix_check(spark, sf_dir):
     p = World(spark, sf_dir).pool
