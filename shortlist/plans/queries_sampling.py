@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import evaluate, integrity, sampling
-from ..sources import artifacts, scratch
+from ..sources import arrays, artifacts, scratch
 from .base_sql import CAND, base, metrics
 from .fixtures import World, table
 from .registry import also, query, r6, rounded, text
@@ -49,6 +49,18 @@ def io2_alignment(spark, sf_dir):
     return found.unionByName(integrity.order_violations(stored, names, "n_nationkey", "n_name"))
 
 
+@query("SELECT vec_id, label, CAST(len(embedding) AS INTEGER) AS dimensions, round(list_sum(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS total FROM embeddings")
+def io2_array_files(spark, sf_dir):
+    """Embeddings written as array files by all tasks and read again by ranges of rows."""
+    arrays.register(spark)
+    place = scratch.new(spark, "arrays")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    e.write.format("arrays").mode("append").option("file_rows", 500).save(place)
+    back = spark.read.format("arrays").option("part_bytes", 32_000).load(place)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rounded(back.select("vec_id", "label", F.size("embedding").alias("dimensions"), total.alias("total")))
+
+
 @query(f"SELECT o_orderkey AS global_idx, {SPLIT10} AS split FROM orders")
 def io3_split_file(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("global_idx"), _split("o_orderkey").alias("split"))

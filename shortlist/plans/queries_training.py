@@ -393,6 +393,19 @@ def r11_shard_stream(spark, sf_dir):
     return shards.merged(spark, target, ["o_orderkey"], "shard_seq").select("o_orderkey", "o_orderstatus", "shard_seq")
 
 
+@query(STORED + """SELECT c_custkey, first(o_orderstatus ORDER BY shard_seq DESC, o_orderkey DESC) AS o_orderstatus, first(o_orderkey ORDER BY shard_seq DESC, o_orderkey DESC) AS o_orderkey, CAST(max(shard_seq) AS INTEGER) AS shard_seq
+FROM (SELECT o_custkey AS c_custkey, sh.* FROM sh JOIN orders USING (o_orderkey)) GROUP BY c_custkey""")
+def r11_stateful_merge(spark, sf_dir):
+    """The last record of each customer, kept in the stream's state."""
+    o, _, new = _stored(spark, sf_dir)
+    of = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    rows = new.join(of, "o_orderkey").select("c_custkey", "shard_seq", "o_orderkey", "o_orderstatus")
+    source, seen, marks = (scratch.new(spark, n) for n in ("shards", "progress", "state"))
+    rows.repartition(4).write.parquet(source)
+    shards.merge_stateful(spark, source, seen, marks, "c_custkey long, shard_seq int, o_orderkey long, o_orderstatus string", ["c_custkey"], "shard_seq")
+    return shards.held(spark, marks).select("c_custkey", "o_orderstatus", "o_orderkey", "shard_seq")
+
+
 @query(base() + END + "SELECT query_split, query_idx, CAST(-1 AS BIGINT) AS stored, example_idx AS rebuilt FROM pools WHERE position = 0 AND query_idx % 30 = 0 AND query_idx % 60 <> 0")
 def r12_top1_check(spark, sf_dir):
     p = World(spark, sf_dir).pool

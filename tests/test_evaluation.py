@@ -211,6 +211,26 @@ def test_stream_merges_growing_shards(spark, tmp_path):
     assert max(r.completed for r in shards.progress(spark, target, ["id"]).collect()) == 3
 
 
+def test_stateful_merge_goes_on_after_a_restart(spark, tmp_path):
+    """Late, repeated and null records over several calls: state holds the last of each key, the count never falls."""
+    s = "id long, v string, seq int"
+    source, seen, marks = (str(tmp_path / n) for n in ("in", "progress", "state"))
+    rounds = [[(1, "a", 0), (2, "b", 5), (None, "n", 1)], [(1, "c", 2), (3, "d", 0), (2, "late", 4)], [(1, "older", 1), (3, "e", 0), (3, None, 0), (None, "m", 2)], [(1, "c", 2)]]
+    last, counts = {}, []
+    for i, rows in enumerate(rounds):
+        spark.createDataFrame(rows, s).repartition(2).write.mode("append").parquet(source)
+        for k, v, q in rows:
+            if k not in last or (q, v is not None, v or "") > (last[k][1], last[k][0] is not None, last[k][0] or ""):
+                last[k] = (v, q)
+        shards.merge_stateful(spark, source, seen, marks, s, ["id"], "seq")
+        assert {r.id: (r.v, r.seq) for r in shards.held(spark, marks).collect()} == last
+        counts = [r.completed for r in shards.completed(spark, seen).orderBy("batch").collect()]
+        assert counts == sorted(counts) and counts[-1] == len(last)
+    assert len(counts) >= len(rounds)
+    shards.merge_stateful(spark, source, seen, marks, s, ["id"], "seq")  # nothing new
+    assert [r.completed for r in shards.completed(spark, seen).orderBy("batch").collect()] == counts
+
+
 def test_validation_of_tables_and_records(spark):
     a = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     e = spark.createDataFrame([(2, "m"), (3, "n"), (4, "m")], "id long, model_name string")
