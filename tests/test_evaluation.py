@@ -1,6 +1,9 @@
 """Evaluation, losses, audit, statistics and integrity: literal expectations."""
 
 import math
+import random
+from fractions import Fraction
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -12,9 +15,18 @@ from shortlist.streaming import shards
 
 
 def test_mcnemar(spark):
-    df = spark.createDataFrame([(0, 0), (5, 0), (3, 3), (900, 700)], "a long, b long").select(stats.mcnemar("a", "b").alias("p"))
-    p = [r.p for r in df.collect()]
-    assert p[0] == 1 and p[1] == pytest.approx(2 / 32) and p[2] == 1 and 0 <= p[3] < 1e-5
+    """Against the tail of the binomial distribution in whole numbers, and on counts too large for it."""
+
+    def tail(a, b):
+        n, low = a + b, min(a, b)
+        return min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(low + 1)), 2**n)) if n else Fraction(1)
+
+    rng = random.Random(4)
+    counts = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(0, n) for n in range(8)] + [(n, n) for n in range(6)]
+    got = spark.createDataFrame(counts, "a long, b long").select("a", "b", stats.mcnemar("a", "b").alias("p")).collect()
+    assert all(r.p == pytest.approx(float(tail(r.a, r.b)), rel=1e-9) for r in got)
+    far = spark.createDataFrame([(4100, 3300), (2000, 2000)], "a long, b long").select(stats.mcnemar("a", "b").alias("p")).collect()
+    assert 0 <= far[0].p < 1e-15 and far[1].p == 1
 
 
 def test_bootstrap_brackets_the_difference(spark):
@@ -76,16 +88,21 @@ def cand(spark, rows):
 
 
 def test_pairwise_losses(spark):
-    good = cand(spark, [(0, 0, 3, 3, True), (0, 1, 2, 2, False), (0, 2, 1, 1, False)])
-    bad = cand(spark, [(0, 0, 1, 3, True), (0, 1, 2, 2, False), (0, 2, 3, 1, False)])
-    assert pairs.pairwise_loss(good).first().loss < pairs.pairwise_loss(bad).first().loss
-    acc = pairs.pairwise_accuracy(good).first()
-    assert (acc.accuracy, acc.pairs) == (1, 3)
-    close = cand(spark, [(0, 0, 1, 1, True), (0, 1, 2, 0.99, False)])
-    assert pairs.pairwise_loss(close).first().asDict() == {"pairs": 0, "loss": 0}
-    assert pairs.pairwise_accuracy(close).first().accuracy is None
-    w = cand(spark, [(0, 0, 1, 1, True), (0, 1, -1, 0.5, False), (0, 2, 0, 0, False)])
-    assert pairs.weighted_pairwise_loss(w, 0.1).first().loss < pairs.pairwise_loss(w).first().loss
+    """Scores in the order of the targets lose less than in any other order, and only pairs beyond the gap count."""
+    targets = [0.1, 0.75, 0.4, 0.9]
+    loss = {}
+    for order in permutations([-1.5, -0.2, 0.8, 2.6]):
+        rows = [(0, i, s, t, t > 0.5) for i, (s, t) in enumerate(zip(order, targets))]
+        x = cand(spark, rows)
+        loss[order] = pairs.pairwise_loss(x).first().loss
+        if order in ((-1.5, 0.8, -0.2, 2.6), (2.6, -0.2, 0.8, -1.5)):
+            assert pairs.pairwise_accuracy(x).first().asDict() == {"pairs": 6, "accuracy": 1.0 if order[0] < 0 else 0.0}
+    assert min(loss, key=loss.get) == (-1.5, 0.8, -0.2, 2.6) and max(loss, key=loss.get) == (2.6, -0.2, 0.8, -1.5)
+    near = cand(spark, [(0, i, i, 0.3 + 0.004 * i, False) for i in range(5)])  # 0.016 apart at most
+    assert pairs.pairwise_loss(near).first().asDict() == {"pairs": 0, "loss": 0} and pairs.pairwise_accuracy(near).first().accuracy is None
+    assert pairs.pairwise_loss(near, min_gap=0.01).first().pairs == 3
+    heavy = cand(spark, [(0, 0, 4, 0.95, True), (0, 1, -2, 0.35, False), (0, 2, 1, 0.05, False)])  # right where it matters, wrong at the end
+    assert pairs.weighted_pairwise_loss(heavy, 0.1).first().loss < pairs.pairwise_loss(heavy).first().loss
 
 
 def test_listwise_and_hybrid(spark):
@@ -106,13 +123,38 @@ def test_correlations(spark):
     assert s[3] == pytest.approx(-0.8660254) and k[3] == pytest.approx(-0.8164966)
 
 
-def test_audit_finds_the_counterexample(spark):
-    vectors = [[3.0, 1.0, 4.0, 0.0], [3.0, 2.0, 1.0, 0.0], [2.0, 1.5, 1.0, 0.0]]
-    c = spark.createDataFrame([("v", 0, 0, i, v) for i, v in enumerate(vectors)], "query_split string, query_idx long, true_class int, position int, scores array<double>")
-    s = spark.createDataFrame([("v", 0, 2, [0, 1]), ("v", 0, 4, [0, 1, 2, 3])], "query_split string, query_idx long, k int, classes array<int>")
+def audited(scores, true, classes):
+    """Coverage, chosen and best candidate, and regret by plain loops."""
+    margin = lambda v, some: v[true] - max(v[c] for c in some if c != true)
+    every = range(len(scores[0]))
+    full, part = [margin(v, every) for v in scores], [margin(v, classes) for v in scores]
+    wrong = [max((c for c in every if c != true), key=lambda c: (v[c], -c)) for v in scores]
+    pick, best = (max(range(len(scores)), key=lambda i: (m[i], -i)) for m in (part, full))
+    return sum(w in classes for w in wrong) / len(wrong), pick, best, full[best] - full[pick]
+
+
+def test_audit_equals_plain_loops_and_finds_counterexamples(spark):
+    """Among drawn score tables are some where a set of classes picks another candidate than all classes do."""
+    rng = random.Random(12)
+    rows, want, picks = [], {2: [], 3: [], 5: []}, 0
+    for q in range(30):
+        scores = [[round(rng.gauss(0, 2), 2) for _ in range(5)] for _ in range(4)]
+        true, ranking = q % 5, [c for c in range(5) if c != q % 5]
+        rng.shuffle(ranking)
+        for k in want:
+            classes = sorted([true, *ranking[: k - 1]])
+            want[k].append(audited(scores, true, classes))
+            picks += want[k][-1][1] != want[k][-1][2]
+            rows.append((q, true, k, classes, scores))
+    assert picks > 5 and all(w[1] == w[2] and w[0] == 1 and w[3] == 0 for w in want[5])
+    c = spark.createDataFrame([("v", q, t, i, v) for q, t, k, _, scores in rows if k == 2 for i, v in enumerate(scores)], "query_split string, query_idx long, true_class int, position int, scores array<double>")
+    s = spark.createDataFrame([("v", q, k, classes) for q, _, k, classes, _ in rows], "query_split string, query_idx long, k int, classes array<int>")
     out = {r.k: r for r in audit.audit_summary(audit.audit_rows(c, s)).collect()}
-    assert out[2].coverage == pytest.approx(2 / 3) and out[2].top_agreement == 0 and out[2].selected_accuracy == 0 and out[2].mean_regret == 2
-    assert out[4].coverage == 1 and out[4].top_agreement == 1 and out[4].mean_regret == 0 and out[4].mean_spearman == pytest.approx(1)
+    for k, w in want.items():
+        assert out[k].coverage == pytest.approx(sum(x[0] for x in w) / 30) and out[k].top_agreement == pytest.approx(sum(x[1] == x[2] for x in w) / 30)
+        assert out[k].mean_regret == pytest.approx(sum(x[3] for x in w) / 30) and out[k].median_regret == pytest.approx(float(np.median([x[3] for x in w])))
+        assert out[k].p95_regret == pytest.approx(float(np.quantile([x[3] for x in w], 0.95)))
+    assert out[5].mean_spearman == pytest.approx(1) and out[5].mean_kendall == pytest.approx(1) and out[2].mean_spearman < 1
 
 
 def test_selection_metrics(spark):
@@ -254,7 +296,7 @@ def test_scorers(spark):
     w1, b1, w2 = np.eye(3), np.zeros(3), np.array([1.0, 0.0, -1.0])
     got = {r.i: r.score for r in scorers.two_layer(x, "x", w1, b1, w2, 0.5).collect()}
     z = (np.array([1.0, 2.0, 4.0]) - 7 / 3) / math.sqrt(np.var([1.0, 2.0, 4.0]) + 1e-5)
-    gelu = lambda h: 0.5 * h * (1 + math.tanh(math.sqrt(2 / math.pi) * (h + 0.044715 * h**3)))
+    gelu = lambda h: 0.5 * h * (1 + math.erf(h / math.sqrt(2)))
     assert got[0] == pytest.approx(gelu(z[0]) - gelu(z[2]) + 0.5) and got[1] == pytest.approx(0.5)
     rng = np.random.default_rng(2)
     rows = [("train", q, p, *map(float, f), float(2 * f[0] - f[1])) for q in range(30) for p, f in enumerate(rng.normal(size=(5, 2)))]

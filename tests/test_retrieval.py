@@ -93,10 +93,10 @@ def test_block_search_equals_builtin_with_ties_and_self_exclusion(spark):
 
 def test_half_precision_order_differs(spark):
     rng = random.Random(3)
-    vec = lambda: [rng.gauss(3, 1) for _ in range(64)]
-    g, q = rows(spark, [vec() for _ in range(200)], "train"), rows(spark, [vec() for _ in range(8)], "test")
+    vec = lambda: [rng.gauss(3, 1) for _ in range(48)]
+    g, q = rows(spark, [vec() for _ in range(130)], "train"), rows(spark, [vec() for _ in range(7)], "test")
     order = lambda half: [(r.query_idx, r.example_idx) for r in retrieval.top_m(q, g, 20, half=half).orderBy("query_idx", "position").collect()]
-    assert order(True) == order(True) and len(order(True)) == 160
+    assert order(True) == order(True) and len(order(True)) == 140
     assert order(True) != order(False)
 
 

@@ -1,6 +1,7 @@
 """Score vectors, targets, vectors and prompts: literal expectations."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -45,15 +46,24 @@ def test_restricted_sets(spark):
 
 
 def test_teacher_and_targets(spark):
-    rows = [(0, [3.0, 2.0, 0.0]), (1, [2.0, 3.0, 0.0]), (2, [4.0, 1.0, 0.0])]
-    df = spark.createDataFrame(rows, "position int, scores array<double>").withColumn("m", S.teacher(F.col("scores"), F.lit(0)))
-    df = df.withColumn("z", S.teacher(F.array(F.lit(2.0), F.lit(2.5), F.lit(0.0)), F.lit(0)))
-    out = df.select("m.correct", "m.true_rank", "m.margin", "m.strongest_wrong", S.target("incremental_margin", F.col("m"), F.col("z")).alias("d")).collect()
-    assert [tuple(r) for r in out[:2]] == [(True, 1, 1.0, 1, 1.5), (False, 2, -1.0, 1, -0.5)]
-    b = df.select(S.target("bounded_margin", F.col("m"), F.col("z"), 2.0).alias("b")).collect()
-    assert b[0].b == pytest.approx(1 / (1 + math.exp(-0.5)))
+    """Metrics and increments against plain Python on drawn scores."""
+    rng = random.Random(7)
+    zero, rows = [round(rng.uniform(-3, 0), 1) for _ in range(5)], [(i, [round(rng.uniform(-3, 0), 1) for _ in range(5)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "position int, scores array<double>").withColumn("m", S.teacher(F.col("scores"), F.lit(3)))
+    df = df.withColumn("z", S.teacher(F.array(*map(F.lit, zero)), F.lit(3)))
+    margin = lambda v: v[3] - max(x for i, x in enumerate(v) if i != 3)
+    kinds = ("incremental_margin", "bounded_margin", "mean_token_probability")
+    out = df.select("scores", "m", *[S.target(k, F.col("m"), F.col("z"), 1.7).alias(k) for k in kinds]).collect()
+    for r in out:
+        v = r.scores
+        wrong = max((i for i in range(5) if i != 3), key=lambda i: (v[i], -i))
+        before = sum(x > v[3] or (x == v[3] and i < 3) for i, x in enumerate(v))
+        assert (r.m.true_rank, r.m.correct, r.m.strongest_wrong) == (before + 1, before == 0, wrong) and r.m.margin == pytest.approx(margin(v))
+        assert r.incremental_margin == pytest.approx(margin(v) - margin(zero)) and r.bounded_margin == pytest.approx(1 / (1 + math.exp(-margin(v) / 1.7)))
+        assert r.mean_token_probability == pytest.approx(math.exp(v[3]))
+    above = df.withColumn("m", S.teacher(F.transform("scores", lambda x: x + 3.5), F.lit(3)))
     with pytest.raises(Exception, match="above 0"):
-        df.select(S.target("mean_token_probability", F.col("m"), F.col("z"))).collect()
+        above.select(S.target("mean_token_probability", F.col("m"), F.col("z"))).collect()
     with pytest.raises(ValueError):
         S.target("margin", F.col("m"), F.col("z"), temperature=0)
 
@@ -97,11 +107,11 @@ def test_vectors(spark):
 
 
 def test_prompts(spark):
-    df = spark.createDataFrame([({"B": "auk", "A": "albatross"}, ["tern"]), ({"B": "auk", "A": "albatross"}, None)], "o map<string,string>, r array<string>")
+    df = spark.createDataFrame([({"B": "quartz", "A": "basalt"}, ["marble"]), ({"B": "quartz", "A": "basalt"}, None)], "o map<string,string>, r array<string>")
     a, b = df.select(prompts.multiple_choice(F.col("o"), F.col("r")).alias("p")).collect()
-    assert "below.\nA. albatross\nB. auk\n\nLabeled reference examples:\n<image>\nReference label: tern\n\n\nClassify" in a.p
-    assert "B. auk\n\nClassify" in b.p and a.p.endswith("option.\n<image>\nAnswer:")
+    assert "below.\nA. basalt\nB. quartz\n\nLabeled reference examples:\n<image>\nReference label: marble\n\n\nClassify" in a.p
+    assert "B. quartz\n\nClassify" in b.p and a.p.endswith("option.\n<image>\nAnswer:")
     c, d = df.select(prompts.full_label(F.col("r")).alias("p")).collect()
-    assert c.p.endswith("Label: tern\n\nQuery image:\n<image>\nLabel:") and "Labeled" not in d.p and d.p.endswith("label.\n\nQuery image:\n<image>\nLabel:")
+    assert c.p.endswith("Label: marble\n\nQuery image:\n<image>\nLabel:") and "Labeled" not in d.p and d.p.endswith("label.\n\nQuery image:\n<image>\nLabel:")
     with pytest.raises(Exception, match="blank"):
         df.select(prompts.one_shot(F.lit("  "))).collect()
