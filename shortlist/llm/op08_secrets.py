@@ -44,10 +44,11 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 LEAST_COST = 10.0
-#: Most words in the table of ranks, and the code points of the longest of them; others cost brute force.
+#: Parameters of the cost model: most words in the table of ranks (whole levels of frequency from the top), and the code points of the longest
+#: of them; others cost brute force.
 TABLE_WORDS = 50_000
 LONGEST_WORD = 64
-#: Longest unit of a repeat, and least length of a keyboard walk.
+#: Also parameters of the cost model: longest unit of a repeat, and least length of a keyboard walk.
 UNITS = 6
 LEAST_WALK = 4
 #: Common parts of passwords, most common first.
@@ -79,6 +80,52 @@ def _runs(same: np.ndarray) -> np.ndarray:
     return ends[np.searchsorted(ends, np.arange(len(same)))] - np.arange(len(same))
 
 
+class _Repeats:
+    """The cheapest repeats of one unit length that end at each place, of all their lengths, as the places come.
+
+    A repeat from s to j costs best[s], its unit, and the logarithm of its number of units.  Within one run (where
+    every character equals that one unit before) units cost the same, and of two starts that differ by whole units the earlier one, once
+    it is as cheap, stays so.  So the starts worth keeping form a stack with the cheapest now on top; each entry holds the
+    place from which the one below it is cheaper, and each start is pushed and popped once.
+    """
+
+    def __init__(self, unit: int, least: int, runs: list[int]):
+        self.unit, self.least, self.runs = unit, least, runs
+        self.run, self.stacks = -1, {}
+
+    def _overtaken(self, old: tuple, new: tuple) -> float:
+        """The place from which ``old`` (base, start) is at most as dear as the later ``new``."""
+        if new[0] <= old[0]:
+            return math.inf
+        ratio = 10 ** min(new[0] - old[0], 300)
+        return (new[1] * ratio - old[1]) / (ratio - 1) if ratio > 1 else math.inf
+
+    def cheapest(self, j: int, best: list[float], cost: list[float]) -> float:
+        """The least cost of a prefix of length j that ends with a repeat; ``cost`` has the sums of single characters' costs."""
+        s = j - self.unit * self.least
+        if s < 0:
+            return math.inf
+        if s < len(self.runs) and self.runs[s] // self.unit + 1 >= self.least:
+            if s + self.runs[s] != self.run:
+                self.run, self.stacks = s + self.runs[s], {}
+            stack, new = self.stacks.setdefault(s % self.unit, []), (best[s] + cost[s + self.unit] - cost[s], s)
+            while stack and stack[-1][2] <= j:
+                stack.pop()
+            if not stack or self._value(new, j) < self._value(stack[-1], j):
+                until = self._overtaken(stack[-1], new) if stack else math.inf
+                while stack and until >= stack[-1][2]:
+                    stack.pop()
+                    until = self._overtaken(stack[-1], new) if stack else math.inf
+                if until == math.inf:
+                    stack.clear()
+                stack.append((*new, until))
+            return self._value(stack[-1], j)
+        return math.inf
+
+    def _value(self, entry: tuple, j: int) -> float:
+        return entry[0] + math.log10((j - entry[1]) // self.unit)
+
+
 def word_ranks(docs: DataFrame, most: int = TABLE_WORDS) -> dict[str, int]:
     """Ranks of the most common words of ``docs`` (text): those that occur twice or more outside of credential values."""
     left = F.regexp_replace("text", "(?i)" + CONTEXT.pattern, " ")
@@ -119,7 +166,7 @@ class Guesser:
     def cost(self, value: str) -> float:
         """Decimal logarithm of the guesses that the cheapest segmentation of ``value`` takes.
 
-        A repeat goes on from its start as long as whole units do; walks and words have all their lengths.
+        Repeats (of units of up to ``UNITS`` characters, three of one character or two of more at least), walks and words have all their lengths.
         """
         n = len(value)
         low = value.lower()
@@ -131,8 +178,10 @@ class Guesser:
         repeats = []
         for unit in range(1, min(UNITS, n - 1) + 1):
             same = codes[unit:] == codes[:-unit]
-            if same.any():
-                repeats.append((unit, 2 if unit == 1 else 1, (_runs(same) // unit + 1).tolist()))
+            least = 3 if unit == 1 else 2
+            if same.any() and (runs := _runs(same)).max() // unit + 1 >= least:
+                repeats.append(_Repeats(unit, least, runs.tolist()))
+        singly = [0.0, *accumulate(each)] if repeats else []
         walk = np.zeros(max(n - 1, 0), np.int64)
         for at in LINES:
             place = at[np.minimum(small, len(at) - 1)]
@@ -150,14 +199,11 @@ class Guesser:
                 words[start].append((end, math.log10(rank + 1) + math.log10(2) * extra))
         best = [0.0] + [math.inf] * n
         for i in range(n):
+            for r in repeats:
+                best[i] = min(best[i], r.cheapest(i, best, singly))
             base = best[i]
             if base + each[i] < best[i + 1]:
                 best[i + 1] = base + each[i]
-            for unit, least, times in repeats:
-                if i < len(times) and times[i] > least:
-                    end, cost = i + unit * times[i], base + sum(each[i : i + unit]) + math.log10(times[i])
-                    if cost < best[end]:
-                        best[end] = cost
             if i < len(walk) and walk[i] + 1 >= LEAST_WALK:
                 for k in range(LEAST_WALK, walk[i] + 2):
                     best[i + k] = min(best[i + k], base + math.log10(2 * len(WALKS) * 12 * k))
@@ -165,7 +211,7 @@ class Guesser:
                 best[end] = min(best[end], base + cost)
             if "0" <= value[i] <= "3" and (m := DATE.match(value, i)):
                 best[m.end()] = min(best[m.end()], base + (math.log10(366 * 120) if len(m[0]) > 4 else math.log10(120)))
-        return best[-1]
+        return min([best[-1], *(r.cheapest(n, best, singly) for r in repeats)])
 
 
 def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:

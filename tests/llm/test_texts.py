@@ -445,7 +445,7 @@ def brute_cost(value, ranks):
                 prices.append(math.log10(ranks[word] + 1) + math.log10(2) * (changed + (part != low)))
         for unit in range(1, 7):
             times = len(part) // unit
-            if len(part) % unit == 0 and times > (2 if unit == 1 else 1) and part == part[:unit] * times and value[j : j + unit] != part[:unit]:
+            if len(part) % unit == 0 and times > (2 if unit == 1 else 1) and part == part[:unit] * times:
                 prices.append(sum(map(one, part[:unit])) + math.log10(times))
         if len(part) > 3 and any(low in line or low[::-1] in line for line in op8.WALKS):
             prices.append(math.log10(2 * len(op8.WALKS) * 12 * len(part)))
@@ -466,6 +466,11 @@ def test_guess_cost_equals_brute_force():
     for _ in range(150):
         value = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))
         assert op8.guess_cost(value) == pytest.approx(brute_cost(value, op8.RANK)), value
+    assert op8.guess_cost("aaaaadmin") < op8.guess_cost("aaaa") + 1.1 and op8.guess_cost("xaaaaaaab") == pytest.approx(brute_cost("xaaaaaaab", op8.RANK))
+    ranks = {"aab": 1, "abab": 3, "baba": 7, "aaaaa": 30, "bbb": 2}  # words that begin or end inside of repeats
+    for _ in range(400):
+        value = "".join(rng.choice(["a", "b", "ab", "aaaa", "ba", "abc", "1", "$"]) for _ in range(rng.randint(1, 16)))
+        assert op8.guess_cost(value, ranks) == pytest.approx(brute_cost(value, ranks)), value
 
 
 def test_long_values_take_linear_time(spark):
