@@ -39,10 +39,11 @@ _NAME = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]
 _SPACE = re.compile(r"\s+")
 
 #: Tags whose content is no text of the page.
-HIDDEN = frozenset("head noscript template svg math object select button canvas audio video datalist".split()) | _RAW_END.keys()
+HIDDEN = frozenset("head noscript template svg annotation annotation-xml object select button canvas audio video datalist".split()) | _RAW_END.keys()
 #: Tags that don't end a block.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input meta link".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input meta link "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msup msub msubsup munder mover munderover msqrt mroot mstyle mpadded mfenced mtable mtr mtd".split()
 )
 CONTAINERS = frozenset("html body div section nav header footer aside form article main ul ol dl table figure details dialog menu blockquote center fieldset td".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu fieldset".split())

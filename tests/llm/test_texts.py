@@ -187,6 +187,11 @@ def test_judgements_on_page_parts(spark):
     assert [out[i] for i in range(len(html))] == ["A\n\nrest A", long, f"Title\n\n{long}", *[long] * 6]
 
 
+def test_formulas_stay_in_their_paragraph():
+    page = "<body><p>Mass times the square of speed, <math><semantics><mrow><mi>m</mi><mo>&sdot;</mo><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation>m c^2</annotation></semantics></math>, is an energy.</p></body>"
+    assert [b[0] for b in op3.blocks(page)] == ["Mass times the square of speed, m\u22c5c2, is an energy."]
+
+
 def test_hostile_pages_take_linear_time():
     for page in ("<a " * 300_000, '<a "' * 200_000, '<a ="' * 200_001, '<a =">"' * 100_000, "<div>" * 50_000 + "</p></ul>" * 50_000, "<button>" * 100_000, "</" * 200_000):
         began = time.time()
