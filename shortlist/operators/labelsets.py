@@ -11,18 +11,20 @@ from ..functions.prompts import LETTERS
 from .sampling import draw
 
 
-#: Class vectors in one array.
+#: Class vectors in one array, and their bytes, at most.
 MOST_CLASSES = 5000
+MOST_BYTES = 16_000_000
 QUERY = ["query_split", "query_idx"]
 
 
 def similarity_vectors(queries: DataFrame, class_vectors: DataFrame) -> DataFrame:
     """query_split, query_idx, true_class, known (struct class_idx, sim; a block of classes in ascending order) for every query.
 
-    The class table has one row a class (hundreds); up to ``MOST_CLASSES`` it travels as one array, so that there is no join of
-    all pairs.  More classes come in blocks of that size: each block's array meets every query.
+    The class table has one row a class (hundreds); up to ``MOST_CLASSES`` and ``MOST_BYTES`` (counted first) it travels as one array, so that
+    there is no join of all pairs.  More classes come in blocks of that size: each block's array meets every query.
     """
-    blocks = max(1, -(-class_vectors.count() // MOST_CLASSES))
+    n, width = class_vectors.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    blocks = max(1, -(-n // max(1, min(MOST_CLASSES, MOST_BYTES // (8 * max(width or 1, 1))))))
     block = F.pmod(F.xxhash64("class_idx"), F.lit(blocks))
     table = class_vectors.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("class_idx", "vec"))).alias("table"))
     table = F.broadcast(table) if blocks == 1 else table
