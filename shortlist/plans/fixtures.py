@@ -83,6 +83,13 @@ class World:
     def pool(self) -> DataFrame:
         return scratch.settle(retrieval.top_m(self.queries, self.gallery, POOL), "pool")
 
+    @cached_property
+    def first(self) -> DataFrame:
+        """The first of each pool; pools aren't searched for it."""
+        if "pool" in self.__dict__:
+            return self.pool.filter("position = 0")
+        return scratch.settle(retrieval.top_m(self.queries, self.gallery, 1), "first")
+
     @property
     def own(self) -> DataFrame:
         return self.sims.filter(F.col("query_split").isin(self.splits))
@@ -103,7 +110,7 @@ class World:
     def conditions(self) -> DataFrame:
         """Zero-shot and first-exemplar score vectors, by condition."""
         z = self.zero.select("query_split", "query_idx", "true_class", F.lit("zero_shot").alias("condition"), "scores")
-        t = pair_scores(self.pool.filter("position = 0"), self.sims).select("query_split", "query_idx", "true_class", F.lit("top1").alias("condition"), "scores")
+        t = pair_scores(self.first, self.sims).select("query_split", "query_idx", "true_class", F.lit("top1").alias("condition"), "scores")
         return z.unionByName(t)
 
     @cached_property

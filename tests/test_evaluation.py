@@ -35,6 +35,21 @@ def test_bootstrap_brackets_the_difference(spark):
     assert a == b and a.low < 0.08 < a.high
 
 
+def test_bootstrap_interval_has_the_quantiles_of_the_multinomial(spark):
+    """The drawn bounds lie where the exact distribution of the resampled difference has its 2.5 % and 97.5 %."""
+    for n, a, b in ((40, 11, 4), (25, 3, 3), (60, 0, 9)):
+        exact = {}
+        for i in range(n + 1):
+            for j in range(n + 1 - i):
+                p = math.comb(n, i) * math.comb(n - i, j) * (a / n) ** i * (b / n) ** j * ((n - a - b) / n) ** (n - i - j)
+                exact[i - j] = exact.get(i - j, 0) + p
+        below = lambda x: sum(p for d, p in exact.items() if d <= round(x * n, 6))  # noqa: E731, B023
+        r = stats.bootstrap(spark.createDataFrame([("k", n, a, b)], "k string, n long, treatment_only long, control_only long"), ["k"]).first()
+        for bound, share in ((r.low, 0.025), (r.high, 0.975)):
+            step = 1 / n
+            assert below(bound - step) - 0.01 <= share <= below(bound) + 0.01, (n, a, b, bound)
+
+
 def test_oracle_summary(spark):
     rows = []
     for q, true, classes, correct, margin, rank in (
