@@ -138,6 +138,21 @@ def io7_candidate_export(spark, sf_dir):
     return e.select("query_split", "query_idx", text("example_idx").alias("examples"), text("class_idx").alias("classes"))
 
 
+@query(base() + """
+x AS (SELECT 1) SELECT query_split, query_idx, string_agg(CAST(example_idx AS VARCHAR), ',' ORDER BY position) AS examples, round(sum(similarity), 5) + 0.0 AS total
+FROM pools GROUP BY query_split, query_idx
+""")
+def io7_array_export(spark, sf_dir):
+    """Pools as array files (a row a query, aligned arrays of its candidates), read again by ranges of rows."""
+    arrays.register(spark)
+    place = scratch.new(spark, "export")
+    wide = artifacts.export_candidates(World(spark, sf_dir).pool, ["example_idx", "similarity"])
+    wide.write.format("arrays").mode("append").option("file_rows", 200).save(place)
+    back = spark.read.format("arrays").option("part_bytes", 20_000).load(place)
+    total = F.aggregate("similarity", F.lit(0.0), lambda a, x: a + x)
+    return rounded(back.select("query_split", "query_idx", text("example_idx").alias("examples"), total.alias("total")), 5)
+
+
 @query("""
 SELECT count(*) FILTER (o_orderkey % 3 <> 0) AS completed, count(*) AS target, count(*) FILTER (o_orderkey % 3 <> 0) = count(*) AS complete FROM orders
 """)
