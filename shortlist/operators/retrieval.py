@@ -28,8 +28,7 @@ POOL = "query_split string, query_idx long, true_class int, k int, example_idx l
 QUERY = ["query_split", "query_idx"]
 
 
-def _blocks(rows: DataFrame) -> int:
-    n = rows.count()
+def _blocks(n: int) -> int:
     return max(-(-n // BLOCK_ROWS), min(4, -(-n // SMALL_ROWS)), 1)
 
 
@@ -78,11 +77,9 @@ def searched(
         parts = [_search(a.slice(at, BLOCK_ROWS), b, m, exclude_self, exclude_same_class, half) for at in range(0, max(len(a), 1), BLOCK_ROWS)]
         return pa.concat_tables(parts)
 
-    work = None
-    if clusters is None:
-        clusters = 0 if gallery.limit(PLAIN_ROWS + 1).count() <= PLAIN_ROWS else None
-    if clusters == 0 or gallery.isEmpty():
-        n, l = _blocks(queries), _blocks(gallery)
+    work, size = None, gallery.count()
+    if clusters == 0 or not size or (clusters is None and size <= PLAIN_ROWS):
+        n, l = _blocks(queries.count()), _blocks(size)
         left, right = _dealt(q, n, l), _dealt(g, l, n)
         found = left.groupBy("own", "other").cogroup(right.groupBy("other", "own")).applyInArrow(search, POOL)
     else:

@@ -119,11 +119,14 @@ def split_summary(assignment: DataFrame, column: str) -> DataFrame:
     return assignment.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(column).alias("classes"), n("train"), n("val"), n("test"))
 
 
-def nth_smallest(rows: DataFrame, column: str, n: int, few: int = 10_000) -> str | None:
+def nth_smallest(rows: DataFrame, column: str, n: int, few: int = 10_000, total: int | None = None) -> str | None:
     """The n-th smallest (from 1) of a string column of hexadecimal digits; None if there are fewer.
 
     By counts of beginnings, three digits longer each time, until at most ``few`` strings share one: those are sorted on the driver.
+    ``total`` is the number of rows, if it is known.
     """
+    if total is not None and n <= total <= few:
+        return sorted(r[0] for r in rows.select(column).collect())[n - 1]
     prefix, left = "", n
     while True:
         inside = rows.filter(F.col(column).startswith(prefix)) if prefix else rows
@@ -162,7 +165,7 @@ def balanced_sample(rows: DataFrame, key: str, column: str, n: int, seed: int) -
     keep = F.col("__rn") <= rounds
     if left:
         order = draw(seed, F.lit(rounds + 1), F.col(column))
-        last = nth_smallest(sizes.filter(F.col("__size") > rounds).select(order.alias("d")), "d", left)
+        last = nth_smallest(sizes.filter(F.col("__size") > rounds).select(order.alias("d")), "d", left, total=classes)
         keep = keep | ((F.col("__rn") == rounds + 1) & (order <= last))
     return placed.filter(keep).drop("__rn")
 
