@@ -3,19 +3,21 @@
 Every text is a sequence of ``K``-word shingles, labelled by their occurrence (the second "a b c d e" differs from the
 first).  For each of ``SKETCHES`` hash functions the ``L`` smallest shingles, in text order, form a bucket key; texts
 that share a key are candidates.  A pair is linked if its edit similarity is ``SIMILARITY`` or more: a banded alignment of the
-two shingle sequences finds M shingles in common order, and M / max(n_a, n_b) is that similarity.  The band follows from the
-bound, so the alignment is exact.  (The same ratio without order bounds it from above and is tried first.)  Every pair whose
-shingles have a Jaccard similarity of 0.8 in common order is among them.  Classes are the connected components.
+two texts finds W words in common order, and W / max(words_a, words_b) is that similarity.  Bands widen up to the one that
+follows from the bound, so the alignment is exact.  (The same ratio without order bounds it from above and is tried first.)  As a
+changed word spoils K shingles, a link also needs ``SHARED`` of the longer text's shingles to be in both, in any order; pairs
+below that, whose edits are spread evenly, rarely share a bucket.  Every pair with 0.8 of the longer text's shingles in common
+order has 0.8 of its words too, so all pairs of five-word shingles at 0.8 are among the links.  Classes are the connected components.
 
 Scale: equal texts are one node (combined before the shuffle); a sketch row has ``SKETCHES`` longs.  In a bucket all nodes are
 compared with one of them (a star) and components are formed.  Buckets whose nodes aren't in one component by then are taken
-up again: nodes that share too few shingles with all the others there are out, exactly; the rest forms families of nodes with
+up again: nodes that share less than ``SHARED`` of their shingles with all the others there are out, exactly; the rest forms families of nodes with
 common buckets, and each family is cut into blocks of a bounded size that are compared with each other (only pairs in different
 components, until they are connected).  So no link is left out that would change a class, and groups whose members are
 close to one of them cost about one comparison a member; a family without such a centre costs the square of its blocks.
 Texts travel once a node and map task, then only for nodes in candidate pairs, to be joined with their pairs.
-Two texts of equal length at exactly ``SIMILARITY`` share two thirds of their shingles and no bucket with probability
-(1 - (2 / 3) ** L) ** SKETCHES: 2e-4; at a Jaccard similarity of 0.8 it is 5e-8.
+Two texts with a Jaccard similarity J of their shingles share no bucket with probability (1 - J ** L) ** SKETCHES: 5e-8 at
+0.8, 2e-4 at two thirds (0.8 of the shingles of texts of one length), 0.04 at a half, 0.4 at a third (the bound ``SHARED``).
 
 Nulls and odd input: a null text is a class of its own row; texts without words (empty too) are linked to equal texts only;
 texts of fewer than K words are one shingle; a class's id is its smallest doc_id (null if it has none); repeated rows have
@@ -38,6 +40,10 @@ K = 5
 L = 3
 SKETCHES = 24
 SIMILARITY = 0.8
+#: Part of the longer text's shingles that linked texts have in common.
+SHARED = 0.5
+#: Half the width of the first band that an alignment tries; the next ones are four times as wide.
+FIRST_BAND = 32
 #: Shingles of a family's nodes that one block holds.
 BLOCK_SHINGLES = 50_000
 
@@ -142,17 +148,32 @@ def _common_in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
-    """Whether the shingles that a and b have in common order are ``least`` of the longer one's."""
+    """Whether the words that the sequences a and b have in common order are ``least`` of the longer one's."""
     need = _need(len(a), len(b), least)
     if not len(a) or not len(b) or min(len(a), len(b)) < need:
         return False
-    if len(np.intersect1d(a, b, assume_unique=True)) < need:
+    sets, number = np.unique(np.r_[a, b], return_inverse=True)
+    if np.minimum(np.bincount(number[: len(a)], minlength=len(sets)), np.bincount(number[len(a) :], minlength=len(sets))).sum() < need:
         return False
-    return _common_in_order(a, b, len(a) + len(b) - 2 * need) >= need
+    # What an alignment in a narrow band finds is a lower bound; in the last band it is exact.
+    band, last = FIRST_BAND, len(a) + len(b) - 2 * need
+    while band < last:
+        if _common_in_order(a, b, band) >= need:
+            return True
+        band *= 4
+    return _common_in_order(a, b, last) >= need
+
+
+def linked(words: tuple[np.ndarray, np.ndarray], shingles: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> bool:
+    """Whether two texts, given by their words and their labelled shingles, are linked."""
+    a, b = shingles
+    if not len(a) or not len(b) or len(np.intersect1d(a, b, assume_unique=True)) < _need(len(a), len(b), SHARED):
+        return False
+    return similar(*words, least)
 
 
 def _need(n: int, m: int, least: float) -> int:
-    """The shingles in common order that sequences of n and m shingles need."""
+    """``least`` of the longer one of sequences of n and m elements, as a whole number."""
     return math.ceil(least * max(n, m) - 1e-9)
 
 
@@ -172,18 +193,20 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFra
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shingles(column) -> list[np.ndarray]:
+        def sequences(column) -> list[tuple[np.ndarray, np.ndarray]]:
             out = []
             for _, _, data, offsets in C.utf8_blocks(column):
                 starts, ends, rows = C.words_of(data, offsets, C.NOT_SPACE)
-                hashes, ranges = _shingles(C.word_hashes(data, starts, ends), rows, k)
-                out += [hashes[ranges[i] : ranges[i + 1]] for i in range(len(rows) - 1)]
+                words = C.word_hashes(data, starts, ends)
+                hashes, ranges = _shingles(words, rows, k)
+                out += [(words[rows[i] : rows[i + 1]], hashes[ranges[i] : ranges[i + 1]]) for i in range(len(rows) - 1)]
             return out
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ok = [similar(x, y, least) for x, y in zip(shingles(batch.column("ta")), shingles(batch.column("tb")))]
+                both_ = zip(sequences(batch.column("ta")), sequences(batch.column("tb")))
+                ok = [linked((x[0], y[0]), (x[1], y[1]), least) for x, y in both_]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
@@ -208,11 +231,11 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _shared_shingles(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
-    """node, n, seq for the nodes of ``open_`` that can still have a partner there.
+def _shared_shingles(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """node, n, seq, words for the nodes of ``open_`` that can still have a partner there.
 
-    seq holds the shingles (in text order) that some other of these nodes has too.  A partner shares ``least`` of the n at
-    least, so nodes with a smaller seq have none.
+    seq holds the shingles that some other of these nodes has too, words the hashes of all words.  A partner shares ``SHARED``
+    of the n at least, so nodes with a smaller seq have none.
     """
     texts = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
 
@@ -220,27 +243,34 @@ def _shared_shingles(open_: DataFrame, texts: DataFrame, least: float, k: int) -
         for batch in batches:
             for first, end, data, offsets in C.utf8_blocks(batch.column("text")):
                 starts, ends, rows = C.words_of(data, offsets, C.NOT_SPACE)
-                hashes, ranges = _shingles(C.word_hashes(data, starts, ends), rows, k)
+                words = C.word_hashes(data, starts, ends)
+                hashes, ranges = _shingles(words, rows, k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node")[first:end], C.lists(hashes.view(np.int64), np.diff(ranges), pa.int64())], ["node", "hashes"]
-                )
+                    [batch.column("node")[first:end], C.lists(hashes.view(np.int64), np.diff(ranges), pa.int64()),
+                     C.lists(words.view(np.int64), np.diff(rows), pa.int64())],
+                    ["node", "hashes", "words"],
+                )
 
-    whole = C.settle(texts.select("node", "text").mapInArrow(cut, "node binary, hashes array<long>"), "shingles")
-    each = whole.select("node", F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "h"))
+    whole = C.settle(texts.select("node", "text").mapInArrow(cut, "node binary, hashes array<long>, words array<long>"), "shingles")
+    each = whole.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
     often = C.settle(each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "often")
-    found = each.join(often, "h").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "h"))).alias("x"))
-    kept = found.filter(F.size("x") >= least * F.col("n"))
-    return C.settle(kept.select("node", "n", F.col("x.h").alias("seq")), "survivors")
+    found = each.join(often, "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list("h").alias("seq"))
+    kept = found.filter(F.size("seq") >= SHARED * F.col("n"))
+    return C.settle(kept.join(whole.select("node", "words"), "node"), "survivors")
 
 
 def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
     """Links between the nodes of two blocks of a family (i, j: which), enough of them to connect what is connected."""
     nodes, classes_, n = table.column("node").to_pylist(), table.column("c").to_pylist(), table.column("n").to_numpy()
     block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    flat = table.column("seq").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    cuts, values = flat.offsets.to_numpy(), flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    cuts = cuts - cuts[0]
+
+    def lists(name: str) -> tuple[np.ndarray, np.ndarray]:
+        flat = table.column(name).combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        cuts = flat.offsets.to_numpy()
+        return cuts - cuts[0], flat.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+    (cuts, values), (ends, words) = lists("seq"), lists("words")
     _, number = np.unique(values, return_inverse=True)
     row = np.repeat(np.arange(len(nodes)), np.diff(cuts))
     order = np.argsort(number, kind="stable")
@@ -259,7 +289,7 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
         times = begin[own + 1] - begin[own]
         at = np.repeat(begin[own] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
         common = np.bincount(holders[at], minlength=len(nodes))
-        near = common >= least * np.maximum(n[x], n) - 1e-9
+        near = common >= SHARED * np.maximum(n[x], n) - 1e-9
         near[: x + 1] = False
         if i != j:
             near &= block != block[x]
@@ -267,10 +297,7 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
             a, b = find(classes_[x]), find(classes_[y])
             if a == b:
                 continue
-            sx, sy = values[cuts[x] : cuts[x + 1]], values[cuts[y] : cuts[y + 1]]
-            need = _need(n[x], n[y], least)
-            # What both lack of their whole sequences counts against the band already.
-            if _common_in_order(sx, sy, max(1, len(sx) + len(sy) - 2 * need)) >= need:
+            if similar(words[ends[x] : ends[x + 1]], words[ends[y] : ends[y + 1]], least):
                 out.append((nodes[x], nodes[y]))
                 root[a] = b
     return pa.table({"a": pa.array([o[0] for o in out], pa.binary()), "b": pa.array([o[1] for o in out], pa.binary())})
@@ -278,7 +305,7 @@ def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
 
 def _rest(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """All links that matter among the nodes of unresolved buckets (key, node, c): families, in blocks against each other."""
-    left = _shared_shingles(open_, texts, least, k)
+    left = _shared_shingles(open_, texts, k)
     buckets = C.settle(open_.join(left.select("node"), "node", "left_semi"), "open")
     low = buckets.groupBy("key").agg(F.min("node").alias("a"))
     families = components(buckets.join(low, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
@@ -288,7 +315,7 @@ def _rest(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame
     sizes = C.settle(sizes.select("f", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "sizes")
     placed = rows.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "n", "seq")
+    sent = sent.select("f", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "n", "seq", "words")
     return sent.groupBy("f", "i", "j").applyInArrow(lambda t: _compare_blocks(t, least), "a binary, b binary")
 
 

@@ -35,7 +35,7 @@ def shingles(t):
 
 
 def true_classes(rows):
-    """Connected components of equal texts and of pairs with 0.8 of the longer one's shingles in common order."""
+    """Connected components of equal texts and of pairs with 0.8 of the longer one's words in common order and half of its shingles."""
     root = list(range(len(rows)))
 
     def find(x):
@@ -48,9 +48,9 @@ def true_classes(rows):
         for j in range(i):
             if rows[i][1] is None or rows[j][1] is None:
                 continue
-            need = 0.8 * max(len(s[i]), len(s[j])) - 1e-9
-            m = 0 if not s[i] or not s[j] or len(set(s[i]) & set(s[j])) < need else lcs(s[i], s[j])
-            if rows[i][1] == rows[j][1] or (m and m >= need):
+            half = s[i] and s[j] and len(set(s[i]) & set(s[j])) >= 0.5 * max(len(s[i]), len(s[j])) - 1e-9
+            a, b = rows[i][1].split(), rows[j][1].split()
+            if rows[i][1] == rows[j][1] or (half and lcs(a, b) >= 0.8 * max(len(a), len(b)) - 1e-9):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i in range(len(rows)):
@@ -94,6 +94,44 @@ def test_blocks_of_one_family(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id) for r in op5.classes(docs(spark, rows)).collect()) == true_classes(rows)
 
 
+def test_similarity_of_words_repeated_and_in_wide_bands():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        a = rng.integers(0, 40, rng.integers(1, 260)).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, len(a), rng.integers(0, 1 + len(a) // 4)))
+        b = np.r_[b[len(b) // 9 :], rng.integers(0, 40, rng.integers(0, 1 + len(a) // 6)).astype(np.uint64)]
+        need = 0.8 * max(len(a), len(b)) - 1e-9
+        assert op5.similar(a, b) == (len(b) > 0 and lcs(a.tolist(), b.tolist()) >= need)
+
+
+def spread(seed, n=30):
+    """Pairs with one to nine stretches of words changed: edit similarities from 0.8 to 1 at any share of common shingles."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = words(rng, rng.randint(60, 300))
+        rows.append((2 * i, " ".join(w), "en", "s", 0))
+        for _ in range(rng.randint(1, 9)):
+            at, long = rng.randrange(len(w)), rng.randint(1, max(1, len(w) // 60))
+            w[at : at + long] = [f"y{rng.randrange(50)}" for _ in range(rng.randint(0, 2 * long))]
+        rows.append((2 * i + 1, " ".join(w), "en", "s", 0))
+    return rows
+
+
+def test_recall_by_edit_similarity_of_words(spark):
+    rows = spread(9) + spread(10)
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    near = set()
+    for i in range(0, len(rows), 2):
+        a, b = rows[i][1].split(), rows[i + 1][1].split()
+        if lcs(a, b) >= 0.8 * max(len(a), len(b)):
+            near.add(i)
+    found = {r.doc_id: r.class_id for r in op5.classes(docs(spark, rows)).collect()}
+    together = {i for i in range(0, len(rows), 2) if found[i] == found[i + 1]}
+    assert len(near) > 40 and together <= near and len(together) >= 0.9 * len(near)
+    assert len(set(found.values())) == len(rows) - len(together)
+
+
 def test_order_matters(spark):
     rng = random.Random(2)
     parts = [" ".join(words(rng, 30)) for _ in range(8)]
