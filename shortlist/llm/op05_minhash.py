@@ -340,11 +340,18 @@ def classes(docs: DataFrame, least: float = SIMILARITY, k: int = K, length: int
     known = members.join(labels, "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
     many = C.settle(known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("key"), "many")
     open_ = C.settle(known.join(many, "key"), "unresolved")
+    met = labels.withColumnRenamed("node", "n")
+    named = table.select("doc_id", "node").join(met, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("c", "node").alias("c"))
     if not open_.isEmpty():
         more = C.settle(_rest(open_, texts, least, k), "more")
-        labels = components(links.union(more))
-    linked = labels.withColumnRenamed("node", "n")
-    named = table.select("doc_id", "node").join(linked, F.col("node") == F.col("n"), "left").select("doc_id", "node", F.coalesce("c", "node").alias("c"))
+        # Components met already are single nodes now: only links between them are left.
+        own = open_.select("node", "c").distinct()
+        between = more.join(own.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(
+            own.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b"
+        )
+        merged = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b"))
+        merged = merged.select(F.col("node").alias("old"), F.col("c").alias("new"))
+        named = named.join(merged, F.col("c") == F.col("old"), "left").select("doc_id", "node", F.coalesce("new", "c").alias("c"))
     ids = C.settle(named.filter("c IS NOT NULL").groupBy(F.col("c").alias("k")).agg(F.min("doc_id").alias("class_id")), "ids")
     return named.join(ids, F.col("c") == F.col("k"), "left").select(
         "doc_id", "node", "c", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
