@@ -212,23 +212,29 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
 
 
-def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, c for the nodes of ``links`` (a, b): c is the smallest node of the component.
+def components(links: DataFrame) -> DataFrame:
+    """node, c for the nodes of ``links`` (a, b with a <> b): c is the smallest node of the component.
 
-    Every round takes the smallest label among the neighbours' and then the label's own label, so that the rounds grow
-    with the logarithm of a component's width.
+    Every round gives a node the smallest of its neighbours and itself, then that one's own, and contracts the links to those: links
+    inside of what has grown together are gone, equal ones are one.  So a later round has only what is left to connect.
     """
-    both = C.settle(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = C.settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c")), "labels")
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = C.settle(ends.distinct(), "links")
+    rounds = []
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("c").alias("m"))
-        step = labels.join(near, "node").select("node", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = step.join(labels.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left")
-        new = C.settle(jump.select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
-        changed = new.filter("old <> c").limit(1).count()
-        labels = new.select("node", "c")
-        if not changed:
-            return labels
+        low = left.union(left.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("c"))
+        jump = low.join(low.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c").select("node", F.col("cc").alias("c"))
+        rounds.append(C.settle(jump, "labels"))
+        met = left.join(rounds[-1].select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(
+            rounds[-1].select(F.col("node").alias("b"), F.col("c").alias("cb")), "b"
+        )
+        left = C.settle(met.filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        if left.isEmpty():
+            break
+    labels = rounds[0]
+    for later in rounds[1:]:
+        labels = labels.join(later.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left").select("node", F.coalesce("cc", "c").alias("c"))
+    return C.settle(labels, "labels") if rounds[1:] else labels
 
 
 def _shared_shingles(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
