@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,13 +238,68 @@ def components(links: DataFrame) -> DataFrame:
     return C.settle(labels, "labels") if rounds[1:] else labels
 
 
+def _families(buckets: DataFrame) -> DataFrame:
+    """node, f for the ``buckets`` (key, node) of two nodes or more: nodes that share a bucket, directly or through others, have one f."""
+    low = buckets.groupBy("key").agg(F.min("node").alias("a"))
+    met = components(buckets.join(low, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    return met.withColumnRenamed("c", "f")
+
+
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    """All values of a column of lists of longs."""
+    flat = column.combine_chunks()
+    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy(zero_copy_only=False)
+
+
+def _offer(table: pa.Table) -> pa.Table:
+    """The different shingles of one block, dealt into as many slices as its family has blocks; ``again`` has those of several nodes."""
+    values, times = np.unique(_values(table.column("hashes")), return_counts=True)
+    blocks = table.column("blocks")[0].as_py()
+    dealt = (values.view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+    lists = []
+    for some in (times == 1, times > 1):
+        order = np.argsort(dealt[some], kind="stable")
+        lists.append(C.lists(values[some][order], np.bincount(dealt[some], minlength=blocks), pa.int64()))
+    f, block = table.column("f")[0].as_py(), table.column("block")[0].as_py()
+    return pa.table({"f": pa.array([f] * blocks, pa.binary()), "slice": pa.array(np.arange(blocks, dtype=np.int32)),
+                     "block": pa.array([block] * blocks, pa.int32()), "once": lists[0], "again": lists[1]})
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Of one slice of a family's shingles: for each block those that are in several nodes."""
+    parts = [(_values(table.column(name).slice(i, 1)), weight) for i in range(table.num_rows) for name, weight in (("once", 1), ("again", 2))]
+    different, number = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    sizes = [len(x) for x, _ in parts]
+    nodes = np.bincount(number, np.repeat([w for _, w in parts], sizes), minlength=len(different))
+    cuts = np.r_[0, np.cumsum(sizes)][::2]
+    shared = [different[own[nodes[own] > 1]] for own in (number[x:y] for x, y in zip(cuts[:-1], cuts[1:]))]
+    lists = C.lists(np.concatenate(shared), np.array([len(x) for x in shared]), pa.int64())
+    return pa.table({"f": table.column("f"), "block": table.column("block"), "shared": lists})
+
+
+def _kept(nodes: pa.Table, slices: pa.Table) -> pa.Table:
+    """node, n, seq, words of one block's nodes that share enough; ``slices`` has what the family's blocks share (none if it is one block)."""
+    column = nodes.column("hashes")
+    counts = pc.list_value_length(column).to_numpy().astype(np.int64)
+    values, row = _values(column), np.repeat(np.arange(len(counts)), counts)
+    different, number, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.isin(different, _values(slices.column("shared"))) if slices.num_rows else times > 1
+    found = shared[number]
+    sizes = np.bincount(row[found], minlength=len(counts))
+    seq = C.lists(values[found], sizes, pa.int64())
+    out = pa.table({"node": nodes.column("node"), "n": pa.array(counts.astype(np.int32)), "seq": seq, "words": nodes.column("words")})
+    return out.filter(pa.array(sizes >= SHARED * counts))
+
+
 def _shared_shingles(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """node, n, seq, words for the nodes of ``open_`` that can still have a partner there.
+    """node, n, seq, words for the nodes of ``open_`` (key, node) that can still have a partner there.
 
-    seq holds the shingles that some other of these nodes has too, words the hashes of all words.  A partner shares ``SHARED``
-    of the n at least, so nodes with a smaller seq have none.
+    seq holds the shingles that some other node of the family has too, words the hashes of all words.  A partner shares ``SHARED``
+    of the n at least, so nodes with a smaller seq have none.  A family of several blocks exchanges each block's different shingles, in
+    slices by their value: near copies in one block send a shingle once, and a slice meets a shingle once a block, however common it is.
     """
-    texts = texts.join(open_.select("node").distinct().hint("merge"), "node", "left_semi")
+    texts = texts.join(_families(open_.select("key", "node")).hint("merge"), "node")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,17 +308,22 @@ def _shared_shingles(open_: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                 words = C.word_hashes(data, starts, ends)
                 hashes, ranges = _shingles(words, rows, k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node")[first:end], C.lists(hashes.view(np.int64), np.diff(ranges), pa.int64()),
+                    [batch.column("node")[first:end], batch.column("f")[first:end], C.lists(hashes.view(np.int64), np.diff(ranges), pa.int64()),
                      C.lists(words.view(np.int64), np.diff(rows), pa.int64())],
-                    ["node", "hashes", "words"],
+                    ["node", "f", "hashes", "words"],
                 )
 
-    whole = C.settle(texts.select("node", "text").mapInArrow(cut, "node binary, hashes array<long>, words array<long>"), "shingles")
-    each = whole.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    often = C.settle(each.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "often")
-    found = each.join(often, "h").groupBy("node").agg(F.first("n").alias("n"), F.collect_list("h").alias("seq"))
-    kept = found.filter(F.size("seq") >= SHARED * F.col("n"))
-    return C.settle(kept.join(whole.select("node", "words"), "node"), "survivors")
+    whole = texts.select("node", "f", "text").mapInArrow(cut, "node binary, f binary, hashes array<long>, words array<long>")
+    whole = C.settle(whole, "shingles")
+    blocks = F.ceil(F.sum(F.size("hashes")) / BLOCK_SHINGLES).cast("int")
+    sizes = C.settle(whole.groupBy("f").agg(blocks.alias("blocks")), "sizes")
+    placed = whole.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    several = placed.filter("blocks > 1").select("f", "blocks", "block", "hashes").groupBy("f", "block")
+    offered = several.applyInArrow(_offer, "f binary, slice int, block int, once array<long>, again array<long>")
+    shared = offered.groupBy("f", "slice").applyInArrow(_meet, "f binary, block int, shared array<long>")
+    nodes = placed.select("f", "block", "node", "hashes", "words").groupBy("f", "block")
+    kept = nodes.cogroup(shared.groupBy("f", "block")).applyInArrow(_kept, "node binary, n int, seq array<long>, words array<long>")
+    return C.settle(kept, "survivors")
 
 
 def _compare_blocks(table: pa.Table, least: float) -> pa.Table:
@@ -313,10 +374,8 @@ def _rest(open_: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame
     """All links that matter among the nodes of unresolved buckets (key, node, c): families, in blocks against each other."""
     left = _shared_shingles(open_, texts, k)
     buckets = C.settle(open_.join(left.select("node"), "node", "left_semi"), "open")
-    low = buckets.groupBy("key").agg(F.min("node").alias("a"))
-    families = components(buckets.join(low, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     own = buckets.select("node", "c").distinct()
-    rows = C.settle(left.join(own, "node").join(families.withColumnRenamed("c", "f"), "node"), "families")
+    rows = C.settle(left.join(own, "node").join(_families(buckets), "node"), "families")
     sizes = rows.groupBy("f").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.size("seq")).alias("total")).filter("c0 <> c1")
     sizes = C.settle(sizes.select("f", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")), "sizes")
     placed = rows.join(sizes, "f").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

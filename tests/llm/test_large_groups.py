@@ -1,9 +1,16 @@
 """Large groups of near copies: what joins make grows with the nodes and links, not with rounds or with the shingles of all copies."""
 
 import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
 
 from shortlist.llm import op05_minhash as op5
 
+from .helpers import words
+from .test_pairs import shingles
+
 
 def joined(spark, first=0):
     """Rows out of all joins of the executions from number ``first`` on, and the next number."""
@@ -50,3 +57,35 @@ def test_components_join_what_is_left_to_connect(spark):
     assert rows <= 12 * len(links)
     none = op5.components(table.limit(0))
     assert none.columns == ["node", "c"] and none.count() == 0
+
+
+@pytest.mark.parametrize("block", [3_000, 1_000_000])
+def test_shared_shingles_of_near_copies_without_a_row_each(spark, monkeypatch, block):
+    monkeypatch.setattr(op5, "BLOCK_SHINGLES", block)
+    rng = random.Random(6)
+    base, texts = words(rng, 300), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randint(0, 60)):
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += ["one two", "a a a a a a a a", " ".join(base[:150] + words(rng, 300)), " ".join(words(rng, 80))]
+    nodes = [i.to_bytes(2, "big") for i in range(len(texts))]
+    own = [set(shingles(t)) for t in texts]
+    times = Counter(s for x in own for s in x)
+    want = {n: (len(x), sum(times[s] > 1 for s in x)) for n, x in zip(nodes, own)}
+    want = {n: x for n, x in want.items() if x[1] >= 0.5 * x[0]}
+    assert 10 < len(want) < 85
+    table = spark.createDataFrame(list(zip(nodes, texts)), "node binary, text string")
+    # Buckets of sixty nodes, each with half of the next one's.
+    open_ = spark.createDataFrame([(i // 30 + j, n, n) for i, n in enumerate(nodes) for j in range(2)], "key long, node binary, c binary")
+    open_ = open_.join(open_.groupBy("key").count().filter("count > 1").select("key"), "key").select("key", "node", "c").localCheckpoint()
+    _, first = joined(spark)
+    found = op5._shared_shingles(open_, table, 5)
+    rows, _ = joined(spark, first)
+    got = {bytes(r.node): (r.n, len(r.seq), len(r.words)) for r in found.select("node", "n", "seq", "words").collect()}
+    assert {n: x[:2] for n, x in got.items()} == want
+    assert all(x[2] == len(texts[int.from_bytes(n, "big")].split()) for n, x in got.items())
+    held = {v for r in found.select(F.explode("seq").alias("v")).collect() for v in r}
+    assert len(held) <= sum(t > 1 for t in times.values())
+    assert rows <= 30 * len(nodes)
