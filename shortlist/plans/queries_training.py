@@ -35,7 +35,7 @@ BCE = "avg(greatest(score, 0) - score * target + ln(1 + exp(-abs(score))))"
 
 
 def _cand(spark, sf_dir):
-    return World(spark, sf_dir).cand
+    return World(spark, sf_dir).ranked
 
 
 SPLITS = base()
