@@ -121,7 +121,7 @@ SELECT query_idx, position, round(1.5 * a + 0.25 * b + 0.5 * s - 0.1 * r + 0.05,
 """)
 def p12_linear_scorer(spark, sf_dir):
     w = World(spark, sf_dir)
-    f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
+    f = retrieval.pool_features(w.pool, w.queries, w.gallery, w.cv, 30)
     x = F.array("query_label", "example_label", "similarity", "rank_fraction")
     return rounded(f.select("query_idx", "position", scorers.linear(x, [1.5, 0.25, 0.5, -0.1], 0.05).alias("score")))
 
@@ -150,7 +150,7 @@ SELECT query_idx, position, round({out}, 5) + 0.0 AS score FROM g
 @query(base() + FEATURES + "," + _layers_sql())
 def p12_two_layer_scorer(spark, sf_dir):
     w = World(spark, sf_dir)
-    f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
+    f = retrieval.pool_features(w.pool, w.queries, w.gallery, w.cv, 30)
     rows = f.select("query_idx", "position", F.array("query_label", "example_label", "similarity", "rank_fraction").alias("x"))
     w1, b1, w2, b2, scale, shift = LAYERS
     return rounded(scorers.two_layer(rows, "x", w1, b1, w2, b2, scale=scale, shift=shift).drop("x"), 5)
@@ -160,9 +160,9 @@ def p12_two_layer_scorer(spark, sf_dir):
 def p13_fitted_ranker(spark, sf_dir):
     """Selection by a ranker fitted on the train split's pairs: weights and accuracy on the other splits."""
     w = World(spark, sf_dir)
-    f = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
+    f = retrieval.pool_features(w.pool, w.queries, w.gallery, w.cv, 30)
     names = ["query_label", "example_label", "similarity", "rank_fraction"]
-    rows = f.join(w.cand.select("query_split", "query_idx", "position", "target", "correct"), ["query_split", "query_idx", "position"])
+    rows = f.join(w.ranked.select("query_split", "query_idx", "position", "target", "correct"), ["query_split", "query_idx", "position"])
     weights = scorers.fit_pairwise(rows.filter("query_split = 'train'"), names, "target")
     scored = rows.withColumn("score", scorers.linear(F.array(*names), weights))
     from ..operators import evaluate

@@ -60,3 +60,33 @@ def test_cosines_of_odd_vectors(spark, monkeypatch):
 
 def test_cosines_are_no_join_of_rows(spark, tables):
     assert "CartesianProduct" not in (found := plan(queries_retrieval.v2_cosine(spark, tables))) and "NestedLoop" not in found
+
+
+def test_features_join_numbers_only(spark, tables):
+    """Vectors of 4 numbers were joined to every candidate, thirty times a query; now at most once a query and class."""
+    w = queries_scores.World(spark, tables)
+    want = retrieval.scalar_features(retrieval.assemble(w.pool, w.queries, w.gallery, w.cv), 30)
+    got = retrieval.pool_features(w.pool, w.queries, w.gallery, w.cv, 30)
+    key = ["query_split", "query_idx", "position"]
+    assert got.columns == want.columns and got.count() == want.count() == 120 * 30
+    pairs = zip(got.orderBy(*key).collect(), want.orderBy(*key).collect())
+    assert all(a[:4] == b[:4] and all(abs(x - y) < 1e-12 for x, y in zip(a[4:], b[4:])) for a, b in pairs)
+    for name in ("v11_assemble", "v13_scalar_features"):
+        pooled = [x for x in plan(getattr(queries_retrieval, name)(spark, tables)).splitlines() if "Exchange hashpartitioning(example_idx" in x or "Exchange hashpartitioning(query_split" in x]
+        assert not any("vec" in x for x in pooled)
+
+
+def test_losses_keep_numbers_only(spark, tables):
+    w = queries_scores.World(spark, tables)
+    assert not {"scores", "m", "z"} & set(w.ranked.columns)
+    key = ["query_split", "query_idx", "position", "score", "correct", "margin", "target"]
+    assert w.ranked.select(*key).exceptAll(w.cand.select(*key)).isEmpty() and w.ranked.count() == w.cand.count()
+
+
+def test_one_search_for_the_first(spark, tables, monkeypatch):
+    """Breakdown and prompts searched whole pools to use their first rows; the breakdown had searched for those already."""
+    asked = []
+    search = retrieval.top_m
+    monkeypatch.setattr(retrieval, "top_m", lambda queries, gallery, m, *a, **b: asked.append(m) or search(queries, gallery, m, *a, **b))
+    queries_scores.e7_copy_breakdown(spark, tables)
+    assert asked == [1]
